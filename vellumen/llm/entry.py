@@ -7,23 +7,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumen.llm import simhash
+from vellumen.llm import simhash, suffix_dedup, superkmer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superkmer.drop_repeated_windows(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: Unnested by word; a window is the list of 13 words.
+OP2_SQL = r"""
+WITH words AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, w[i : i + 12] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM words)),
+firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g HAVING count(*) > 1),
+hits AS (SELECT doc_id, list(i) AS h FROM windows JOIN firsts USING (g) WHERE least < doc_id GROUP BY doc_id),
+spread AS (SELECT doc_id, list_distinct(flatten(list_transform(h, lambda i: generate_series(i, i + 12)))) AS gone FROM hits),
+kept AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, w, gone FROM words LEFT JOIN spread USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+    sha256(coalesce((SELECT string_agg(w[i], ' ' ORDER BY i) FROM (SELECT unnest(generate_series(1, len(w))) AS i) WHERE gone IS NULL OR NOT list_contains(gone, i)), '')) AS kept_sha256
+FROM kept
+"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hexadecimal digits.
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 200)) AS p FROM docs),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS s FROM places),
+hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM strings) WHERE n > 1),
+runs AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+    SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS opens FROM hits)),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 200 AS e FROM runs GROUP BY doc_id, run),
+lists AS (SELECT doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, sum(e - s) AS gone FROM spans GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(ss), 0)::BIGINT AS n_spans,
+    sha256(CASE WHEN ss IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(generate_series(1, len(ss) + 1),
+        lambda i: substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END) + 1, 2 * ((CASE WHEN i > len(ss) THEN len(h) // 2 ELSE ss[i] END) - (CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END)))), '')) END) AS kept_sha256
+FROM docs LEFT JOIN lists USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": OP2_SQL,
+        "op9_suffix_array_dedup": OP9_SQL,
+    }
