@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumen.llm import simhash, suffix_dedup, superkmer
+from vellumen.llm import packing, sharding, simhash, suffix_dedup, superkmer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,51 @@ FROM kept
 """
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = sharding.topology(16)
+    return sharding.assign(table(spark, sf_dir, "documents"), tree, sharding.grown(tree))
+
+
+def op7_sql() -> str:
+    """The same draws, level by level, as joins with the tree. DuckDB has no CRC-32: its bits are worked out."""
+    draw = "-ln((('0x' || substr(md5({level} || '/' || {node} || '/' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / {weight}"
+    rows = ", ".join(f"('{s.region}', '{s.rack}', {s.shard}, {s.weight})" for s in sharding.topology(16))
+    one = sharding.grown(sharding.topology(16))[-1]
+    step = """{name}_r AS (SELECT doc_id, region FROM (SELECT doc_id, region, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS n FROM (
+        SELECT doc_id, region, {dr} AS d FROM documents, (SELECT region, sum(w) AS w FROM {tree} GROUP BY region))) WHERE n = 1),
+    {name}_k AS (SELECT doc_id, rack FROM (SELECT doc_id, rack, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS n FROM (
+        SELECT doc_id, rack, {dk} AS d FROM {name}_r JOIN (SELECT region, rack, sum(w) AS w FROM {tree} GROUP BY region, rack) USING (region))) WHERE n = 1),
+    {name}_s AS (SELECT doc_id, shard FROM (SELECT doc_id, shard, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS n FROM (
+        SELECT doc_id, shard, {ds} AS d FROM {name}_k JOIN {tree} USING (rack))) WHERE n = 1)"""
+    levels = {"dr": draw.format(level="'region'", node="region", weight="w"), "dk": draw.format(level="'rack'", node="rack", weight="w"), "ds": draw.format(level="'shard'", node="shard", weight="w")}
+    return f"""
+WITH RECURSIVE tree AS (SELECT * FROM (VALUES {rows}) AS t(region, rack, shard, w)),
+larger AS (SELECT * FROM tree UNION ALL VALUES ('{one.region}', '{one.rack}', {one.shard}, {one.weight})),
+{step.format(name="a", tree="tree", **levels)},
+{step.format(name="b", tree="larger", **levels)},
+bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc_table AS (SELECT b, r FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) AS t(b))),
+crc_list AS (SELECT list(r ORDER BY b) AS l FROM crc_table),
+crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, l[1 + (xor(c, b) & 255)])), 4294967295) AS c, len(h) // 2 + 1 AS size FROM bytes, crc_list)
+SELECT doc_id, size::BIGINT AS size, c::BIGINT AS text_crc32, 'key' AS law, a_s.shard::INTEGER AS shard,
+    (row_number() OVER (PARTITION BY a_s.shard ORDER BY doc_id) - 1)::BIGINT AS slot, b_s.shard::INTEGER AS grown_shard
+FROM crcs JOIN a_s USING (doc_id) JOIN b_s USING (doc_id)
+"""
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,7 +106,9 @@ FROM docs LEFT JOIN lists USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op7_sharding": op7_sharding,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
     }
 
@@ -74,5 +116,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": OP2_SQL,
+        "op7_sharding": op7_sql(),
         "op9_suffix_array_dedup": OP9_SQL,
     }
