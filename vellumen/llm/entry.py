@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumen.llm import packing, sharding, simhash, suffix_dedup, superkmer
+from vellumen.llm import cover_tree, embed_dedup, packing, sharding, simhash, suffix_dedup, superkmer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+    SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, d.e) DESC, d.vec_id) AS rank
+    FROM v q, v d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+WHERE rank <= 5
+"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = superkmer.drop_repeated_windows(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -103,19 +118,39 @@ FROM docs LEFT JOIN lists USING (doc_id)
 """
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding, embedding) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+roots AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u),
+counts AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k_search": op1_top_k_search,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op7_sharding": op7_sharding,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_top_k_search": OP1_SQL,
         "op2_substring_dedup": OP2_SQL,
         "op7_sharding": op7_sql(),
         "op9_suffix_array_dedup": OP9_SQL,
+        "op10_embedding_near_dedup": OP10_SQL,
     }
