@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumen.llm import cover_tree, embed_dedup, packing, sharding, simhash, suffix_dedup, superkmer
+from vellumen.llm import cover_tree, embed_dedup, packing, sharding, simhash, suffix_dedup, superkmer, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,23 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+#: Five hexadecimal digits are four of base 32.
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, b, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+    array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM d
+"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.topology(16)
     return sharding.assign(table(spark, sf_dir, "documents"), tree, sharding.grown(tree))
@@ -140,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_warc": op5_warc,
         "op7_sharding": op7_sharding,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
@@ -150,6 +168,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k_search": OP1_SQL,
         "op2_substring_dedup": OP2_SQL,
+        "op5_warc": OP5_SQL,
         "op7_sharding": op7_sql(),
         "op9_suffix_array_dedup": OP9_SQL,
         "op10_embedding_near_dedup": OP10_SQL,
