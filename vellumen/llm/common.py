@@ -129,7 +129,9 @@ class Words:
         self.start = np.cumsum(size) - size + np.arange(len(size))
         self.end = self.start + size
         self.buf = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
-        self.buf[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = raw[inside]
+        place = np.repeat(np.arange(len(size), dtype=np.int32 if len(raw) < 2**30 else np.int64), size)
+        place += np.arange(len(place), dtype=place.dtype)
+        self.buf[place] = raw[inside]
 
     def __len__(self) -> int:
         return len(self.start)
@@ -170,6 +172,19 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
+def deltas(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as differences in the narrowest type, which pack better; summed() reverses it."""
+    d = np.diff(x, prepend=0)  # differences that overflow wrap round, and back again
+    for kind in (np.uint8, np.int8, np.uint16, np.int16, np.uint32, np.int32):
+        if len(d) and np.iinfo(kind).min <= d.min() and d.max() <= np.iinfo(kind).max:
+            return d.astype(kind)
+    return d
+
+
+def summed(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d, dtype=np.int64)
+
+
 def dump(value) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, protocol=5))
 

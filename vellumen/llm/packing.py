@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from vellumen.llm.common import SPACE, byte_column, dictionary, materialize, slices, spread
 
 #: Bytes of text that a task works on at a time, and words that a worker remembers.
-SLICE, REMEMBERED = 8 << 20, 200_000
+SLICE, REMEMBERED = 4 << 20, 100_000
 
 _tokenizers: dict[str, Tokenizer] = {}
 _known: dict[str, dict[bytes, list[int]]] = {}

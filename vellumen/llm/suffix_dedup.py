@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.llm.common import byte_column, mixed, sliding_min, spread, text_bytes
+from vellumen.llm.common import byte_column, deltas, mixed, sliding_min, spread, summed, text_bytes
 from vellumen.llm.routed import through_buckets
 from vellumen.llm.superkmer import rolled
 
 #: Bytes of text in a batch, and of strings that a bucket should get.
-SLICE, BUCKET = 2 << 20, 4 << 20
+SLICE, BUCKET = 4 << 20, 8 << 20
 #: Bytes of an anchor.
 GRAM = 16
 #: A scrambled number for each byte, and the odd base of the prefix hashes.
@@ -120,31 +120,30 @@ def shared_windows(strings: list[bytes], anchor: np.ndarray, length: int) -> np.
     sides, read backwards, too, a window is known by the stretch of neighbours that share
     enough to its right and the stretch that share enough to its left.
     """
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    buf = np.frombuffer(b"".join(strings), np.uint8)
-    begin = np.cumsum(size) - size
     gram = min(GRAM, length)
-    grams = [s[a : a + gram] for s, a in zip(strings, anchor.tolist(), strict=True)]
     numbers: dict[bytes, int] = {}
-    group = np.fromiter((numbers.setdefault(g, len(numbers)) for g in grams), np.int64, len(grams))
+    group = np.fromiter((numbers.setdefault(s[a : a + gram], len(numbers)) for s, a in zip(strings, anchor.tolist(), strict=True)), np.int64, len(strings))
     members = np.bincount(group)
     some = np.flatnonzero(members[group] > 1)
-    none = np.zeros((3, 0), np.int64)
     if not len(some):
-        return none
+        return np.zeros((3, 0), np.int64)
     some = some[np.argsort(group[some], kind="stable")]
+    anchor, chosen = anchor[some], [strings[i] for i in some.tolist()]
+    size = np.fromiter(map(len, chosen), np.int64, len(chosen))
+    buf = np.frombuffer(b"".join(chosen), np.uint8)
+    begin = np.cumsum(size) - size
     total = members[group[some]]
     first = np.flatnonzero(np.append(True, group[some][1:] != group[some][:-1]))
     place = np.arange(len(some)) - np.repeat(first, np.diff(np.append(first, len(some))))
-    local = np.arange(len(buf)) - np.repeat(begin, size)
+    local = np.arange(len(buf), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
     sides = []
-    for b, at, start, extent in ((buf, local, begin[some] + anchor[some], size[some] - anchor[some]), (buf[::-1], (np.repeat(size, size) - 1 - local)[::-1], len(buf) - begin[some] - anchor[some], anchor[some])):
+    for b, at, start, extent in ((buf, local, begin + anchor, size - anchor), (buf[::-1], (np.repeat(size.astype(np.int32), size) - 1 - local)[::-1], len(buf) - begin - anchor, anchor)):
         order, common = Suffixes(np.ascontiguousarray(b), at, start, extent).order(place, total)
         most = np.empty(len(order), np.int64)
         most[order] = np.maximum(common, np.append(common[1:], -1))
         sides.append((order, common, most))
     (right, right_common, most_right), (left, left_common, most_left) = sides
-    own, last = anchor[some], size[some]
+    own, last = anchor, size
     flags = np.zeros((len(some), int(own.max()) + 1), bool)
     for a in range(flags.shape[1]):
         has = np.flatnonzero((a <= own) & (own - a + length <= last) & (most_right >= length - a) & (most_left >= a))
@@ -209,8 +208,8 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
             these = order[a:b]
             chosen = [strings[i] for i in these]
-            parts[int(bucket[these[0]])] = {"bytes": b"".join(chosen), "size": np.fromiter(map(len, chosen), np.int32, len(chosen)), "anchor": where[these].astype(np.int32), "times": np.minimum(times[these], 2).astype(np.int8), "entry": these.astype(np.int32)}
-        return parts, {"ids": part.column(0), "raw": text, "at": at, "runs": np.stack([first, entry])}
+            parts[int(bucket[these[0]])] = {"bytes": b"".join(chosen), "size": np.fromiter(map(len, chosen), np.int32, len(chosen)), "anchor": where[these].astype(np.int32), "times": np.minimum(times[these], 2).astype(np.int8), "entry": deltas(these)}
+        return parts, {"ids": part.column(0), "raw": text, "at": at, "runs": (deltas(first), deltas(entry))}
 
     def bucket(parts: list) -> list:
         seen: dict[bytes, int] = {}
@@ -233,10 +232,11 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = found[:, np.argsort(found[0], kind="stable")]
         answers, edge = [], 0
         for p in parts:
-            mine = which[edge : edge + len(p["entry"])]
+            entry = summed(p["entry"])
+            mine = which[edge : edge + len(entry)]
             edge += len(mine)
             a, b = np.searchsorted(found[0], mine), np.searchsorted(found[0], mine, side="right")
-            answers.append(np.vstack([np.repeat(p["entry"], b - a), found[1:, spread(a, b - a)]]) if (b > a).any() else None)
+            answers.append(np.vstack([np.repeat(entry, b - a), found[1:, spread(a, b - a)]]).astype(np.int32) if (b > a).any() else None)
         return answers
 
     def settle(state, answers: list) -> pa.RecordBatch:
@@ -244,7 +244,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         gone = np.zeros(len(raw), bool)
         if answers:
             entry, offset, count = np.concatenate(answers, axis=1)
-            first, holder = state["runs"]
+            first, holder = map(summed, state["runs"])
             order = np.argsort(holder, kind="stable")
             a, b = np.searchsorted(holder[order], entry), np.searchsorted(holder[order], entry, side="right")
             begin, of = first[order[spread(a, b - a)]], np.repeat(np.arange(len(entry)), b - a)

@@ -8,11 +8,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellumen.llm.common import Words, byte_column, dictionary, mixed, sliding_min, spread, text_bytes
+from vellumen.llm.common import Words, byte_column, deltas, dictionary, mixed, sliding_min, spread, summed, text_bytes
 from vellumen.llm.routed import through_buckets
 
 #: Bytes of text in a batch, and of packed strings that a bucket should get.
-SLICE, BUCKET = 4 << 20, 8 << 20
+SLICE, BUCKET = 8 << 20, 16 << 20
 #: Windows in a super-k-mer at most; longer runs go as several.
 RUN = 64
 #: Words of a minimiser.
@@ -67,7 +67,7 @@ def count_windows(parts: list, window: int) -> list:
     """For each batch's strings: (string, first window, windows, least id) of runs whose windows all
     start in a document with that least id, where some document of the string has a larger one."""
     lengths = [len(p["least"]) for p in parts]
-    low, high = (np.concatenate([p[k] for p in parts]) for k in ("least", "most"))
+    low, high = (np.concatenate([summed(p[k]) for p in parts]) for k in ("least", "most"))
     buf = np.frombuffer(b"".join(p["strings"] + b"\n" for p in parts), np.uint8).copy()
     breaks = np.flatnonzero((buf == 0x20) | (buf == 0x0A))
     string_end = np.flatnonzero(buf[breaks] == 0x0A)  # number of each string's last word
@@ -138,11 +138,11 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         parts = {}
         for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
             these = order[a:b]
-            parts[int(bucket[these[0]])] = {"strings": b"\n".join([strings[i] for i in these]), "least": low[these], "most": high[these], "entry": these.astype(np.int32)}
-        return parts, {"ids": ids, "raw": raw, "first": words.first, "runs": np.stack([first, entry])}
+            parts[int(bucket[these[0]])] = {"strings": b"\n".join([strings[i] for i in these]), "least": deltas(low[these]), "most": deltas(high[these]), "entry": deltas(these)}
+        return parts, {"ids": ids, "raw": raw, "first": words.first, "runs": (deltas(first), deltas(entry))}
 
     def bucket(parts: list) -> list:
-        return [None if a is None else np.vstack([p["entry"][a[0]], a[1:]]) for p, a in zip(parts, count_windows(parts, window), strict=True)]
+        return [None if a is None else np.vstack([summed(p["entry"])[a[0]], a[1:]]) for p, a in zip(parts, count_windows(parts, window), strict=True)]
 
     def settle(state, answers: list) -> pa.RecordBatch:
         buf, at = np.frombuffer(state["raw"], np.uint8), state["first"]
@@ -152,7 +152,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if answers:
             entry, offset, count, least = np.concatenate(answers, axis=1)
             rank = state["ids"].cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            first, holder = state["runs"]
+            first, holder = map(summed, state["runs"])
             order = np.argsort(holder, kind="stable")
             a, b = np.searchsorted(holder[order], entry), np.searchsorted(holder[order], entry, side="right")
             run, of = first[order[spread(a, b - a)]], np.repeat(np.arange(len(entry)), b - a)
