@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -15,53 +17,124 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vellumen.llm.common import SPACE, byte_column, dictionary, materialize, slices, spread
+from vellumen.llm.common import LOWER, SPACE, byte_column, dictionary, materialize, slices, spread
 
-#: Bytes of text that a task works on at a time, and words that a worker remembers.
-SLICE, REMEMBERED = 4 << 20, 100_000
+#: Bytes of text that a task works on at a time, segments that a worker remembers, and texts encoded in one call.
+SLICE, REMEMBERED, CALL = 4 << 20, 400_000, 4096
 
-_tokenizers: dict[str, Tokenizer] = {}
-_known: dict[str, dict[bytes, list[int]]] = {}
+#: Kinds of bytes: white space, letters, other ASCII, and parts of longer characters.
+KIND = np.full(256, 2, np.uint8)
+KIND[SPACE], KIND[128:] = 0, 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
 
+# The normaliser and pre-tokeniser under which a text's ids are its segments' ids on end.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENISER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
-def word_ids(path: str, words: list[bytes]) -> list[list[int]]:
-    """Ids of each word; a worker keeps the tokenizer and the ids of words it has met."""
-    if path not in _tokenizers:
+
+class Encoder:
+    """A tokenizer with the ids of segments it has met; a worker keeps one."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _known[path] = {}
-    known = _known[path]
-    new = [w for w in words if w not in known]
-    found = dict(zip(new, (e.ids for e in _tokenizers[path].encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True)) if new else {}
-    out = [known[w] if w in known else found[w] for w in words]
-    if len(known) + len(found) > REMEMBERED:
-        known.clear()
-    known.update(list(found.items())[:REMEMBERED])
-    return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        self.parted = told["normalizer"] == NORMALISER and told["pre_tokenizer"] == PRE_TOKENISER and not told["model"].get("dropout")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.edges = array("I"), array("q", [0])
+
+    def add(self, ids) -> None:
+        self.flat.extend(ids)
+        self.edges.append(len(self.flat))
+
+    def remember(self, segments: list[bytes]) -> np.ndarray:
+        """Numbers of the segments, encoding those that are new."""
+        if len(self.known) + len(segments) > REMEMBERED:
+            self.forget()
+        known, rest = self.known, []
+        tokenize = self.model.tokenize
+        out = np.empty(len(segments), np.int64)
+        for i, segment in enumerate(segments):
+            at = known.get(segment)
+            if at is None:
+                if segment.isalpha() and segment.islower():  # bytes: ASCII letters alone
+                    at = known[segment] = len(known)
+                    self.add([t.id for t in tokenize(segment.decode())])
+                else:
+                    rest.append(i)
+                    continue
+            out[i] = at
+        for cut in range(0, len(rest), CALL):
+            part = rest[cut : cut + CALL]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([segments[i].decode() for i in part], add_special_tokens=False), strict=True):
+                at = known.get(segments[i])
+                if at is None:
+                    at = known[segments[i]] = len(known)
+                    self.add(e.ids)
+                out[i] = at
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def token_ids(path: str, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts on end, where each text's ids begin).
+    """(ids of all texts on end, where each text's ids begin), as the tokenizer gives them, without special tokens.
 
-    Only for tokenizers that drop white space and never join what it parts: then a text's
-    ids are its words' ids on end, and each distinct word is encoded once.
+    A tokenizer that lowers case, drops white space and parts letters from other ASCII
+    characters gives a text the ids of its segments on end; each distinct segment is then
+    encoded once. Words with an apostrophe, which may hold a contraction, or with the start
+    of a special token stay whole. Any other tokenizer gets whole texts.
     """
-    blank = SPACE[raw]
-    cut = np.append(at[:-1], np.flatnonzero(blank))
-    cut = np.unique(np.append(cut[cut < len(raw)], len(raw)))
+    tool = encoder(path)
     if not len(raw):
         return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    buf = raw
-    if blank.any():
-        buf = raw.copy()
-        buf[blank] = 0x20
-    codes, distinct = dictionary(buf, cut)
-    ids = word_ids(path, [w.lstrip(b" ") for w in distinct.to_pylist()])
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+    if not tool.parted:
+        text = raw.tobytes()
+        ids = [tool.tokenizer.encode(text[s:e].decode(), add_special_tokens=False).ids for s, e in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.append(0, np.cumsum([len(x) for x in ids]))
+    kind = KIND[raw]
+    blank = kind == 0
+    cut = blank.copy()
+    cut[at[:-1][at[:-1] < len(raw)]] = True
+    word = np.cumsum(cut, dtype=np.int32)
+    special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+    whole = np.zeros(int(word[-1]) + 1, bool)
+    whole[word[special]] = True
+    keep_case = whole[word] if len(special) else None
+    whole[word[raw == 0x27]] = True
+    turn = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1  # a letter beside other ASCII
+    turn = turn[(kind[turn] != 0) & (kind[turn] != 3) & (kind[turn - 1] != 0) & (kind[turn - 1] != 3)]
+    cut[turn[~whole[word[turn]]]] = True
+    buf = LOWER[raw]
+    buf[blank] = 0x20
+    if keep_case is not None:
+        buf[keep_case & ~blank] = raw[keep_case & ~blank]
+    begin = np.append(np.flatnonzero(cut), len(raw))
+    codes, distinct = dictionary(buf, begin)
+    numbers = tool.remember([w.lstrip(b" ") for w in distinct.to_pylist()])
+    edges = np.frombuffer(tool.edges, np.int64)
+    first, size = edges[numbers], edges[numbers + 1] - edges[numbers]
     count = size[codes]
-    begin = np.append(0, np.cumsum(count))
-    return flat[spread((np.cumsum(size) - size)[codes], count)], begin[np.searchsorted(cut, at)]
+    ids = np.frombuffer(tool.flat, np.uint32)[spread(first[codes], count)] if len(tool.flat) else np.zeros(0, np.uint32)
+    del edges  # an array that is looked at can't grow
+    return ids, np.append(0, np.cumsum(count))[np.searchsorted(begin, at)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
