@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumen.llm import cover_tree, embed_dedup, packing, sharding, simhash, suffix_dedup, superkmer, warc
+from vellumen.llm import cover_tree, embed_dedup, langid, packing, sharding, simhash, suffix_dedup, superkmer, warc, wfst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,14 @@ FROM d
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = wfst.decode(wfst.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.topology(16)
     return sharding.assign(table(spark, sf_dir, "documents"), tree, sharding.grown(tree))
@@ -113,6 +121,14 @@ FROM crcs JOIN a_s USING (doc_id) JOIN b_s USING (doc_id)
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.pages(table(spark, sf_dir, "pages"), langid.train(table(spark, sf_dir, "documents")))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -158,7 +174,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_warc": op5_warc,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_sharding": op7_sharding,
+        "op8_language_id": op8_language_id,
+        "language_id_of_pages": language_id_of_pages,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }

@@ -7,7 +7,6 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumen.llm.common import byte_column, deltas, mixed, sliding_min, spread, summed, text_bytes
@@ -181,21 +180,23 @@ def anchored_strings(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.n
     return windows[first], np.diff(np.append(first, len(own))), own[first], hashes[own[first]]
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """Removes every byte in a string of `length` bytes that starts at any second place too.
 
-    Returns (id, n_bytes, n_removed, n_spans, kept) for each row, kept being the remaining
-    bytes. Places in one document count as well as in others, overlaps too; strings don't
+    Returns (id, columns in `keep`, n_bytes, n_removed, n_spans, kept) for each row, kept being
+    the remaining bytes; with whole_characters no part of a character is removed, and kept is
+    a string. Places in one document count as well as in others, overlaps too; strings don't
     cross documents and are judged on the input. A null text is empty. Repeated ids, null ids
     and repeated rows are documents of their own. Other columns are not read.
     """
     spark = docs.sparkSession
     buckets = max(1, 3 * text_bytes(spark, docs, text_col) // BUCKET)
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *longs, T.StructField("kept", T.BinaryType())])
+    names = [id_col, *keep]
+    schema = T.StructType([*(docs.schema[c] for c in names), *longs, T.StructField("kept", T.StringType() if whole_characters else T.BinaryType())])
 
     def split(part: pa.RecordBatch):
-        raw, at = byte_column(part.column(1))
+        raw, at = byte_column(part.column(0))
         first, count, anchor, hashed = anchored_strings(raw, at, length)
         text, seen = raw.tobytes(), {}
         entry = np.fromiter((seen.setdefault(text[s:e], len(seen)) for s, e in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)), np.int64, len(first))
@@ -209,7 +210,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             these = order[a:b]
             chosen = [strings[i] for i in these]
             parts[int(bucket[these[0]])] = {"bytes": b"".join(chosen), "size": np.fromiter(map(len, chosen), np.int32, len(chosen)), "anchor": where[these].astype(np.int32), "times": np.minimum(times[these], 2).astype(np.int8), "entry": deltas(these)}
-        return parts, {"ids": part.column(0), "raw": text, "at": at, "runs": (deltas(first), deltas(entry))}
+        return parts, {"rows": part.columns[1:], "raw": text, "at": at, "runs": (deltas(first), deltas(entry))}
 
     def bucket(parts: list) -> list:
         seen: dict[bytes, int] = {}
@@ -252,6 +253,9 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             np.add.at(mark, begin + offset[of], 1)
             np.add.at(mark, begin + offset[of] + count[of] + length - 1, -1)
             gone = np.cumsum(mark)[:-1] > 0
+        if whole_characters and len(gone):
+            heads = np.flatnonzero((raw & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, heads), np.diff(np.append(heads, len(raw))))
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         heads = at[:-1][at[:-1] < at[1:]]
@@ -260,11 +264,10 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         text = raw[~gone].tobytes()
         stop = (at - np.append(0, np.cumsum(removed))).tolist()
         kept = pa.array([text[s:e] for s, e in zip(stop, stop[1:], strict=False)], pa.binary())
-        return pa.RecordBatch.from_arrays([state["ids"], pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), kept], names=schema.names)
+        if whole_characters:
+            kept = kept.cast(pa.string())
+        return pa.RecordBatch.from_arrays([*state["rows"], pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), kept], names=schema.names)
 
-    return through_buckets(docs, [id_col, text_col], text_col, SLICE, split, bucket, settle, schema)
+    picked = docs.select(docs[text_col].alias("_text"), *names)
+    return through_buckets(picked, picked.columns, "_text", SLICE, split, bucket, settle, schema)
 
-
-def as_text(kept):
-    """Column: kept bytes as a string; where a cut went through a character, its stray bytes are left out."""
-    return F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(kept.cast("string"))), "�", "")
