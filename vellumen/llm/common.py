@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,6 +96,15 @@ def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw, at - at[0]
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the machine, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows, cut so that a piece has about `most` bytes of the column, or one row."""
     for batch in batches:
@@ -105,6 +116,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             stop = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        release()
 
 
 class Words:
@@ -172,6 +185,12 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
+def stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches of equal neighbours."""
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(x)], strict=False))
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     """Whole numbers as differences in the narrowest type, which pack better; summed() reverses it."""
     d = np.diff(x, prepend=0)  # differences that overflow wrap round, and back again

@@ -16,6 +16,8 @@ from vellumen.llm.embed_dedup import finite
 DATA, QUERIES, LEAF, BASE = 8192, 2048, 24, 1.3
 #: Node pairs looked at together, and points that seed the first bounds.
 TOGETHER, SEEDS = 1024, 1024
+#: The largest score; what lies beyond 64 bits counts as the nearest number within.
+LIMIT = 2**63 - 1
 
 SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
@@ -77,12 +79,12 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers: exact, as Python's numbers where doubles don't suffice."""
+    """Inner products of whole numbers: exact, and within 64 bits, as Python's numbers where doubles don't suffice."""
     most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
     if most < 2**53:
         return x @ y.T
     whole = np.vectorize(int, otypes=[object])
-    return whole(x) @ whole(y).T
+    return np.clip(whole(x) @ whole(y).T, -(2**63), LIMIT)
 
 
 class DualTreeSearch:
@@ -95,7 +97,7 @@ class DualTreeSearch:
         self.worst = np.full(len(query_ids), -np.inf)
         if len(data) > k + 1:
             # The k-th best of some points, leaving one out for the query itself, is a first bound.
-            some = queries @ data[:: max(1, len(data) // SEEDS)].T
+            some = np.clip(queries @ data[:: max(1, len(data) // SEEDS)].T, -float(LIMIT), float(LIMIT))
             if some.shape[1] > k:
                 self.worst = self.lowered(np.partition(some, -k - 1, axis=1)[:, -k - 1])
 
@@ -155,8 +157,7 @@ def search_block(group: pa.Table, k: int, prepare: Callable[[np.ndarray], np.nda
     is_query, ids = group["is_query"].to_numpy(zero_copy_only=False), group["id"].to_numpy()
     x = prepare(group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(len(ids), -1)
     found = DualTreeSearch(x[is_query], ids[is_query], x[~is_query], ids[~is_query], k).run()
-    limit = 2**63 - 1
-    rows = [(int(q), i, max(-limit - 1, min(limit, -s))) for q, best in zip(ids[is_query], found, strict=True) for s, i in best]
+    rows = [(int(q), i, -s) for q, best in zip(ids[is_query], found, strict=True) for s, i in best]
     return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=SCORED.names)
 
 
@@ -170,8 +171,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     prepare turns components into whole numbers. Ties go to the smaller id. Null vectors,
     vectors that hold null or non-finite numbers, and null ids take no part; vectors of
     unequal lengths are not compared. Rows with one id count once, with the smallest of
-    their vectors, and a query never finds its own id. Scores beyond 64 bits are given as the
-    nearest number of 64 bits, ranked by their true size. Other columns are not read.
+    their vectors, and a query never finds its own id. Scores beyond 64 bits count as the
+    nearest number of 64 bits. Other columns are not read.
 
     Queries and data are dealt into blocks of bounded size; each pair of a query block and a
     data block is searched by itself with two cover trees, and the best of all blocks are

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from vellumen.llm.common import byte_column, materialize, slices
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Slots of the trigram table.
 SLOTS = 1 << 16
 UNKNOWN = "und"
@@ -75,7 +75,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     languages = tuple(sorted(found["lang"].unique()))
     weights = np.empty((SLOTS, len(languages)), np.float32)
     for i, lang in enumerate(languages):
-        n = np.full(SLOTS, 0.5)
+        n = np.full(SLOTS, 0.1)
         mine = found[found["lang"] == lang]
         n[mine["slot"].to_numpy()] += mine["n"].to_numpy()
         weights[:, i] = np.log(n / n.sum())

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from vellumen.llm.common import LOWER, SPACE, byte_column, dictionary, materialize, slices, spread
 
 #: Bytes of text that a task works on at a time, segments that a worker remembers, and texts encoded in one call.
-SLICE, REMEMBERED, CALL = 4 << 20, 400_000, 4096
+SLICE, REMEMBERED, CALL = 2 << 20, 300_000, 2048
 
 #: Kinds of bytes: white space, letters, other ASCII, and parts of longer characters.
 KIND = np.full(256, 2, np.uint8)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from vellumen.llm.common import LOWER, Words, byte_column, connected_components, materialize, slices
 
 #: Bytes of text that a task works on at a time.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def simhash(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> np.ndarray:
@@ -74,11 +74,14 @@ def links(classes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """
     cuts = [64 * i // segments for i in range(segments + 1)]
 
+    def numbered(segment: int):
+        return lambda x: x * segments + segment
+
     def keys(around: int):
         found = []
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            value = F.shiftrightunsigned("fingerprint", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-            found.append(F.transform(ball(value, b - a, around), lambda x, i=i: x * segments + i))
+            value = F.shiftrightunsigned("fingerprint", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))
+            found.append(F.transform(ball(value, b - a, around), numbered(i)))
         return F.explode(F.concat(*found)).alias("key")
 
     table = classes.select(keys(0), F.col("fingerprint").alias("there"), F.col("rep").alias("v"))

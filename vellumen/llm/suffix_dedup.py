@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellumen.llm.common import byte_column, deltas, mixed, sliding_min, spread, summed, text_bytes
+from vellumen.llm.common import byte_column, deltas, mixed, sliding_min, spread, stretches, summed, text_bytes
 from vellumen.llm.routed import through_buckets
 from vellumen.llm.superkmer import rolled
 
@@ -204,9 +204,8 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         bucket[entry] = (hashed % np.uint64(buckets)).astype(np.int64)
         where[entry] = anchor - first
         times, order, strings = np.bincount(entry, minlength=len(seen)), np.argsort(bucket, kind="stable"), list(seen)
-        cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, int)
         parts = {}
-        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        for a, b in stretches(bucket[order]):
             these = order[a:b]
             chosen = [strings[i] for i in these]
             parts[int(bucket[these[0]])] = {"bytes": b"".join(chosen), "size": np.fromiter(map(len, chosen), np.int32, len(chosen)), "anchor": where[these].astype(np.int32), "times": np.minimum(times[these], 2).astype(np.int8), "entry": deltas(these)}

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellumen.llm.common import Words, byte_column, deltas, dictionary, mixed, sliding_min, spread, summed, text_bytes
+from vellumen.llm.common import Words, byte_column, deltas, dictionary, mixed, sliding_min, spread, stretches, summed, text_bytes
 from vellumen.llm.routed import through_buckets
 
 #: Bytes of text in a batch, and of packed strings that a bucket should get.
@@ -134,9 +134,8 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         np.maximum.at(high, entry, rank[owner])
         bucket[entry] = (least % np.uint64(buckets)).astype(np.int64)
         order, strings = np.argsort(bucket, kind="stable"), list(seen)
-        cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, int)
         parts = {}
-        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        for a, b in stretches(bucket[order]):
             these = order[a:b]
             parts[int(bucket[these[0]])] = {"strings": b"\n".join([strings[i] for i in these]), "least": deltas(low[these]), "most": deltas(high[these]), "entry": deltas(these)}
         return parts, {"ids": ids, "raw": raw, "first": words.first, "runs": (deltas(first), deltas(entry))}

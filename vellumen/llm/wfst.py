@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from vellumen.llm.common import byte_column, dictionary, slices, spread
 
 #: Bytes of text that a task works on at a time; stretches and pairs of pieces that a worker remembers.
-SLICE, REMEMBERED, PAIRS = 4 << 20, 300_000, 1_000_000
+SLICE, REMEMBERED, PAIRS = 2 << 20, 250_000, 500_000
 BLANK = "▁"
 
 # Types of pieces and models in the model file's format.
