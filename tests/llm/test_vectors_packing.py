@@ -356,6 +356,13 @@ def test_language_id(spark):
     assert all(r["accepted"] for r in found if r["doc_id"] in held)
 
 
+def test_languages_of_no_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.documents(none).count() == 0
+    bare = spark.createDataFrame([(1, "text", None, None, 0)], none.schema)
+    assert [r["language"] for r in langid.documents(bare).collect()] == ["und"]
+
+
 def test_language_scores_by_hand():
     raw, at = byte_column(pa.array(["The  cat!", None, "É"]))
     slots, count = langid.trigrams(raw, at)
@@ -382,7 +389,7 @@ def test_pipeline(spark, tmp_path):
     r = random.Random(8)
     rows = [(i, t + " " + " ".join("".join(r.choice("aeiotn") for _ in range(7)) for _ in range(30)), lang, s, 0) for i, t, lang, s, _ in labelled(60)]
     passage = " ".join("passage" + str(k) for k in range(60))
-    rows += [(100 + k, rows[0][1], "en", "host0", 0) for k in range(3)] + [(200 + k, rows[k][1] + passage, "en", "host0", 0) for k in range(2)] + [(300, "1234", None, None, 0), (301, "", None, "x", 0), (302, None, None, "x", 0)]
+    rows += [(100 + k, rows[0][1], "en", "host0", 0) for k in range(3)] + [rows[1], rows[1], (None, rows[2][1], "en", "host0", 0)] + [(200 + k, rows[k][1] + passage, "en", "host0", 0) for k in range(2)] + [(300, "1234", None, None, 0), (301, "", None, "x", 0), (302, None, None, "x", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     seen = {}
@@ -394,6 +401,7 @@ def test_pipeline(spark, tmp_path):
         seen[name] = {x["doc_id"]: x["text"] for x in docs.collect()}
     assert not {300, 301, 302} & set(seen["language_id"]) and set(range(60)) <= set(seen["language_id"])
     assert set(seen["simhash_near_dedup"]) & {0, 100, 101, 102} == {0}
+    assert spark.read.parquet(f"{tmp_path}/simhash_near_dedup").where("doc_id = 1").count() == 1 and None not in seen["simhash_near_dedup"]
     assert "passage30" not in seen["suffix_array_dedup"].get(200, "")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in packed} == set(seen["suffix_array_dedup"])

@@ -51,13 +51,20 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> Model:
-    """Trigram probabilities from `per_language` rows of each language: those whose text hashes least.
+    """Trigram probabilities from about `per_language` rows of each language, and no more: by the hash of the text.
 
     The sample is bounded by that parameter; all of a chosen text counts. Rows with a null text
     or language don't. Counting is distributed; the driver gets at most SLOTS numbers a language.
     """
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(text_col), text_col)
-    sample = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not sizes:
+        return Model((), np.empty((SLOTS, 0), np.float32))
+    # Hashes that twice as many rows as needed lie below; so few rows meet in the window's tasks.
+    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * per_language + 50) / n)))))
+    hashed = F.xxhash64("text")
+    few = rows.where(F.abs(hashed.cast("double")) <= F.element_at(share, F.col("lang")) * 2.0**63)
+    sample = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "text"))).where(F.col("_n") <= per_language)
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +78,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], names=counted.names)
 
-    found = sample.select(text_col, lang_col).mapInArrow(count, counted).groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.select("text", "lang").mapInArrow(count, counted).groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     weights = np.empty((SLOTS, len(languages)), np.float32)
     for i, lang in enumerate(languages):
@@ -142,6 +149,8 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
 
     scored = materialize(picked.mapInArrow(run, schema))
     langs = range(len(model.languages))
+    if not model.languages:
+        return scored.select(F.col("_id").alias(id_col), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.col("_n").alias("n_trigrams"), F.lit(False).alias("accepted"), *also)
     # Posteriors of the text alone, in millionths: whole numbers sum alike in any order.
     raw = [F.exp(F.col("_ll")[i]) for i in langs]
     share = lambda i: F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.round(1e6 * raw[i] / sum(raw[1:], raw[0]))).cast("long").alias(f"p{i}")

@@ -36,21 +36,22 @@ def simhash(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> np.ndar
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fingerprint as a long) for each row.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fingerprint as a long, columns in `keep`) for each row.
 
     A-Z is put in lower case; words are runs of anything but ASCII white space; a shingle's
     hash is XXH64 of its words joined by one space. Repeats count. A text with fewer words is
     one shingle; a null, empty or blank text has fingerprint zero.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType()), *(docs.schema[c] for c in keep)])
+    picked = docs.select(F.col(text_col).alias("_text"), id_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, SLICE):
-            found = simhash(*byte_column(part.column(1)), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=[id_col, "fingerprint"])
+        for part in slices(batches, "_text", SLICE):
+            found = simhash(*byte_column(part.column(0)), shingle, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found), *part.columns[2:]], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def ball(value, width: int, radius: int):
@@ -91,7 +92,7 @@ def links(classes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, segments: int = 3) -> DataFrame:
-    """Adds component_id: the smallest id that links of at most `radius` differing bits reach.
+    """(id, fingerprint, component_id, other columns); component_id: the smallest id that links of at most `radius` differing bits reach.
 
     Equal fingerprints are one class, so copies never meet in pairs. Rows with a null id get
     a component but don't name one; repeated rows stay. segments=2 suits far more rows: fewer
@@ -101,4 +102,5 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = 4,
     classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")))
     found = connected_components(links(classes.where("rep IS NOT NULL"), radius, segments))
     roots = classes.join(found, classes["rep"] == found["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(roots, "fingerprint").select(id_col, "fingerprint", "component_id")
+    others = [c for c in prints.columns if c not in (id_col, "fingerprint")]
+    return prints.join(roots, "fingerprint").select(id_col, "fingerprint", "component_id", *others)
