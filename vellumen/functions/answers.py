@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,23 +80,74 @@ def loose_json(s: pd.Series) -> pd.Series:
     return s.map(_loosely, na_action="ignore")
 
 
-def message_content(response: Column) -> Column:
-    """Struct (content, error) of a chat response given as JSON text."""
-    v = F.try_parse_json(response)
-    message, content = at(v, "$.choices[0].message"), at(v, "$.choices[0].message.content")
-    parts = F.filter(F.coalesce(at(content, "$", "array<variant>"), F.array().cast("array<variant>")), lambda p: is_kind(p, "OBJECT") & is_kind(at(p, "$.text"), "STRING"))
-    texts = F.transform(parts, lambda p: at(p, "$.text", "string"))
-    error = (
-        F.when(~is_kind(v, "OBJECT"), "response_not_json_object")
-        .when(~is_kind(at(v, "$.choices"), "ARRAY") | at(v, "$.choices[0]").isNull(), "missing_choices")
-        .when(~is_kind(at(v, "$.choices[0]"), "OBJECT"), "choice_not_object")
-        .when(~is_kind(message, "OBJECT"), "missing_message")
-        .when(is_kind(content, "STRING"), F.lit(None))
-        .when(is_kind(content, "ARRAY") & (F.size(texts) > 0), F.lit(None))
-        .otherwise("missing_message_content")
-    )
-    text = F.when(is_kind(content, "STRING"), at(content, "$", "string")).otherwise(F.array_join(texts, "\n"))
-    return F.struct(F.when(error.isNull(), text).otherwise("").alias("content"), error.alias("error"))
+# What is read from an answer: column of its kind, column of its value, and the value's type.
+READ = (("position", "title_block_position", "STRING"), ("selected", "selected_drawing_number", "STRING"), ("confidence", "confidence", "NUMBER"), ("evidence", "evidence", "ARRAY"), ("review", "needs_human_review", "BOOLEAN"), ("reasons", "review_reasons", "ARRAY"), ("candidates", "candidates", "ARRAY"))
+ARROW = {"STRING": pa.string(), "NUMBER": pa.float64(), "BOOLEAN": pa.bool_(), "ARRAY": pa.list_(pa.string())}
+SPARK = {"STRING": T.StringType(), "NUMBER": T.DoubleType(), "BOOLEAN": T.BooleanType(), "ARRAY": T.ArrayType(T.StringType())}
+ANSWER = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("content", "content_error", "json")]
+    + [T.StructField(n, T.BooleanType()) for n in ("object", "empty")]
+    + [f for n, _, k in READ for f in (T.StructField(f"{n}_kind", T.StringType()), T.StructField(n, SPARK[k]))]
+)
+
+
+def content_of(response: str | None) -> tuple[str, str | None]:
+    """(text of a chat response's first message, None), or an empty text and what is wrong."""
+    try:
+        body = json.loads(response) if response is not None else None
+    except ValueError:
+        body = None
+    for step, what, code in (("choices", list, "missing_choices"), (0, dict, "choice_not_object"), ("message", dict, "missing_message")):
+        if step == "choices" and not isinstance(body, dict):
+            return "", "response_not_json_object"
+        body = body.get(step) if isinstance(body, dict) else body[0]
+        if not isinstance(body, what) or (what is list and not body):
+            return "", code
+    content = body.get("content")
+    if isinstance(content, list):
+        texts = [p["text"] for p in content if isinstance(p, dict) and isinstance(p.get("text"), str)]
+        content = "\n".join(texts) if texts else None
+    return (content, None) if isinstance(content, str) else ("", "missing_message_content")
+
+
+def _kind(value) -> str:
+    if isinstance(value, bool):
+        return "BOOLEAN"
+    return "STRING" if isinstance(value, str) else "NUMBER" if isinstance(value, (int, float)) else "ARRAY" if isinstance(value, list) else "OBJECT" if isinstance(value, dict) else "VOID"
+
+
+def flattened(answer) -> dict:
+    """An answer's fields, from its flat or its nested shape; none of what isn't an object."""
+    if not isinstance(answer, dict):
+        return {}
+    inner = answer.get("page_orientation")
+    if not isinstance(inner, dict):
+        return answer
+    gate = answer.get("quality_gate")
+    gate = gate if isinstance(gate, dict) else {}
+    return {**{k: inner.get(k) for k in ("title_block_position", "confidence", "evidence")}, **{k: gate.get(k) for k in ("needs_human_review", "review_reasons")}}
+
+
+@F.arrow_udf(ANSWER)
+def read_answer(response: pa.Array) -> pa.Array:
+    """The content of a chat response and the fields of the answer in it, each with its kind, null where it isn't there."""
+    columns: dict[str, list] = {n: [] for n in ANSWER.names}
+    for text in response.to_pylist():
+        content, error = content_of(text)
+        parsed = _loosely(content) if error is None and content.strip() else None
+        value = json.loads(parsed) if parsed is not None else None
+        fields = flattened(value)
+        row = {"content": content, "content_error": error, "json": parsed, "object": isinstance(value, dict), "empty": not fields}
+        for name, key, what in READ:
+            there = key in fields
+            item, kind_ = fields.get(key), _kind(fields.get(key)) if there else None
+            row[f"{name}_kind"] = kind_
+            row[name] = ([x for x in item if isinstance(x, str) and x] if what == "ARRAY" else float(item) if what == "NUMBER" else item) if kind_ == what else None
+        for name, cell in row.items():
+            columns[name].append(cell)
+    kinds = {n: ARROW[k] for n, _, k in READ}
+    arrays = [pa.array(v, kinds.get(n, pa.bool_() if n in ("object", "empty") else pa.string())) for n, v in columns.items()]
+    return pa.StructArray.from_arrays(arrays, names=list(columns))
 
 
 def position(c: Column) -> Column:
@@ -116,100 +168,115 @@ def share(v: Column) -> Column:
     return is_kind(v, "NUMBER") & F.coalesce(at(v, "$", "double").between(0, 1), F.lit(False))
 
 
-def field_errors(obj: Column, spec: list[tuple[str, str, str]]) -> Column:
-    """Codes for fields of an object that aren't of their kind: spec has (field, kind, code)."""
+def field_errors(answer: Column, spec: list[tuple[str, str, str]]) -> Column:
+    """Codes for fields of a read answer that aren't of their kind: spec has (field, kind, code)."""
     checks = []
     for name, what, code in spec:
-        v = at(obj, f"$.{name}")
-        bad = ~share(v) if what == "SHARE" else ~is_kind(v, what)
-        checks.append((bad, code))
+        good = (answer[f"{name}_kind"] == "NUMBER") & answer[name].between(0, 1) if what == "SHARE" else answer[f"{name}_kind"] == what
+        checks.append((~F.coalesce(good, F.lit(False)), code))
     return labels(*checks)
 
 
-ORIENTATION = [("confidence", "SHARE", "invalid_confidence"), ("evidence", "ARRAY", "evidence_not_list"), ("needs_human_review", "BOOLEAN", "needs_human_review_not_bool"), ("review_reasons", "ARRAY", "review_reasons_not_list")]
+ORIENTATION = [("confidence", "SHARE", "invalid_confidence"), ("evidence", "ARRAY", "evidence_not_list"), ("review", "BOOLEAN", "needs_human_review_not_bool"), ("reasons", "ARRAY", "review_reasons_not_list")]
 NUMBER = [
-    ("selected_drawing_number", "STRING", "selected_drawing_number_not_string"),
+    ("selected", "STRING", "selected_drawing_number_not_string"),
     ("candidates", "ARRAY", "candidates_not_list"),
     ("confidence", "SHARE", "invalid_drawing_number_confidence"),
     ("evidence", "ARRAY", "drawing_number_evidence_not_list"),
-    ("needs_human_review", "BOOLEAN", "drawing_number_needs_human_review_not_bool"),
-    ("review_reasons", "ARRAY", "drawing_number_review_reasons_not_list"),
+    ("review", "BOOLEAN", "drawing_number_needs_human_review_not_bool"),
+    ("reasons", "ARRAY", "drawing_number_review_reasons_not_list"),
 ]
 
 
-def orientation_errors(obj: Column) -> Column:
-    """Codes for what is wrong with a flat orientation answer; an empty or missing object is one error."""
-    pos = position(F.when(is_kind(at(obj, "$.title_block_position"), "STRING"), at(obj, "$.title_block_position", "string")))
-    known = F.coalesce(pos.isin(*ROTATIONS), F.lit(False))
-    empty = ~is_kind(obj, "OBJECT") | (F.to_json(obj) == "{}")
-    return F.when(empty, F.array(F.lit("decision_not_object"))).otherwise(F.concat(labels((~known, "invalid_title_block_position")), field_errors(obj, ORIENTATION)))
+def orientation_errors(answer: Column) -> Column:
+    """Codes for what is wrong with a read orientation answer; an empty or missing object is one error."""
+    known = F.coalesce(position(answer["position"]).isin(*ROTATIONS), F.lit(False))
+    return F.when(answer["empty"], F.array(F.lit("decision_not_object"))).otherwise(F.concat(labels((~known, "invalid_title_block_position")), field_errors(answer, ORIENTATION)))
 
 
-def number_errors(obj: Column) -> Column:
-    return F.when(~is_kind(obj, "OBJECT"), F.array(F.lit("drawing_number_response_not_object"))).otherwise(field_errors(obj, NUMBER))
+def number_errors(answer: Column) -> Column:
+    return F.when(~answer["object"], F.array(F.lit("drawing_number_response_not_object"))).otherwise(field_errors(answer, NUMBER))
 
 
-# Fields that a teacher's answer must hold, by judgment.
-JUDGMENT_FIELDS = ("candidate_index", "is_true_title_block", "touches_drawing_frame", "field_cluster_strength", "ordinary_table_false_positive_risk", "reject_reasons_if_not_title_block", "layout_evidence")
+# What a teacher's answer and each of its judgments must hold, and the values it may give.
+TEACHER_FIELDS = ("task_id", "selected_candidate_index", "title_block_position", "rotation_degrees", "candidate_judgments", "needs_human_review", "confidence")
+JUDGMENT_FIELDS = ("candidate_index", "field_cluster_strength", "is_true_title_block", "layout_evidence", "ordinary_table_false_positive_risk", "reject_reasons_if_not_title_block", "touches_drawing_frame")
+TEACHER_POSITIONS = ("bottom", "left", "top", "right", "unknown")
+TEACHER_ROTATIONS = (0, 90, 180, 270)
 
 
-def teacher_errors(obj: Column) -> Column:
-    """Codes for a teacher's answer. Here true and false pass as a confidence, and each judgment needs its fields."""
-    confidence = at(obj, "$.confidence")
-    number = F.coalesce(at(confidence, "$", "double"), F.lit(-1.0))
+def missing_fields(obj: Column, names: tuple[str, ...], code: str) -> Column:
+    """Codes for fields that an object doesn't have; a field that is null is there."""
+    return labels(*((at(obj, f"$.{n}").isNull(), f"{code}{n}") for n in names))
+
+
+def blank_field(v: Column) -> Column:
+    return v.isNull() | is_kind(v, "VOID")
+
+
+def teacher_errors(obj: Column, task: Column) -> Column:
+    """Codes for a teacher's answer to a task. Here true and false pass as a confidence, and each judgment needs its fields."""
+    confidence, rotation_, pos, own = (at(obj, f"$.{n}") for n in ("confidence", "rotation_degrees", "title_block_position", "task_id"))
     judgments = F.coalesce(at(obj, "$.candidate_judgments", "array<variant>"), F.array().cast("array<variant>"))
-    missing = F.flatten(F.transform(judgments, lambda j: F.filter(F.array(*(F.when(at(j, f"$.{f}").isNull(), F.lit(f"missing_judgment_field:{f}")) for f in JUDGMENT_FIELDS)), lambda x: x.isNotNull())))
-    return F.when(~is_kind(obj, "OBJECT"), F.array(F.lit("response_not_object"))).otherwise(
+    numbered = F.zip_with(judgments, F.sequence(F.lit(0), F.greatest(F.size(judgments) - 1, F.lit(0))), lambda j, i: F.struct(j.alias("j"), i.alias("i")))
+
+    def judged(x: Column) -> Column:
+        head = F.concat(F.lit("candidate_judgment_"), x["i"].cast("string"), F.lit(":"))
+        codes = F.when(~is_kind(x["j"], "OBJECT"), F.array(F.lit("not_object"))).otherwise(missing_fields(x["j"], JUDGMENT_FIELDS, "missing_required:"))
+        return F.transform(codes, lambda c: F.concat(head, c))
+
+    none = F.size(judgments) == 0
+    number = F.coalesce(at(confidence, "$", "double"), F.lit(-1.0))
+    empty = ~is_kind(obj, "OBJECT") | (F.to_json(obj) == "{}")
+    return F.when(empty, F.array(F.lit("missing_or_empty_parsed_response"))).otherwise(
         F.concat(
+            missing_fields(obj, TEACHER_FIELDS, "missing_required:"),
             labels(
+                (~blank_field(own) & ~F.coalesce((at(own, "$", "string") == task) | (at(own, "$", "string") == ""), F.lit(False)), "task_id_mismatch"),
+                (~blank_field(pos) & ~F.coalesce(at(pos, "$", "string").isin(*TEACHER_POSITIONS), F.lit(False)), "invalid_title_block_position"),
+                (~(is_kind(rotation_, "NUMBER") & F.coalesce(at(rotation_, "$", "double").isin(*TEACHER_ROTATIONS), F.lit(False))), "invalid_rotation_degrees"),
                 (~(is_kind(confidence, "BOOLEAN") | (is_kind(confidence, "NUMBER") & number.between(0, 1))), "invalid_confidence"),
-                (~is_kind(at(obj, "$.candidate_judgments"), "ARRAY"), "candidate_judgments_not_list"),
+                (none, "missing_candidate_judgments"),
             ),
-            missing,
+            F.when(none, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(numbered, judged))),
         )
     )
 
 
-def nested_errors(obj: Column) -> Column:
-    """Codes for the combined answer: its three sections and their fields."""
-    sections = {"page_orientation": ("title_block_position", "confidence", "evidence"), "drawing_number": ("candidates", "selected", "confidence", "evidence"), "quality_gate": ("needs_human_review", "review_reasons")}
-    checks = []
-    for section, names in sections.items():
-        there = is_kind(at(obj, f"$.{section}"), "OBJECT")
-        checks.append((~there, f"missing_required:{section}"))
-        checks += [(there & at(obj, f"$.{section}.{n}").isNull(), f"missing_required:{section}.{n}") for n in names]
-    return F.when(~is_kind(obj, "OBJECT"), F.array(F.lit("response_not_object"))).otherwise(labels(*checks))
-
-
-def flat_orientation(v: Column) -> Column:
-    """An orientation answer as JSON text in its flat shape, from that or the nested one."""
-    nested = is_kind(at(v, "$.page_orientation"), "OBJECT")
-    take = lambda p: at(v, p)
-    flat = F.to_json(
-        F.struct(
-            take("$.page_orientation.title_block_position").alias("title_block_position"),
-            take("$.page_orientation.confidence").alias("confidence"),
-            take("$.page_orientation.evidence").alias("evidence"),
-            take("$.quality_gate.needs_human_review").alias("needs_human_review"),
-            take("$.quality_gate.review_reasons").alias("review_reasons"),
-        )
-    )
-    return F.when(nested, flat).when(is_kind(v, "OBJECT"), F.to_json(v))
+# The sections of the combined answer, their fields with their kinds, and the codes.
+SECTIONS = {
+    "page_orientation": (("title_block_position", "POSITION", "invalid_title_block_position"), ("confidence", "SHARE", "invalid_confidence"), ("evidence", "ARRAY", "evidence_not_list")),
+    "drawing_number": (("candidates", "STRINGS", "invalid_candidates"), ("selected", "STRING", "selected_not_string"), ("confidence", "SHARE", "invalid_confidence"), ("evidence", "ARRAY", "evidence_not_list")),
+    "quality_gate": (("needs_human_review", "BOOLEAN", "needs_human_review_not_bool"), ("review_reasons", "STRINGS", "invalid_review_reasons")),
+}
 
 
-def strings(v: Column, path: str) -> Column:
-    """The strings in a list, without empty ones."""
-    items = F.coalesce(at(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(F.transform(F.filter(items, lambda x: is_kind(x, "STRING")), lambda x: at(x, "$", "string")), lambda x: x != "")
+def nested_errors(obj: Column, positions: tuple[str, ...] = tuple(ROTATIONS)) -> Column:
+    """Codes for the combined answer: sections, their fields and their kinds."""
+    def good(v: Column, what: str) -> Column:
+        if what == "SHARE":
+            return share(v)
+        if what == "POSITION":
+            return is_kind(v, "STRING") & F.coalesce(at(v, "$", "string").isin(*positions), F.lit(False))
+        if what == "STRINGS":
+            items = F.coalesce(at(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+            return is_kind(v, "ARRAY") & ~F.exists(items, lambda x: ~is_kind(x, "STRING"))
+        return is_kind(v, what)
+
+    parts = [missing_fields(obj, tuple(SECTIONS), "missing_required:")]
+    for section, spec in SECTIONS.items():
+        part = at(obj, f"$.{section}")
+        inside = F.concat(missing_fields(part, tuple(n for n, _, _ in spec), f"{section}:missing_required:"), labels(*((~good(at(part, f"$.{n}"), what), f"{section}:{code}") for n, what, code in spec)))
+        parts.append(F.when(is_kind(part, "OBJECT"), inside).otherwise(F.array(F.lit(f"{section}:not_object"))))
+    return F.when(~is_kind(obj, "OBJECT"), F.array(F.lit("decision_not_object"))).otherwise(F.concat(*parts))
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
-    """Adds _content_error, _parse_error and _json to raw responses. Python parses JSON once a row."""
-    told = raw.withColumn("_m", message_content(F.col("response_json")))
-    text = F.when(F.col("_m.error").isNull(), F.col("_m.content"))
-    told = told.withColumn("_json", loose_json(text)).withColumn("_content_error", F.col("_m.error"))
-    error = F.when(F.col("_content_error").isNull() & (stripped(F.col("_m.content")) == ""), "empty_message_content").when(F.col("_content_error").isNull() & F.col("_json").isNull(), "content_json_parse_failed")
-    return told.withColumn("_parse_error", error).withColumn("_v", F.try_parse_json("_json"))
+    """Adds _a, the read answer, and _parse_error. A response is read once."""
+    a = F.col("_a")
+    fine = a["content_error"].isNull()
+    error = F.when(fine & (stripped(a["content"]) == ""), "empty_message_content").when(fine & a["json"].isNull(), "content_json_parse_failed")
+    return raw.withColumn("_a", read_answer(F.col("response_json"))).withColumn("_parse_error", error)
 
 
 def _failure(prefix: str) -> Column:
@@ -230,17 +297,14 @@ BASE = ("task_id", "source_pdf", "page_number", "model")
 
 def orientation_decisions(raw: DataFrame) -> DataFrame:
     """A decision for each raw response, with sorted reasons for review; any reason asks for one."""
-    rows = _parsed(raw).withColumn("_flat", F.try_parse_json(flat_orientation(F.col("_v"))))
-    flat = F.col("_flat")
-    pos = position(F.when(is_kind(at(flat, "$.title_block_position"), "STRING"), at(flat, "$.title_block_position", "string")))
-    rows = rows.withColumn("title_block_position", pos).withColumn("_r", rotation(F.col("title_block_position")))
-    rows = rows.withColumn("_schema", F.when(F.col("_json").isNotNull(), orientation_errors(flat)).otherwise(F.array().cast("array<string>")))
-    asked = is_kind(at(flat, "$.needs_human_review"), "BOOLEAN")
-    review = F.when(asked, at(flat, "$.needs_human_review", "boolean"))
-    reasons = sorted_unique(_some(_failure("api_error:"), F.col("_content_error"), F.col("_parse_error"), F.col("_r.error"), F.when(review, F.lit("model_marked_needs_human_review"))), F.col("_schema"), _prefixed("model:", strings(flat, "$.review_reasons")))
-    rows = rows.withColumn("review_reasons", reasons)
-    ok = F.col("_json").isNotNull()
-    return rows.select(
+    a, none = F.col("_a"), F.array().cast("array<string>")
+    rows = _parsed(raw).withColumn("title_block_position", position(a["position"]))
+    turn = rotation(F.col("title_block_position"))
+    schema = F.when(a["json"].isNotNull(), orientation_errors(a)).otherwise(none)
+    rows = rows.select("*", turn.alias("_r"), schema.alias("_schema"))
+    reasons = sorted_unique(_some(_failure("api_error:"), a["content_error"], F.col("_parse_error"), F.col("_r.error"), F.when(a["review"], F.lit("model_marked_needs_human_review"))), F.col("_schema"), _prefixed("model:", F.coalesce(a["reasons"], none)))
+    ok = a["json"].isNotNull()
+    return rows.withColumn("review_reasons", reasons).select(
         F.lit(VERSION).alias("record_version"),
         *BASE,
         F.coalesce(F.col("ok"), F.lit(False)).alias("api_ok"),
@@ -251,14 +315,14 @@ def orientation_decisions(raw: DataFrame) -> DataFrame:
         "title_block_position",
         F.col("_r.current").alias("current_clockwise_degrees"),
         F.col("_r.correction").alias("correction_clockwise_degrees"),
-        at(flat, "$.confidence", "double").alias("confidence"),
-        review.alias("model_needs_human_review"),
+        a["confidence"].alias("confidence"),
+        a["review"].alias("model_needs_human_review"),
         (F.size("review_reasons") > 0).alias("needs_review"),
         "review_reasons",
-        strings(flat, "$.evidence").alias("evidence"),
+        F.coalesce(a["evidence"], none).alias("evidence"),
         F.coalesce("error_type", F.lit("")).alias("error_type"),
         F.coalesce("error_message", F.lit("")).alias("error_message"),
-        F.when(is_kind(F.col("_v"), "OBJECT"), F.col("_json")).otherwise("{}").alias("parsed_response"),
+        F.when(a["object"], a["json"]).otherwise("{}").alias("parsed_response"),
     )
 
 
@@ -270,24 +334,22 @@ def number_decisions(raw: DataFrame, *, lenient: bool = False, fallback_pattern:
     """
     from vellumen.functions.text import fallback_candidates
 
-    rows = _parsed(raw)
-    v = F.col("_v")
-    rows = rows.withColumn("_schema", F.when(F.col("_json").isNotNull(), number_errors(v)).otherwise(F.array().cast("array<string>")))
+    a, none = F.col("_a"), F.array().cast("array<string>")
+    found = number_errors(a)
     if lenient:
-        rows = rows.withColumn("_schema", F.when(F.size("_schema") > 0, F.array(F.lit("schema_error"))).otherwise(F.array().cast("array<string>")))
-    picked = F.when(is_kind(at(v, "$.selected_drawing_number"), "STRING"), at(v, "$.selected_drawing_number", "string"))
-    rows = rows.withColumn("selected_drawing_number", number_plain(picked))
-    review = F.when(is_kind(at(v, "$.needs_human_review"), "BOOLEAN"), at(v, "$.needs_human_review", "boolean"))
+        found = F.when(F.size(found) > 0, F.array(F.lit("schema_error"))).otherwise(none)
+    schema = F.when(a["json"].isNotNull(), found).otherwise(none)
+    rows = _parsed(raw).select("*", schema.alias("_schema"), number_plain(a["selected"]).alias("selected_drawing_number"))
     reasons = sorted_unique(
-        _some(_failure("drawing_number_api_error:"), F.col("_content_error"), F.col("_parse_error"), F.when(review, F.lit("drawing_number_model_marked_needs_human_review"))),
+        _some(_failure("drawing_number_api_error:"), a["content_error"], F.col("_parse_error"), F.when(a["review"], F.lit("drawing_number_model_marked_needs_human_review"))),
         F.col("_schema"),
         filename_blockers(F.col("selected_drawing_number")),
-        _prefixed("drawing_number_model:", strings(v, "$.review_reasons")),
+        _prefixed("drawing_number_model:", F.coalesce(a["reasons"], none)),
     )
-    candidates = F.filter(F.transform(strings(v, "$.candidates"), number_plain), lambda x: x != "")
+    candidates = F.filter(F.transform(F.coalesce(a["candidates"], none), number_plain), lambda x: x != "")
     if fallback_pattern is not None:
-        candidates = F.when(F.col("_json").isNull(), fallback_candidates(F.col("_m.content"), fallback_pattern)).otherwise(candidates)
-    ok = F.col("_json").isNotNull()
+        candidates = F.when(a["json"].isNull(), fallback_candidates(a["content"], fallback_pattern)).otherwise(candidates)
+    ok = a["json"].isNotNull()
     return rows.withColumn("review_reasons", reasons).select(
         F.lit(VERSION).alias("record_version"),
         *BASE,
@@ -299,14 +361,14 @@ def number_decisions(raw: DataFrame, *, lenient: bool = False, fallback_pattern:
         "selected_drawing_number",
         F.coalesce(filename_stem(F.col("selected_drawing_number")), F.lit("")).alias("final_filename_stem"),
         candidates.alias("candidates"),
-        at(v, "$.confidence", "double").alias("confidence"),
-        review.alias("model_needs_human_review"),
+        a["confidence"].alias("confidence"),
+        a["review"].alias("model_needs_human_review"),
         (F.size("review_reasons") > 0).alias("needs_review"),
         "review_reasons",
-        strings(v, "$.evidence").alias("evidence"),
+        F.coalesce(a["evidence"], none).alias("evidence"),
         F.coalesce("error_type", F.lit("")).alias("error_type"),
         F.coalesce("error_message", F.lit("")).alias("error_message"),
-        F.when(is_kind(v, "OBJECT"), F.col("_json")).otherwise("{}").alias("parsed_response"),
+        F.when(a["object"], a["json"]).otherwise("{}").alias("parsed_response"),
     )
 
 

@@ -137,29 +137,45 @@ def fraction_box(width: Column, height: Column, x0: float, y0: float, x1: float,
 
 
 def tightened(box: Column, top: Column, left: Column, least_share: float = 0.35, least_width: int = 120, least_height: int = 80) -> Column:
-    """A box without shares of its top and left side; the old box if what is left would be too small."""
-    w, h = box["xmax"] - box["xmin"], box["ymax"] - box["ymin"]
-    x, y = (box["xmin"] + w * left).cast("int"), (box["ymin"] + h * top).cast("int")
-    nw, nh = box["xmax"] - x, box["ymax"] - y
-    small = (nw < F.greatest(w * least_share, F.lit(least_width))) | (nh < F.greatest(h * least_share, F.lit(least_height)))
-    return F.when(small, box).otherwise(_box(x, y, box["xmax"], box["ymax"]))
-
-
-def edge_windows(width: Column, height: Column, depth: float = 0.4, per_side: int = 5) -> Column:
-    """Windows along each side of a page: array of structs (side, box)."""
+    """Struct (box, reasons): a box of pixels without shares of its top and left side; if that leaves too little, the old box and why."""
+    whole = lambda c: F.bround(c, 0).cast("int")
+    w, h = F.greatest(box["xmax"] - box["xmin"], F.lit(0)), F.greatest(box["ymax"] - box["ymin"], F.lit(0))
+    x, y = box["xmin"].cast("int") + whole(w * left), box["ymin"].cast("int") + whole(h * top)
+    narrow = F.greatest(box["xmax"] - x, F.lit(0)) < F.greatest(F.lit(least_width), whole(w * least_share))
+    low = F.greatest(box["ymax"] - y, F.lit(0)) < F.greatest(F.lit(least_height), whole(h * least_share))
+    ints = _box(*(box[k].cast("int") for k in ("xmin", "ymin", "xmax", "ymax")))
+    kept = F.when(narrow | low, ints).otherwise(_box(x, y, box["xmax"].cast("int"), box["ymax"].cast("int")))
+    reasons = F.filter(F.array(F.when(narrow, F.lit("tightening_rejected_width_too_small")), F.when(low, F.lit("tightening_rejected_height_too_small"))), lambda r: r.isNotNull())
+    return F.struct(kept.alias("box"), reasons.alias("reasons"))
+
+
+# Where windows along a side begin and how long they are, and how deep they reach.
+UPRIGHT = ((0.00, 0.45), (0.00, 0.60), (0.10, 0.55), (0.25, 0.60), (0.40, 0.60))
+LEVEL = ((0.00, 0.55), (0.15, 0.70), (0.35, 0.65), (0.00, 1.00), (0.45, 0.55))
+DEPTH = 0.40
+
+
+def edge_windows(width: Column, height: Column) -> Column:
+    """Twenty windows along the sides of a page: array of structs (side, box)."""
+    part = lambda size, share: F.floor(size * share).cast("int")
     found = []
     for side in ("left", "right", "top", "bottom"):
-        for i in range(per_side):
-            a, b = i / (per_side + 1), (i + 2) / (per_side + 1)
-            along = {"left": (0, a, depth, b), "right": (1 - depth, a, 1, b), "top": (a, 0, b, depth), "bottom": (a, 1 - depth, b, 1)}[side]
-            found.append(F.struct(F.lit(side).alias("side"), fraction_box(width, height, *along).alias("box")))
+        for begin, length in UPRIGHT if side in ("left", "right") else LEVEL:
+            along = height if side in ("left", "right") else width
+            a, b = part(along, begin), F.least(along.cast("int"), part(along, begin + length))
+            across = width if side in ("left", "right") else height
+            c, d = (F.lit(0), part(across, DEPTH)) if side in ("left", "top") else (part(across, 1 - DEPTH), across.cast("int"))
+            box = _box(c, a, d, b) if side in ("left", "right") else _box(a, c, b, d)
+            found.append(F.struct(F.lit(side).alias("side"), box.alias("box")))
     return F.array(*found)
 
 
-def side_bands(width: Column, height: Column, depth: float = 0.4) -> Column:
+def side_bands(width: Column, height: Column) -> Column:
     """The four bands of a page."""
-    parts = {"left": (0, 0, depth, 1), "right": (1 - depth, 0, 1, 1), "top": (0, 0, 1, depth), "bottom": (0, 1 - depth, 1, 1)}
-    return F.array(*(F.struct(F.lit(s).alias("side"), fraction_box(width, height, *p).alias("box")) for s, p in parts.items()))
+    w, h = width.cast("int"), height.cast("int")
+    x, y, none = F.floor(width * DEPTH).cast("int"), F.floor(height * DEPTH).cast("int"), F.lit(0)
+    parts = {"top": (none, none, w, y), "bottom": (none, h - y, w, h), "left": (none, none, x, h), "right": (w - x, none, w, h)}
+    return F.array(*(F.struct(F.lit(s).alias("side"), _box(*p).alias("box")) for s, p in parts.items()))
 
 
 def bottom_crop(width: Column, height: Column, lying: float = 0.30, standing: float = 0.35) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -165,9 +166,9 @@ def truth_text(c: Column) -> Column:
 
 
 def percent_after(c: Column, label: str, low: int = 0, high: int = 80) -> Column:
-    """The share that a percentage after a label tells, between bounds; null without one."""
-    n = F.regexp_extract(c, f"{label}[^0-9%]*([0-9]{{1,3}})\\s*%", 1)
-    return F.when(n != "", F.least(F.greatest(n.try_cast("int"), F.lit(low)), F.lit(high)) / 100)
+    """The share that a percentage after a label tells, between bounds; 0 without one."""
+    n = F.regexp_extract(c, re.escape(label) + r"约?(\d{1,3})%", 1).try_cast("double")
+    return F.coalesce(F.least(F.greatest(n, F.lit(float(low))), F.lit(float(high))) / 100, F.lit(0.0))
 
 
 def labelled(codes: Column, names: Mapping[str, str], sep: str = ";") -> Column:
@@ -216,16 +217,102 @@ def request_row(kind: Column, model: Column, task: Column, prompt: Column, image
 VERDICTS: dict[str, dict[str, tuple[str, ...]]] = {
     "number": {"correct": ("正确",), "incorrect": ("错误", "不正确", "有误"), "missing": ("未识别", "空白", "空", "无"), "uncertain": ("不确定", "看不清", "无法确认")},
     "roi": {"correct": ("正确",), "too_large": ("范围太大",), "too_small": ("范围太小",), "wrong_position": ("位置错误",), "unclear": ("看不清",)},
+    "error_first": {"correct": ("正确", "对", "是", "ok", "yes", "true", "1"), "wrong": ("错误", "错", "否", "no", "false", "0")},
+    "workbook": {"正确": ("正确", "对", "是", "ok", "OK", "right", "Right"), "错误": ("错误", "错", "否", "不正确", "wrong", "Wrong"), "不确定": ("不确定", "无法判断", "看不清", "存疑")},
+    "retest": {"正确": ("正确", "对", "是", "ok", "OK"), "错误": ("错误", "错", "否", "不正确")},
+    "mark": {"correct": ("正确", "对", "是", "ok", "yes", "true")},
+    "rotation": {"confirmed": ("正确", "confirmed", "confirm", "ok", "yes", "y"), "corrected": ("错误", "corrected", "correction", "wrong", "no", "n")},
+    "numbers_review": {"correct": ("正确", "对", "是", "ok", "yes", "true", "1"), "incorrect": ("错误", "錯誤", "错", "否", "不正确", "no", "false", "0")},
 }
+# Forms whose answers count in any case, those that keep unknown answers as they are, and what a blank one is.
+FOLDED = ("error_first", "mark", "rotation", "numbers_review")
+AS_IS = ("workbook", "retest", "rotation")
+BLANK = {"workbook": "空白", "retest": "", "rotation": "", "numbers_review": "unreviewed_or_unknown"}
+OTHER = {"mark": "problem", "numbers_review": "unreviewed_or_unknown"}
 
 
-def verdict(c: Column, table: Mapping[str, Sequence[str]] | str, *, blank: str = "blank", other: str | None = "other") -> Column:
-    """A reviewer's answer in one of a form's standard words; other=None fails on unknown answers."""
-    spec = VERDICTS[table] if isinstance(table, str) else table
+def verdict(c: Column, form: str, *, strict: bool = False) -> Column:
+    """A reviewer's answer in the standard words of a form; strict fails on unknown answers."""
     text = stripped(F.coalesce(c, F.lit("")))
-    known = lookup(text, {answer: name for name, answers in spec.items() for answer in answers})
-    rest = F.lit(other) if other is not None else F.raise_error(F.concat(F.lit("unknown answer: "), text)).cast("string")
-    return F.when(text == "", F.lit(blank)).when(known.isNotNull(), known).otherwise(rest)
+    text = F.lower(text) if form in FOLDED else text
+    known = lookup(text, {answer: name for name, answers in VERDICTS[form].items() for answer in answers})
+    if form == "numbers_review":  # a sentence that says so
+        known = F.coalesce(known, F.when(text.contains("正确") & ~text.contains("不正确"), "correct").when(text.contains("错误"), "incorrect"))
+    rest = F.raise_error(F.concat(F.lit("unknown answer: "), text)).cast("string") if strict else text if form in AS_IS else F.lit(OTHER.get(form, "other"))
+    return F.when(text == "", F.lit(BLANK.get(form, "blank"))).when(known.isNotNull(), known).otherwise(rest)
+
+
+# Exact positions on a form, and the coarse ones; rotation of the coarse ones and of all codes.
+COARSE = {"下方": "bottom", "右下方": "bottom", "左侧": "left", "左方": "left", "上方": "top", "左上方": "top", "右侧": "right", "右方": "right", "右上方": "right", "bottom": "bottom", "left": "left", "top": "top", "right": "right"}
+GROUPS = {"bottom_edge": 0, "bottom_right": 0, "bottom": 0, "bottom_left": 90, "left_edge": 90, "left": 90, "top_left": 180, "top_edge": 180, "top": 180, "top_right": 270, "right_edge": 270, "right": 270}
+
+
+def coarse_position(c: Column) -> Column:
+    """The coarse position; fails on an unknown one."""
+    text = stripped(c)
+    return F.coalesce(lookup(text, COARSE), F.raise_error(F.concat(F.lit("unknown position: "), F.coalesce(text, F.lit("")))).cast("string"))
+
+
+def rotation_group(c: Column) -> Column:
+    """The rotation that a position's code stands for; null for others."""
+    return lookup(stripped(c), GROUPS)
+
+
+def explicit_rotation(given: Column, coarse: Column) -> Column:
+    """The rotation that a form gives, else that of the position."""
+    return F.coalesce(whole_number(F.nullif(stripped(given), F.lit(""))), lookup(coarse, GROUPS))
+
+
+def label_matches(label: Column, code: Column, expected: Column, codes: Mapping[str, str]) -> Column:
+    """Whether what is expected is the label, its code, or names a label of that code."""
+    text = stripped(F.coalesce(expected, F.lit("")))
+    return (text != "") & F.coalesce((text == label) | (text == code), F.lit(False)) | F.coalesce(lookup(text, codes) == code, F.lit(False))
+
+
+def no_title(c: Column) -> Column:
+    """Whether a note says that there is no title block."""
+    return F.coalesce(c.contains("没有标题栏") | c.contains("无标题栏") | c.contains("只有零件表格"), F.lit(False))
+
+
+def sample_of_result(c: Column) -> Column:
+    """The sample's name in a result's file name: augmented ones whole, others sample_ and number; fails on others."""
+    stem, number = file_stem(c), F.regexp_extract(c, r"sample_(\d+)", 1)
+    bad = F.raise_error(F.concat(F.lit("no sample in "), c)).cast("string")
+    return F.when(stem.startswith("aug90_"), stem).when(number != "", F.concat(F.lit("sample_"), number)).otherwise(bad)
+
+
+def sample_of_stage(c: Column) -> Column:
+    """The sample's name in a first stage's file name: what precedes it stays, but for what ends in two underscores."""
+    stem = file_stem(c)
+    front, tail = F.regexp_extract(stem, r"^(.*?)_sample_(.*)$", 1), F.regexp_extract(stem, r"^(.*?)_sample_(.*)$", 2)
+    own = F.regexp_replace(front, r"^.*__", "")
+    return F.when(stem.contains("_sample_"), F.concat(own, F.lit("_sample_"), tail)).when(stem.contains("sample_"), F.regexp_extract(stem, r"(sample_.*)$", 1)).otherwise(stem)
+
+
+def task_kind(c: Column) -> Column:
+    return (
+        F.when(c.contains("mcp_correction"), "mcp_corrected_opencv")
+        .when(c.contains("low_confidence"), "confidence_calibration")
+        .when(c.contains("rejected_candidate"), "non_title_table_false_positive")
+        .when(c.contains("sample_040"), "small_angle_offset_tolerated")
+        .otherwise("hardcase_positive")
+    )
+
+
+def task_sample(c: Column) -> Column:
+    """The sample's name in a task's id."""
+    found = c
+    for name in ("unclear90_", "aug90_", "sample_"):
+        mark = f"__{name}"
+        tail = F.regexp_replace(F.substr(c, F.locate(mark, c) + len(mark)), "__candidate_.*$", "")
+        found = F.when(c.contains(mark), F.concat(F.lit(name), tail)).otherwise(found)
+    return found
+
+
+def source_level(basis: Column) -> Column:
+    """Struct (level, verified) of what a truth is based on."""
+    level = F.when(basis.startswith("manual_review"), "manual_review").when(basis == "opencv_mcp_consensus_accepted", "consensus_accepted").otherwise("unknown")
+    return F.struct(level.alias("level"), (level == "manual_review").alias("verified"))
 
 
 def note_tags(note: Column, judgment: Column) -> Column:

@@ -43,11 +43,16 @@ def require_match(rows: DataFrame, truth: DataFrame, keys: Sequence[str], what:
     """Inner join that fails when the job meets a row without a match."""
     side = truth.withColumn("_matched", F.lit(True))
     joined = rows.join(side, list(keys), "left")
-    # The check is part of a column that is kept, so that it can't be pruned away.
     text = F.concat(F.lit(f"no match for {what}: "), F.to_json(F.struct(*(F.col(k) for k in keys))))
-    first = rows.columns[0]
-    checked = F.when(F.col("_matched"), F.col(first)).otherwise(F.raise_error(text).cast(rows.schema[first].dataType))
-    return joined.select(checked.alias(first), *(F.col(c) for c in joined.columns if c not in (first, "_matched")))
+    return joined.where(_held(F.col("_matched"), text)).drop("_matched")
+
+
+def _held(good: Column, text: Column) -> Column:
+    """A condition that is true or fails the job. A filter isn't pruned, as an unused column is.
+
+    rand() keeps the optimizer from working the condition out for missing rows beforehand.
+    """
+    return F.when(F.coalesce(good, F.lit(False)) & (F.rand() >= 0), F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
 
 
 def overlay(tables: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -109,10 +114,9 @@ def form_update(truth: DataFrame, form: DataFrame, key: str, updates: Mapping[st
     """
     right = form.select(*(F.col(c).alias(c if c == key else f"form_{c}") for c in form.columns)).withColumn("_f", F.lit(True))
     joined = truth.withColumn("_t", F.lit(True)).join(right, key, "full_outer")
-    told = F.when(F.col("_t").isNull(), F.raise_error(F.concat(F.lit("unknown in form: "), F.col(key).cast("string")))).when(F.col("_f").isNull(), F.raise_error(F.concat(F.lit("missing in form: "), F.col(key).cast("string"))))
-    kind = truth.schema[key].dataType
-    checked = F.when(F.col("_t") & F.col("_f"), F.col(key)).otherwise(told.cast(kind))
-    return joined.select(checked.alias(key), *(updates.get(c, F.col(c)).alias(c) for c in truth.columns if c != key))
+    text = F.concat(F.when(F.col("_t").isNull(), "unknown in form: ").otherwise("missing in form: "), F.col(key).cast("string"))
+    checked = joined.where(_held(F.col("_t") & F.col("_f"), text))
+    return checked.select(key, *(updates.get(c, F.col(c)).alias(c) for c in truth.columns if c != key))
 
 
 def union_scopes(**scopes: DataFrame) -> DataFrame:

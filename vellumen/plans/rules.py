@@ -287,10 +287,125 @@ def dry_run_route(can_rename: Column, *blockers: Column) -> Column:
     return F.struct(F.when(can_rename, "auto_dry_run_ready").when(human, "needs_human_review").otherwise("blocked").alias("route"), reasons.alias("reasons"))
 
 
-def finer_region(coarse_score: Column, fine_score: Column, coarse_area: Column, fine_area: Column, area_share: float = 0.82, score_share: float = 0.72) -> Column:
-    """Whether the finer region is better: clearly smaller, and not much worse in score."""
-    smaller = fine_area <= coarse_area * area_share
-    return F.when(fine_score.isNull(), "keep_coarse").when(smaller & (fine_score >= coarse_score * score_share), "prefer_fine").when(smaller, "fine_lost_evidence").otherwise("not_smaller")
+def finer_region(region: Column, coarse_top: Column, most_area: float = 0.82, least_score: float = 0.72) -> Column:
+    """Struct (status, reasons) of the best finer region: a candidate, or why a person must look.
+
+    region: struct (top_candidate, top_score, area_ratio, cluster_level), null if none.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    fine, coarse = text(region["top_candidate"]), text(coarse_top)
+    first = (
+        F.when(region.isNull(), "fine_roi_missing")
+        .when((fine == "") & (coarse != ""), "fine_roi_lost_coarse_candidate")
+        .when((fine != "") & (coarse != "") & (fine != coarse), "coarse_fine_candidate_conflict")
+        .when(fine == "", "drawing_number_missing_in_fine_roi")
+    )
+    more = labels((region["area_ratio"] >= most_area, "fine_roi_not_much_smaller"), (zero(region["top_score"]) < least_score, "fine_candidate_low_confidence"), (text(region["cluster_level"]) != "strong", "fine_field_cluster_not_strong"))
+    good = first.isNull() & (F.size(more) == 0)
+    reasons = F.when(first.isNotNull(), F.array(first)).when(good, F.array(F.lit("fine_roi_candidate_matches_quality_gate"))).otherwise(more)
+    return F.struct(F.when(good, "fine_roi_candidate").otherwise("needs_review").alias("status"), reasons.alias("reasons"))
+
+
+def region_score(top_score: Column, top: Column, roles: Column, properties: Column, area_ratio: Column) -> Column:
+    """How good a region is: its candidate, its fields, and how much smaller it is."""
+    from vellumen.functions.numbers import cluster_score
+
+    found = F.when(F.coalesce(top, F.lit("")) != "", 0.25).otherwise(0.0)
+    return F.bround(zero(top_score) + cluster_score(roles, properties) * 0.18 + F.greatest(1.0 - area_ratio, F.lit(0.0)) * 0.10 + found, 6)
+
+
+def region_tier(name: Column, best: Column, usable: Column, tags: Column, preferred: str = "bottom_right_band_roi", tag: str = "prefer_bottom_right_blue_roi") -> Column:
+    """Order in which a sample's regions are taken: the preferred one if a note asks for it, the old best, any usable; null for none."""
+    return F.when(F.coalesce(tags.contains(tag), F.lit(False)) & (name == preferred), 0).when(name == best, 1).when(usable, 2)
+
+
+def candidate_guard(old: Column, new: Column) -> Column:
+    """What tightening did to a sample's candidate."""
+    had, has_ = F.coalesce(old, F.lit("")) != "", F.coalesce(new, F.lit("")) != ""
+    return F.when(had & ~has_, "new_roi_lost_previous_candidate").when(had, "new_roi_has_candidate").when(has_, "new_roi_added_candidate").otherwise("no_candidate_before_or_after")
+
+
+def distill_targets(kind: Column, judgment: Column, needs_review: Column) -> Column:
+    """What a teacher's judgment can teach: struct with is_true, touches_frame, strength, risk and reject_reasons."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    true = yes(judgment["is_true"])
+    risky = yes(judgment["risk"] == "high") | yes(F.size(judgment["reject_reasons"]) > 0)
+    return F.array_distinct(
+        labels(
+            (true & yes(judgment["touches_frame"]) & yes(judgment["strength"].isin("medium", "strong")), "rule"),
+            (true & kind.isin("hardcase_positive", "small_angle_offset_tolerated"), "data"),
+            (kind == "confidence_calibration", "rule"),
+            (kind == "confidence_calibration", "provider"),
+            (risky, "rule"),
+            (risky, "data"),
+            (risky, "model"),
+            (kind == "mcp_corrected_opencv", "rule"),
+            (kind == "mcp_corrected_opencv", "provider"),
+            (yes(needs_review), "provider"),
+        )
+    )
+
+
+# Advice by what a judgment shows.
+ADVICE = {
+    "not_true": "作为普通表格/明细表反例，蒸馏到方向无关的误检拒绝规则，并保留为负样本。",
+    "small_angle_offset_tolerated": "作为小角度 OBB 偏差可接受正例，蒸馏为覆盖标题栏主体优先于微小角度误差的规则。",
+    "confidence_calibration": "作为低置信但可接受样本，蒸馏为字段簇和贴边证据的置信校准规则。",
+    "mcp_corrected_opencv": "作为 MCP 纠偏 OpenCV 样本，蒸馏为标题栏字段簇优先于普通线条密度的仲裁规则。",
+    "unsure": "作为 hard-case 正例保留，用于后续候选 crop 小分类器或 provider 小实验。",
+    "stable": "作为稳定正例保留，用于验证贴边、字段簇和标题栏位置规则。",
+}
+
+
+def advice(kind: Column, is_true: Column, confidence: Column) -> Column:
+    from vellumen.functions.text import lookup
+
+    named = kind.isin("small_angle_offset_tolerated", "confidence_calibration", "mcp_corrected_opencv")
+    key = F.when(~F.coalesce(is_true, F.lit(False)), "not_true").when(named, kind).when(zero(confidence) < 0.85, "unsure").otherwise("stable")
+    return lookup(key, ADVICE)
+
+
+# Layers of the three review forms, by words in judgment, relative judgment, issue and note.
+FORMS: dict[str, tuple[tuple[str, tuple[tuple[str, str, str], ...]], ...]] = {
+    "crop": (
+        ("完整", (("judgment", "in", "完整;正确"),)),
+        ("未完整", (("judgment", "in", "未完整;不完整;错误"),)),
+        ("右侧或图号尾部缺失", (("issue", "has", "右侧"), ("note", "has", "右侧"), ("note", "has", "图号未完整"))),
+        ("只覆盖半截标题栏", (("note", "has", "一半"),)),
+        ("错框或混入主体", (("note", "has", "位置判断错误"), ("note", "has", "零件图"), ("issue", "has", "错"))),
+        ("图像质量问题", (("note", "has", "字迹"), ("note", "has", "不清"), ("note", "has", "浅"), ("note", "has", "后处理"))),
+    ),
+    "recovery": (
+        ("完整性正确", (("judgment", "in", "正确;完整"),)),
+        ("范围太大", (("issue", "in", "范围太大"), ("note", "has", "范围太大"))),
+        ("包含非标题栏图纸区域", (("note", "has", "左半边"), ("note", "has", "不是标题栏"), ("note", "has", "图纸"))),
+    ),
+    "tightening": (
+        ("收窄过度", (("judgment", "has", "太小"), ("issue", "in", "裁掉标题栏"))),
+        ("保留旧高度", (("note", "has", "高度更好"),)),
+        ("采用新版左右范围", (("note", "has", "左右范围合适"),)),
+    ),
+}
+
+
+def form_layers(form: str, **columns: Column) -> Column:
+    """Layers of a review row: judgment, issue and note, and relative for the tightening form."""
+    text = {k: F.coalesce(c, F.lit("")) for k, c in columns.items()}
+
+    def met(where: str, how: str, what: str) -> Column:
+        return text[where].isin(*what.split(";")) if how == "in" else text[where].contains(what)
+
+    found = []
+    for name, conditions in FORMS[form]:
+        any_met = F.lit(False)
+        for condition in conditions:
+            any_met |= met(*condition)
+        found.append((any_met, name))
+    out = labels(*found)
+    if form == "tightening":
+        passed = (text["judgment"] == "正确") & (text["relative"] == "更好")
+        out = F.concat(labels((passed, "新版ROI通过")), out, F.when(text["issue"] != "", F.array(text["issue"])).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit("未分层")))
 
 
 def calibration(judgment: Column, manual: Column, fine: Column, coarse: Column) -> Column:
