@@ -17,6 +17,8 @@ SLICE = 1 << 20
 #: Slots of the trigram table.
 SLOTS = 1 << 16
 UNKNOWN = "und"
+#: Tasks over which the rows of one host, domain, suffix or declared language are dealt.
+SALT = 16
 
 #: Bytes with A-Z in lower case and all other ASCII as a space.
 FOLD = np.full(256, 0x20, np.uint8)
@@ -157,8 +159,12 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
     rowed = scored.select("*", *(share(i) for i in langs))
     sums = lambda tag: [F.sum(f"p{i}").alias(f"{tag}{i}") for i in langs]
     rowed = rowed.crossJoin(F.broadcast(rowed.agg(*sums("all"))))  # one row
+    # A frequent host's rows are dealt over SALT tasks, and each sum is there in all of them.
+    salted = rowed.withColumn("_salt", F.pmod(F.xxhash64("_id", "_n", "_ll"), F.lit(SALT)))
     for column, tag in (("_host", "host"), ("_domain", "domain"), ("_declared", "declared"), ("_suffix", "suffix")):
-        rowed = rowed.join(rowed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag)), column, "left")
+        summed = rowed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long"))
+        salted = salted.join(summed, [column, "_salt"], "left")
+    rowed = salted
     millions = lambda c: F.coalesce(c, F.lit(0)) / 1e6
     others = lambda tag, i: F.greatest(millions(F.col(f"{tag}{i}")) - F.col(f"p{i}") / 1e6, F.lit(0.0))
     whole = lambda values: sum(values[1:], values[0])
