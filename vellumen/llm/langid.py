@@ -162,7 +162,7 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
     # A frequent host's rows are dealt over SALT tasks, and each sum is there in all of them.
     salted = rowed.withColumn("_salt", F.pmod(F.xxhash64("_id", "_n", "_ll"), F.lit(SALT)))
     for column, tag in (("_host", "host"), ("_domain", "domain"), ("_declared", "declared"), ("_suffix", "suffix")):
-        summed = rowed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long"))
+        summed = rowed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag)).withColumn("_salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALT)))))
         salted = salted.join(summed, [column, "_salt"], "left")
     rowed = salted
     millions = lambda c: F.coalesce(c, F.lit(0)) / 1e6
