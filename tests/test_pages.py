@@ -178,6 +178,19 @@ def test_a_run_publishes_and_holds_back(spark):
     assert {(r["task_id"], r["ok"], r["attempt_count"]) for r in answered.where("task_id IN ('a1', 'a2')").collect()} == {("a1", False, 3), ("a2", True, 1)}
 
 
+def test_providers_in_turn_and_recognition(spark):
+    requests = spark.createDataFrame([("a", "s", 1, "m", "k"), ("b", "s", 1, "m", "k")], "task_id string, source_pdf string, page_number int, model string, request_kind string")
+    ladder = lifecycle.Ladder([lifecycle.Calls(lambda r: (200, "{}", "") if r["task_id"] == "a" else (400, None, "no")), lifecycle.Calls(lambda r: (200, '{"second": 1}', ""))])
+    assert {(r["task_id"], r["response_json"]) for r in ladder.responses(requests).collect()} == {("a", "{}"), ("b", '{"second": 1}')}
+
+    def engine():
+        return lambda pixels, width, height, angle: ("设计 图号" if angle == 90 else 1 / 0 if angle == 180 else "x" * 90, 0.5)
+
+    pages = spark.createDataFrame([("t", 1, 1, bytearray(b"0"), [0, 90, 180])], "task_id string, width int, height int, pixels binary, angles array<int>")
+    assert sorted(r["status"] for r in lifecycle.Recogniser(engine).texts(pages).collect()) == ["error:ZeroDivisionError", "ok", "ok"]
+    assert lifecycle.Recogniser(engine).best(pages).first()["angle"] == 90
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in ("b.PDF", "a.pdf", "c.txt"):

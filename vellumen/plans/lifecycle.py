@@ -93,6 +93,66 @@ class Calls:
         return requests.mapInPandas(run, RAW)
 
 
+@dataclass(frozen=True)
+class Ladder:
+    """Providers in turn: each gets the requests that those before it failed; the last answer stays.
+
+    Each provider's answers are kept by Spark, so that no call repeats.
+    """
+
+    providers: Sequence[Provider]
+
+    def responses(self, requests: DataFrame) -> DataFrame:
+        names, rest, out = requests.columns, requests, None
+        for i, provider in enumerate(self.providers):
+            got = provider.responses(rest).persist()
+            last = i == len(self.providers) - 1
+            part = got if last else got.where("ok")
+            out = part if out is None else out.unionByName(part)
+            rest = got.where("NOT ok").select(*names)
+        if out is None:
+            raise ValueError("no provider")
+        return out
+
+
+@dataclass(frozen=True)
+class Recogniser:
+    """Recognition of text on page images, with an engine that each worker makes once.
+
+    engine() gives a function from (pixels, width, height, angle) to (text, average confidence).
+    """
+
+    engine: Callable[[], Callable[[bytes, int, int, int], tuple[str, float]]]
+
+    def texts(self, pages: DataFrame) -> DataFrame:
+        """(task_id, angle, text, confidence, status) for pages (task_id, width, height, pixels, angles)."""
+        make = self.engine
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            read = None
+            for batch in batches:
+                rows = []
+                for r in batch.itertuples():
+                    for angle in r.angles:
+                        try:
+                            read = read or make()
+                            found, sure = read(r.pixels, r.width, r.height, int(angle))
+                            rows.append((r.task_id, int(angle), found, float(sure), "ok"))
+                        except Exception as e:  # noqa: BLE001  one page's failure is that page's status
+                            rows.append((r.task_id, int(angle), "", 0.0, f"error:{type(e).__name__}"))
+                yield pd.DataFrame(rows, columns=["task_id", "angle", "text", "confidence", "status"])
+
+        return pages.mapInPandas(run, "task_id string, angle int, text string, confidence double, status string")
+
+    def best(self, pages: DataFrame) -> DataFrame:
+        """The best angle's text for each page: by fields first, then confidence and length; the first of equals."""
+        from vellumen.functions import numbers
+
+        text_ = F.col("text")
+        ranked = self.texts(pages).withColumn("rank", numbers.recognition_rank(numbers.field_hits(text_, numbers.ROLES), numbers.field_hits(text_, numbers.PROPERTIES), F.col("confidence"), text_))
+        return last_wins(ranked, ["task_id"], ["rank", (-F.col("angle")).alias("a")])
+
+
 def pending(requests: DataFrame, done: DataFrame, keys: Sequence[str] = ("task_id", "model", "request_kind")) -> DataFrame:
     """Requests that have no good response yet."""
     return requests.join(done.where("ok").select(*keys), list(keys), "left_anti")
