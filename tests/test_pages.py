@@ -134,6 +134,43 @@ def test_images(spark):
     assert bytes(back["pixels"]) == page.tobytes() and images.turned(df.withColumn("degrees", F.lit(90))).first()["width"] == 40
 
 
+def test_table_lines(spark):
+    from vellumen.functions import images
+
+    import numpy as np
+
+    mask = np.array([[1, 0, 1, 0], [0, 1, 0, 0], [0, 0, 0, 1], [1, 0, 0, 0]], bool)
+    assert sorted(images.components(mask)) == [(0, 0, 3, 2, 3), (0, 3, 1, 4, 1), (3, 2, 4, 3, 1)]
+    r = np.random.default_rng(1)
+    for _ in range(30):  # against flooding
+        m = r.random((9, 11)) < 0.4
+        left, n = {tuple(p) for p in np.argwhere(m)}, 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                y, x = todo.pop()
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+        assert len(images.components(m)) == n
+    page = np.full((300, 400), 255, np.uint8)
+    for y in range(200, 300, 30):
+        page[y : y + 2, 200:390] = 0
+    for x in range(200, 400, 60):
+        page[200:292, x : x + 2] = 0
+    lying, standing = images.line_masks(page)
+    assert lying[200, 250] and standing[220, 201] and not lying[100].any()
+    df = spark.createDataFrame([("t", 400, 300, bytearray(page.tobytes()))], images.PIXELS)
+    bands = images.window_features(df.withColumn("windows", g.side_bands(F.col("width"), F.col("height")))).select("*", rules.evidence_score(F.col("line_density"), F.col("intersection_density")).alias("e")).orderBy(F.desc("band_score")).collect()
+    assert {b["side"] for b in bands[:2]} == {"bottom", "right"} and bands[-1]["line_density"] == 0 and len(bands) == 4
+    s = images.table_structure(df).first()
+    assert s["structure_status"] == "ok" and s["cell_count_estimate"] == 9 and s["uniform_grid_penalty"] == 1.0
+    box = images.table_region(df).first()
+    assert box["status"] == "ok" and box["xmin"] < 200 and box["xmax"] >= 390
+    blank = spark.createDataFrame([("t", 30, 30, bytearray(b"\xff" * 900))], images.PIXELS)
+    assert images.table_region(blank).first()["status"] == "insufficient_column_signal" and images.table_structure(blank).first()["cell_count_estimate"] == 0
+
+
 def test_scores_follow_the_formula(spark):
     rows = spark.range(1).select(box(0.7, 0.7, 0.98, 0.98).alias("box"), points((0.7, 0.7), (0.98, 0.7), (0.98, 0.98), (0.7, 0.98)).alias("points"), F.lit(0.0784).alias("area"), F.lit(0.8).alias("confidence"), F.struct(F.lit(1.0).alias("frame_contact_score"), F.lit(True).alias("touches_frame_line"), F.lit("contact").alias("frame_contact_status")).alias("contact"), F.lit(1.0).alias("axis_offset"), F.lit(0.9).alias("cell_area_variance"), F.lit(0.9).alias("small_large_mix"), F.lit(0.1).alias("uniform_grid_penalty"), texts().alias("diagnostic_flags"))
     r = rules.score_candidates(rows).first()
