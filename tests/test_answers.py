@@ -127,13 +127,13 @@ def test_names_and_numbers(spark):
 
 
 def test_candidates(spark):
-    cases = ["图号JS2207-01-02 设计", "\\\\server\\AB12-1-7.dwg", "名称泵体 JS22-01-7 签字\nQQ-1-1 序号", "2024-01-02", "", None]
+    cases = ["图号JS9107-01-02 设计", "\\\\server\\AB12-1-7.dwg", "名称泵体 JS22-01-7 签字\nQQ-1-1 序号", "2024-01-02", "", None]
     got = values(spark, numbers.number_candidates, *cases)
-    assert [(c["value"], c["source"]) for c in got[0]] == [("JS2207-01-02", "near_label")] and got[0][0]["score"] == 0.99
+    assert [(c["value"], c["source"]) for c in got[0]] == [("JS9107-01-02", "near_label")] and got[0][0]["score"] == 0.99
     assert got[1] == [] and got[3] == [] and got[4] == [] and got[5] == []
     assert got[2][0]["value"] == "JS22-01-7" and got[2][0]["reasons"][0] == "global_pattern"
     chosen = values(spark, lambda c: numbers.selection(numbers.number_candidates(c)), *cases)
-    assert (chosen[0]["selected"], chosen[0]["status"]) == ("JS2207-01-02", "single_high_confidence_candidate")
+    assert (chosen[0]["selected"], chosen[0]["status"]) == ("JS9107-01-02", "single_high_confidence_candidate")
     assert (chosen[4]["status"], chosen[4]["blockers"]) == ("missing", ["drawing_number_missing"])
     df = spark.createDataFrame([("A1-B2", "A7-B22"), ("x", "x"), ("", "y"), (None, "y")], "a string, b string")
     ops = df.select(numbers.diff_operations(F.col("a"), F.col("b")).alias("o")).collect()

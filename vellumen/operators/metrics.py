@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumen.operators.rank import numbered
+
 
 def rate(hits: Column, total: Column, on_empty: float | None = None, digits: int | None = None) -> Column:
     """hits / total, with an explicit value for an empty total. Rounding is half to even."""
@@ -173,8 +175,7 @@ def mined_rules(rows: DataFrame, value: str, *, support: int, share: float = 0.0
     if total is None:
         found = found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_total"))))  # one row
     kept = found.where((F.col("support") >= support) & (F.col("support") >= share * n)).select("value", "support")
-    number = F.row_number().over(Window.orderBy(F.desc("support"), "value"))
-    return kept.select(F.format_string(f"{prefix}_%03d", number).alias("rule_id"), "value", "support")
+    return numbered(kept, [F.desc("support"), "value"], "_n").select(F.format_string(f"{prefix}_%03d", "_n").alias("rule_id"), "value", "support")
 
 
 def run_summary(**tables: tuple[DataFrame, Mapping[str, Column]]) -> DataFrame:

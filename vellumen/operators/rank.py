@@ -47,7 +47,7 @@ def duplicates(rows: DataFrame, keys: Sequence[str], flag: str = "is_duplicate")
 def duplicate_groups(rows: DataFrame, name: str, route: str, human: str) -> DataFrame:
     """Sends every row whose name others have too to a human; adds a group number by name, from 1."""
     found = rows.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(name).agg(F.count("*").alias("_n")).where("_n > 1")
-    groups = found.select(name, F.dense_rank().over(Window.orderBy(name)).alias("duplicate_group"))
+    groups = numbered(found.select(name), [name], "_group").select(name, F.col("_group").cast("int").alias("duplicate_group"))
     joined = rows.join(groups, name, "left")
     return joined.select(*(F.when(F.col("duplicate_group").isNotNull(), F.lit(human)).otherwise(F.col(c)).alias(c) if c == route else F.col(c) for c in rows.columns), "duplicate_group")
 

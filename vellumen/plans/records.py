@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumen.functions import numbers, text
@@ -188,7 +188,8 @@ def transplantable_rules(events: DataFrame) -> DataFrame:
     confused = of("confusion").select(F.lit(3).alias("_k"), F.lit("ocr_candidate_diff").alias("type"), "value", F.col("n").alias("support"))
     open_ = events.where("calibration_outcome = 'unresolved_requires_manual_identification'").agg(F.count("*").alias("support")).where("support > 0").select(F.lit(4).alias("_k"), F.lit("fallback").alias("type"), F.lit("").alias("value"), "support")
     every = gate.unionByName(advice).unionByName(confused).unionByName(open_)
-    number = F.row_number().over(Window.orderBy("_k", F.desc("support"), "value"))  # distinct findings, not events
+    every = rank.numbered(every, ["_k", F.desc("support"), "value"], "_n")
+    number = F.col("_n")
     name = F.when(F.col("_k") == 1, "roi-too-large-quality-gate").when(F.col("_k") == 2, F.concat(F.lit("roi-adjustment-"), number.cast("string"))).when(F.col("_k") == 3, F.concat(F.lit("ocr-confusion-"), number.cast("string"))).otherwise("manual-fallback-required")
     return every.select(name.alias("rule_id"), "type", "value", "support")
 
