@@ -223,3 +223,13 @@ def test_queries_give_digests(spark, tmp_path):
     pairs = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4]
     want = brute_components(pairs, prints)
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in entry.op4_simhash_near_dedup(spark, str(tmp_path)).collect()} == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
+
+
+def test_written_tables_can_be_cleared(spark):
+    from vellumen.llm import common
+
+    kept = common.materialize(spark.range(3).toDF("x"))
+    assert kept.count() == 3
+    common.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])

@@ -50,6 +50,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables and archives that operators wrote to the shared folder. Frames that read them end."""
+    for name in ("tables", "warc"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(spark: SparkSession, docs: DataFrame, column: str) -> int:
     """UTF-8 bytes in a text column, over all rows."""
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
