@@ -233,3 +233,14 @@ def test_written_tables_can_be_cleared(spark):
     common.clear(spark)
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_frames_that_may_change_are_written_before_two_readings(spark, tmp_path):
+    from vellumen.llm.routed import repeatable
+
+    frame(spark, [(1, "a"), (2, "b")]).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    plain = docs.where("doc_id > 0").select("doc_id", "text")
+    assert repeatable(plain) is plain
+    for other in (docs.repartition(2), docs.withColumn("x", F.rand()), docs.groupBy("doc_id").count()):
+        assert repeatable(other) is not other

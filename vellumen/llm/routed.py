@@ -1,14 +1,17 @@
 """Work that meets in buckets by content and then returns to the batch of rows it came from.
 
 A map task cuts its rows into batches. Each batch sends its distinct strings, packed by
-bucket, to the buckets, and itself (rows and the places of its strings) past them. A bucket
-sees each string once a batch, however many rows hold it, and answers each batch apart; so
-no task gathers all rows of a common passage. Batches are named by partition and number,
-which a repeated task gives again.
+bucket, to the buckets. A bucket sees each string once a batch, however many rows hold it,
+and answers each batch apart; so no task gathers all rows of a common passage. The rows are
+read a second time and meet the answers to their batch, so that texts are shuffled once.
+Batches are named by their place and content. Both readings must give the same batches: a
+frame that isn't read from files as it is, is written first, and an answer to a batch that
+isn't there fails the job.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,15 +19,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellumen.llm.common import dump, load, slices
+from vellumen.llm.common import byte_column, dump, load, materialize, slices
 
-ROWS = T.StructType([T.StructField("key", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-ARROW = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("payload", pa.large_binary())])
+ROWS = T.StructType([T.StructField("key", T.LongType()), T.StructField("batch", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())])
+ARROW = pa.schema([("key", pa.int64()), ("batch", pa.binary()), ("kind", pa.int32()), ("payload", pa.binary())])
 STRINGS, HOME, ANSWER = 0, 1, 2
+#: Plans that give the same rows in the same order whenever they run.
+REPEATABLE = ("Project", "Filter", "LogicalRelation")
 
 
-def packed(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ARROW)], schema=ARROW).cast(pa.schema([f if f.name != "payload" else f.with_type(pa.binary()) for f in ARROW]))
+def packed(rows: list[tuple[int, bytes, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ARROW)], schema=ARROW)
+
+
+def repeatable(docs: DataFrame) -> DataFrame:
+    """The frame, or a written table of it where its plan is more than a reading of files."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    todo, plain = [plan], plan.deterministic()
+    while todo and plain:
+        node = todo.pop()
+        plain = node.nodeName().split(" ")[0] in REPEATABLE
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return docs if plain else materialize(docs)
 
 
 def through_buckets(
@@ -41,19 +58,24 @@ def through_buckets(
     such parts) gives an answer, or None, for each part. settle(state, answers) gives the rows
     of a batch."""
 
-    def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        for n, part in enumerate(slices(batches, text_col, slice_bytes)):
-            name = partition << 32 | n
+    def batches_of(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, dict[int, object], object]]:
+        place = TaskContext.get().partitionId()
+        for n, part in enumerate(slices(rows, text_col, slice_bytes)):
             parts, state = split(part)
-            rows = [(k, name, STRINGS, dump(v)) for k, v in parts.items()]
-            rows.append((-1 - (name * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFF), name, HOME, dump(state)))
-            yield from packed(rows).to_batches()
+            name = hashlib.blake2b(b"%d/%d/" % (place, n), digest_size=16)
+            name.update(byte_column(part.column(part.schema.get_field_index(text_col)))[0])
+            yield name.digest(), parts, state
+
+    def strings_side(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, parts, _ in batches_of(rows):
+            if parts:
+                yield from packed([(k, name, STRINGS, dump(v)) for k, v in parts.items()]).to_batches()
+
+    def home_side(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, state in batches_of(rows):
+            yield from packed([(0, name, HOME, dump(state))]).to_batches()
 
     def meet(group: pa.Table) -> pa.Table:
-        kinds = group["kind"].to_pylist()
-        if kinds[0] == HOME:
-            return group.select(ROWS.names)
         names, payloads = group["batch"].to_pylist(), group["payload"]
         answers = bucket([load(x.as_buffer()) for x in payloads])
         return packed([(0, n, ANSWER, dump(a)) for n, a in zip(names, answers, strict=True) if a is not None])
@@ -66,8 +88,10 @@ def through_buckets(
                 state = value
             else:
                 answers.append(value)
+        if state is None:
+            raise ValueError("the documents changed between two readings; write them to a table first")
         return pa.Table.from_batches([settle(state, answers)])
 
-    sent = docs.select(*columns).mapInArrow(map_side, ROWS)
-    met = sent.groupBy("key").applyInArrow(meet, ROWS)
-    return met.groupBy("batch").applyInArrow(return_home, schema)
+    picked = repeatable(docs.select(*columns))
+    answers = picked.mapInArrow(strings_side, ROWS).groupBy("key").applyInArrow(meet, ROWS)
+    return picked.mapInArrow(home_side, ROWS).unionByName(answers).groupBy("batch").applyInArrow(return_home, schema)
