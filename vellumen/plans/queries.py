@@ -680,7 +680,23 @@ def bottom_crop(spark, sf_dir):
     return p.select("p_partkey", geometry.bottom_crop(F.col("w"), F.col("h")).alias("c")).select("p_partkey", "c.ratio", F.col("c.box.ymin").alias("y0"))
 
 
-@query()
+@query(f"""
+WITH p AS ({POINTS_SQL}), b AS (SELECT * FROM p JOIN ({BOX_SQL}) USING (vec_id)),
+e AS (SELECT vec_id, list_min(list_transform(list_reverse_sort(list_filter(list_transform([1, 2, 3, 4], lambda i: {{'l': sqrt(pow(p[i % 4 + 1].x - p[i].x, 2) + pow(p[i % 4 + 1].y - p[i].y, 2)),
+        'o': least(abs(degrees(atan2(p[i % 4 + 1].y - p[i].y, p[i % 4 + 1].x - p[i].x))) % 90.0, 90.0 - abs(degrees(atan2(p[i % 4 + 1].y - p[i].y, p[i % 4 + 1].x - p[i].x))) % 90.0)}}), lambda x: x.l > 0))[1:2], lambda x: x.o)) AS lean,
+    abs(list_sum(list_transform([1, 2, 3, 4], lambda i: p[i].x * p[i % 4 + 1].y - p[i % 4 + 1].x * p[i].y))) / 2 AS area FROM p),
+f AS (SELECT vec_id, vec_id // 4 AS page, vec_id % 4 AS candidate_index, (vec_id % 10) / 10 AS conf, lean, area, least(abs(a - 0.3), abs(c - 0.7), abs(b - 0.3)) AS gap, least(a, b, 1 - c, 1 - d) AS edge,
+    (a + c) / 2 BETWEEN 0.2 AND 0.8 AND (b + d) / 2 BETWEEN 0.2 AND 0.8 AS centre, area NOT BETWEEN 0.001 AND 0.2 AS odd, vec_id % 5 = 0 AS uniform FROM b JOIN e USING (vec_id)),
+g AS (SELECT *, gap <= 0.025 AS touches, edge <= 0.12 AS near, greatest(least(1 - gap / 0.025, 1), 0) AS contact FROM f),
+h AS (SELECT *, (touches AND near)::INTEGER * 0.08 + (touches AND NOT uniform AND contact >= 0.65)::INTEGER * 0.04 - uniform::INTEGER * 0.12 + (touches AND near AND NOT uniform AND coalesce(lean <= 5, false))::INTEGER * 0.03 AS extra FROM g),
+s AS (SELECT *, conf + 0.25 * greatest(least(1 - greatest(edge, 0) / 0.12, 1), 0) + 0.25 * contact + 0.2 * greatest(least(1 - abs(area - 0.04) / 0.04, 1), 0) - centre::INTEGER * 0.55 - odd::INTEGER * 0.5 + extra AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, candidate_index) = 1 AS selected FROM s)
+SELECT page, candidate_index, round(score, 6)::DOUBLE AS candidate_score, selected,
+    array_to_string(list_filter([CASE WHEN centre THEN 'center_region' END, CASE WHEN odd THEN 'size_abnormal' END, CASE WHEN near THEN 'near_edge' END, CASE WHEN touches THEN 'touches_frame_line' ELSE 'frame_contact_gap' END, CASE WHEN uniform THEN 'uniform_grid_like' END], lambda x: x IS NOT NULL), ';') AS flags,
+    CASE WHEN selected THEN '' ELSE array_to_string(list_filter(['not_selected_by_single_title_block_rule', 'lower_score_duplicate_or_neighbor', CASE WHEN uniform THEN 'uniform_grid_like' END, CASE WHEN uniform THEN 'teacher_uniform_table_negative' END,
+        CASE WHEN centre AND NOT touches THEN 'center_region_without_frame_contact' END, CASE WHEN odd THEN 'size_abnormal' END], lambda x: x IS NOT NULL), ';') END AS rejection_reasons
+FROM r
+""")
 def candidate_scores(spark, sf_dir):
     """Scores, flags and the choice among four candidates a page."""
     frame = F.struct(F.lit(0.3).alias("left"), F.lit(0.7).alias("right"), F.lit(0.3).alias("top"), F.lit(None).cast("double").alias("bottom"))
@@ -731,7 +747,28 @@ def arbitration(spark, sf_dir):
     return o.select("o_orderkey", a["decision_status"].alias("decision_status"), a["confidence_level"].alias("confidence_level"))
 
 
-@query()
+@query("""
+WITH r AS (SELECT event_id, user_id, value, event_id % 11 = 0 AS failed, event_id % 6 AS k, ['bottom_edge', 'top_edge', 'left_edge', 'right_edge', 'unknown', 'nowhere'][event_id % 7 % 6 + 1] AS side FROM events),
+p AS (SELECT *, NOT failed AND k <> 5 AS parsed FROM r),
+q AS (SELECT *, CASE WHEN parsed THEN side END AS pos, parsed AND k <> 2 AND side <> 'nowhere' AS fine FROM p),
+d AS (SELECT *, CASE pos WHEN 'bottom_edge' THEN 0 WHEN 'top_edge' THEN 180 WHEN 'left_edge' THEN 270 WHEN 'right_edge' THEN 90 END AS undo,
+    list_sort(list_filter([CASE WHEN failed THEN 'api_error:500' END, CASE WHEN failed THEN 'response_not_json_object' END, CASE WHEN NOT failed AND k = 5 THEN 'content_json_parse_failed' END,
+        CASE WHEN parsed AND side = 'nowhere' THEN 'invalid_title_block_position' END, CASE WHEN parsed AND k = 2 THEN 'invalid_confidence' END, CASE WHEN parsed AND k = 4 THEN 'model_marked_needs_human_review' END,
+        CASE WHEN pos IS NULL THEN 'missing_title_block_position_for_rotation' WHEN pos IN ('unknown', 'nowhere') THEN 'unknown_title_block_position_for_rotation' END], lambda x: x IS NOT NULL)) AS reasons FROM q),
+o AS (SELECT *, list_filter([CASE WHEN failed THEN 'api_not_ok' END, CASE WHEN NOT parsed THEN 'parse_not_ok' END, CASE WHEN NOT fine THEN 'schema_not_ok' END, CASE WHEN undo IS NULL THEN 'missing_or_invalid_correction_degrees' END], lambda x: x IS NOT NULL) AS held FROM d),
+n AS (SELECT *, len(held) = 0 AS turned, CASE WHEN len(held) = 0 THEN 'JS-' || event_id % 500 ELSE '' END AS number FROM o),
+t AS (SELECT *, turned AND count(*) FILTER (WHERE turned) OVER (PARTITION BY user_id, number) > 1 AS taken FROM n),
+f AS (SELECT *, list_filter([CASE WHEN taken THEN 'duplicate_drawing_number' END, CASE WHEN NOT turned THEN 'missing_drawing_number_decision' END, CASE WHEN NOT turned THEN 'missing_final_filename_stem' END,
+    CASE WHEN len(reasons) > 0 THEN 'rotation_decision_needs_review' END, CASE WHEN NOT turned THEN 'rotation_output_not_corrected' END], lambda x: x IS NOT NULL) AS blocked FROM t)
+SELECT '/in/' || user_id || '.pdf' AS source_pdf, 1 AS page_number, CASE WHEN len(blocked) = 0 THEN '/out/' || user_id || '/' || number || '.pdf' ELSE '/out/' || user_id || '/needs_review/' || event_id || '.pdf' END AS final_pdf_path,
+    CASE WHEN len(blocked) = 0 THEN 'published' ELSE 'needs_review' END AS final_status, number AS drawing_number, number AS final_filename_stem, '/work/out/' || event_id || '.pdf' AS corrected_pdf_path,
+    CASE WHEN turned THEN 'corrected' ELSE 'copied_needs_review' END AS output_status, coalesce(pos, '') AS title_block_position, coalesce(((360 - undo) % 360)::VARCHAR, '') AS current_clockwise_degrees, coalesce(undo::VARCHAR, '') AS correction_clockwise_degrees,
+    CASE WHEN NOT parsed THEN '' WHEN k = 2 THEN '2.0' ELSE round(value / 1000, 3)::DOUBLE::VARCHAR END AS confidence, CASE WHEN failed THEN 'false' ELSE 'true' END AS api_ok, CASE WHEN parsed THEN 'ok' ELSE 'error' END AS parse_status,
+    CASE WHEN fine THEN 'ok' ELSE 'error' END AS schema_status, CASE WHEN turned THEN 'true' ELSE '' END AS drawing_number_api_ok, CASE WHEN turned THEN 'ok' ELSE '' END AS drawing_number_parse_status,
+    CASE WHEN turned THEN 'ok' ELSE '' END AS drawing_number_schema_status, CASE WHEN turned THEN '0.9' ELSE '' END AS drawing_number_confidence, CASE WHEN len(blocked) = 0 THEN 'false' ELSE 'true' END AS needs_review,
+    array_to_string(reasons, ';') AS review_reasons, '' AS drawing_number_review_reasons, array_to_string(held, ';') AS output_blockers, array_to_string(blocked, ';') AS final_blockers
+FROM f
+""")
 def publish_run(spark, sf_dir):
     """A whole run over recorded answers: the report of every page."""
     from vellumen.plans import lifecycle
