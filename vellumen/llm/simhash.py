@@ -91,16 +91,22 @@ def links(classes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return probe.join(table, "key").where((F.col("here") != F.col("there")) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, segments: int = 3) -> DataFrame:
+#: Classes from which on two segments make less work than three: fewer chance candidates for larger balls.
+MANY = 1 << 26
+
+
+def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, segments: int | None = None) -> DataFrame:
     """(id, fingerprint, component_id, other columns); component_id: the smallest id that links of at most `radius` differing bits reach.
 
     Equal fingerprints are one class, so copies never meet in pairs. Rows with a null id get
-    a component but don't name one; repeated rows stay. segments=2 suits far more rows: fewer
-    chance candidates for larger balls.
+    a component but don't name one; repeated rows stay. segments: into how many a fingerprint
+    is cut, which finds the same links with other work; by default three, or two from MANY
+    classes on.
     """
     prints = materialize(prints)
     classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")))
-    found = connected_components(links(classes.where("rep IS NOT NULL"), radius, segments))
+    cut = segments or (3 if classes.count() < MANY else 2)
+    found = connected_components(links(classes.where("rep IS NOT NULL"), radius, cut))
     roots = classes.join(found, classes["rep"] == found["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     others = [c for c in prints.columns if c not in (id_col, "fingerprint")]
     return prints.join(roots, "fingerprint").select(id_col, "fingerprint", "component_id", *others)
