@@ -179,7 +179,7 @@ def test_scores_follow_the_formula(spark):
     assert r["candidate_score"] == pytest.approx(0.8 + 0.25 * edge + 0.25 + 0.2 * (1 - 0.0384 / 0.04) - 0.035 + 0.08 + 0.04 + 0.03)
 
 
-def test_a_run_publishes_and_holds_back(spark):
+def test_a_run_publishes_and_holds_back(spark, tmp_path):
     def said(content):
         return json.dumps({"choices": [{"message": {"content": json.dumps(content)}}]})
 
@@ -205,6 +205,8 @@ def test_a_run_publishes_and_holds_back(spark):
     report = {r["corrected_pdf_path"]: r for r in run.report.collect()}
     assert report["out/b2.pdf"]["drawing_number"] == "" and report["out/b2.pdf"]["output_blockers"] == "missing_or_invalid_correction_degrees"
     assert run.needs_review.count() == 4 and len(run.report.columns) == 24
+    again = lifecycle.run(pages, "m", replay, "/pub", store=lifecycle.written(str(tmp_path)))
+    assert again.summary.first() == s and spark.read.parquet(f"{tmp_path}/orientation_raw_responses").count() == 6
     dry = lifecycle.run(pages, "m", lifecycle.DryRun(), "/pub", dry_run=True)
     assert dry.summary.first()["published_count"] == 0
     with pytest.raises(RuntimeError):

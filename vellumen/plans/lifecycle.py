@@ -285,15 +285,38 @@ class Run:
     summary: DataFrame
 
 
-def run(pages: DataFrame, model: str, provider: Provider, output_dir: str, dry_run: bool = False) -> Run:
-    """All of it. Numbers are asked for on pages that were turned; fails if no orientation call succeeded."""
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def persisted(rows: DataFrame, name: str) -> DataFrame:
+    """Kept by Spark: enough for replayed responses, which cost nothing to make again."""
+    return rows.persist()
+
+
+def written(folder: str) -> Store:
+    """Keeps tables below a shared folder, so that a lost executor repeats no call."""
+
+    def store(rows: DataFrame, name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        rows.write.mode("errorifexists").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    return store
+
+
+def run(pages: DataFrame, model: str, provider: Provider, output_dir: str, dry_run: bool = False, store: Store = persisted) -> Run:
+    """All of it. Numbers are asked for on pages that were turned; fails if no orientation call succeeded.
+
+    store keeps responses and decisions; give written(folder) with providers that really call.
+    """
     request = lambda rows, kind: rows.select("task_id", "source_pdf", "page_number", F.lit(model).alias("model"), F.lit(kind).alias("request_kind"))
-    decisions = orientation_decisions(provider.responses(request(pages, "orientation"))).persist()
+    asked = lambda rows, kind: store(provider.responses(request(rows, kind)), f"{kind}_raw_responses")
+    decisions = store(orientation_decisions(asked(pages, "orientation")), "orientation_decisions")
     if not dry_run:
         all_failed(decisions, F.col("api_ok"))
-    outputs = rotation_outputs(pages, decisions, dry_run).persist()
+    outputs = store(rotation_outputs(pages, decisions, dry_run), "rotation_output_records")
     turned = pages.join(outputs.where("output_status = 'corrected'").select("task_id"), "task_id", "left_semi")
-    numbers = number_decisions(provider.responses(request(turned, "drawing_number"))).persist()
-    finals = final_outputs(pages, decisions, outputs, numbers, output_dir, dry_run).persist()
+    numbers = store(number_decisions(asked(turned, "drawing_number")), "drawing_number_decisions")
+    finals = store(final_outputs(pages, decisions, outputs, numbers, output_dir, dry_run), "final_output_records")
     rows = report(pages, decisions, outputs, numbers, finals)
     return Run(decisions, outputs, numbers, finals, rows, rows.where("needs_review = 'true'"), summary(pages, decisions, outputs, numbers, finals))
