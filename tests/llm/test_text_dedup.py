@@ -244,3 +244,35 @@ def test_frames_that_may_change_are_written_before_two_readings(spark, tmp_path)
     assert repeatable(plain) is plain
     for other in (docs.repartition(2), docs.withColumn("x", F.rand()), docs.groupBy("doc_id").count()):
         assert repeatable(other) is not other
+
+
+def five_word_similarity(a, b):
+    a, b = ({tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set() for w in (words_of(a.lower()), words_of(b.lower())))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("tile", [512, 4])
+def test_pipeline_finds_all_near_copies(spark, monkeypatch, tile):
+    import corpus_pipeline
+    from vellumen.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "FEW", 10)
+    monkeypatch.setattr(near_copies, "COLUMNS", 64)
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("aeioustnr") for _ in range(6))
+    texts = {}
+    for i in range(0, 200, 10):
+        base = [word() for _ in range(r.choice([3, 8, 60, 150]))]
+        texts[i] = " ".join(base)
+        for k in range(1, 10):  # of each family some pairs are alike and some aren't
+            copy = list(base)
+            for p in r.sample(range(len(copy)), min(len(copy), r.randint(0, 5))):
+                copy[p] = word()
+            texts[i + k] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    pairs = [(a, b) for a in texts for b in texts if a < b and five_word_similarity(texts[a], texts[b]) >= 0.8]
+    want = brute_components(pairs, texts)
+    assert any(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b]) and bin(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).count("1") > 4 for a, b in pairs)
+    found = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(x["doc_id"] for x in found) == sorted(i for i in texts if want[i] == i)

@@ -18,16 +18,21 @@ from vellumen.llm.common import LOWER, Words, byte_column, connected_components,
 SLICE = 1 << 19
 
 
-def simhash(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    """A fingerprint for each text raw[at[i]:at[i+1]]; zero where it has no word."""
+def shingle_hashes(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of the texts raw[at[i]:at[i+1]], shingles of each text)."""
     words = Words(LOWER[raw], at)
     n = np.diff(words.first)
     count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     begin = np.repeat(words.first[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     last = begin + np.repeat(np.minimum(n, shingle), count) - 1
     buf, digest = words.buf.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(buf[s:e], seed) for s, e in zip(words.start[begin].tolist(), words.end[last].tolist(), strict=True)), np.uint64, len(begin))
-    out = np.zeros(len(n), np.uint64)
+    return np.fromiter((digest(buf[s:e], seed) for s, e in zip(words.start[begin].tolist(), words.end[last].tolist(), strict=True)), np.uint64, len(begin)), count
+
+
+def simhash(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    """A fingerprint for each text raw[at[i]:at[i+1]]; zero where it has no word."""
+    h, count = shingle_hashes(raw, at, shingle, seed)
+    out = np.zeros(len(count), np.uint64)
     full = np.flatnonzero(count)
     if len(full):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
