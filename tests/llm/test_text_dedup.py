@@ -188,6 +188,12 @@ def test_near_duplicates(spark, radius, segments):
     assert [r["component_id"] for r in found if r["fingerprint"] == 7] == [None if radius == 0 else r["component_id"] for r in found if r["fingerprint"] == 7]
 
 
+def test_near_duplicates_link_rows_without_an_id(spark):
+    rows = [(5, 0), (None, 0b1111), (9, 0b11111111), (None, -1), (None, -1)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fingerprint long")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter({(5, 5): 1, (None, 5): 1, (9, 5): 1, (None, None): 2})
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000 + i) for i in range(1, 50)]

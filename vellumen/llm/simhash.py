@@ -103,15 +103,17 @@ MANY = 1 << 26
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, segments: int | None = None) -> DataFrame:
     """(id, fingerprint, component_id, other columns); component_id: the smallest id that links of at most `radius` differing bits reach.
 
-    Equal fingerprints are one class, so copies never meet in pairs. Rows with a null id get
-    a component but don't name one; repeated rows stay. segments: into how many a fingerprint
+    Equal fingerprints are one class, so copies never meet in pairs. Rows with a null id
+    link like others but don't name a component, which is null where no row has an id;
+    repeated rows stay. segments: into how many a fingerprint
     is cut, which finds the same links with other work; by default three, or two from MANY
     classes on.
     """
     prints = materialize(prints)
-    classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")))
+    classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
     cut = segments or (3 if classes.count() < MANY else 2)
-    found = connected_components(links(classes.where("rep IS NOT NULL"), radius, cut))
-    roots = classes.join(found, classes["rep"] == found["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
+    found = connected_components(links(classes.select("fingerprint", F.col("fingerprint").alias("rep")), radius, cut))
+    rooted = materialize(classes.join(found, classes["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")))
+    roots = rooted.select("fingerprint", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
     others = [c for c in prints.columns if c not in (id_col, "fingerprint")]
     return prints.join(roots, "fingerprint").select(id_col, "fingerprint", "component_id", *others)
