@@ -282,3 +282,21 @@ def test_pipeline_finds_all_near_copies(spark, monkeypatch, tile):
     assert any(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b]) and bin(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).count("1") > 4 for a, b in pairs)
     found = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(x["doc_id"] for x in found) == sorted(i for i in texts if want[i] == i)
+
+
+def test_pipeline_keeps_one_of_like_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(1, " ".join(base)), (None, near), (None, "nobody has an id here"), (None, "nobody has an id here"), (None, "nobody has an ID  here")]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"].lower().split()[0]) for r in found) == [(0, "nobody"), (1, "w0")]
+
+
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(7, "one text about this"), (7, "quite another thing altogether"), (7, "quite another  thing altogether"), (8, "ONE text about this"), (7, "one text about this")]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"], r["text"].split()[0]) for r in found) == [(7, "one"), (7, "quite")]
