@@ -383,6 +383,12 @@ def test_declared_language_and_host_weigh_in(spark):
     assert [tuple(g) for g in got] == [("a.b.example.org", "example.org", "org", "de"), (None, None, None, None), (None, None, None, None)]
 
 
+def test_training_takes_a_copied_text_once(spark):
+    rows = [("the same text", "en")] * 400 + [(f"quite different words {i}", "en") for i in range(40)]
+    model, other = (langid.train(spark.createDataFrame(x, "text string, lang string"), per_language=60) for x in (rows, sorted(set(rows))))
+    assert model.languages == ("en",) and (model.weights == other.weights).all()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

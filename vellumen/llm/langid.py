@@ -53,19 +53,19 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> Model:
-    """Trigram probabilities from about `per_language` rows of each language, and no more: by the hash of the text.
+    """Trigram probabilities from about `per_language` distinct texts of each language, and no more: by the hash of the text.
 
     The sample is bounded by that parameter; all of a chosen text counts. Rows with a null text
     or language don't. Counting is distributed; the driver gets at most SLOTS numbers a language.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    hashed = F.xxhash64("text")
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", hashed).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
         return Model((), np.empty((SLOTS, 0), np.float32))
-    # Hashes that twice as many rows as needed lie below; so few rows meet in the window's tasks.
+    # Hashes that twice as many texts as needed lie below; so few meet in the window's tasks.
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * per_language + 50) / n)))))
-    hashed = F.xxhash64("text")
-    few = rows.where(F.abs(hashed.cast("double")) <= F.element_at(share, F.col("lang")) * 2.0**63)
+    few = rows.where(F.abs(hashed.cast("double")) <= F.element_at(share, F.col("lang")) * 2.0**63).distinct()
     sample = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "text"))).where(F.col("_n") <= per_language)
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
 
