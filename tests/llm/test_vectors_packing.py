@@ -389,6 +389,12 @@ def test_training_takes_a_copied_text_once(spark):
     assert model.languages == ("en",) and (model.weights == other.weights).all()
 
 
+def test_embeddings_of_any_scale(spark):
+    rows = [(i, [3.0 * s, 4.0 * s], 0) for i, s in enumerate([1.0, 1e-160, 1e160, 5e-324, 4e307])] + [(9, [4e307, -3e307], 0)]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {i: (4, 0) for i in range(5)} | {9: (0, 9)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

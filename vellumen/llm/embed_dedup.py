@@ -36,6 +36,8 @@ def linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     x| |rest of y|, as both have length 1; only pairs which that may lift to `least` are
     computed in double precision.
     """
+    # Powers of two keep every digit, and squares in range.
+    x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(axis=1, initial=0.0))[1][:, None]) for z in (x, y))
     length_x, length_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     qx, sx, nx, ex = quantised(x / length_x[:, None])
     qy, sy, _, ey = quantised(y / length_y[:, None])
@@ -100,9 +102,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), F.col(vector_col).alias("embedding"))
     good = F.coalesce(F.col("group").isNotNull() & F.col("id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    # A double sum of squares may still be out of range.
-    fits = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).between(1e-290, 1e290)
-    classes = materialize(rows.where(good & fits).groupBy("group", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    classes = materialize(rows.where(good).groupBy("group", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     sizes = classes.groupBy("group", F.size("embedding").alias("width")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = classes.withColumn("width", F.size("embedding")).join(sizes, ["group", "width"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -112,6 +112,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     components = connected_components(found.select("u", "v"))
     about = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     about = about.select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked_rows = rows.where(good & fits).join(about, ["group", "embedding"]).select("id", "n_links", "component_id")
-    others = rows.where(~(good & F.coalesce(fits, F.lit(False)))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    linked_rows = rows.where(good).join(about, ["group", "embedding"]).select("id", "n_links", "component_id")
+    others = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked_rows.unionByName(others).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
