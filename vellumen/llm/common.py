@@ -62,12 +62,34 @@ def text_bytes(spark: SparkSession, docs: DataFrame, column: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
 
 
+#: Tasks over which a hub's links are dealt; a node is a hub beyond HUB links, and beyond a 4096th of all.
+SALTS, HUB = 256, 1 << 16
+
+
+def attached(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """(u, v, m) for edges (u, v) and the numbers m of least (u, m, n), n being how many edges u has.
+
+    A hub's edges are dealt over SALTS tasks, its number being in all of them. There are at
+    most 2 * 4096 hubs, as edges of either direction number at most twice the total: so the
+    list of them may be broadcast.
+    """
+    hub = max(HUB, total // 4096)
+    if total <= hub:
+        return edges.join(least, "u").select("u", "v", "m")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    hubs = least.where(F.col("n") > hub).select("u", F.lit(True).alias("hub"))
+    salted = edges.join(F.broadcast(hubs), "u", "left").select("u", "v", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int").alias("s"))
+    numbers = least.select("u", "m", F.explode(F.when(F.col("n") > hub, salts).otherwise(F.array(F.lit(0)))).alias("s"))
+    return salted.join(numbers, ["u", "s"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     edges: two long columns u, v. Alternates the large-star and small-star steps of
-    Kiveris et al. (2014); each round is written to the shared folder. All grouping is by
-    aggregates with map-side parts, so a node with very many links costs one row a task.
+    Kiveris et al. (2014); each round is written to the shared folder. A node with very many
+    links, as every large component ends with, is counted with map-side parts and dealt over
+    many tasks where its links meet its number.
     """
 
     def signature(e: DataFrame):
@@ -77,10 +99,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = signature(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = attached(both.where("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attached(large, low, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = signature(e)
         if now == before:
