@@ -300,3 +300,42 @@ def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
     rows = [(7, "one text about this"), (7, "quite another thing altogether"), (7, "quite another  thing altogether"), (8, "ONE text about this"), (7, "one text about this")]
     found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"], r["text"].split()[0]) for r in found) == [(7, "one"), (7, "quite")]
+
+
+def test_components_deal_hubs_over_tasks(spark, monkeypatch):
+    from vellumen.llm import common
+
+    monkeypatch.setattr(common, "HUB", 3)
+    monkeypatch.setattr(common, "SALTS", 4)
+    r = random.Random(13)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(7, i) for i in range(300, 500)] + [(i, 900) for i in range(600, 700)]
+    nodes = {n for e in edges if e[0] != e[1] for n in e}
+    found = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert Counter((x["node"], x["component"]) for x in found) == Counter(brute_components(edges, nodes).items())
+
+
+def test_a_common_pair_of_words_makes_no_large_bucket(spark, tmp_path):
+    """Half of the windows hold one pair of words: its bucket would get them all if it were ever a minimiser."""
+    from vellumen.llm.common import Words, byte_column
+    from vellumen.llm.routed import ranks
+
+    r = random.Random(14)
+    rows = [(i, " ".join("common pair" if k % 2 else f"w{r.randrange(3000)} x{r.randrange(3000)}" for k in range(80))) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert Counter(map(tuple, superkmer.drop_repeated_windows(docs, window=13).collect())) == Counter(brute_windows(rows, 13))
+    found = suffix_dedup.drop_repeated_bytes(docs, length=60)
+    assert Counter((*x[:4], bytes(x[4])) for x in found.collect()) == Counter(brute_bytes(rows, 60))
+    # Grams of three words with the pair inside are as rare as others; single pairs aren't.
+    for gram, hot in ((2, 0.02), (3, 0.02)):
+        monkey, superkmer.GRAM = superkmer.GRAM, gram
+        try:
+            classes = ranks(docs, "text", 1, 1 << 20, lambda raw, at: superkmer.gram_hashes(Words(raw, at), gram))
+            raw, at = byte_column(pa.array([t for _, t in rows]))
+            _, count, least = superkmer.super_kmers(Words(raw, at), 13, classes)
+        finally:
+            superkmer.GRAM = monkey
+        load = Counter()
+        for n, m in zip(count.tolist(), least.tolist(), strict=True):
+            load[m] += n
+        assert max(load.values()) < hot * sum(load.values())

@@ -14,9 +14,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumen.llm.common import byte_column, dump, load, materialize, slices
@@ -44,6 +46,30 @@ def repeatable(docs: DataFrame) -> DataFrame:
     return docs if plain else materialize(docs)
 
 
+def ranks(docs: DataFrame, text_col: str, size: int, slice_bytes: int, grams: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A class of frequency, from 0 for none, for each slot of grams, counted over all rows.
+
+    grams(bytes, offsets) gives the hash of each occurrence; its low bits are the slot. A
+    gram that goes by these classes first and by its hash second is hardly ever a common one
+    where a window has any other, so no bucket grows with the frequency of a word. size: bytes
+    of all texts, by which there are 2^16 to 2^20 slots; the driver gets one number for each.
+    """
+    slots = 1 << min(20, max(16, (size >> 20).bit_length()))
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for part in slices(rows, text_col, slice_bytes):
+            total += np.bincount((grams(*byte_column(part.column(0))) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=schema.names)
+
+    found = docs.select(text_col).mapInArrow(count, schema).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(slots, np.uint8)
+    out[found["slot"].to_numpy(np.int64)] = (4 * np.log2(found["n"].to_numpy(np.float64) + 1)).astype(np.uint8)
+    return out
+
+
 def through_buckets(
     docs: DataFrame,
     columns: list[str],

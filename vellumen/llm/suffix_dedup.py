@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumen.llm.common import byte_column, deltas, mixed, sliding_min, spread, stretches, summed, text_bytes
-from vellumen.llm.routed import through_buckets
+from vellumen.llm.routed import ranks, repeatable, through_buckets
 from vellumen.llm.superkmer import rolled
 
 #: Bytes of text in a batch, and of strings that a bucket should get.
-SLICE, BUCKET = 4 << 20, 8 << 20
+SLICE, BUCKET = 2 << 20, 4 << 20
 #: Bytes of an anchor.
 GRAM = 16
 #: A scrambled number for each byte, and the odd base of the prefix hashes.
@@ -161,21 +161,29 @@ def shared_windows(strings: list[bytes], anchor: np.ndarray, length: int) -> np.
     return np.stack([some[rows], at, stop - at])
 
 
-def anchored_strings(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A hash for each `gram` bytes on end; those that cross documents have one, too."""
+    return mixed(rolled(NOISE[raw], gram)) if len(raw) >= gram else np.zeros(0, np.uint64)
+
+
+def anchored_strings(raw: np.ndarray, at: np.ndarray, length: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, anchor's place, anchor's hash) of runs of windows with one anchor.
 
-    A window's anchor is the leftmost of its grams with the least hash, which depends on
-    the window's bytes alone.
+    A window's anchor is, of its grams of the rarest class, the leftmost with the least hash,
+    which depends on the window's bytes and the classes alone.
     """
     gram = min(GRAM, length)
     count = np.maximum(np.diff(at) - length + 1, 0)
     if not count.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = mixed(rolled(NOISE[raw], gram))
-    low = np.uint64(0xFFFFFFFF)
-    place = sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1) & low
+    hashes = gram_hashes(raw, gram)
+    ranked = classes[(hashes & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+    ranked |= (hashes >> np.uint64(40)) << np.uint64(32)
+    ranked |= np.arange(len(hashes), dtype=np.uint64)
+    place = (sliding_min(ranked, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del ranked
     windows = spread(at[:-1], count)
-    own = place[windows].astype(np.int64)
+    own = place[windows]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     return windows[first], np.diff(np.append(first, len(own))), own[first], hashes[own[first]]
 
@@ -189,15 +197,19 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross documents and are judged on the input. A null text is empty. Repeated ids, null ids
     and repeated rows are documents of their own. Other columns are not read.
     """
-    spark = docs.sparkSession
-    buckets = max(1, 3 * text_bytes(spark, docs, text_col) // BUCKET)
-    longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     names = [id_col, *keep]
+    if {"n_bytes", "n_removed", "n_spans", "kept"} & set(names):
+        raise ValueError("a kept column has the name of a result")
+    picked = repeatable(docs.select(docs[text_col].alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(names))))
+    size = text_bytes(docs.sparkSession, picked, "text")
+    buckets = max(1, 3 * size // BUCKET)
+    classes = ranks(picked, "text", size, SLICE, lambda raw, at: gram_hashes(raw, min(GRAM, length)))
+    longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([*(docs.schema[c] for c in names), *longs, T.StructField("kept", T.StringType() if whole_characters else T.BinaryType())])
 
     def split(part: pa.RecordBatch):
         raw, at = byte_column(part.column(0))
-        first, count, anchor, hashed = anchored_strings(raw, at, length)
+        first, count, anchor, hashed = anchored_strings(raw, at, length, classes)
         text, seen = raw.tobytes(), {}
         entry = np.fromiter((seen.setdefault(text[s:e], len(seen)) for s, e in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)), np.int64, len(first))
         bucket, where = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
@@ -267,6 +279,5 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kept = kept.cast(pa.string())
         return pa.RecordBatch.from_arrays([*state["rows"], pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), kept], names=schema.names)
 
-    picked = docs.select(docs[text_col].alias("_text"), *names)
-    return through_buckets(picked, picked.columns, "_text", SLICE, split, bucket, settle, schema)
+    return through_buckets(picked, picked.columns, "text", SLICE, split, bucket, settle, schema)
 

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumen.llm.common import Words, byte_column, deltas, dictionary, mixed, sliding_min, spread, stretches, summed, text_bytes
-from vellumen.llm.routed import through_buckets
+from vellumen.llm.routed import ranks, repeatable, through_buckets
 
 #: Bytes of text in a batch, and of packed strings that a bucket should get.
 SLICE, BUCKET = 8 << 20, 16 << 20
 #: Windows in a super-k-mer at most; longer runs go as several.
 RUN = 64
 #: Words of a minimiser.
-GRAM = 2
+GRAM = 3
 #: Ranks rows without an id behind all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -38,14 +38,28 @@ def rolled(codes: np.ndarray, width: int) -> np.ndarray:
         step, scale = 2 * step, np.uint64(int(scale) ** 2 % 2**64)
 
 
-def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimiser) of each run of windows that share a minimiser."""
+def gram_hashes(words: Words, gram: int) -> np.ndarray:
+    """A hash for each `gram` words on end; grams that cross documents have one, too."""
+    if len(words) < gram:
+        return np.zeros(0, np.uint64)
+    codes, distinct = words.encoded()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    return mixed(rolled(hashes[codes], gram))
+
+
+def super_kmers(words: Words, window: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, minimiser) of each run of windows that share a minimiser.
+
+    A window's minimiser is its gram of the rarest class, of those the one with the least hash.
+    """
     count = np.maximum(np.diff(words.first) - window + 1, 0)
     if not count.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    codes, distinct = words.encoded()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
-    least = sliding_min(mixed(rolled(hashes[codes], min(GRAM, window))), window - min(GRAM, window) + 1)
+    gram = min(GRAM, window)
+    hashes = gram_hashes(words, gram)
+    ranked = hashes >> np.uint64(8)
+    ranked |= classes[(hashes & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+    least = sliding_min(ranked, window - gram + 1)
     begin = np.zeros(len(least) + 1, bool)
     valid = np.zeros(len(least), bool)
     valid[spread(words.first[:-1], count)] = True
@@ -60,7 +74,7 @@ def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     parts = -(-(last - first) // RUN)
     part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(first, parts) + part * RUN
-    return starts, np.minimum(np.repeat(last, parts) - starts, RUN), least[starts]
+    return starts, np.minimum(np.repeat(last, parts) - starts, RUN), mixed(least[starts])
 
 
 def count_windows(parts: list, window: int) -> list:
@@ -115,16 +129,19 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Consecutive windows of a batch with one minimiser travel as one string, once a batch, to
     the minimiser's bucket; there a sort puts equal windows together, and the hash it sorts by
-    is compared word by word. Which windows are repeats returns to the batches.
+    is compared word by word. Which windows are repeats returns to the batches. Minimisers
+    are rare grams before common ones, by counts over all rows.
     """
-    spark = docs.sparkSession
-    buckets = max(1, 3 * text_bytes(spark, docs, text_col) // BUCKET)
+    docs = repeatable(docs.select(id_col, text_col))
+    size = text_bytes(docs.sparkSession, docs, text_col)
+    buckets = max(1, 3 * size // BUCKET)
+    classes = ranks(docs, text_col, size, SLICE, lambda raw, at: gram_hashes(Words(raw, at), min(GRAM, window)))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def split(part: pa.RecordBatch):
         ids, text = part.column(0), part.column(1)
         words = Words(*byte_column(text))
-        first, count, least = super_kmers(words, window)
+        first, count, least = super_kmers(words, window, classes)
         rank = ids.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
         owner = np.searchsorted(words.first, first, side="right") - 1
         raw, seen = words.buf.tobytes(), {}
