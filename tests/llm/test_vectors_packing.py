@@ -44,7 +44,7 @@ def usable(v):
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, monkeypatch, small):
     if small:
-        for name, value in (("DATA", 40), ("QUERIES", 7), ("LEAF", 2), ("TOGETHER", 3), ("SEEDS", 9)):
+        for name, value in (("DATA", 40), ("QUERIES", 7), ("LEAF", 2), ("CHUNK", 2), ("FIRST", 9), ("PRODUCTS", 20), ("SAMPLE", 60)):
             monkeypatch.setattr(cover_tree, name, value)
     rows = vectors()
     found = cover_tree.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 5 == 0, k=5).collect()
@@ -73,6 +73,31 @@ def test_cover_tree_holds_its_promises():
         assert sum(tree.stop[c] - tree.start[c] for c in children) in (0, len(own))
 
 
+def test_dual_tree_prunes_what_can_be_pruned():
+    """Products of nodes and points against those of brute force: few where vectors lie in clusters, hardly more where they don't."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(60, 16)) * 100
+    near = np.floor(np.repeat(centres, 60, axis=0) + r.normal(size=(3600, 16)) * 4)
+    far = np.floor(r.normal(size=(2000, 64)) * 100)
+    for x, most in ((near, 0.25), (far, 1.1)):
+        ids = np.arange(len(x))
+        q = ids % 50 == 0
+        run = cover_tree.DualTreeSearch(cover_tree.CoverTree(x[q]), ids[q], cover_tree.CoverTree(x), ids, 5)
+        best = run.run()
+        for i, found in zip(ids[q], best, strict=True):
+            want = sorted((-int(s), int(j)) for j, s in enumerate(x @ x[i]) if j != i)[:5]
+            assert found == want
+        assert run.work < most * q.sum() * len(x)
+
+
+def test_blocks_that_cannot_hold_better_ones_are_not_searched():
+    space = cover_tree.Space({2: np.array([[0.0, 1.0], [100.0, 0.0], [-100.0, 0.0]])})
+    space.measure([{"width": 2, "cell": c, "far": 1.0, "n": 10, "asked": 5} for c in range(3)])
+    assert space.first(2, 1) == 1
+    tops = space.tops(2, 1)
+    assert tops[1] >= 101 * 101 and tops[2] < 0 and abs(tops[0]) < 300
+
+
 def components(pairs, nodes):
     root = {n: n for n in nodes}
 
@@ -283,51 +308,141 @@ def test_sentencepiece(spark):
     assert all(r["text"] == plain[r["doc_id"]] for r in found if r["doc_id"] in plain)
 
 
-def unigram_model():
-    """A model file with unigram scores and byte fallback."""
-
-    def field(number, value):
-        if isinstance(value, int):
-            return bytes([number << 3]) + varint(value)
-        if isinstance(value, float):
-            return bytes([number << 3 | 5]) + np.float32(value).tobytes()
-        return bytes([number << 3 | 2]) + varint(len(value)) + value
-
-    def varint(n):
-        out = b""
-        while n > 127:
-            out += bytes([n & 127 | 128])
-            n >>= 7
-        return out + bytes([n])
-
-    pieces = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
-    pieces += [(p, s, 1) for p, s in (("▁", -2.0), ("a", -3.0), ("b", -3.5), ("ab", -4.0), ("▁a", -4.5), ("bb", -5.0), ("▁ab", -6.0), ("aab", -6.5))]
-    body = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces)
-    spec = field(3, 1) + bytes([35 << 3 & 127 | 128, 35 << 3 >> 7]) + varint(1)
-    return body + field(2, spec) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)), pieces
-
-
-def test_unigram_models_take_the_best_scored_path():
-    model, pieces = unigram_model()
-    fst = wfst.Transducer(model)
-    score = {p: s for p, s, t in pieces if t == 1}
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def a_model(pieces, kind, fallback=True, charsmap=b"", prefix=1, squeeze=0, escape=1):
+    """A model file with given pieces (text, score, type)."""
+    head = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback]
+    body = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in (*head, *pieces))
+    spec = field(3, kind) + field(35, int(fallback))
+    return body + field(2, spec) + field(3, field(1, b"made") + (field(2, charsmap) if charsmap else b"") + field(3, prefix) + field(4, squeeze) + field(5, escape))
+
+
+def merges(r, alphabet, n, blank="▁"):
+    """Pieces of a BPE model: the letters, and pieces made of two earlier ones; some letters are in longer pieces only."""
+    made = [*alphabet, blank]
+    for _ in range(n):
+        p = r.choice(made) + r.choice(made)
+        if len(p) < 9 and p not in made:
+            made.append(p)
+    gone = set(alphabet[-2:])
+    return [(p, -float(i), 1) for i, p in enumerate(made) if p not in gone]
+
+
+UNIGRAM_PIECES = [(p, s, 1) for p, s in (("▁", -2.0), ("a", -3.0), ("b", -3.5), ("ab", -4.0), ("▁a", -4.5), ("bb", -5.25), ("▁ab", -6.0), ("aab", -6.75), ("fi", -7.5), ("1", -6.125), ("ガ", -8.0))]
+
+
+def nfkc():
+    """The character map that the library has for its usual normaliser."""
+    model = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    return dict(wfst.fields(dict(wfst.fields(model))[3]))[2]
+
+
+def model_cases():
+    r = random.Random(16)
+    bpe = merges(r, list("abcdefé1"), 60)
+    users = [("ab", 0.0, 4), ("abc", 0.0, 4), ("c▁", 0.0, 4), ("ﬁ", 0.0, 4)]
+    others = [p for p in bpe if p[0] not in {u[0] for u in users}]
+    unused = [(p, s, 5 if len(p) > 2 and k % 3 == 0 else t) for k, (p, s, t) in enumerate(bpe)]
+    yield "unigram", a_model(UNIGRAM_PIECES, 1)
+    yield "unigram without fallback", a_model(UNIGRAM_PIECES, 1, fallback=False)
+    yield "unigram with a map", a_model(UNIGRAM_PIECES, 1, charsmap=nfkc(), squeeze=1)
+    yield "unigram with users' pieces", a_model([*UNIGRAM_PIECES, ("ba", 0.0, 4), ("a▁b", 0.0, 4)], 1)
+    yield "bpe", a_model(bpe, 2)
+    yield "bpe without fallback", a_model(bpe, 2, fallback=False)
+    yield "bpe with a map", a_model(bpe, 2, charsmap=nfkc(), squeeze=1)
+    yield "bpe with a map, blanks stay", a_model(bpe, 2, charsmap=nfkc(), squeeze=0)
+    yield "bpe without a prefix", a_model(bpe, 2, prefix=0, squeeze=1)
+    yield "bpe with users' pieces", a_model([*others, *users], 2)
+    yield "bpe with users' pieces and a map", a_model([*others, *users], 2, charsmap=nfkc(), squeeze=1)
+    yield "bpe with unused pieces", a_model(unused, 2)
+    yield "bpe of plain blanks", a_model(merges(r, list("abcdefé1"), 60, " "), 2, escape=0)
+
+
+def model_texts():
+    r = random.Random(17)
+    parts = [*"aabbccdefé1", "ab", "abc", " ", " ", "  ", "▁", "ﬁ", "①", "ｶﾞ", "㈱", "\u00a0", "\t", "\u200b", "x", "中文", "\x01", "😀", "e\u0301"]
+    return ["", " ", "   ", "▁", "\u200b", " \t "] + ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(400)]
+
+
+@pytest.mark.parametrize(("name", "model"), list(model_cases()), ids=[n for n, _ in model_cases()])
+def test_compiled_models_encode_and_decode_as_the_library(tmp_path, name, model):
+    (tmp_path / "m").write_bytes(model)
+    tool = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = model_texts()
+    coder = wfst.Codec(str(tmp_path / "m"))
+    ids, at = coder.encode(*byte_column(pa.array(texts)))
+    decoded = coder.decode(ids, at)
+    for n, text in enumerate(texts):
+        want = tool.encode(text)
+        assert ids[at[n] : at[n + 1]].tolist() == want, (name, text)
+        assert coder.fst.encode(text) == want
+        assert decoded[n].decode() == tool.decode(want), (name, text)
+
+
+def test_decoding_any_ids_as_the_library(tmp_path):
+    r = random.Random(18)
+    for name, model in model_cases():
+        (tmp_path / "m").write_bytes(model)
+        tool = sentencepiece.SentencePieceProcessor(model_proto=model)
+        coder = wfst.Codec(str(tmp_path / "m"))
+        for _ in range(150):
+            ids = [r.choice([0, 1, 2, r.randrange(len(tool)), len(tool) - 1 - r.randrange(9)]) for _ in range(r.randint(0, 6))]
+            assert coder.decode(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode() == tool.decode(ids), (name, ids)
+
+
+def test_shortest_path_by_hand():
+    """The composed machine of a small model, written out, against the compiled one."""
+    fst = wfst.Transducer(a_model(UNIGRAM_PIECES, 1))
+    score = {p: s for p, s, t in UNIGRAM_PIECES}
     r = random.Random(6)
     for _ in range(300):
         text = "".join(r.choice("aab  ") for _ in range(r.randint(0, 9)))
-        best = {0: 0.0}
         full = fst.normalised(text)
+        best = {0: 0.0}
         for e in range(1, len(full) + 1):
             best[e] = max(best[s] + score.get(full[s:e], -1e9) for s in range(e))
         ids = fst.encode(text)
         assert "".join(fst.pieces[i] for i in ids) == full
         assert sum(fst.scores[i] for i in ids) == pytest.approx(best[len(full)])
     assert [fst.pieces[i] for i in fst.encode("é")] == ["▁", "<0xC3>", "<0xA9>"]
-
-
-def test_models_with_other_normalisers_are_refused():
-    model, _ = unigram_model()
-    with pytest.raises(ValueError):
-        wfst.Transducer(model + bytes([3 << 3 | 2, 3, 2 << 3 | 2, 1, 1]))
+    # Every path of a BPE model, weighed: one is finite, and it is the library's.
+    model = a_model(merges(r, list("abc"), 12), 2)
+    fst, tool = wfst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+
+    def paths(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            symbol = next((i for i in fst.lexicon.accepts if i >= 0 and fst.symbols[i] == text[:n]), None)
+            if symbol is not None:
+                yield from ([symbol, *rest] for rest in paths(text[n:]))
+
+    for _ in range(60):
+        text = "".join(r.choice("abc ") for _ in range(r.randint(1, 6)))
+        finite = [p for p in paths(fst.normalised(text)) if sum(fst.merges.arc(a, b) for a, b in zip(p, p[1:], strict=False)) == 0]
+        assert len(finite) == 1 and [i for s in finite[0] for i in fst.emits[s]] == tool.encode(text)
+
+
+def test_models_that_are_not_compiled_are_refused():
+    model = a_model(UNIGRAM_PIECES, 1)
+    for more in (field(2, field(3, 3)), field(2, field(24, 1)), field(5, field(2, b"map"))):
+        with pytest.raises(ValueError):
+            wfst.Transducer(model + more)
 
 
 LANGUAGES = {"en": "the cat sat on that mat and it was there with this", "de": "der hund und die katze ist nicht auf dem großen haus", "fr": "le chat est dans la maison et les enfants où très"}
