@@ -111,6 +111,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def flat(root: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The root of each row's root, and so on."""
+    order = np.argsort(ids)
+    while True:
+        above = root[order[np.searchsorted(ids[order], root)]]
+        if (above == root).all():
+            return root
+        root = above
+
+
+def joined(root: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Puts rows a and b under one root, the smallest id of what they reach; root holds ids, and is changed."""
+    order = np.argsort(ids)
+    place = lambda x: order[np.searchsorted(ids[order], x)]
+    while len(a):
+        root[:] = flat(root, ids)
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return
+        np.minimum.at(root, place(high[apart]), low[apart])
+        a, b = a[apart], b[apart]
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.llm.common import connected_components, materialize
+from vellumen.llm.common import connected_components, flat, joined, materialize
 
-#: Vectors of a tile, about, and pairs recomputed at a time.
-TILE, PAIRS = 2048, 20_000
+#: Vectors of a tile, about; rows multiplied and pairs recomputed at a time.
+TILE, ROWS, PAIRS = 2048, 512, 20_000
 
 FOUND = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("links", T.LongType())])
 
@@ -29,63 +31,94 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return small, scale, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1)
 
 
-def linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) with a cosine of at least `least`.
+def directions(x: np.ndarray) -> np.ndarray:
+    """Vectors at a scale where squares stay in range: powers of two keep every digit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
+#: What a vector is known by in the first search: 8-bit numbers, their scale, and the two lengths.
+CODE = T.StructType([T.StructField("code", T.BinaryType()), *(T.StructField(n, T.DoubleType()) for n in ("scale", "near", "rest"))])
+
+
+def coded(x: np.ndarray) -> list[pa.Array]:
+    """The columns of CODE for vectors that aren't zero."""
+    x = directions(x)
+    small, scale, near, rest = quantised(x / np.linalg.norm(x, axis=1)[:, None])
+    width = small.shape[1]
+    codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(small), [None, pa.py_buffer(np.ascontiguousarray(small))]).cast(pa.binary())
+    return [codes, pa.array(scale), pa.array(near), pa.array(rest)]
+
+
+class Codes:
+    """Rows of CODE."""
+
+    def __init__(self, table: pa.Table, rows: np.ndarray):
+        table = table.take(pa.array(rows))
+        self.small = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(len(rows), -1)
+        self.scale, self.near, self.rest = (table[c].to_numpy() for c in ("scale", "near", "rest"))
+        # Products of 8-bit numbers are exact in the float type that holds their sum.
+        self.kind = np.float32 if self.small.shape[1] * 127 * 127 < 2**24 else np.float64
+
+
+def possible(x: Codes, y: Codes, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of x, rows of y) whose cosine may be `least` or more, some rows of x at a time.
 
     The integer product of two rounded vectors is off by no more than |rest of x| + |rounded
-    x| |rest of y|, as both have length 1; only pairs which that may lift to `least` are
-    computed in double precision.
+    x| |rest of y|, as both have length 1.
     """
-    # Powers of two keep every digit, and squares in range.
-    x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(axis=1, initial=0.0))[1][:, None]) for z in (x, y))
-    length_x, length_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    qx, sx, nx, ex = quantised(x / length_x[:, None])
-    qy, sy, _, ey = quantised(y / length_y[:, None])
-    # Products of 8-bit numbers are exact in the float type that holds their sum.
-    kind = np.float32 if x.shape[1] * 127 * 127 < 2**24 else np.float64
-    fy = qy.astype(kind).T
-    out_i, out_j = [], []
-    for start in range(0, len(x), 512):
-        rows = slice(start, start + 512)
-        near = (qx[rows].astype(kind) @ fy).astype(np.float64) * sx[rows, None] * sy
-        i, j = np.nonzero(near + ex[rows, None] + nx[rows, None] * ey >= least - 1e-9)
-        i += start
-        for cut in range(0, len(i), PAIRS):
-            a, b = i[cut : cut + PAIRS], j[cut : cut + PAIRS]
-            good = np.einsum("ij,ij->i", x[a], y[b]) / (length_x[a] * length_y[b]) >= least
-            out_i.append(a[good])
-            out_j.append(b[good])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    other = y.small.astype(y.kind).T
+    for start in range(0, len(x.small), ROWS):
+        rows = slice(start, start + ROWS)
+        near = (x.small[rows].astype(x.kind) @ other).astype(np.float64) * x.scale[rows, None] * y.scale
+        i, j = np.nonzero(near + x.rest[rows, None] + x.near[rows, None] * y.rest >= least - 1e-9)
+        yield i + start, j
+
+
+def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the left and the right tile; both are the same where the tile meets itself."""
+    side = table["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, left if table["left"][0].as_py() == table["right"][0].as_py() else right
+
+
+def wanted(group: pa.Table, least: float, names: list[str]) -> pa.Table:
+    """The vectors of a pair of tiles that may have a link there."""
+    left, right = sides(group)
+    need = np.zeros(group.num_rows, bool)
+    if len(left) and len(right):
+        same = left is right
+        for i, j in possible(Codes(group, left), Codes(group, right), least):
+            if same:
+                i, j = i[i != j], j[i != j]
+            need[left[i]] = need[right[j]] = True
+    return group.select(names).filter(pa.array(need))
 
 
 def tile_pair(group: pa.Table, least: float) -> pa.Table:
-    """For each vector with links in a pair of tiles: the smallest it reaches there, and its number of links there."""
-    side = group["side"].to_numpy()
+    """For each vector with links in a pair of tiles: the smallest it reaches there, and its number of links there.
+
+    Pairs that the bounds let through are computed in double precision.
+    """
     ids, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
-    width = len(group["embedding"][0].as_py())
-    vectors = group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1)
-    same = not len(right) and (group["left"][0].as_py() == group["right"][0].as_py())
-    i, j = linked(vectors[left], vectors[left if same else right], least) if same or len(right) else (np.zeros(0, int), np.zeros(0, int))
-    if same:
-        i, j = i[i < j], j[i < j]
-        a, b = left[i], left[j]
-    else:
-        a, b = left[i], right[j]
-    links = np.zeros(len(ids), np.int64)
-    np.add.at(links, a, copies[b])
-    np.add.at(links, b, copies[a])
-    root = ids.copy()
-    while len(a):
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        if (root == before).all():
-            break
+    vectors = group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    vectors = directions(vectors)
+    length = np.linalg.norm(vectors, axis=1)
+    left, right = sides(group)
+    same = left is right
+    links, root = np.zeros(len(ids), np.int64), ids.copy()
+    if len(left) and len(right):
+        for i, j in possible(Codes(group, left), Codes(group, right), least):
+            if same:
+                i, j = i[i < j], j[i < j]
+            for cut in range(0, len(i), PAIRS):
+                a, b = left[i[cut : cut + PAIRS]], right[j[cut : cut + PAIRS]]
+                good = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b]) >= least
+                a, b = a[good], b[good]
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                joined(root, ids, a, b)
     some = np.flatnonzero(links)
-    return pa.table({"u": ids[some], "v": root[some], "links": links[some]})
+    return pa.table({"u": ids[some], "v": flat(root, ids)[some], "links": links[some]})
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", least: float = 0.98) -> DataFrame:
@@ -96,22 +129,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     id, and vectors of unequal lengths link with nothing; such rows stay, with no links.
     Repeated rows count as rows. Other columns are not read.
 
-    Equal vectors of a group become one first. A group is dealt into tiles of bounded size,
-    and each pair of tiles is one piece of work, which gives sums and a spanning forest back,
-    not the pairs.
+    Equal vectors of a group become one first, and are rounded once. A group is dealt into
+    tiles of bounded size, and each pair of tiles is one piece of work: a first search over
+    rounded vectors, which alone are sent to every pair, finds the vectors that may have
+    links; those are then sent whole, and a second search gives sums and a spanning forest
+    back, not the pairs.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), F.col(vector_col).alias("embedding"))
     good = F.coalesce(F.col("group").isNotNull() & F.col("id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    classes = materialize(rows.where(good).groupBy("group", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    sizes = classes.groupBy("group", F.size("embedding").alias("width")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    dealt = classes.withColumn("width", F.size("embedding")).join(sizes, ["group", "width"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    plain = rows.where(good).groupBy("group", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("width", F.size("embedding"))
+    schema = T.StructType([*plain.schema, *CODE])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = batch.column(batch.schema.get_field_index("width")).to_numpy()
+            for w in np.unique(width):
+                part = batch.filter(pa.array(width == w))
+                x = part.column(part.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*part.columns, *coded(x.reshape(-1, w))], names=schema.names)
+
+    classes = materialize(plain.mapInArrow(code, schema))
+    # Written, as is what follows, so that Spark can split a large group where it is joined.
+    sizes = materialize(classes.groupBy("group", "width").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    dealt = classes.join(sizes, ["group", "width"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("group", "width", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "rep", "copies", "embedding")
-    found = materialize(dealt.groupBy("group", "width", "left", "right").applyInArrow(lambda t: tile_pair(t, least), FOUND))
+    keys = ["group", "width", "left", "right"]
+    paired = dealt.select("group", "width", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "rep", *CODE.names)
+    pair = T.StructType([classes.schema["group"], *(T.StructField(n, T.IntegerType()) for n in ("width", "left", "right", "side")), T.StructField("rep", T.LongType())])
+    need = materialize(paired.groupBy(*keys).applyInArrow(lambda t: wanted(t, least, pair.names), pair))
+    whole = need.join(classes.drop("group", "width"), "rep")
+    found = materialize(whole.groupBy(*keys).applyInArrow(lambda t: tile_pair(t, least), FOUND))
     links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.select("u", "v"))
     about = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    about = materialize(about.select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     linked_rows = rows.where(good).join(about, ["group", "embedding"]).select("id", "n_links", "component_id")
     others = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked_rows.unionByName(others).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
