@@ -339,3 +339,30 @@ def test_a_common_pair_of_words_makes_no_large_bucket(spark, tmp_path):
         for n, m in zip(count.tolist(), least.tolist(), strict=True):
             load[m] += n
         assert max(load.values()) < hot * sum(load.values())
+
+
+def test_dense_groups_give_a_forest(spark):
+    """Thousands of fingerprints around one: linked, with far fewer rows than links."""
+    r = random.Random(19)
+    base = r.getrandbits(64)
+    prints = {base}
+    while len(prints) < 3000:
+        near = base
+        for b in r.sample(range(64), r.randint(1, 3)):
+            near ^= 1 << b
+        prints.add(near)
+    others = {r.getrandbits(64) for _ in range(50)}
+    signed = [(i, p - 2**64 if p >> 63 else p) for i, p in enumerate([*sorted(prints), *sorted(others)])]
+    df = spark.createDataFrame(signed, "doc_id long, fingerprint long")
+    edges = simhash.links(df.select("fingerprint"))
+    assert edges.count() < 0.15 * 3000 * 2999 / 2
+    found = simhash.near_duplicates(df).collect()
+    assert Counter(x["component_id"] for x in found) == Counter({0: 3000}) + Counter(range(3000, 3050))
+
+
+@pytest.mark.parametrize(("radius", "segments"), [(4, 3), (4, 2)])
+def test_dense_keys_link_the_same(spark, monkeypatch, radius, segments):
+    monkeypatch.setattr(simhash, "DENSE", 2)
+    monkeypatch.setattr(simhash, "TILE", 5)
+    monkeypatch.setattr(simhash, "ROWS", 3)
+    test_near_duplicates.__wrapped__(spark, radius, segments) if hasattr(test_near_duplicates, "__wrapped__") else test_near_duplicates(spark, radius, segments)

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.llm.common import LOWER, Words, byte_column, connected_components, materialize, slices
+from vellumen.llm.common import LOWER, Words, byte_column, connected_components, flat, joined, materialize, slices
 
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 19
+#: Entries of a segment's value up to which lookups are joined with them one by one; rows of a tile beyond, and rows compared at a time.
+DENSE, TILE, ROWS = 64, 2048, 256
+
+LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
 def shingle_hashes(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +76,13 @@ def ball(value, width: int, radius: int):
 
 
 def links(classes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """(u, v) for classes (fingerprint, rep) at most `radius` bits apart.
+    """(u, v) for distinct fingerprints at most `radius` bits apart, or what they amount to: a forest that joins the same ones.
 
     The 64 bits are cut into segments. Two fingerprints within the radius agree in some
     segment up to radius // segments flipped bits, so each looks up that small ball around
     each of its segments in the table of the others' segments, and whole distances are verified.
+    Where many have one value of a segment, as a large group of near copies has, its entries and
+    lookups are dealt into tiles, and each pair of tiles gives a forest back, not its links.
     """
     cuts = [64 * i // segments for i in range(segments + 1)]
 
@@ -90,10 +96,37 @@ def links(classes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
             found.append(F.transform(ball(value, b - a, around), numbered(i)))
         return F.explode(F.concat(*found)).alias("key")
 
-    table = classes.select(keys(0), F.col("fingerprint").alias("there"), F.col("rep").alias("v"))
-    probe = classes.select(keys(radius // segments), F.col("fingerprint").alias("here"), F.col("rep").alias("u"))
+    table = classes.select(keys(0), F.col("fingerprint").alias("there"))
+    probe = classes.select(keys(radius // segments), F.col("fingerprint").alias("here"))
+    dense = materialize(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE))
     near = F.bit_count(F.col("here").bitwiseXOR(F.col("there"))) <= radius
-    return probe.join(table, "key").where((F.col("here") != F.col("there")) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = [f("here", "there").alias(n) for f, n in ((F.least, "u"), (F.greatest, "v"))]
+    if dense.isEmpty():
+        return probe.join(table, "key").where((F.col("here") != F.col("there")) & near).select(*ends).distinct()
+    thin = table.join(dense, "key", "left_anti")
+    few = probe.join(thin, "key").where((F.col("here") != F.col("there")) & near).select(*ends).distinct()
+    asked = materialize(probe.join(dense.select("key"), "key"))
+    about = materialize(dense.join(asked.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil(F.col("m") / TILE).cast("int").alias("others")))
+    dealt = lambda rows, value, own, other: rows.join(about, "key").select("key", F.pmod(F.xxhash64(value), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), F.lit(value == "here").alias("asks"), F.col(value).alias("fingerprint"))
+    both = dealt(table, "there", "tiles", "others").unionByName(dealt(asked, "here", "others", "tiles"))
+    many = both.groupBy("key", "tiles", "others").applyInArrow(lambda t: forest(t, radius), LINKS)
+    return few.unionByName(many)
+
+
+def forest(group: pa.Table, radius: int) -> pa.Table:
+    """(u, v): what a tile of entries of a segment's value and a tile of its lookups link, as each fingerprint's smallest."""
+    asks = group["asks"].to_numpy(zero_copy_only=False)
+    prints = group["fingerprint"].to_numpy()
+    ids, place = np.unique(prints, return_inverse=True)
+    here, there, root = place[asks], place[~asks], ids.copy()
+    bits = ids.view(np.uint64)
+    for start in range(0, len(here), ROWS):
+        rows = here[start : start + ROWS]
+        i, j = np.nonzero(np.bitwise_count(bits[rows][:, None] ^ bits[there]) <= radius)
+        joined(root, ids, rows[i], there[j])
+    root = flat(root, ids)
+    some = np.flatnonzero(root != ids)
+    return pa.table({"u": root[some], "v": ids[some]})
 
 
 #: Classes from which on two segments make less work than three: fewer chance candidates for larger balls.
@@ -112,8 +145,10 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = 4,
     prints = materialize(prints)
     classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
     cut = segments or (3 if classes.count() < MANY else 2)
-    found = connected_components(links(classes.select("fingerprint", F.col("fingerprint").alias("rep")), radius, cut))
+    found = connected_components(links(classes.select("fingerprint"), radius, cut))
     rooted = materialize(classes.join(found, classes["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")))
-    roots = rooted.select("fingerprint", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
+    # Written, so that Spark can split a large component where it is joined.
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    roots = rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id")
     others = [c for c in prints.columns if c not in (id_col, "fingerprint")]
     return prints.join(roots, "fingerprint").select(id_col, "fingerprint", "component_id", *others)
