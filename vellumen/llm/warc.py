@@ -76,7 +76,8 @@ def decisions(pages: DataFrame, least_bytes: int) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     key = F.sha2(payload, 256)
     narrow = pages.select("page_id", key.alias("key"), F.octet_length(payload).alias("size"))
-    firsts = narrow.where(F.col("size") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"))
+    # Written, so that Spark can split the rows of a frequent payload where they are joined.
+    firsts = materialize(narrow.where(F.col("size") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     told = narrow.select("page_id", "key").distinct().join(firsts, "key").where(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
     told = told.select(F.col("page_id").alias("_page"), F.col("key").alias("_key"), "first")
     rows = pages.select("page_id", "url", payload.alias("payload"), key.alias("key"))
@@ -170,7 +171,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=RECORD.names)
 
-    return index.select("file", F.floor(F.col("offset") / STRETCH).alias("stretch"), "offset", "length").groupBy("file", "stretch").applyInArrow(run, RECORD)
+    # The index is small beside what it points at: tasks are as many as there are stretches, by the bytes to read.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // (STRETCH // 8)))
+    dealt = index.select("file", F.floor(F.col("offset") / STRETCH).alias("stretch"), "offset", "length").repartition(tasks, "file", "stretch")
+    return dealt.groupBy("file", "stretch").applyInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
