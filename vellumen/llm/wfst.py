@@ -324,17 +324,22 @@ class Transducer:
         return self.shortest(text)
 
     def shortest(self, text: str) -> list[int]:
-        """Relaxes the arcs of the composed machine from place to place, as it has no cycles."""
+        """Relaxes the arcs of the composed machine from place to place, as it has no cycles.
+
+        One state a place is kept: a unigram model has no contexts, and of a BPE model's
+        contexts of a place just one is finite, as just one path is. So an arc to a place
+        that is reached already needs no weighing.
+        """
         n, arcs, accepts, bpe = len(text), self.lexicon.arcs, self.lexicon.accepts, self.bpe
-        known, arc = (self.merges.arcs.get, self.merges.arc) if bpe else (None, None)
-        # For each place, by context: (sum of weights, place before, context before, symbol or -1).
-        reached: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
-        reached[0][FREE] = (0.0, 0, FREE, -1)
+        known, arc, weights = (self.merges.arcs.get, self.merges.arc, None) if bpe else (None, None, self.weights)
+        cost, come = [INFINITY] * (n + 1), [0] * (n + 1)
+        symbols = [FREE] * (n + 1)  # the last on the way, which is a BPE model's context
+        cost[0] = 0.0
         for at in range(n):
-            here = reached[at]
-            if not here:
+            base = cost[at]
+            if base == INFINITY:
                 continue
-            state, alone = 0, False
+            state, context, alone = 0, symbols[at], False
             for stop in range(at, n):
                 state = arcs[state].get(text[stop])
                 if state is None:
@@ -344,33 +349,26 @@ class Transducer:
                     continue
                 if stop == at:
                     alone = True
-                there = reached[stop + 1]
-                for context, (cost, _, _, _) in here.items():
-                    if bpe:
-                        weight = 0.0 if context < 0 else known((context, symbol))
-                        if weight is None:
-                            weight = arc(context, symbol)
-                        if weight == INFINITY:
-                            continue
-                        total, after = cost + weight, symbol
-                    else:
-                        total, after = cost + self.weights[symbol], FREE
-                    old = there.get(after)
-                    if old is None or total < old[0]:
-                        there[after] = (total if bpe else float(np.float32(total)), at, context, symbol)
+                there = stop + 1
+                if bpe:
+                    if cost[there] < INFINITY:
+                        continue
+                    weight = 0.0 if context < 0 else known((context, symbol))
+                    if weight is None:
+                        weight = arc(context, symbol)
+                    total = base + weight
+                else:
+                    total = base + weights[symbol]
+                if total < cost[there]:
+                    cost[there], come[there], symbols[there] = total if bpe else float(np.float32(total)), at, symbol
             if not alone and (not bpe or text[at] not in self.alphabet):
-                there = reached[at + 1]
-                for context, (cost, _, _, _) in here.items():
-                    total = cost + (0.0 if bpe else self.penalty)
-                    if FREE not in there or total < there[FREE][0]:
-                        there[FREE] = (total if bpe else float(np.float32(total)), at, context, -1)
+                total = base if bpe else base + self.penalty
+                if total < cost[at + 1]:
+                    cost[at + 1], come[at + 1], symbols[at + 1] = total if bpe else float(np.float32(total)), at, FREE
         out: list[tuple[int, ...]] = []
-        at, last = n, reached[n]
-        context = min(last, key=lambda c: last[c][0])
-        while at:
-            _, before, context, symbol = reached[at][context]
-            out.append(self.emits[symbol] if symbol >= 0 else self.fallen_back(text[before:at]))
-            at = before
+        while n:
+            out.append(self.emits[symbols[n]] if symbols[n] >= 0 else self.fallen_back(text[come[n] : n]))
+            n = come[n]
         return [i for ids in reversed(out) for i in ids]
 
     def normalised(self, text: str) -> str:
