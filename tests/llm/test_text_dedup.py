@@ -305,7 +305,7 @@ def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
 def test_components_deal_hubs_over_tasks(spark, monkeypatch):
     from vellumen.llm import common
 
-    monkeypatch.setattr(common, "HUB", 3)
+    monkeypatch.setattr(common, "FREQUENT", 3)
     monkeypatch.setattr(common, "SALTS", 4)
     r = random.Random(13)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(7, i) for i in range(300, 500)] + [(i, 900) for i in range(600, 700)]

@@ -471,9 +471,14 @@ def test_language_id(spark):
     assert all(r["accepted"] for r in found if r["doc_id"] in held)
 
 
-def test_languages_of_no_documents(spark):
+def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert langid.documents(none).count() == 0
+    assert langid.corpus(none, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert cover_tree.top_k(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+    assert wfst.decode(wfst.encode(frame(spark, []), PIECES), PIECES).count() == 0
+    assert packing.pack(packing.pieces(frame(spark, []), WORDS).drop("ids")).count() == 0
     bare = spark.createDataFrame([(1, "text", None, None, 0)], none.schema)
     assert [r["language"] for r in langid.documents(bare).collect()] == ["und"]
 
@@ -498,6 +503,76 @@ def test_declared_language_and_host_weigh_in(spark):
     assert [tuple(g) for g in got] == [("a.b.example.org", "example.org", "org", "de"), (None, None, None, None), (None, None, None, None)]
 
 
+def fused(model, rows, evidence=60, smoothing=5.0, noise=1e-6):
+    """Posteriors worked out row by row: (id, text, declared, host, domain, suffix) to (id, language, confidence, n, accepted)."""
+    langs = range(len(model.languages))
+    seen = []
+    for _, text, *_ in rows:
+        padded = b" " + bytes(langid.FOLD[np.frombuffer((text or "").encode(), np.uint8)]) + b" " if text else b""
+        slots = [(padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32 >> 16 for i in range(len(padded) - 2) if padded[i : i + 3] != b"   "]
+        n = len(slots)
+        scale = min(n, evidence) / max(n, 1)
+        ll = [scale * math.fsum(float(model.weights[s, i]) for s in slots) for i in langs] + [-n * math.log(langid.SLOTS) * scale]
+        ll = [x - max(ll) for x in ll]
+        p = [math.exp(x) for x in ll[:-1]]
+        seen.append((n, ll, [round(1e6 * x / sum(p)) / 1e6 if n else 0.0 for x in p]))
+    out = []
+    for k, (i, _, *keys) in enumerate(rows):
+        n, ll, _ = seen[k]
+
+        def others(column):
+            """Sums over the other rows with the same value there."""
+            mine = [m for m, r in enumerate(rows) if m != k and (column is None or (keys[column] is not None and r[2 + column] == keys[column]))]
+            return [sum(seen[m][2][j] for m in mine) for j in langs]
+
+        top = others(None)
+        prior = [(x + 1) / (sum(top) + len(langs)) for x in top]
+        for column in (2, 1):  # domain, then host
+            level = others(column)
+            prior = [(x + smoothing * p) / (sum(level) + smoothing) for x, p in zip(level, prior, strict=True)]
+        scores = [x + math.log(p) for x, p in zip(ll, prior, strict=False)]
+        none = ll[-1] + math.log(noise)
+        for column in (0, 3):  # declared, suffix
+            if keys[column] is not None:
+                level = others(column)
+                marginal = (sum(level) + 0.5) / (sum(top) + 1)
+                scores = [s + math.log((x + smoothing * marginal) / (t + smoothing)) for s, x, t in zip(scores, level, top, strict=True)]
+                none += math.log(marginal)
+        scores.append(none)
+        best = scores.index(max(scores))
+        name = [*model.languages, "und"][best] if n else "und"
+        out.append((i, name, 1 / sum(math.exp(s - max(scores)) for s in scores) if n else 0.0, n, name != "und"))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 3])
+def test_the_posterior_by_brute_force(spark, monkeypatch, frequent):
+    """Documents and pages with every kind of evidence, and with none of some, against the formula row by row."""
+    from vellumen.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT", frequent)
+    monkeypatch.setattr(common, "SALTS", 4)
+    rows = [*labelled(40), (50, None, None, None, 0), (51, "", "en", "host1", 0), (52, "!!", None, "host1", 0), (53, "est le zq", None, None, 0), (3, *labelled(40)[3][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs.where("lang IS NOT NULL"), per_language=8)
+    pages = [(k, f"https://{lang}{k % 2}.example.{'de' if lang == 'de' else 'org'}/x" if k % 5 else None, f'<html{f" lang={lang}" if k % 3 else ""}><p>{t[: 9 + k]}</p>') for k, (_, t, lang, *_) in enumerate(labelled(30))]
+    found = langid.corpus(docs, spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()
+    every = [(i, t, None, s, None, None) for i, t, _, s, _ in rows]
+    for k, url, html in pages:
+        host = url.split("/")[2] if url else None
+        every.append((-1 - k, " " + " " + html[html.index("<p>") + 3 : -4] + " ", html[11:13] if "lang" in html[:12] else None, host, ".".join(host.split(".")[-2:]) if host else None, host.split(".")[-1] if host else None))
+    want = fused(model, every)
+    key = lambda r: (r[0], r[3])
+    for got, (i, name, confidence, n, accepted) in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert (got["doc_id"], got["language"], got["n_trigrams"], got["accepted"]) == (i, name, n, accepted)
+        assert got["confidence"] == pytest.approx(confidence, abs=2e-6)
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(f"text number {i} of {lang}", lang) for lang, n in (("a", 5), ("b", 3), ("c", 1)) for i in range(n)]
+    assert langid.train(spark.createDataFrame(rows, "text string, lang string"), languages=2).languages == ("a", "b")
+
+
 def test_training_takes_a_copied_text_once(spark):
     rows = [("the same text", "en")] * 400 + [(f"quite different words {i}", "en") for i in range(40)]
     model, other = (langid.train(spark.createDataFrame(x, "text string, lang string"), per_language=60) for x in (rows, sorted(set(rows))))
@@ -534,6 +609,81 @@ def test_pipeline(spark, tmp_path):
     assert {p["doc_id"] for p in packed} == set(seen["suffix_array_dedup"])
 
 
+def test_pipeline_keeps_other_columns_whatever_their_names(spark):
+    import corpus_pipeline
+
+    names = ["_key", "_n", "_text", "kept", "n_bytes", "n_removed", "n_spans", "row", "id", "gone", "key", "out", "fingerprint", "component", "node", "accepted", "language", "a.b", "first"]
+    rows = [(i, t, lang, s, 0, *(f"{n} of {i}" for n in names)) for i, t, lang, s, _ in labelled(30)] + [(None, None, None, None, None, *names)]
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in names)])
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        found = out.collect()
+        assert all(r[n] == f"{n} of {r['doc_id']}" for r in found if r["doc_id"] is not None for n in names)
+        assert len({r["doc_id"] for r in found}) > 20
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 31
+    assert [stage(spark, docs.limit(0), "").count() for _, stage in corpus_pipeline.STAGES] == [0, 0, 0, 0]
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path):
+    """Every stage's rows, worked out plainly from what the one before it kept."""
+    import corpus_pipeline
+    from tests.llm.test_text_dedup import brute_components, five_word_similarity
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("aeiourstn") for _ in range(r.randint(3, 9)))
+    base = [(i, f"{t} {' '.join(word() for _ in range(60))}", lang, s, 0) for i, t, lang, s, _ in labelled(50)]
+    passage = " ".join(word() for _ in range(60))
+    rows = list(base)
+    for k in range(12):  # near copies, exact copies, a passage in some, and noise
+        words = base[k][1].split()
+        words[r.randrange(len(words))] = word()
+        rows.append((100 + k, " ".join(words), "en", "host1", 0))
+    rows += [(200 + k, base[k][1], "en", "host0", 0) for k in range(5)] + [(300 + k, base[20 + k][1] + " " + passage, "en", "x", 0) for k in range(4)]
+    rows += [(400, "1234 !!", None, None, 0), (401, None, None, None, 0), (402, "", "en", "x", 0), (403, "zq xv kj qp " * 30, None, "x", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = {i: t for i, t, *_ in rows}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {x["doc_id"]: x["text"] for x in docs.collect()}
+    model = langid.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    told = {i: ok for i, _, _, _, ok in fused(model, [(i, t, None, s, None, None) for i, t, _, s, _ in rows])}
+    first = {i: t for i, t in texts.items() if told[i]}
+    assert kept["language_id"] == first and not {400, 401, 402, 403} & set(first) and set(range(50)) <= set(first)
+    pairs = [(a, b) for a in first for b in first if a < b and five_word_similarity(first[a], first[b]) >= 0.8]
+    roots = brute_components(pairs, first)
+    second = {i: t for i, t in first.items() if roots[i] == i}
+    assert kept["simhash_near_dedup"] == second and len(second) < len(first) - 12
+    raw, times = {i: t.encode() for i, t in second.items()}, Counter()
+    for b in raw.values():
+        times.update(b[p : p + 200] for p in range(len(b) - 199))
+    third = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if times[b[p : p + 200]] > 1:
+                gone[p : p + 200] = b"\1" * 200
+        third[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode()  # ASCII, so characters stay whole
+    assert kept["suffix_array_dedup"] == third and third != second
+    tool = Tokenizer.from_file(WORDS)
+    want = Counter()
+    for i, t in third.items():
+        ids = [*tool.encode(t, add_special_tokens=False).ids, 0]
+        want[i, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in packed) == want
+    sequences = defaultdict(list)
+    for p in packed:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert all(sum(n for _, n in parts) <= 2048 and [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] for parts in sequences.values())
+    assert len(sequences) == math.ceil(sum(w[3] for w in want) / 2048)
+
+
 def test_entry_has_a_query_for_each_operator():
     names = list(entry.queries())
     assert [next(n for n in names if n.startswith(f"op{i}_")) for i in range(1, 11)]

@@ -62,25 +62,26 @@ def text_bytes(spark: SparkSession, docs: DataFrame, column: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
 
 
-#: Tasks over which a hub's links are dealt; a node is a hub beyond HUB links, and beyond a 4096th of all.
-SALTS, HUB = 256, 1 << 16
+#: A value is frequent beyond FREQUENT rows, and beyond a 4096th of all; tasks over which its rows are dealt, at least.
+FREQUENT, SALTS = 1 << 16, 256
 
 
-def attached(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """(u, v, m) for edges (u, v) and the numbers m of least (u, m, n), n being how many edges u has.
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, total: int, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Rows joined with facts: a row for each value of key, whose column n (which goes) tells how many rows have it.
 
-    A hub's edges are dealt over SALTS tasks, its number being in all of them. There are at
-    most 2 * 4096 hubs, as edges of either direction number at most twice the total: so the
-    list of them may be broadcast.
+    A frequent value's rows, and those with a null, are dealt over many tasks by the columns
+    `by`, the fact being in all of them. total: a number that the n add up to, or half that
+    sum. So there are at most 2 * 4096 frequent values, and their list may be broadcast.
     """
-    hub = max(HUB, total // 4096)
-    if total <= hub:
-        return edges.join(least, "u").select("u", "v", "m")
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    hubs = least.where(F.col("n") > hub).select("u", F.lit(True).alias("hub"))
-    salted = edges.join(F.broadcast(hubs), "u", "left").select("u", "v", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int").alias("s"))
-    numbers = least.select("u", "m", F.explode(F.when(F.col("n") > hub, salts).otherwise(F.array(F.lit(0)))).alias("s"))
-    return salted.join(numbers, ["u", "s"]).select("u", "v", "m")
+    frequent = max(FREQUENT, total // 4096)
+    if total <= frequent:
+        return rows.join(facts.drop("n"), key, how)
+    salts = min(4096, max(SALTS, total >> 23))
+    hubs = facts.where(F.col("n") > frequent).select(key, F.lit(True).alias("_hub"))
+    salt = F.when(F.coalesce(F.col("_hub"), F.lit(False)) | F.col(key).isNull(), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)
+    salted = rows.join(F.broadcast(hubs), key, "left").withColumn("_salt", salt).drop("_hub")
+    everywhere = F.when(F.col("n") > frequent, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(facts.withColumn("_salt", F.explode(everywhere)).drop("n"), [key, "_salt"], how).drop("_salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -100,9 +101,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = attached(both.where("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both.where("v > u"), least, "u", before[0], ("v",)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attached(large, low, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = dealt_join(large, low, "u", before[0], ("v",)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = signature(e)
         if now == before:

@@ -122,11 +122,8 @@ FROM crcs JOIN a_s USING (doc_id) JOIN b_s USING (doc_id)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.documents(table(spark, sf_dir, "documents"))
-
-
-def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.pages(table(spark, sf_dir, "pages"), langid.train(table(spark, sf_dir, "documents")))
+    """Documents and pages; a page's doc_id is -1 - page_id."""
+    return langid.corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +174,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": op6_sentencepiece,
         "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
-        "language_id_of_pages": language_id_of_pages,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }

@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.llm.common import byte_column, materialize, slices
+from vellumen.llm.common import byte_column, dealt_join, materialize, slices
 
 SLICE = 1 << 20
 #: Slots of the trigram table.
 SLOTS = 1 << 16
 UNKNOWN = "und"
-#: Tasks over which the rows of one host, domain, suffix or declared language are dealt.
-SALT = 16
 
 #: Bytes with A-Z in lower case and all other ASCII as a space.
 FOLD = np.full(256, 0x20, np.uint8)
@@ -52,20 +50,21 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((code[good] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), count
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, languages: int = 200) -> Model:
     """Trigram probabilities from about `per_language` distinct texts of each language, and no more: by the hash of the text.
 
-    The sample is bounded by that parameter; all of a chosen text counts. Rows with a null text
-    or language don't. Counting is distributed; the driver gets at most SLOTS numbers a language.
+    The sample is bounded by that parameter, and by `languages`: those with the most distinct
+    texts. All of a chosen text counts. Rows with a null text or language don't. Counting is
+    distributed; the driver gets at most SLOTS numbers a language.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     hashed = F.xxhash64("text")
-    sizes = {r["lang"]: r["n"] for r in rows.select("lang", hashed).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", hashed).distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model((), np.empty((SLOTS, 0), np.float32))
     # Hashes that twice as many texts as needed lie below; so few meet in the window's tasks.
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * per_language + 50) / n)))))
-    few = rows.where(F.abs(hashed.cast("double")) <= F.element_at(share, F.col("lang")) * 2.0**63).distinct()
+    few = rows.where(F.col("lang").isin(*sizes)).where(F.abs(hashed.cast("double")) <= F.element_at(share, F.col("lang")) * 2.0**63).distinct()
     sample = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "text"))).where(F.col("_n") <= per_language)
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
 
@@ -135,9 +134,13 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
     is false. Ties go to the language that sorts first. Repeated rows and ids are rows of
     their own; a null id stays.
     """
-    names = ["_id", "_text", "_declared", "_host", "_domain", "_suffix", *also]
+    results = (id_col, "language", "confidence", "n_trigrams", "accepted")
+    if set(also) & set(results):
+        raise ValueError("a column of `also` has the name of a result")
+    names = ["_id", "_text", "_declared", "_host", "_domain", "_suffix"] + ["_also"] * bool(also)
     none = F.lit(None).cast("string")
-    picked = rows.select(F.col(id_col).alias("_id"), text.alias("_text"), *(c.alias(n) if c is not None else none.alias(n) for c, n in zip((declared, host, domain, suffix), names[2:6], strict=True)), *also)
+    picked = rows.select(F.col(id_col).alias("_id"), text.alias("_text"), *(c.alias(n) if c is not None else none.alias(n) for c, n in zip((declared, host, domain, suffix), names[2:6], strict=True)), *([F.struct(*also).alias("_also")] if also else []))
+    kept = ["_also.*"] if also else []
     kinds = [picked.schema[n] for n in names if n != "_text"]
     schema = T.StructType([*kinds, T.StructField("_n", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))])
 
@@ -150,21 +153,20 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != 1), pa.array(count), lists], names=schema.names)
 
     scored = materialize(picked.mapInArrow(run, schema))
+    n_rows = scored.count()
     langs = range(len(model.languages))
     if not model.languages:
-        return scored.select(F.col("_id").alias(id_col), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.col("_n").alias("n_trigrams"), F.lit(False).alias("accepted"), *also)
+        return scored.select(F.col("_id").alias(id_col), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.col("_n").alias("n_trigrams"), F.lit(False).alias("accepted"), *kept)
     # Posteriors of the text alone, in millionths: whole numbers sum alike in any order.
     raw = [F.exp(F.col("_ll")[i]) for i in langs]
     share = lambda i: F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.round(1e6 * raw[i] / sum(raw[1:], raw[0]))).cast("long").alias(f"p{i}")
     rowed = scored.select("*", *(share(i) for i in langs))
     sums = lambda tag: [F.sum(f"p{i}").alias(f"{tag}{i}") for i in langs]
     rowed = rowed.crossJoin(F.broadcast(rowed.agg(*sums("all"))))  # one row
-    # A frequent host's rows are dealt over SALT tasks, and each sum is there in all of them.
-    salted = rowed.withColumn("_salt", F.pmod(F.xxhash64("_id", "_n", "_ll"), F.lit(SALT)))
+    base = rowed
     for column, tag in (("_host", "host"), ("_domain", "domain"), ("_declared", "declared"), ("_suffix", "suffix")):
-        summed = rowed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag)).withColumn("_salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALT)))))
-        salted = salted.join(summed, [column, "_salt"], "left")
-    rowed = salted
+        summed = base.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag), F.count("*").alias("n"))
+        rowed = dealt_join(rowed, summed, column, n_rows, ("_id", "_n", "_ll"), "left")
     millions = lambda c: F.coalesce(c, F.lit(0)) / 1e6
     others = lambda tag, i: F.greatest(millions(F.col(f"{tag}{i}")) - F.col(f"p{i}") / 1e6, F.lit(0.0))
     whole = lambda values: sum(values[1:], values[0])
@@ -184,14 +186,14 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
     scores = [F.col("_ll")[i] + F.log(prior[i]) + told[i] for i in langs] + [F.col("_ll")[len(model.languages)] + float(np.log(noise)) + told_noise]
     labels = [*model.languages, UNKNOWN]
     best = F.array_min(F.array(*(F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (s, n) in enumerate(zip(scores, labels, strict=True)))))
-    stage = rowed.select("_id", "_n", *also, best.alias("_best"), F.array(*scores).alias("_scores"))
+    stage = rowed.select("_id", "_n", *names[6:], best.alias("_best"), F.array(*scores).alias("_scores"))
     language = F.when(F.col("_n") == 0, UNKNOWN).otherwise(F.col("_best.name"))
     total = F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(s + F.col("_best.s")))
-    return stage.select(F.col("_id").alias(id_col), language.alias("language"), F.when(F.col("_n") == 0, 0.0).otherwise(F.round(1 / total, 9)).alias("confidence"), F.col("_n").alias("n_trigrams"), (language != UNKNOWN).alias("accepted"), *also)
+    return stage.select(F.col("_id").alias(id_col), language.alias("language"), F.when(F.col("_n") == 0, 0.0).otherwise(F.round(1 / total, 9)).alias("confidence"), F.col("_n").alias("n_trigrams"), (language != UNKNOWN).alias("accepted"), *kept)
 
 
 def documents(docs: DataFrame, model: Model | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """identify() for documents: source is the host, and markup in a text may declare a language.
+    """identify() for documents alone: source is the host, and markup in a text may declare a language.
 
     Without a model, one is trained on the labelled languages of the documents.
     """
@@ -203,3 +205,17 @@ def pages(rows: DataFrame, model: Model) -> DataFrame:
     """identify() for web pages (page_id, url, html), by what is visible, the html tag and the address."""
     host, domain, suffix = host_parts(F.col("url"))
     return identify(rows, model, "page_id", visible(F.col("html")), declared_language(F.col("html")), host, domain, suffix)
+
+
+def corpus(docs: DataFrame, pages_: DataFrame, model: Model | None = None) -> DataFrame:
+    """identify() for documents and web pages together; a page's doc_id is -1 - page_id, so that they don't meet.
+
+    Without a model, one is trained on the labelled languages of the documents.
+    """
+    model = model or train(docs)
+    none = F.lit(None).cast("string")
+    host, domain, suffix = host_parts(F.col("url"))
+    both = docs.select("doc_id", F.col("text"), declared_language(F.col("text")).alias("declared"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix")).unionByName(
+        pages_.select((-1 - F.col("page_id")).alias("doc_id"), visible(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
+    )
+    return identify(both, model, "doc_id", *map(F.col, ("text", "declared", "host", "domain", "suffix")))
