@@ -42,8 +42,18 @@ def layers(rows: DataFrame, labels: str, sample: str) -> DataFrame:
     return spread.groupBy("layer").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(sample)).alias("samples"))
 
 
-def accuracy_summary(rows: DataFrame, correct: Column, confidence: str, review: Column, key: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Total, correct, errors, accuracy (0.0 if empty), confidence range and mean, and ids of errors and reviews."""
+def accuracy_ids(rows: DataFrame, correct: Column, review: Column, key: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, kind, id) of the rows that are wrong (error) and those to review (review), at any number of rows."""
+    kinds = F.filter(F.array(F.when(~F.coalesce(correct, F.lit(False)), F.lit("error")), F.when(F.coalesce(review, F.lit(False)), F.lit("review"))), lambda k: k.isNotNull())
+    return rows.select(*groups, F.explode(kinds).alias("kind"), F.col(key).alias("id"))
+
+
+def accuracy_summary(rows: DataFrame, correct: Column, confidence: str, review: Column, key: str, groups: Sequence[str] = (), lists: bool = True) -> DataFrame:
+    """Total, correct, errors, accuracy (0.0 if empty), confidence range and mean, and ids of errors and reviews.
+
+    The ids of a group are one value: for tables of pages. Without lists they are left out;
+    accuracy_ids() gives them as rows.
+    """
     good = F.coalesce(correct, F.lit(False))
     told = F.coalesce(review, F.lit(False))
     n, hits = F.count("*"), F.count_if(good)
@@ -55,8 +65,7 @@ def accuracy_summary(rows: DataFrame, correct: Column, confidence: str, review:
         F.min(confidence).alias("min_confidence"),
         F.max(confidence).alias("max_confidence"),
         F.avg(confidence).alias("avg_confidence"),
-        F.array_sort(F.collect_list(F.when(~good, F.col(key)))).alias("error_ids"),
-        F.array_sort(F.collect_list(F.when(told, F.col(key)))).alias("review_ids"),
+        *((F.array_sort(F.collect_list(F.when(~good, F.col(key)))).alias("error_ids"), F.array_sort(F.collect_list(F.when(told, F.col(key)))).alias("review_ids")) if lists else ()),
     )
 
 
@@ -93,21 +102,35 @@ def gates(summary: DataFrame, **rules: Column) -> DataFrame:
     return out.withColumn("passed", passed)
 
 
-def model_accuracy(rows: DataFrame, model: str, verdict: str, *, reviewed_only: bool, correct: str = "correct", digits: int | None = None) -> DataFrame:
+def model_accuracy(rows: DataFrame, model: str, verdict: str, *, reviewed_only: bool, correct: str = "correct", digits: int | None = None, risky: Column | None = None) -> DataFrame:
     """Accuracy of each model over reviewed rows, or over all with blanks as misses; none over nothing.
 
-    A blank verdict is null or empty.
+    A blank verdict is null or empty. risky: rows that don't count.
     """
+    rows = rows if risky is None else rows.where(~F.coalesce(risky, F.lit(False)))
     filled = F.coalesce(F.trim(F.col(verdict)), F.lit("")) != ""
     hits, seen, n = F.count_if(filled & (F.trim(verdict) == correct)), F.count_if(filled), F.count("*")
     return rows.groupBy(model).agg(n.alias("total"), seen.alias("reviewed"), hits.alias("correct"), (seen - hits).alias("wrong"), (n - seen).alias("blank"), rate(hits, seen if reviewed_only else n, digits=digits).alias("accuracy"))
 
 
+def model_ranking(rows: DataFrame, model: str, page: str, verdict: str, correct: str = "correct") -> DataFrame:
+    """model_accuracy() over all rows with the pages that are wrong and blank, sorted, and a rank.
+
+    Models rank by accuracy, then by correct rows, both falling, then by falling name. A
+    model's pages are one value: for tables of pages.
+    """
+    said = F.coalesce(F.trim(F.col(verdict)), F.lit(""))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(page))))
+    pages = rows.groupBy(model).agg(listed((said != "") & (said != correct)).alias("wrong_pages"), listed(said == "").alias("blank_pages"))
+    out = model_accuracy(rows, model, verdict, reviewed_only=False, correct=correct).join(pages, model)
+    return numbered(out, [F.desc_nulls_last("accuracy"), F.desc("correct"), F.desc(model)], "rank")
+
+
 def majority_vote(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of a key; of equals, the one that came first. needs_check: values differ."""
+    """The most frequent value of a key; of equals, the one that came first, and then the lesser. needs_check: values differ."""
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min(order).alias("_first"))
     return counted.groupBy(*keys).agg(
-        F.min_by(F.struct(value, "votes"), F.struct(-F.col("votes"), F.col("_first"))).alias("_w"),
+        F.min_by(F.struct(value, "votes"), F.struct(-F.col("votes"), F.col("_first"), F.col(value))).alias("_w"),
         F.count("*").alias("distinct_values"),
         F.sum("votes").alias("total_votes"),
     ).select(*keys, F.col("_w")[value].alias(value), F.col("_w")["votes"].alias("votes"), "total_votes", "distinct_values", (F.col("distinct_values") > 1).alias("needs_check"))
@@ -131,12 +154,13 @@ def compare_models(rows: DataFrame, keys: Sequence[str], model: str, models: Seq
     return out.select(*keys, F.array_except(names, F.col("_have")).alias("missing_models"), "any_needs_review", *(f"{c}_conflict" for c in compared), conflict.alias("needs_attention"))
 
 
-def page_pivot(rows: DataFrame, keys: Sequence[str], model: str, value: str, order: Sequence[str]) -> DataFrame:
-    """A map from model to its last value, for each key."""
+def page_pivot(rows: DataFrame, keys: Sequence[str], model: str, value: str, order: Sequence[str], attention: Column | None = None) -> DataFrame:
+    """A map from model to its last value, for each key; with a condition also needs_attention: it holds for any of those rows."""
     from vellumen.operators.relate import last_wins
 
     last = last_wins(rows, [*keys, model], order)
-    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(model, value)))).alias("values"))
+    told = [] if attention is None else [F.bool_or(F.coalesce(attention, F.lit(False))).alias("needs_attention")]
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(model, value)))).alias("values"), *told)
 
 
 def leakage(rows: DataFrame, source: str, split: str, *, ignore_blank: bool) -> DataFrame:
@@ -190,8 +214,11 @@ def run_summary(**tables: tuple[DataFrame, Mapping[str, Column]]) -> DataFrame:
 
 
 def truth_status(rows: DataFrame, truth: DataFrame, keys: Sequence[str], answer: str, expected: str) -> DataFrame:
-    """Rows with match, mismatch or missing against an earlier truth."""
-    joined = rows.join(truth.select(*keys, F.col(expected).alias("_expected"), F.lit(True).alias("_there")), list(keys), "left")
+    """Rows with match, mismatch or missing against an earlier truth; of truths with one key the largest counts."""
+    from vellumen.operators.relate import looked_up
+
+    side = looked_up(truth.select(*keys, F.col(expected).alias("_expected"), F.lit(True).alias("_there")), keys, ["_expected"])
+    joined = rows.join(side, list(keys), "left")
     status = F.when(F.col("_there").isNull() | F.col("_expected").isNull(), "missing").when(F.col(answer).eqNullSafe(F.col("_expected")), "match").otherwise("mismatch")
     return joined.select(*rows.columns, status.alias("truth_status"))
 

@@ -24,12 +24,13 @@ def top_n(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
 def ambiguity(rows: DataFrame, keys: Sequence[str], side: str, score: str, near: float = 0.82, of: int = 3) -> DataFrame:
     """Adds ambiguity_score: candidates of another side that come near the row's score, over `of`, at most 1.
 
-    near: the share of the row's score that counts as near. A key's candidates are few.
+    near: the share of the row's score that counts as near. As more than `of` rivals count no
+    more, the best `of` of each side are all that a row is held against: a key's sides are few.
     """
-    w = Window.partitionBy(*keys)
-    every = F.collect_list(F.struct(F.col(side).alias("side"), F.col(score).alias("score"))).over(w)
-    rivals = F.size(F.filter(F.col("_every"), lambda c: (c["side"] != F.col(side)) & (c["score"] >= near * F.col(score))))
-    return rows.withColumn("_every", every).withColumn("ambiguity_score", F.least(rivals / of, F.lit(1.0))).drop("_every")
+    best = top_n(rows.select(*keys, side, score), [*keys, side], [F.desc(score)], of)
+    held = best.groupBy(*keys).agg(F.collect_list(F.struct(F.col(side).alias("side"), F.col(score).alias("score"))).alias("_best"))
+    rivals = F.size(F.filter(F.col("_best"), lambda c: (c["side"] != F.col(side)) & (c["score"] >= near * F.col(score))))
+    return rows.join(held, list(keys), "left").withColumn("ambiguity_score", F.least(rivals / of, F.lit(1.0))).select(*rows.columns, "ambiguity_score")
 
 
 def duplicates(rows: DataFrame, keys: Sequence[str], flag: str = "is_duplicate") -> DataFrame:
@@ -59,7 +60,8 @@ def stratified(rows: DataFrame, stratum: str, sizes: Mapping[str, int], key: Col
     """
     want = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))))
     chosen = rows.where(F.col(stratum).isin(*sizes)).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(key), key)))
-    chosen = chosen.where(F.col("_n") <= F.element_at(want, F.col(stratum))).drop("_n")
+    # The largest size as a number of its own, by which Spark drops most rows before the shuffle.
+    chosen = chosen.where(F.col("_n") <= max(sizes.values(), default=0)).where(F.col("_n") <= F.element_at(want, F.col(stratum))).drop("_n")
     if strict:
         have = {r[stratum]: r["count"] for r in chosen.groupBy(stratum).count().collect()}  # one row a stratum
         short = {k: (have.get(k, 0), v) for k, v in sizes.items() if have.get(k, 0) < v}
@@ -87,7 +89,7 @@ def capped_mix(rows: DataFrame, dataset: str, caps: Mapping[str, int | None], or
     place = F.array_position(F.array(*map(F.lit, names)), F.col(dataset))
     cap = F.element_at(F.create_map(*(x for k, v in caps.items() for x in (F.lit(k), F.lit(overall if v is None else min(v, overall))))), F.col(dataset))
     numbered = rows.where(F.col(dataset).isin(*names)).withColumn("_n", F.row_number().over(Window.partitionBy(dataset).orderBy(*order)))
-    return numbered.where(F.col("_n") <= cap).orderBy(place, "_n").limit(overall).drop("_n")
+    return numbered.where(F.col("_n") <= overall).where(F.col("_n") <= cap).orderBy(place, "_n").limit(overall).drop("_n")
 
 
 def error_first(rows: DataFrame, page: str, primary: Column, verdict: str, correct: str, order: Sequence[str], limit: int = 0) -> DataFrame:
@@ -100,10 +102,51 @@ def error_first(rows: DataFrame, page: str, primary: Column, verdict: str, corre
 
 
 def failures_and_controls(rows: DataFrame, accepted: Column, controls: int, order: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """All that was not accepted, and the first `controls` of what was, once a key."""
-    keyed = rows.dropDuplicates(list(key)).withColumn("_ok", F.coalesce(accepted, F.lit(False)))
-    control = keyed.where("_ok").orderBy(*order).limit(controls).withColumn("case_kind", F.lit("positive_control"))
-    return keyed.where("NOT _ok").withColumn("case_kind", F.lit("failure")).unionByName(control).drop("_ok")
+    """All keys that were not accepted once, and the first `controls` of the others: the first row of each in the order.
+
+    A control that is a failure too takes a control's place and is left out. The order should be total.
+    """
+    from vellumen.operators.relate import first_wins
+
+    keyed = rows.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
+    failures = first_wins(keyed.where("NOT _ok"), key, order)
+    control = keyed.where("_ok").orderBy(*order).limit(controls)
+    control = first_wins(control, key, order).join(failures.select(*key), list(key), "left_anti")
+    return failures.withColumn("case_kind", F.lit("failure")).unionByName(control.withColumn("case_kind", F.lit("positive_control"))).drop("_ok")
+
+
+def by_membership(sample: Column, members: Mapping[str, Sequence[str]], otherwise: str) -> Column:
+    """A split by lists of samples: the first list that has the sample."""
+    out = F.lit(otherwise)
+    for name, names in reversed(list(members.items())):
+        out = F.when(sample.isin(*names), F.lit(name)).otherwise(out)
+    return out
+
+
+def special_first(sample: Column, special: Mapping[str, str], split: Column) -> Column:
+    """A split, but for samples that have one of their own."""
+    from vellumen.functions.text import lookup
+
+    return F.coalesce(lookup(sample, special), split) if special else split
+
+
+def hard_cases(rows: DataFrame, sample: str, samples: Sequence[str], routes: str, route: str = "retrain_candidate") -> DataFrame:
+    """Rows whose sample is listed, or that go a route."""
+    return rows.where(F.col(sample).isin(*samples) | F.coalesce(F.array_contains(routes, route), F.lit(False)))
+
+
+def flagged(rows: DataFrame, verdict: str, correct: str = "正确") -> DataFrame:
+    """Rows on which a person said anything but that they are right."""
+    from vellumen.functions.text import stripped
+
+    said = stripped(F.coalesce(F.col(verdict), F.lit("")))
+    return rows.where((said != "") & (said != correct))
+
+
+def best_items(items: Column, field: str, n: int = 12) -> Column:
+    """The n structs of an array with the largest field, falling; equals as they stand."""
+    placed = F.transform(items, lambda x, i: F.struct((-x[field]).alias("fall"), i.alias("place"), x.alias("item")))
+    return F.transform(F.slice(F.array_sort(placed), 1, n), lambda p: p["item"])
 
 
 def split_by_digit(number: Column, rules: Mapping[int, str], otherwise: str) -> Column:

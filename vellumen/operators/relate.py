@@ -24,24 +24,35 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     return rows.groupBy(*keys).agg(F.min_by(F.struct("*"), _order(order)).alias("_row")).select("_row.*")
 
 
-def left_default(left: DataFrame, right: DataFrame, keys: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
-    """Left join on a right side with unique keys; a default fills in only where there was no match.
+def looked_up(side: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None) -> DataFrame:
+    """A lookup side with one row for each key: the last in the order, by default that of all its other columns.
+
+    None takes the keys as unique, which the caller vouches for.
+    """
+    if order is None:
+        return side
+    others = [c for c in side.columns if c not in keys]
+    return last_wins(side, keys, order or others) if order or others else side.distinct()
+
+
+def left_default(left: DataFrame, right: DataFrame, keys: Sequence[str], defaults: Mapping[str, object], order: Sequence[str | Column] | None = ()) -> DataFrame:
+    """Left join where a default fills in only what had no match; of rows with one key the last counts (see looked_up).
 
     A matched row's null stays null. defaults names the right side's columns to take.
     """
-    side = right.select(*keys, *(F.col(c).alias(f"_r_{c}") for c in defaults), F.lit(True).alias("_matched"))
+    side = looked_up(right, keys, order).select(*keys, *(F.col(c).alias(f"_r_{c}") for c in defaults), F.lit(True).alias("_matched"))
     joined = left.join(side, list(keys), "left")
     return joined.select(*left.columns, *(F.when(F.col("_matched"), F.col(f"_r_{c}")).otherwise(F.lit(v).cast(right.schema[c].dataType)).alias(c) for c, v in defaults.items()))
 
 
-def match_split(rows: DataFrame, truth: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with their truth, rows without any)."""
-    return rows.join(truth, list(keys)), rows.join(truth.select(*keys), list(keys), "left_anti")
+def match_split(rows: DataFrame, truth: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows with their truth, rows without any); of truths with one key the last counts (see looked_up)."""
+    return rows.join(looked_up(truth, keys, order), list(keys)), rows.join(truth.select(*keys), list(keys), "left_anti")
 
 
-def require_match(rows: DataFrame, truth: DataFrame, keys: Sequence[str], what: str = "row") -> DataFrame:
-    """Inner join that fails when the job meets a row without a match."""
-    side = truth.withColumn("_matched", F.lit(True))
+def require_match(rows: DataFrame, truth: DataFrame, keys: Sequence[str], what: str = "row", order: Sequence[str | Column] | None = ()) -> DataFrame:
+    """Inner join that fails when the job meets a row without a match; of truths with one key the last counts (see looked_up)."""
+    side = looked_up(truth, keys, order).withColumn("_matched", F.lit(True))
     joined = rows.join(side, list(keys), "left")
     text = F.concat(F.lit(f"no match for {what}: "), F.to_json(F.struct(*(F.col(k) for k in keys))))
     return joined.where(_held(F.col("_matched"), text)).drop("_matched")
@@ -68,17 +79,17 @@ def upsert(memory: DataFrame, events: DataFrame, keys: Sequence[str], order: Seq
     return overlay([memory, events], keys, order)
 
 
-def replaced(rows: DataFrame, retries: DataFrame, keys: Sequence[str], good: Column) -> DataFrame:
-    """Rows whose key has a good retry become that retry as a whole. Retries have unique keys and the rows' columns."""
-    new = retries.where(good).select(*keys, F.struct(*rows.columns).alias("_new"))
+def replaced(rows: DataFrame, retries: DataFrame, keys: Sequence[str], good: Column, order: Sequence[str | Column] | None = ()) -> DataFrame:
+    """Rows whose key has a good retry become that retry, the last of them, as a whole. Retries have the rows' columns."""
+    new = looked_up(retries.where(good), keys, order).select(*keys, F.struct(*rows.columns).alias("_new"))
     joined = rows.select(*keys, F.struct(*rows.columns).alias("_old")).join(new, list(keys), "left")
     return joined.select(F.coalesce("_new", "_old").alias("_row")).select("_row.*")
 
 
-def present_override(base: DataFrame, over: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join where a matched row's shared columns come from `over`, nulls included."""
+def present_override(base: DataFrame, over: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = ()) -> DataFrame:
+    """Left join where a matched row's shared columns come from `over`, nulls included; of its rows with one key from the last."""
     shared = [c for c in over.columns if c not in keys]
-    side = over.select(*keys, F.struct(*shared).alias("_over"))
+    side = looked_up(over, keys, order).select(*keys, F.struct(*shared).alias("_over"))
     joined = base.join(side, list(keys), "left")
     own = [F.when(F.col("_over").isNotNull(), F.col("_over")[c]).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in base.columns]
     return joined.select(*own, *(F.col("_over")[c].alias(c) for c in shared if c not in base.columns))
@@ -141,4 +152,32 @@ def same_count_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     sizes = left.agg(F.count("*"), F.countDistinct(key)).first(), right.agg(F.count("*"), F.countDistinct(key)).first()
     if len({*sizes[0], *sizes[1]}) > 1:
         raise ValueError(f"the tables don't hold the same keys once each: {tuple(sizes[0])} and {tuple(sizes[1])}")
-    return require_match(left, right, [key])
+    return require_match(left, right, [key], order=None)
+
+
+def from_sources(rows: DataFrame, key: str, source: str, prefix: str = "source_") -> DataFrame:
+    """Rows that are made from others of the table, with those others' columns; a source that isn't there is null.
+
+    Of rows with one key the last by all their columns is the source.
+    """
+    others = looked_up(rows, [key], ()).select(F.col(key).alias(source), *(F.col(c).alias(prefix + c) for c in rows.columns if c not in (key, source)))
+    return rows.where(F.coalesce(F.col(source), F.lit("")) != "").where(F.col(source) != F.col(key)).join(others, source, "left").select(*rows.columns, *(c for c in others.columns if c != source))
+
+
+def nested_index(rows: DataFrame, outer: str, inner: str, order: Sequence[str | Column] = ()) -> DataFrame:
+    """(outer, a map from inner to the row): an index of two levels; of rows with both keys alike the last counts.
+
+    A map holds what one outer key has, so inner keys should be few.
+    """
+    once = looked_up(rows, [outer, inner], order)
+    value = F.struct(*(c for c in rows.columns if c not in (outer, inner)))
+    return once.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), value.alias("row"))))).alias("index"))
+
+
+def last_in_first_place(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """The last row of each key, with its first row's place in the order: what replacing in a list leaves.
+
+    Places are the first order column's values; sort by them.
+    """
+    first = F.min(F.col(order[0]) if isinstance(order[0], str) else order[0]).alias(name)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct("*"), _order(order)).alias("_row"), first).select("_row.*", name)

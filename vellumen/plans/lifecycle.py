@@ -41,7 +41,7 @@ class Replay:
         fields = ["endpoint", "ok", "http_status", "attempt_count", "error_type", "error_message", "response_json", "response_text"]
         side = last_wins(self.recorded, keys, ["attempt_count", "response_json"]).select(*keys, *fields)
         missing = {"endpoint": None, "ok": False, "http_status": None, "attempt_count": 0, "error_type": "not_recorded", "error_message": "", "response_json": None, "response_text": ""}
-        return left_default(requests, side, keys, missing)
+        return left_default(requests, side, keys, missing, None)
 
 
 @dataclass(frozen=True)

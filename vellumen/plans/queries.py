@@ -56,7 +56,7 @@ def report_join(spark, sf_dir):
     last = relate.last_wins(items, ["l_orderkey"], order).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("last_flag"))
     counted = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_items"))
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
-    out = relate.left_default(relate.left_default(orders, last, ["o_orderkey"], {"last_flag": "none"}), counted, ["o_orderkey"], {"n_items": 0})
+    out = relate.left_default(relate.left_default(orders, last, ["o_orderkey"], {"last_flag": "none"}, None), counted, ["o_orderkey"], {"n_items": 0}, None)
     people = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey").withColumnRenamed("c_custkey", "o_custkey")
     out = out.join(people, "o_custkey", "left").join(read(spark, sf_dir, "nation", "n_nationkey", "n_name").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey", "left")
     return out.select("o_orderkey", "o_orderpriority", "c_name", "n_name", "last_flag", "n_items")
@@ -265,7 +265,7 @@ def model_accuracy_all(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT user_id, event_type, count(*) AS votes, min(ts) AS first FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first) AS n, sum(votes) OVER (PARTITION BY user_id)::BIGINT AS total_votes, count(*) OVER (PARTITION BY user_id) AS distinct_values FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first, event_type) AS n, sum(votes) OVER (PARTITION BY user_id)::BIGINT AS total_votes, count(*) OVER (PARTITION BY user_id) AS distinct_values FROM c)
 SELECT user_id, event_type, votes, total_votes, distinct_values, distinct_values > 1 AS needs_check FROM r WHERE n = 1
 """)
 def majority_vote(spark, sf_dir):
