@@ -608,22 +608,6 @@ def orientation_decisions(spark, sf_dir):
     return d.select("task_id", "api_ok", "parse_status", "schema_status", "title_block_position", "correction_clockwise_degrees", joined("review_reasons").alias("review_reasons"))
 
 
-@query()
-def number_candidates(spark, sf_dir):
-    p = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
-    made = F.concat(F.lit("泵体图号 JS"), F.col("p_size").cast("string"), F.lit("-"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.lit("-02 设计 "), "p_name", F.lit("\n序号 AB12-1-7"))
-    found = p.select("p_partkey", numbers.number_candidates(made).alias("c"))
-    chosen = found.select("p_partkey", F.size("c").alias("n"), numbers.selection(F.col("c")).alias("s"))
-    return chosen.select("p_partkey", "n", "s.selected", "s.status", "s.confidence", joined("s.blockers").alias("blockers"))
-
-
-@query()
-def diff_ops(spark, sf_dir):
-    p = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
-    ops = p.select("p_partkey", numbers.diff_operations(F.col("p_name"), F.reverse("p_name")).alias("o"))
-    return ops.select("p_partkey", F.explode(numbers.char_confusions(F.col("o"))).alias("c")).groupBy("c.op", "c.machine", "c.manual").agg(F.count("*").alias("n"))
-
-
 # ---- geometry: components of a vector as coordinates, moved into the page
 
 POINTS_SQL = "SELECT vec_id, list_transform([1, 3, 5, 7], lambda i: {'x': least(greatest(embedding[i]::DOUBLE + 0.5, 0), 1), 'y': least(greatest(embedding[i + 1]::DOUBLE + 0.5, 0), 1)}) AS p FROM embeddings"

@@ -269,8 +269,8 @@ def requests(records: DataFrame, variants: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("request_kind", F.lit(kind)).withColumn("custom_id", F.concat_ws("__", F.lit(kind), "variant_id", "task_id"))
 
 
-def validated_teacher(rows: DataFrame) -> DataFrame:
-    """(task_id, status, errors) of teacher responses (task_id, parse_status, parsed_response as JSON text, _json_error)."""
+def validated_teacher(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(columns in keep, task_id, status, errors) of teacher responses (task_id, parse_status, parsed_response as JSON text, _json_error)."""
     from vellumen.functions.answers import teacher_errors
 
     task = F.coalesce("task_id", F.lit(""))
@@ -278,7 +278,12 @@ def validated_teacher(rows: DataFrame) -> DataFrame:
     broken = F.when(F.coalesce("_json_error", F.lit("")) != "", F.concat(F.lit("json_error:"), "_json_error"))
     first = F.filter(F.array(broken, F.when(task == "", F.lit("missing_task_id")), F.when(F.coalesce("parse_status", F.lit("")).isin("", "pending"), F.lit("pending_response"))), lambda x: x.isNotNull())
     errors = F.concat(first, F.coalesce(teacher_errors(v, task), F.array(F.lit("missing_or_empty_parsed_response"))))
-    return rows.select(task.alias("task_id"), errors.alias("errors")).select("task_id", F.when(F.size("errors") == 0, "ok").otherwise("error").alias("status"), "errors")
+    return rows.select(*keep, task.alias("task_id"), errors.alias("errors")).select(*keep, "task_id", F.when(F.size("errors") == 0, "ok").otherwise("error").alias("status"), "errors")
+
+
+def teacher_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(task ids of valid responses, a row (task_id, error) for each error) of validated_teacher()."""
+    return rows.where("status = 'ok'").select("task_id"), rows.select("task_id", F.explode("errors").alias("error"))
 
 
 def decision_against_truth(decisions: DataFrame, truth: DataFrame) -> DataFrame:
