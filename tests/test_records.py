@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellumen.plans import records
@@ -89,3 +90,94 @@ def test_requests_and_retests(spark):
     assert [(r["exact_match"], r["rotation_group_match"]) for r in out.orderBy("page_number").collect()] == [(False, True), (True, True), (False, False)]
     s = records.retest_summary(out, {"m": 0.1}).first()
     assert (s["exact_accuracy"], s["rotation_accuracy"], s["exact_change"]) == (0.3333, 0.6667, 0.2333)
+
+
+def test_json_lines_know_their_places(spark, tmp_path):
+    from vellumen.sources import files
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 2, "y": "é"}\n')
+    (tmp_path / "b.jsonl").write_text('{"x": 3}\n  \nnot json\n[4]\n{"x": "five"}\n')
+    good = files.json_records(spark, str(tmp_path / "a.jsonl"), "x int, y string")
+    assert sorted(map(tuple, good.collect())) == [(1, None), (2, "é")]
+    with pytest.raises(Exception, match=r"b\.jsonl:3: not the JSON"):
+        files.json_records(spark, str(tmp_path / "b.jsonl"), "x int, y string").collect()
+    rows = files.json_records(spark, str(tmp_path / "b.jsonl"), "x int, y string", tolerant=True).collect()
+    assert sorted((r["x"] or 0, r["_json_error"] or "", r["_line_number"] or 0) for r in rows) == [(0, "[4]", 4), (0, "not json", 3), (0, '{"x": "five"}', 5), (3, "", 0)]
+    lines = files.numbered_lines(spark, str(tmp_path))
+    assert {r["path"].rsplit("/", 1)[1]: r["n"] for r in files.line_counts(lines).collect()} == {"a.jsonl": 2, "b.jsonl": 4}
+    split = spark.createDataFrame([("a", "train"), ("a", "val")], "sample string, split string")
+    assert sorted((r["sample"], r["split"]) for r in files.listed_splits(lines.select("path").distinct(), split).collect()) == [("a", "val"), ("b", None)]
+
+
+def test_files_are_published_once_and_whole(spark, tmp_path):
+    from vellumen.plans import lifecycle
+    from vellumen.sources import sinks
+
+    for n in (1, 2, 3):
+        (tmp_path / f"p{n}.pdf").write_bytes(b"page %d" % n)
+    at = lambda *parts: str(tmp_path.joinpath(*parts))
+    pages = spark.createDataFrame([(f"t{n}", at(f"p{n}.pdf")) for n in (1, 2, 3, 4)], "task_id string, split_pdf_path string")
+    outputs = spark.createDataFrame([(f"t{n}", at("out", f"t{n}.pdf"), d) for n, d in ((1, 90), (2, 0), (3, 180), (4, 90))], "task_id string, output_pdf_path string, applied_pdf_rotate_clockwise int")
+    finals = spark.createDataFrame([("t1", at("out", "t1.pdf"), at("end", "s", "A-1.pdf")), ("t2", at("out", "t2.pdf"), at("end", "s", "needs_review", "t2.pdf")), ("t4", at("out", "t4.pdf"), at("end", "s", "needs_review", "t4.pdf"))], "task_id string, corrected_pdf_path string, final_pdf_path string")
+    done, ended = lifecycle.publish(pages, outputs, finals, at("log"), lambda content, degrees: content + b" turned %d" % degrees)
+    assert {r["task_id"]: (r["status"], r["bytes"]) for r in done.collect()} == {"t1": ("turned", 16), "t2": ("copied", 6), "t3": ("turned", 17), "t4": ("missing", 0)}
+    assert {r["task_id"]: r["status"] for r in ended.collect()} == {"t1": "copied", "t2": "copied", "t4": "missing"}
+    assert (tmp_path / "end/s/A-1.pdf").read_bytes() == b"page 1 turned 90" and (tmp_path / "end/s/needs_review/t2.pdf").read_bytes() == b"page 2"
+    again = sinks.place_files(finals, "corrected_pdf_path", "final_pdf_path").collect()  # as a repeated task does
+    assert len(again) == 3 and sorted(p.name for p in (tmp_path / "end/s").rglob("*.pdf*")) == ["A-1.pdf", "t2.pdf"]
+    with pytest.raises(Exception):
+        lifecycle.publish(pages, outputs, finals, at("log"))
+
+
+def test_command_line(tmp_path, capsys):
+    from vellumen.__main__ import main
+    from vellumen.sources import config
+
+    good = tmp_path / "good.toml"
+    good.write_text('[qwen]\nbase_url = "u"\nmodel = "m"\napi_key = "very secret"\n[paths]\ninput_dir = "i"\noutput_dir = "o"\nwork_dir = "w"\nlog_dir = "l"\n[runtime]\ndry_run = true\n')
+    bad = tmp_path / "bad.toml"
+    bad.write_text("[qwen\n")
+    assert main([]) == 0 and "usage" in capsys.readouterr().out
+    assert main(["config", "check"]) == 1
+    assert main(["config", "check", "--config", str(good)]) == 0
+    out = capsys.readouterr().out
+    assert "Status: OK" in out and "secret" not in out
+    assert main(["config", "check", "--config", str(bad)]) == 2 and "Invalid TOML" in capsys.readouterr().out
+    assert main(["dry-run", "--config", str(good)]) == 0
+    out = capsys.readouterr().out
+    assert "<redacted>" in out and "very secret" not in out and json.loads(out)["ok"]
+    assert main(["dry-run", "--config", str(tmp_path / "none.toml")]) == 2 and main(["dry-run"]) == 2
+    with pytest.raises(SystemExit) as ended:
+        main(["nonsense"])
+    assert ended.value.code == 2
+    folder = tmp_path / "work" / "sub"
+    folder.mkdir(parents=True)
+    for name in (".gitkeep", "x"):
+        (folder / name).write_text("")
+    (folder / "deep").mkdir()
+    assert [p.name for p in config.emptied(folder, tmp_path / "work").iterdir()] == [".gitkeep"]
+    for refused in (tmp_path / "work", tmp_path):
+        with pytest.raises(ValueError):
+            config.emptied(refused, tmp_path / "work")
+
+
+def test_several_candidates_a_page(spark):
+    point = lambda x, y: (x, y)
+    rows = [
+        ("d", "s1", 0, 0.5, 0.04, (0.0, 0.0, 0.2, 0.2), [point(0.0, 0.0), point(0.2, 0.2)], 1.0, 1.0, 0.0, 0.0, []),
+        ("d", "s1", 1, 0.5, 0.04, (0.4, 0.4, 0.6, 0.6), [point(0.4, 0.4), point(1.2, 0.6)], None, None, 1.0, 1.0, ["uniform_grid_like"]),
+        ("d", "s2", 0, 0.9, 0.04, (0.0, 0.0, 0.2, 0.2), [point(0.0, 0.0)], 0.0, 0.0, 0.0, 0.0, None),
+    ]
+    schema = "prediction_dir string, sample string, candidate_index int, confidence double, area double, box struct<xmin:double,ymin:double,xmax:double,ymax:double>, points array<struct<x:double,y:double>>, frame_contact_score double, cell_area_variance double, uniform_grid_penalty double, inside_drawing_body_penalty double, diagnostic_flags array<string>"
+    candidates = spark.createDataFrame(rows, schema)
+    exceptions = spark.createDataFrame([("d", "s1", 1, True, True), ("d", "s2", 0, True, False)], "prediction_dir string, sample string, reject_index int, accepted boolean, small_angle boolean")
+    found, told = records.multi_candidate_records(candidates, exceptions)
+    by = {r["sample"]: r for r in found.collect()}
+    assert (by["s1"]["status"], by["s1"]["selected_candidate_index"], by["s1"]["issue_types"]) == ("accepted", 0, ["multi_candidate_resolved", "manual_expected_accepted", "small_angle_offset_tolerated"])
+    assert (by["s2"]["status"], by["s2"]["issue_types"]) == ("needs_review", ["expected_false_positive_not_rejected"])
+    scores = {(r["sample"], r["candidate_index"]): r for r in told.collect()}
+    assert scores["s1", 0]["multicandidate_score"] == pytest.approx(0.5 + 0.25 + 0.15 + 0.2 + 0.05)
+    assert scores["s1", 1]["multicandidate_score"] == pytest.approx(0.5 + 0.2 - 0.35 - 0.4 - 0.5)
+    assert scores["s1", 1]["rejection_reasons"] == ["not_selected_by_single_title_block_rule", "non_title_table_false_positive", "uniform_grid_like", "lower_confidence_duplicate_or_neighbor"]
+    grouped = records.grouped_candidates(candidates.select("prediction_dir", "sample", "candidate_index", "confidence")).where("sample = 's1'").first()
+    assert [c["candidate_index"] for c in grouped["candidates"]] == [0, 1]

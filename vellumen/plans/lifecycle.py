@@ -6,6 +6,7 @@ responses. What they give should be written before it is used twice, so that no
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -67,10 +68,12 @@ class Calls:
 
     call: Callable[[dict], tuple[int, str | None, str]]
     attempts: int = 3
+    #: Seconds to wait before the second try, and as many times as long before each further one.
+    wait: float = 1.0
 
     def responses(self, requests: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in RAW.split(", ")]
-        call, attempts = self.call, self.attempts
+        call, attempts, wait = self.call, self.attempts, self.wait
 
         def one(row: dict) -> dict:
             for attempt in range(1, attempts + 1):
@@ -82,8 +85,9 @@ class Calls:
                 except Exception as e:  # noqa: BLE001  whatever a provider raises is that request's failure
                     out = {"ok": False, "http_status": None, "error_type": type(e).__name__, "error_message": str(e)[:500], "response_json": None, "response_text": ""}
                     again = isinstance(e, (TimeoutError, ConnectionError))
-                if out["ok"] or not again:
+                if out["ok"] or not again or attempt == attempts:
                     break
+                time.sleep(wait * attempt)
             return {**{n: row.get(n) for n in names}, **out, "attempt_count": attempt}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,6 +157,12 @@ class Recogniser:
         return last_wins(ranked, ["task_id"], ["rank", (-F.col("angle")).alias("a")])
 
 
+def failed_keys(decisions: DataFrame, keys: Sequence[str] = ("task_id", "model")) -> DataFrame:
+    """Keys of decisions of which not all of call, parsing and form went well."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return decisions.where(no(F.col("api_ok")) | no(F.col("parse_status") == "ok") | no(F.col("schema_status") == "ok")).select(*keys).distinct()
+
+
 def pending(requests: DataFrame, done: DataFrame, keys: Sequence[str] = ("task_id", "model", "request_kind")) -> DataFrame:
     """Requests that have no good response yet."""
     return requests.join(done.where("ok").select(*keys), list(keys), "left_anti")
@@ -272,6 +282,20 @@ def summary(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers:
     )
 
 
+def publish(pages: DataFrame, outputs: DataFrame, finals: DataFrame, log: str, turn: Callable[[bytes, int], bytes] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Turns or copies each page's file to its output path, and that to its final path; what both did, as written tables below `log`.
+
+    pages: task_id, split_pdf_path. Each file is put in its place whole, so that a repeated
+    task changes nothing. turn(content, degrees) turns a file; without one files are copied
+    as they are.
+    """
+    from vellumen.sources.sinks import published
+
+    rows = pages.select("task_id", "split_pdf_path").join(outputs.select("task_id", "output_pdf_path", "applied_pdf_rotate_clockwise"), "task_id")
+    turned = published(rows, f"{log.rstrip('/')}/outputs", "split_pdf_path", "output_pdf_path", "applied_pdf_rotate_clockwise", turn)
+    return turned, published(finals, f"{log.rstrip('/')}/finals", "corrected_pdf_path", "final_pdf_path")
+
+
 @dataclass(frozen=True)
 class Run:
     """The tables of a run."""

@@ -304,3 +304,133 @@ def retest_summary(compared: DataFrame, before: Mapping[str, float] | None = Non
     out = compared.groupBy("model").agg(n.alias("total"), metrics.rate(F.count_if("exact_match"), n, 0.0, 4).alias("exact_accuracy"), metrics.rate(F.count_if("rotation_group_match"), n, 0.0, 4).alias("rotation_accuracy"))
     old = text.lookup(F.col("model"), dict(before)) if before else F.lit(None).cast("double")
     return out.withColumn("exact_change", F.bround(F.col("exact_accuracy") - old, 4)).orderBy("model")
+
+
+# ---- several candidates of a page
+
+
+def grouped_candidates(candidates: DataFrame, keys: Sequence[str] = ("prediction_dir", "sample"), index: str = "candidate_index") -> DataFrame:
+    """(keys, candidates): each record's candidates as structs, by their index. A page has few."""
+    others = [c for c in candidates.columns if c not in (*keys, index)]
+    return candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, *others))).alias("candidates"))
+
+
+def multi_candidate_records(candidates: DataFrame, exceptions: DataFrame, keys: Sequence[str] = ("prediction_dir", "sample")) -> tuple[DataFrame, DataFrame]:
+    """(records, candidates with score, selected and rejection_reasons) where pages may have several candidates.
+
+    exceptions: a row for each record with one: keys, reject_index (foreseen as no title block,
+    or null), accepted and small_angle (whether that is foreseen). The best score is selected,
+    the least index of equals.
+    """
+    side = relate.looked_up(exceptions.select(*keys, "reject_index", "accepted", "small_angle"), keys, ())
+    scored = rank.top1_with_rejects(candidates.withColumn("multicandidate_score", rules.multi_candidate_score()), list(keys), "multicandidate_score", ["candidate_index"]).join(side, list(keys), "left")
+    foreseen = F.coalesce(F.col("candidate_index") == F.col("reject_index"), F.lit(False))
+    told = scored.withColumn("rejection_reasons", F.when(~F.col("selected"), rules.multi_rejection_reasons(F.col("diagnostic_flags"), foreseen)))
+    counted = told.groupBy(*keys).agg(
+        F.count("*").alias("prediction_count"),
+        F.count_if(~F.col("selected")).alias("rejected_count"),
+        F.max(F.when(F.col("selected"), F.col("candidate_index"))).alias("selected_candidate_index"),
+        F.bool_or(foreseen & ~F.col("selected")).alias("_rejected"),
+        F.first("reject_index").alias("reject_index"),
+        F.first("accepted").alias("_accepted"),
+        F.first("small_angle").alias("_small"),
+    )
+    failed = F.col("reject_index").isNotNull() & ~F.col("_rejected")
+    fine = F.when(failed, "needs_review").otherwise("accepted")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    issues = text.labels((F.col("prediction_count") > 1, "multi_candidate_resolved"), (failed, "expected_false_positive_not_rejected"), (yes("_accepted") & ~failed, "manual_expected_accepted"), (yes("_small") & ~failed, "small_angle_offset_tolerated"))
+    records = counted.select(*keys, "prediction_count", "rejected_count", "selected_candidate_index", fine.alias("status"), issues.alias("issue_types"))
+    return records, told.drop("reject_index", "accepted", "small_angle")
+
+
+# ---- a teacher's tasks, and what is learned from its answers
+
+
+def teacher_tasks(targets: DataFrame, rows: DataFrame, records: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A task for each target (place, source, sample, prediction_dir, candidate_index as text) that has a row.
+
+    rows: distillation rows, of which the last with the target's key counts. records
+    (prediction_dir, sample, source_image, overlay_path) and candidates (the same keys with
+    candidate_index, source_image, crop_path) give the images; missing_assets names those
+    that a task should have and hasn't.
+    """
+    keys = ["source", "sample", "prediction_dir", "candidate_index"]
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keyed = lambda df, names: df.select(*(filled(n).alias(n) if n in keys else F.col(n) for n in names))
+    asked = ["teacher_value", "reason", "expected_teacher_question", "distill_to_rule", "distill_to_data", "distill_to_model"]
+    joined = keyed(targets, ["place", *keys]).join(relate.looked_up(keyed(rows, [*keys, *asked]), keys, ()), keys)
+    of_record = relate.looked_up(keyed(records.withColumnRenamed("source_image", "_record_image"), ["prediction_dir", "sample", "_record_image", "overlay_path"]), ["prediction_dir", "sample"], ())
+    of_candidate = relate.looked_up(keyed(candidates.withColumnRenamed("source_image", "_own_image"), ["prediction_dir", "sample", "candidate_index", "_own_image", "crop_path"]), ["prediction_dir", "sample", "candidate_index"], ())
+    out = joined.join(of_record, ["prediction_dir", "sample"], "left").join(of_candidate, ["prediction_dir", "sample", "candidate_index"], "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    image = F.coalesce("_own_image", "_record_image")
+    name = F.concat(F.format_string("teacher_%02d_", "place"), "source", F.lit("__"), F.when(F.col("prediction_dir") == "", "three_way").otherwise(F.col("prediction_dir")), F.lit("__"), "sample", F.when(F.col("candidate_index") != "", F.concat(F.lit("__candidate_"), "candidate_index")).otherwise(""))
+    missing = text.labels((F.coalesce(image, F.lit("")) == "", "source"), ((F.col("prediction_dir") != "") & blank("overlay_path"), "overlay"), ((F.col("candidate_index") != "") & blank("crop_path"), "candidate_crop"))
+    return out.select(name.alias("task_id"), F.col("teacher_value").alias("task_type"), *keys, *asked[1:], image.alias("source_image"), "overlay_path", "crop_path", missing.alias("missing_assets"))
+
+
+# What each source of distillation rows teaches, to what, and what it asks.
+DISTILLED = {
+    "three_way_mcp_correction": ("mcp_corrected_opencv", "yes", "yes", "maybe", "Why is the title block at the MCP/manual position rather than the OpenCV position?"),
+    "three_way_low_confidence_agreement": ("confidence_calibration", "yes", "maybe", "no", "What visual evidence makes this low-confidence case still reliable?"),
+    "routing_hardcase": ("hardcase_explanation", "maybe", "yes", "maybe", "Should this selected candidate be accepted, reviewed, or used as a hard-case training signal?"),
+    "round3_rejected_candidate": ("non_title_table_false_positive", "yes", "yes", "yes", "Why is this table-like candidate not the true title block?"),
+}
+
+
+def distillation_rows(three_way_: DataFrame, calibrated: Sequence[str], routed: DataFrame, hard: Sequence[str], rejected: DataFrame, negatives: Sequence[str]) -> DataFrame:
+    """Rows from which a teacher's answers may be distilled, from three sources, once a source, record and candidate.
+
+    three_way_: sample, mcp_matches_manual, opencv_matches_manual (texts); where both match, the
+    samples in `calibrated` count. routed: prediction_dir, sample, selected_candidate_index,
+    routes, route_reasons; samples in `hard`, or on the route to training. rejected:
+    prediction_dir, sample, candidate_index, rejection_reasons; samples in `negatives`.
+    """
+    mcp, opencv = text.truth_text(F.col("mcp_matches_manual")), text.truth_text(F.col("opencv_matches_manual"))
+    none = F.lit("")
+
+    def rows(source: str, df: DataFrame, folder: Column, index: Column, reason: Column) -> DataFrame:
+        value, rule, data, model, question = map(F.lit, DISTILLED[source])
+        return df.select(F.lit(source).alias("source"), "sample", F.coalesce(folder, none).alias("prediction_dir"), F.coalesce(index.cast("string"), none).alias("candidate_index"), value.alias("teacher_value"), rule.alias("distill_to_rule"), data.alias("distill_to_data"), model.alias("distill_to_model"), reason.alias("reason"), question.alias("expected_teacher_question"))
+
+    joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ";")
+    parts = [
+        rows("three_way_mcp_correction", three_way_.where(mcp & ~opencv), none, none, F.lit("MCP matched manual while OpenCV was wrong")),
+        rows("three_way_low_confidence_agreement", three_way_.where(mcp & opencv & F.col("sample").isin(*calibrated)), none, none, F.lit("MCP and OpenCV agreed with manual while OpenCV requested review")),
+        rows("routing_hardcase", rank.hard_cases(routed, "sample", hard, "routes"), F.col("prediction_dir"), F.col("selected_candidate_index"), joined("route_reasons")),
+        rows("round3_rejected_candidate", rejected.where(F.col("sample").isin(*negatives)), F.col("prediction_dir"), F.col("candidate_index"), joined("rejection_reasons")),
+    ]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return relate.last_wins(union, ["source", "prediction_dir", "sample", "candidate_index"], ["reason"])
+
+
+JUDGMENTS = "array<struct<candidate_index:int,is_true_title_block:boolean,touches_drawing_frame:boolean,field_cluster_strength:string,ordinary_table_false_positive_risk:string,reject_reasons_if_not_title_block:array<string>,layout_evidence:array<string>>>"
+ANSWERED = f"struct<title_block_position:string,rotation_degrees:int,confidence:double,needs_human_review:boolean,candidate_judgments:{JUDGMENTS}>"
+
+
+def teacher_actions(validated: DataFrame) -> DataFrame:
+    """A row for each judgment of valid answers (task_id, parsed_response as JSON): what it can teach, and advice."""
+    rows = validated.select("task_id", F.from_json("parsed_response", ANSWERED).alias("a")).select("task_id", "a", F.explode("a.candidate_judgments").alias("j"))
+    kind = text.task_kind(F.col("task_id"))
+    j = F.col("j")
+    judgment = F.struct(j["is_true_title_block"].alias("is_true"), j["touches_drawing_frame"].alias("touches_frame"), j["field_cluster_strength"].alias("strength"), j["ordinary_table_false_positive_risk"].alias("risk"), F.coalesce(j["reject_reasons_if_not_title_block"], F.array().cast("array<string>")).alias("reject_reasons"))
+    return rows.select(
+        "task_id",
+        text.task_sample(F.col("task_id")).alias("sample"),
+        kind.alias("task_kind"),
+        j["candidate_index"].alias("candidate_index"),
+        j["is_true_title_block"].alias("is_true_title_block"),
+        F.col("a.title_block_position").alias("title_block_position"),
+        F.col("a.rotation_degrees").alias("rotation_degrees"),
+        j["touches_drawing_frame"].alias("touches_drawing_frame"),
+        j["field_cluster_strength"].alias("field_cluster_strength"),
+        j["ordinary_table_false_positive_risk"].alias("ordinary_table_false_positive_risk"),
+        F.array_join(judgment["reject_reasons"], ";").alias("reject_reasons"),
+        F.array_join(rules.distill_targets(kind, judgment, F.col("a.needs_human_review")), ";").alias("distill_targets"),
+        rules.advice(kind, j["is_true_title_block"], F.col("a.confidence")).alias("recommendation"),
+        F.array_join(F.coalesce(j["layout_evidence"], F.array().cast("array<string>")), " | ").alias("layout_evidence"),
+        F.col("a.confidence").alias("confidence"),
+        F.col("a.needs_human_review").alias("needs_human_review"),
+    )

@@ -169,6 +169,50 @@ def rejection_reasons(flags: Column, teacher_flags: Column, expected: Column) ->
     )
 
 
+@dataclass(frozen=True)
+class MultiWeights:
+    """Fixed values of the score among several candidates of a page."""
+
+    edge_threshold: float = 0.12
+    target_area: float = 0.04
+    frame_contact: float = 0.25
+    edge: float = 0.15
+    size: float = 0.20
+    structure: float = 0.10
+    uniform_grid: float = -0.35
+    centre: float = -0.40
+    out_of_bounds: float = -0.50
+
+
+def multi_candidate_score(w: MultiWeights = MultiWeights()) -> Column:
+    """The score among several candidates, from the columns box, points, area, confidence, frame_contact_score, cell_area_variance, uniform_grid_penalty and inside_drawing_body_penalty; missing ones are zero."""
+    box = F.col("box")
+    edge = F.greatest(F.least(box["xmin"], box["ymin"], 1.0 - box["xmax"], 1.0 - box["ymax"]), F.lit(0.0))
+    outside = F.exists("points", lambda p: ~p["x"].between(0, 1) | ~p["y"].between(0, 1))
+    return weighted_score(
+        {
+            "confidence": (F.col("confidence"), 1.0),
+            "frame_contact": (F.col("frame_contact_score"), w.frame_contact),
+            "edge": (clamp(1.0 - edge / w.edge_threshold), w.edge),
+            "size": (clamp(1.0 - F.abs(zero(F.col("area")) - w.target_area) / w.target_area), w.size),
+            "structure": (clamp(zero(F.col("cell_area_variance")) / 2.0), w.structure),
+            "uniform_grid": (F.col("uniform_grid_penalty"), w.uniform_grid),
+            "centre": (F.col("inside_drawing_body_penalty"), w.centre),
+            "out_of_bounds": (F.when(outside, 1.0).otherwise(0.0), w.out_of_bounds),
+        }
+    )
+
+
+def multi_rejection_reasons(diagnostic_flags: Column, expected: Column) -> Column:
+    """Why one of several candidates was not taken; expected: it was foreseen as no title block."""
+    return labels(
+        (F.lit(True), "not_selected_by_single_title_block_rule"),
+        (F.coalesce(expected, F.lit(False)), "non_title_table_false_positive"),
+        (has(diagnostic_flags, "uniform_grid_like"), "uniform_grid_like"),
+        (F.lit(True), "lower_confidence_duplicate_or_neighbor"),
+    )
+
+
 # Issues that block a record, for classifying and for routing.
 CLASSIFY_BLOCKING = ("part_false_positive", "out_of_page_bounds", "boundary_too_large", "partial_title_block", "format_error")
 ROUTE_BLOCKING = ("missing_title_block", "missing_prediction_label", "manual_rejected", "partial_title_block", "part_false_positive", "out_of_page_bounds", "boundary_too_large", "expected_false_positive_not_rejected")

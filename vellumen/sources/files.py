@@ -79,6 +79,39 @@ def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(~F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False)))
 
 
+def json_records(spark: SparkSession, path: str, schema: T.StructType | str, *, tolerant: bool = False) -> DataFrame:
+    """Rows of JSON lines that know their places; empty lines don't count.
+
+    A line that is no JSON object, or doesn't fit the schema, fails the job with the file and
+    the line's number; with tolerant=True it is a row of nulls with its text in _json_error and
+    its number in _line_number, which are null for good lines. Files are read whole: for
+    records of reviews. json_lines() reads large ones in parts.
+    """
+    kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    lines = numbered_lines(spark, path).where(stripped(F.col("line")) != "")
+    read = T.StructType([*kind, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json("line", read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("path", "line_number", "line", parsed.alias("r"), F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False)).alias("object"))
+    good = F.col("object") & F.col("r._bad").isNull()
+    if tolerant:
+        cells = [F.when(good, F.col("r")[n]).alias(n) for n in kind.names]
+        return rows.select(*cells, F.when(~good, F.col("line")).alias("_json_error"), F.when(~good, F.col("line_number")).alias("_line_number"))
+    told = F.concat(F.col("path"), F.lit(":"), F.col("line_number").cast("string"), F.lit(": not the JSON that is expected"))
+    return rows.where(F.when(good, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).select("r.*").drop("_bad")
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(path, n): how many lines of each file aren't empty."""
+    return lines.groupBy("path").agg(F.count_if(stripped(F.col("line")) != "").alias("n"))
+
+
+def listed_splits(files: DataFrame, splits: DataFrame, pattern: str = r"([^/]+)\.[^.]*$") -> DataFrame:
+    """Files (path) with their sample, which the pattern finds in the path, and its split (sample, split); null where there is none."""
+    from vellumen.operators.relate import looked_up
+
+    return files.withColumn("sample", F.regexp_extract("path", pattern, 1)).join(looked_up(splits.select("sample", "split"), ["sample"], ()), "sample", "left")
+
+
 def csv_table(spark: SparkSession, path: str, required: Sequence[str], encodings: Sequence[str] = ("utf-8-sig", "gb18030")) -> DataFrame:
     """Rows of a CSV form in the first encoding that reads it and has the required columns.
 
