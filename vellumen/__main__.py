@@ -11,6 +11,7 @@ import sys
 from collections.abc import Sequence
 from pathlib import Path
 
+from vellumen.plans import steps
 from vellumen.sources import config
 
 
@@ -36,7 +37,7 @@ def check_settings(given: argparse.Namespace) -> int:
 
 
 def tell_run(given: argparse.Namespace) -> int:
-    report = config.dry_run(given.config)
+    report = config.dry_run(given.config) | {"plan": steps.effects(), "steps": steps.report()}
     print(json.dumps(report, ensure_ascii=False, indent=2))
     return 0 if report["ok"] else 2
 

@@ -1,6 +1,6 @@
 """All queries by name, and the SQL of those that have some."""
 
-from vellumen.plans import queries_text  # noqa: F401  registers its queries
+from vellumen.plans import queries_pages, queries_records, queries_text  # noqa: F401  they register queries
 from vellumen.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

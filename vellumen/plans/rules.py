@@ -410,22 +410,22 @@ def advice(kind: Column, is_true: Column, confidence: Column) -> Column:
 
 
 # Layers of the three review forms, by words in judgment, relative judgment, issue and note.
-FORMS: dict[str, tuple[tuple[str, tuple[tuple[str, str, str], ...]], ...]] = {
+FORMS: dict[str, tuple[tuple[str, tuple[tuple[str, str, str | tuple[str, ...]], ...]], ...]] = {
     "crop": (
-        ("完整", (("judgment", "in", "完整;正确"),)),
-        ("未完整", (("judgment", "in", "未完整;不完整;错误"),)),
+        ("完整", (("judgment", "in", ("完整", "正确")),)),
+        ("未完整", (("judgment", "in", ("未完整", "不完整", "错误")),)),
         ("右侧或图号尾部缺失", (("issue", "has", "右侧"), ("note", "has", "右侧"), ("note", "has", "图号未完整"))),
         ("只覆盖半截标题栏", (("note", "has", "一半"),)),
         ("错框或混入主体", (("note", "has", "位置判断错误"), ("note", "has", "零件图"), ("issue", "has", "错"))),
         ("图像质量问题", (("note", "has", "字迹"), ("note", "has", "不清"), ("note", "has", "浅"), ("note", "has", "后处理"))),
     ),
     "recovery": (
-        ("完整性正确", (("judgment", "in", "正确;完整"),)),
-        ("范围太大", (("issue", "in", "范围太大"), ("note", "has", "范围太大"))),
+        ("完整性正确", (("judgment", "in", ("正确", "完整")),)),
+        ("范围太大", (("issue", "in", ("范围太大",)), ("note", "has", "范围太大"))),
         ("包含非标题栏图纸区域", (("note", "has", "左半边"), ("note", "has", "不是标题栏"), ("note", "has", "图纸"))),
     ),
     "tightening": (
-        ("收窄过度", (("judgment", "has", "太小"), ("issue", "in", "裁掉标题栏"))),
+        ("收窄过度", (("judgment", "has", "太小"), ("issue", "in", ("裁掉标题栏",)))),
         ("保留旧高度", (("note", "has", "高度更好"),)),
         ("采用新版左右范围", (("note", "has", "左右范围合适"),)),
     ),
@@ -436,8 +436,8 @@ def form_layers(form: str, **columns: Column) -> Column:
     """Layers of a review row: judgment, issue and note, and relative for the tightening form."""
     text = {k: F.coalesce(c, F.lit("")) for k, c in columns.items()}
 
-    def met(where: str, how: str, what: str) -> Column:
-        return text[where].isin(*what.split(";")) if how == "in" else text[where].contains(what)
+    def met(where: str, how: str, what: str | tuple[str, ...]) -> Column:
+        return text[where].isin(*what) if how == "in" else text[where].contains(what)
 
     found = []
     for name, conditions in FORMS[form]:
