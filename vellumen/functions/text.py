@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,11 @@ ILLEGAL_IN_NAMES = r'[<>:"/\\|?*\x00-\x1f]'
 BLANKS = r"(?U)\s+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any script at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

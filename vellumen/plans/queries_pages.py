@@ -78,7 +78,7 @@ LEVEL_SQL = "(0, 0.00, 0.55), (1, 0.15, 0.70), (2, 0.35, 0.65), (3, 0.00, 1.00),
 
 
 @query(f"""
-WITH s AS ({SIZE_SQL}), e AS (SELECT p_partkey, w, h, floor(w * 0.4::DOUBLE)::INTEGER AS x1, floor(w * 0.6::DOUBLE)::INTEGER AS x2, floor(h * 0.4::DOUBLE)::INTEGER AS y1, floor(h * 0.6::DOUBLE)::INTEGER AS y2 FROM s),
+WITH s AS ({SIZE_SQL}), e AS (SELECT p_partkey, w::INTEGER AS w, h::INTEGER AS h, floor(w * 0.4::DOUBLE)::INTEGER AS x1, floor(w * 0.6::DOUBLE)::INTEGER AS x2, floor(h * 0.4::DOUBLE)::INTEGER AS y1, floor(h * 0.6::DOUBLE)::INTEGER AS y2 FROM s),
 u AS (SELECT n, b::DOUBLE AS b, m::DOUBLE AS m FROM (VALUES {UPRIGHT_SQL}) AS t(n, b, m)), v AS (SELECT n, b::DOUBLE AS b, m::DOUBLE AS m FROM (VALUES {LEVEL_SQL}) AS t(n, b, m))
 SELECT p_partkey, 'window' AS kind, n, 'left' AS side, 0 AS xmin, floor(h * b)::INTEGER AS ymin, x1 AS xmax, least(h, floor(h * (b + m)))::INTEGER AS ymax FROM e, u
 UNION ALL SELECT p_partkey, 'window', 5 + n, 'right', x2, floor(h * b)::INTEGER, w, least(h, floor(h * (b + m)))::INTEGER FROM e, u

@@ -446,7 +446,7 @@ def json_round_trip(spark, sf_dir):
     return files.json_lines(spark, path, n.schema)
 
 
-@query("SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS x, CASE WHEN n_nationkey % 4 = 0 THEN 'bad ' || n_name END AS error, CASE WHEN n_nationkey % 4 = 0 THEN 2 * row_number() OVER (ORDER BY n_nationkey) - 1 END AS line FROM nation")
+@query("SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey::BIGINT END AS x, CASE WHEN n_nationkey % 4 = 0 THEN 'bad ' || n_name END AS error, CASE WHEN n_nationkey % 4 = 0 THEN 2 * row_number() OVER (ORDER BY n_nationkey) - 1 END AS line FROM nation")
 def json_places(spark, sf_dir):
     """JSON lines of which some are none, and every second is empty; bad ones know their number."""
     n, k = read(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("n_nationkey")
@@ -456,7 +456,7 @@ def json_places(spark, sf_dir):
     return files.json_records(spark, path, "x long", tolerant=True).select("x", F.col("_json_error").alias("error"), F.col("_line_number").cast("long").alias("line"))
 
 
-@query("SELECT n_nationkey AS x, n_name AS y FROM nation")
+@query("SELECT n_nationkey::BIGINT AS x, n_name AS y FROM nation")
 def json_arrays(spark, sf_dir):
     """A report with its rows in a list, and the same rows as one array; both read again."""
     path = on_driver(folder(spark))
@@ -503,7 +503,7 @@ def workbook_round_trip(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'copied' WHEN 1 THEN 'turned' ELSE 'missing' END AS status, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN reverse(n_name) END AS content FROM nation
+SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 3 WHEN 0 THEN 'copied' WHEN 1 THEN 'turned' ELSE 'missing' END AS status, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN reverse(n_name) END AS content FROM nation
 """)
 def published_files(spark, sf_dir):
     """Files copied to their places, some turned and some not there, and what then lies there."""
@@ -533,7 +533,7 @@ def pages_of_files(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey AS n, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'format_error:line_1:field_count_3' WHEN 2 THEN 'format_error:line_1:not_numeric' ELSE 'missing_prediction_label' END AS error, CASE WHEN n_nationkey % 4 = 0 THEN 0.25::DOUBLE END AS area, CASE WHEN n_nationkey % 4 < 3 THEN 1 ELSE 0 END::BIGINT AS lines,
+SELECT n_nationkey::BIGINT AS n, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'format_error:line_1:field_count_3' WHEN 2 THEN 'format_error:line_1:not_numeric' ELSE 'missing_prediction_label' END AS error, CASE WHEN n_nationkey % 4 = 0 THEN 0.25::DOUBLE END AS area, CASE WHEN n_nationkey % 4 < 3 THEN 1 ELSE 0 END::BIGINT AS lines,
     CASE WHEN n_nationkey % 2 = 0 THEN 'train' END AS split FROM nation
 """)
 def label_files(spark, sf_dir):
@@ -569,7 +569,7 @@ def annotation_files(spark, sf_dir):
     return p.select(F.regexp_extract("path", "([ab])[.]json$", 1).alias("file"), "label", rounded(geometry.polygon_area(F.col("points")), "area"))
 
 
-@query("SELECT n_name AS sample, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'src' END AS source_sample, n_nationkey % 4 * 90 AS rotation_degrees FROM nation")
+@query("SELECT n_name AS sample, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'src' END AS source_sample, (n_nationkey % 4 * 90)::BIGINT AS rotation_degrees FROM nation")
 def manifests(spark, sf_dir):
     n, path, k = read(spark, sf_dir, "nation", "n_nationkey", "n_name"), folder(spark), F.col("n_nationkey")
     blank = lambda name: F.lit("x").alias(name)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumen.functions.geometry import clamp, scaled
-from vellumen.functions.text import labels, sorted_unique, verdict
+from vellumen.functions.text import labels, let, sorted_unique, verdict
 
 
 @dataclass(frozen=True)
@@ -125,33 +125,56 @@ def side_decision(sides: Column, candidates: Column) -> Column:
     def best(items: Column) -> Column:
         return F.get(F.array_sort(items, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)), 0)
 
-    def of(items: Column, side: str) -> Column:
+    def of(items: Column, side: str | Column) -> Column:
         return best(F.filter(items, lambda s: s["side"] == side))
 
-    top = best(sides)
-    right = of(sides, "right")
-    rather_right = (top["side"] == "top") & right.isNotNull() & (((right["score"] >= top["score"] * 0.60) & (right["component_density"] >= 0.25)) | ((right["score"] >= top["score"] * 0.90) & (right["intersection_density"] > top["intersection_density"])))
-    band = F.when(rather_right, right["side"]).otherwise(top["side"])
-    first, left = best(candidates), of(candidates, "left")
-    left_band, first_band = of(sides, "left"), F.get(F.filter(sides, lambda s: s["side"] == first["side"]), 0)
-    keeps_right = (band == "right") & first["side"].isin("top", "left")
-    to_left = left.isNotNull() & (
-        (first["side"].isin("bottom", "right") & (band != "right") & (left["evidence_score"] >= first["evidence_score"] * 0.93) & (left_band["score"] >= first_band["score"] * 0.75))
-        | ((band == "left") & (first["side"] != "left") & (left["evidence_score"] >= first["evidence_score"] * 0.88))
-    )
-    none = first.isNull()
     yes = lambda c: F.coalesce(c, F.lit(False))
-    side = F.when(none, band).when(yes(keeps_right), band).when(yes(to_left), F.lit("left")).when(yes(first["evidence_score"] >= 0.43), first["side"]).otherwise(band)
-    chosen = F.when(none, first).when(yes(keeps_right), F.coalesce(of(candidates, "right"), first)).when(yes(to_left), left).otherwise(first)
-    own = F.get(F.filter(sides, lambda s: s["side"] == side), 0)
-    rival = best(F.filter(sides, lambda s: s["side"] != side))
-    margin = F.when(rival.isNull(), 1.0).otherwise(clamp((own["score"] - rival["score"]) / F.nullif(own["score"], F.lit(0.0))))
-    evidence = F.greatest(scaled(own["score"], 1.0, 7.0), chosen["evidence_score"])
-    rivalled = F.when(rival.isNotNull() & (rival["score"] >= own["score"] * 0.88), 1.0).otherwise(0.0)
-    plain = F.bround(clamp(0.62 * evidence + 0.23 * F.coalesce(margin, F.lit(0.0)) + 0.15 * (1.0 - rivalled)), 4)
-    floor = yes((chosen["evidence_score"] >= 0.45) & (first["score"] > 0) & (chosen["score"] >= first["score"] * 0.97) & (plain < 0.32))
-    confidence = F.when(floor, 0.32).otherwise(plain)
-    return F.struct(side.alias("side"), own["score"].alias("score"), evidence.alias("evidence"), confidence.alias("confidence"), (confidence < 0.30).alias("needs_review"))
+
+    def told(more: dict[str, Column], then) -> Column:
+        """then() of a struct of these values, each worked out once."""
+        return let(F.struct(*(c.alias(n) for n, c in more.items())), then)
+
+    def banded(x: Column) -> Column:
+        top, right = x["top"], x["right"]
+        rather_right = (top["side"] == "top") & right.isNotNull() & (((right["score"] >= top["score"] * 0.60) & (right["component_density"] >= 0.25)) | ((right["score"] >= top["score"] * 0.90) & (right["intersection_density"] > top["intersection_density"])))
+        return told({"x": x, "band": F.when(rather_right, "right").otherwise(top["side"]), "first_band": of(x["sides"], x["first"]["side"])}, sided)
+
+    def sided(y: Column) -> Column:
+        x, band = y["x"], y["band"]
+        first, left = x["first"], x["left"]
+        keeps_right = (band == "right") & first["side"].isin("top", "left")
+        to_left = left.isNotNull() & (
+            (first["side"].isin("bottom", "right") & (band != "right") & (left["evidence_score"] >= first["evidence_score"] * 0.93) & (x["left_band"]["score"] >= y["first_band"]["score"] * 0.75))
+            | ((band == "left") & (first["side"] != "left") & (left["evidence_score"] >= first["evidence_score"] * 0.88))
+        )
+        rule = F.when(first.isNull(), "band").when(yes(keeps_right), "right").when(yes(to_left), "left").when(yes(first["evidence_score"] >= 0.43), "first").otherwise("weak")
+        return told({"x": x, "band": band, "rule": rule}, chosen)
+
+    def chosen(y: Column) -> Column:
+        x, rule = y["x"], y["rule"]
+        side = F.when(rule == "left", "left").when(rule == "first", x["first"]["side"]).otherwise(y["band"])
+        taken = F.when(rule == "right", F.coalesce(of(x["candidates"], "right"), x["first"])).when(rule == "left", x["left"]).otherwise(x["first"])
+        return told({"x": x, "side": side, "taken": taken}, weighed)
+
+    def weighed(y: Column) -> Column:
+        sides = y["x"]["sides"]
+        return told({"y": y, "own": F.get(F.filter(sides, lambda s: s["side"] == y["side"]), 0)["score"], "rival": best(F.filter(sides, lambda s: s["side"] != y["side"]))["score"]}, sure)
+
+    def sure(z: Column) -> Column:
+        y, own, rival = z["y"], z["own"], z["rival"]
+        evidence = F.greatest(scaled(own, 1.0, 7.0), y["taken"]["evidence_score"])
+        margin = F.when(rival.isNull(), 1.0).otherwise(clamp((own - rival) / F.nullif(own, F.lit(0.0))))
+        rivalled = F.when(rival >= own * 0.88, 1.0).otherwise(0.0)
+        plain = F.bround(clamp(0.62 * evidence + 0.23 * F.coalesce(margin, F.lit(0.0)) + 0.15 * (1.0 - rivalled)), 4)
+        first, taken = y["x"]["first"], y["taken"]
+        good = yes((taken["evidence_score"] >= 0.45) & (first["score"] > 0) & (taken["score"] >= first["score"] * 0.97))
+        return told({"side": y["side"], "own": own, "evidence": evidence, "plain": plain, "good": good}, ended)
+
+    def ended(r: Column) -> Column:
+        confidence = F.when(r["good"] & (r["plain"] < 0.32), 0.32).otherwise(r["plain"])
+        return F.struct(r["side"].alias("side"), r["own"].alias("score"), r["evidence"].alias("evidence"), confidence.alias("confidence"), (confidence < 0.30).alias("needs_review"))
+
+    return told({"sides": sides, "candidates": candidates, "top": best(sides), "right": of(sides, "right"), "left_band": of(sides, "left"), "first": best(candidates), "left": of(candidates, "left")}, banded)
 
 
 def rejection_reasons(flags: Column, teacher_flags: Column, expected: Column) -> Column:
