@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from vellumen.functions.text import filename_blockers, filename_stem, labels, lookup, number_plain, sorted_unique, stripped
 
-VERSION = "pdf-rotation-mvp-v0.1"
+VERSION = "page-records-1"
 # Short names of positions, and the current and the correcting rotation of each position.
 ALIASES = {"bottom": "bottom_edge", "top": "top_edge", "left": "left_edge", "right": "right_edge"}
 ROTATIONS: dict[str, tuple[int | None, int | None]] = {
@@ -54,10 +54,8 @@ def _none_of(value):
     return value
 
 
-def _loosely(text: str | None) -> str | None:
-    """Canonical JSON of a text that is JSON, fenced JSON, or has an object in it; null if none."""
-    if text is None:
-        return None
+def found_json(text: str) -> tuple[bool, object]:
+    """(True, what a text is as JSON, as fenced JSON, or by the object in it), or (False, None)."""
     text = text.strip()
     tries = [text]
     if text.startswith("```"):
@@ -68,10 +66,16 @@ def _loosely(text: str | None) -> str | None:
         tries.append(text[opens : closes + 1])
     for t in tries:
         try:
-            return json.dumps(_none_of(json.loads(t)), ensure_ascii=False)
+            return True, _none_of(json.loads(t))
         except (ValueError, RecursionError):
             continue
-    return None
+    return False, None
+
+
+def _loosely(text: str | None) -> str | None:
+    """Canonical JSON of what a text holds; null if nothing."""
+    there, value = (False, None) if text is None else found_json(text)
+    return json.dumps(value, ensure_ascii=False) if there else None
 
 
 @F.pandas_udf(T.StringType())
@@ -134,13 +138,11 @@ def read_answer(response: pa.Array) -> pa.Array:
     columns: dict[str, list] = {n: [] for n in ANSWER.names}
     for text in response.to_pylist():
         content, error = content_of(text)
-        parsed = _loosely(content) if error is None and content.strip() else None
-        value = json.loads(parsed) if parsed is not None else None
+        there, value = found_json(content) if error is None and content.strip() else (False, None)
         fields = flattened(value)
-        row = {"content": content, "content_error": error, "json": parsed, "object": isinstance(value, dict), "empty": not fields}
+        row = {"content": content, "content_error": error, "json": json.dumps(value, ensure_ascii=False) if there else None, "object": isinstance(value, dict), "empty": not fields}
         for name, key, what in READ:
-            there = key in fields
-            item, kind_ = fields.get(key), _kind(fields.get(key)) if there else None
+            item, kind_ = fields.get(key), _kind(fields.get(key)) if key in fields else None
             row[f"{name}_kind"] = kind_
             row[name] = ([x for x in item if isinstance(x, str) and x] if what == "ARRAY" else float(item) if what == "NUMBER" else item) if kind_ == what else None
         for name, cell in row.items():

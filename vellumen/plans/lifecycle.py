@@ -186,37 +186,50 @@ def rotation_outputs(pages: DataFrame, decisions: DataFrame, dry_run: bool = Fal
     )
 
 
-def final_outputs(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers: DataFrame, output_dir: str, dry_run: bool = False, existing: DataFrame | None = None) -> DataFrame:
-    """What is published under which name, and what goes to review and why.
+def assembled(pages: DataFrame, **sides: DataFrame) -> DataFrame:
+    """A row for each page (task_id is its key) with a column for each side: the side's last row with its task_id as a struct, or null.
+
+    All sides meet in one aggregation by task_id. A side's last row is that with the greatest
+    model, http_status and attempt_count, of those that it has, and then by all its columns.
+    """
+    order = ["model", "http_status", "attempt_count"]
+    tagged = pages.select("task_id", F.struct("*").alias("page"))
+    for name, rows in sides.items():
+        first = [c for c in order if c in rows.columns]
+        row = F.struct(*first, *(c for c in rows.columns if c not in first))
+        tagged = tagged.unionByName(rows.select("task_id", row.alias(name)), allowMissingColumns=True)
+    one = tagged.groupBy("task_id").agg(*(F.max(n).alias(n) for n in ("page", *sides)))
+    return one.where("page IS NOT NULL").select("page.*", *sides)
+
+
+def finished(rows: DataFrame, numbers: DataFrame, output_dir: str, dry_run: bool = False, existing: DataFrame | None = None) -> DataFrame:
+    """Rows of assembled() with decision, output and number: what is published under which name, and what goes to review and why.
 
     A name counts as taken within its source if two numbers of it have that name. existing:
     (output_pdf_path) of the turned pages that are there; None takes them as there.
     """
-    order = ["model", "http_status", "attempt_count"]
     named = numbers.withColumn("_stem", file_stem(F.coalesce("source_pdf", F.lit(""))))
     taken = duplicates(named.select("_stem", "final_filename_stem"), ["_stem", "final_filename_stem"], "_taken").where("_taken").distinct()
-    d = last_wins(decisions, ["task_id"], order).select("task_id", F.col("needs_review").alias("_d_review"))
-    o = outputs.select("task_id", "output_status")
-    n = last_wins(numbers, ["task_id"], order).select("task_id", F.lit(True).alias("_number"), F.col("api_ok").alias("_n_ok"), F.col("parse_status").alias("_n_parse"), F.col("schema_status").alias("_n_schema"), F.col("needs_review").alias("_n_review"), "selected_drawing_number", "final_filename_stem")
-    rows = pages.withColumn("_stem", file_stem("source_pdf")).join(d, "task_id", "left").join(o, "task_id", "left").join(n, "task_id", "left").join(taken, ["_stem", "final_filename_stem"], "left")
+    n = F.col("number")
+    rows = rows.withColumn("_stem", file_stem("source_pdf")).withColumn("final_filename_stem", n["final_filename_stem"]).join(taken, ["_stem", "final_filename_stem"], "left")
     if existing is None:
         rows = rows.withColumn("_there", F.lit(True))
     else:
         rows = rows.join(existing.select("output_pdf_path").distinct().withColumn("_there", F.lit(True)), "output_pdf_path", "left")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    number = F.col("_number").isNotNull()
+    there = n.isNotNull()
     unnamed = F.coalesce(F.col("final_filename_stem"), F.lit("")) == ""
     blockers = sorted_unique(
         labels(
             (F.lit(dry_run), "dry_run"),
-            (no(F.col("output_status") == "corrected"), "rotation_output_not_corrected"),
-            (yes(F.col("_d_review")), "rotation_decision_needs_review"),
-            (~number, "missing_drawing_number_decision"),
-            (number & no(F.col("_n_ok")), "drawing_number_api_not_ok"),
-            (number & no(F.col("_n_parse") == "ok"), "drawing_number_parse_not_ok"),
-            (number & no(F.col("_n_schema") == "ok"), "drawing_number_schema_not_ok"),
-            (number & yes(F.col("_n_review")), "drawing_number_decision_needs_review"),
+            (no(F.col("output")["output_status"] == "corrected"), "rotation_output_not_corrected"),
+            (yes(F.col("decision")["needs_review"]), "rotation_decision_needs_review"),
+            (~there, "missing_drawing_number_decision"),
+            (there & no(n["api_ok"]), "drawing_number_api_not_ok"),
+            (there & no(n["parse_status"] == "ok"), "drawing_number_parse_not_ok"),
+            (there & no(n["schema_status"] == "ok"), "drawing_number_schema_not_ok"),
+            (there & yes(n["needs_review"]), "drawing_number_decision_needs_review"),
             (unnamed, "missing_final_filename_stem"),
             (~unnamed & yes(F.col("_taken")), "duplicate_drawing_number"),
             (no(F.col("_there")), "missing_corrected_pdf"),
@@ -225,49 +238,49 @@ def final_outputs(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, nu
     rows = rows.withColumn("final_blockers", blockers).withColumn("needs_review", F.size("final_blockers") > 0)
     folder = F.concat(F.lit(output_dir.rstrip("/") + "/"), F.col("source_stem"))
     path = F.when(F.col("needs_review"), F.concat(folder, F.lit("/needs_review/"), F.col("task_id"), F.lit(".pdf"))).otherwise(F.concat(folder, F.lit("/"), F.col("final_filename_stem"), F.lit(".pdf")))
-    return rows.select("task_id", "source_pdf", "page_number", F.coalesce("selected_drawing_number", F.lit("")).alias("drawing_number"), F.coalesce("final_filename_stem", F.lit("")).alias("final_filename_stem"), path.alias("final_pdf_path"), F.col("output_pdf_path").alias("corrected_pdf_path"), F.when(F.col("needs_review"), "needs_review").otherwise("published").alias("final_status"), "needs_review", "final_blockers")
-
+    final = {
+        "drawing_number": F.coalesce(n["selected_drawing_number"], F.lit("")),
+        "final_filename_stem": F.coalesce("final_filename_stem", F.lit("")),
+        "final_pdf_path": path,
+        "corrected_pdf_path": F.col("output_pdf_path"),
+        "final_status": F.when(F.col("needs_review"), "needs_review").otherwise("published"),
+        "needs_review": F.col("needs_review"),
+        "final_blockers": F.col("final_blockers"),
+    }
+    return rows.select("task_id", "source_pdf", "page_number", "decision", "output", "number", F.struct(*(c.alias(k) for k, c in final.items())).alias("final"))
 
-def report(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers: DataFrame, finals: DataFrame) -> DataFrame:
-    """One row a page from all tables, as text: what has no row is empty, and lists are joined by ;."""
-    order = ["model", "http_status", "attempt_count"]
 
-    def side(rows: DataFrame, prefix: str, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-        kept = last_wins(rows, ["task_id"], by) if by else rows
-        text = lambda c: F.array_join(c, ";") if dict(kept.dtypes)[c].startswith("array") else F.col(c).cast("string")
-        return kept.select("task_id", *(F.coalesce(text(c), F.lit("")).alias(prefix + c) for c in names))
-
-    status = ["api_ok", "parse_status", "schema_status", "confidence", "review_reasons"]
-    d = side(decisions, "d_", [*status, "title_block_position", "current_clockwise_degrees", "correction_clockwise_degrees"], order)
-    n = side(numbers, "n_", [*status, "selected_drawing_number"], order)
-    o = side(outputs, "o_", ["output_pdf_path", "output_status", "output_blockers"], [])
-    f = side(finals, "f_", ["final_pdf_path", "final_status", "final_filename_stem", "needs_review", "final_blockers"], [])
-    joined = pages.select("task_id", "source_pdf", "page_number").join(d, "task_id", "left").join(n, "task_id", "left").join(o, "task_id", "left").join(f, "task_id", "left")
-    names = {
-        "final_pdf_path": "f_final_pdf_path",
-        "final_status": "f_final_status",
-        "drawing_number": "n_selected_drawing_number",
-        "final_filename_stem": "f_final_filename_stem",
-        "corrected_pdf_path": "o_output_pdf_path",
-        "output_status": "o_output_status",
-        "title_block_position": "d_title_block_position",
-        "current_clockwise_degrees": "d_current_clockwise_degrees",
-        "correction_clockwise_degrees": "d_correction_clockwise_degrees",
-        "confidence": "d_confidence",
-        "api_ok": "d_api_ok",
-        "parse_status": "d_parse_status",
-        "schema_status": "d_schema_status",
-        "drawing_number_api_ok": "n_api_ok",
-        "drawing_number_parse_status": "n_parse_status",
-        "drawing_number_schema_status": "n_schema_status",
-        "drawing_number_confidence": "n_confidence",
-        "needs_review": "f_needs_review",
-        "review_reasons": "d_review_reasons",
-        "drawing_number_review_reasons": "n_review_reasons",
-        "output_blockers": "o_output_blockers",
-        "final_blockers": "f_final_blockers",
+def final_outputs(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers: DataFrame, output_dir: str, dry_run: bool = False, existing: DataFrame | None = None) -> DataFrame:
+    """A row a page with its names, paths and blockers: see finished()."""
+    rows = assembled(pages, decision=decisions, output=outputs, number=numbers)
+    return finished(rows, numbers, output_dir, dry_run, existing).select("task_id", "source_pdf", "page_number", "final.*")
+
+
+def reported(rows: DataFrame) -> DataFrame:
+    """Rows with decision, output, number and final as a report of texts: what has no row is empty, and lists are joined by ;."""
+    named = {
+        "final_pdf_path": "final.final_pdf_path",
+        "final_status": "final.final_status",
+        "drawing_number": "number.selected_drawing_number",
+        "final_filename_stem": "final.final_filename_stem",
+        "corrected_pdf_path": "output.output_pdf_path",
+        "output_status": "output.output_status",
+        **{n: f"decision.{n}" for n in ("title_block_position", "current_clockwise_degrees", "correction_clockwise_degrees", "confidence", "api_ok", "parse_status", "schema_status")},
+        **{f"drawing_number_{n}": f"number.{n}" for n in ("api_ok", "parse_status", "schema_status", "confidence")},
+        "needs_review": "final.needs_review",
+        "review_reasons": "decision.review_reasons",
+        "drawing_number_review_reasons": "number.review_reasons",
+        "output_blockers": "output.output_blockers",
+        "final_blockers": "final.final_blockers",
     }
-    return joined.select("source_pdf", "page_number", *(F.coalesce(F.col(v), F.lit("")).alias(k) for k, v in names.items()))
+    lists = {"decision.review_reasons", "number.review_reasons", "output.output_blockers", "final.final_blockers"}
+    text = lambda c: F.array_join(c, ";") if c in lists else F.col(c).cast("string")
+    return rows.select("source_pdf", "page_number", *(F.coalesce(text(c), F.lit("")).alias(n) for n, c in named.items()))
+
+
+def report(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers: DataFrame, finals: DataFrame) -> DataFrame:
+    """One row a page from all tables: see reported()."""
+    return reported(assembled(pages, decision=decisions, output=outputs, number=numbers, final=finals))
 
 
 def summary(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers: DataFrame, finals: DataFrame) -> DataFrame:
@@ -341,6 +354,7 @@ def run(pages: DataFrame, model: str, provider: Provider, output_dir: str, dry_r
     outputs = store(rotation_outputs(pages, decisions, dry_run), "rotation_output_records")
     turned = pages.join(outputs.where("output_status = 'corrected'").select("task_id"), "task_id", "left_semi")
     numbers = store(number_decisions(asked(turned, "drawing_number")), "drawing_number_decisions")
-    finals = store(final_outputs(pages, decisions, outputs, numbers, output_dir, dry_run), "final_output_records")
-    rows = report(pages, decisions, outputs, numbers, finals)
+    every = store(finished(assembled(pages, decision=decisions, output=outputs, number=numbers), numbers, output_dir, dry_run), "final_output_records")
+    finals = every.select("task_id", "source_pdf", "page_number", "final.*")
+    rows = reported(every)
     return Run(decisions, outputs, numbers, finals, rows, rows.where("needs_review = 'true'"), summary(pages, decisions, outputs, numbers, finals))
