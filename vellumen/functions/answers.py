@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.functions.text import filename_blockers, filename_stem, labels, lookup, number_plain, sorted_unique, stripped
+from vellumen.functions.text import NO_NUMBER, filename_blockers, filename_stem, labels, lookup, number_folded, number_plain, sorted_unique, stripped
 
 VERSION = "page-records-1"
 # Short names of positions, and the current and the correcting rotation of each position.
@@ -297,18 +297,25 @@ def _prefixed(prefix: str, items: Column) -> Column:
 BASE = ("task_id", "source_pdf", "page_number", "model")
 
 
-def orientation_decisions(raw: DataFrame) -> DataFrame:
-    """A decision for each raw response, with sorted reasons for review; any reason asks for one."""
+def orientation_decisions(raw: DataFrame, keep: tuple[str, ...] = (), *, number: bool = False) -> DataFrame:
+    """A decision for each raw response, with sorted reasons for review; any reason asks for one.
+
+    keep: more columns of the responses, such as a model's variant and settings. number: an
+    answer whose drawing number is missing or unknown is to be reviewed, too.
+    """
     a, none = F.col("_a"), F.array().cast("array<string>")
     rows = _parsed(raw).withColumn("title_block_position", position(a["position"]))
     turn = rotation(F.col("title_block_position"))
     schema = F.when(a["json"].isNotNull(), orientation_errors(a)).otherwise(none)
     rows = rows.select("*", turn.alias("_r"), schema.alias("_schema"))
-    reasons = sorted_unique(_some(_failure("api_error:"), a["content_error"], F.col("_parse_error"), F.col("_r.error"), F.when(a["review"], F.lit("model_marked_needs_human_review"))), F.col("_schema"), _prefixed("model:", F.coalesce(a["reasons"], none)))
+    named = number_folded(F.get_json_object(a["json"], "$.drawing_number.selected"))
+    unknown = F.when(F.lit(number) & named.isin(*(n for n in NO_NUMBER if n != "无")), F.lit("drawing_number_missing_or_unknown"))
+    reasons = sorted_unique(_some(_failure("api_error:"), a["content_error"], F.col("_parse_error"), F.col("_r.error"), F.when(a["review"], F.lit("model_marked_needs_human_review")), unknown), F.col("_schema"), _prefixed("model:", F.coalesce(a["reasons"], none)))
     ok = a["json"].isNotNull()
     return rows.withColumn("review_reasons", reasons).select(
         F.lit(VERSION).alias("record_version"),
         *BASE,
+        *keep,
         F.coalesce(F.col("ok"), F.lit(False)).alias("api_ok"),
         "http_status",
         "attempt_count",

@@ -178,6 +178,30 @@ def side_bands(width: Column, height: Column) -> Column:
     return F.array(*(F.struct(F.lit(s).alias("side"), _box(*p).alias("box")) for s, p in parts.items()))
 
 
+# Proposals for a finer region of a crop, as shares of it, and how they come about.
+PROPOSALS = (("right_band_roi", (0.42, 0.0, 1.0, 1.0), "right_58_percent_of_completeness_crop"), ("bottom_right_band_roi", (0.35, 0.22, 1.0, 1.0), "right_65_percent_lower_78_percent_of_completeness_crop"))
+TABLE_PROPOSAL = ("table_line_right_roi", "right_table_cluster_from_line_projection")
+
+
+def roi_proposals(width: Column, height: Column, table: Column, status: Column) -> Column:
+    """Array of structs (roi_name, box, strategy, status): two of fixed shares, and what table lines fill (images.table_region), null if nothing."""
+    fixed = [F.struct(F.lit(n).alias("roi_name"), fraction_box(width, height, *shares).alias("box"), F.lit(how).alias("strategy"), F.lit("fixed_ratio").alias("status")) for n, shares, how in PROPOSALS]
+    name, how = TABLE_PROPOSAL
+    return F.array(*fixed, F.struct(F.lit(name).alias("roi_name"), table.alias("box"), F.lit(how).alias("strategy"), status.alias("status")))
+
+
+def area_change(old: Column, new: Column) -> Column:
+    """Struct (area_ratio, area_reduction_ratio) of two boxes of pixels, to six digits; an empty old one counts as one pixel."""
+    area = lambda b: F.greatest(b["xmax"] - b["xmin"], F.lit(0)) * F.greatest(b["ymax"] - b["ymin"], F.lit(0))
+    ratio = F.bround(area(new) / F.greatest(area(old), F.lit(1)), 6)
+    return F.struct(ratio.alias("area_ratio"), F.bround(1.0 - ratio, 6).alias("area_reduction_ratio"))
+
+
+def first_box(*items: Column) -> Column:
+    """The box of the first array that isn't empty or null; null if that one is none."""
+    return box_of(F.coalesce(*(F.when(F.size(c) > 0, c) for c in items)))
+
+
 def bottom_crop(width: Column, height: Column, lying: float = 0.30, standing: float = 0.35) -> Column:
     """The bottom strip of a page: struct (ratio, box)."""
     ratio = F.when(height > width, standing).otherwise(lying)

@@ -307,3 +307,52 @@ def failed_calls(spark, sf_dir):
         except RuntimeError:
             out.append((name, "refused"))
     return spark.createDataFrame(out, "calls string, result string")
+
+
+@query(f"""
+WITH s AS ({SIZE_SQL})
+SELECT p_partkey, 'right_band_roi' AS roi_name, floor(w * 0.42::DOUBLE)::INTEGER AS xmin, 0 AS ymin, w::INTEGER AS xmax, 'fixed_ratio' AS status FROM s UNION ALL SELECT p_partkey, 'bottom_right_band_roi', floor(w * 0.35::DOUBLE)::INTEGER, floor(h * 0.22::DOUBLE)::INTEGER, w::INTEGER, 'fixed_ratio' FROM s
+UNION ALL SELECT p_partkey, 'table_line_right_roi', CASE WHEN l > 3 THEN l::INTEGER END, CASE WHEN l > 3 THEN 2 END, CASE WHEN l > 3 THEN w::INTEGER END, CASE WHEN l > 3 THEN 'ok' ELSE 'no_right_cluster' END FROM s
+""")
+def roi_proposals(spark, sf_dir):
+    w, h, there = F.col("w"), F.col("h"), F.col("l") > 3
+    table = F.when(there, F.struct(F.col("l").cast("int").alias("xmin"), F.lit(2).alias("ymin"), w.alias("xmax"), h.alias("ymax")))
+    rows = sizes(spark, sf_dir).select("p_partkey", F.explode(geometry.roi_proposals(w, h, table, F.when(there, "ok").otherwise("no_right_cluster"))).alias("r"))
+    return rows.select("p_partkey", "r.roi_name", "r.box.xmin", "r.box.ymin", "r.box.xmax", "r.status")
+
+
+@query(f"""
+SELECT p_partkey, round_even((w - l) * (h - t) / greatest(CASE WHEN l = 7 THEN 0 ELSE w * h END, 1)::DOUBLE, 6) AS ratio, round_even(1 - round_even((w - l) * (h - t) / greatest(CASE WHEN l = 7 THEN 0 ELSE w * h END, 1)::DOUBLE, 6), 6) AS reduction,
+    CASE WHEN l % 4 = 0 THEN 1.5::DOUBLE WHEN l % 4 = 1 THEN 3.0::DOUBLE END AS xmin FROM ({SIZE_SQL})
+""")
+def area_changes(spark, sf_dir):
+    """How much smaller a box became, and a box from the first of two fields that has one."""
+    w, h, t, left = F.col("w"), F.col("h"), F.col("t"), F.col("l")
+    old = F.struct(F.lit(0).alias("xmin"), F.lit(0).alias("ymin"), F.when(left == 7, 0).otherwise(w).alias("xmax"), h.alias("ymax"))
+    new = F.struct(left.alias("xmin"), t.alias("ymin"), w.alias("xmax"), h.alias("ymax"))
+    change, k = geometry.area_change(old, new), left % 4
+    box = geometry.first_box(F.when(k == 0, texts("1.5", "2", "3", "4")).when(k == 1, texts()).when(k == 2, texts("x", "2", "3", "4")), texts("3", "4", "5", "6"))
+    return sizes(spark, sf_dir).select("p_partkey", change["area_ratio"].alias("ratio"), change["area_reduction_ratio"].alias("reduction"), F.when(k < 3, box["xmin"]).alias("xmin"))
+
+
+@query(f"""
+SELECT vec_id % 5 AS page, max(vec_id) AS vec_id FROM ({BOX_SQL}) GROUP BY vec_id % 5, floor(a * 40 / 8), floor(b * 40 / 8), floor(c * 40 / 8), floor(d * 40 / 8)
+""")
+def near_boxes_of_four(spark, sf_dir):
+    """Boxes whose four corners fall in the same cells, of which the last stays."""
+    from vellumen.operators import rank
+
+    b = F.col("box")
+    rows = boxes(spark, sf_dir).select("vec_id", (F.col("vec_id") % 5).alias("page"), *((b[n] * 40).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")))
+    return rank.near_boxes(rows, ["page"], ["xmin", "ymin", "xmax", "ymax"], ["vec_id"]).select("page", "vec_id")
+
+
+@query("""
+SELECT (SELECT count(*) FROM part) AS total, (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part)) + 1 AS missing_required_sample, (SELECT sum((p_partkey % 7 = 0)::INTEGER + (p_partkey % 11 = 0)::INTEGER)::BIGINT FROM part) AS missing_file,
+    (SELECT count(*) FROM part WHERE p_partkey % 13 = 0) AS invalid_label, false AS quality_gate_passed
+""")
+def manifest_gates(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part", "p_partkey").select(k.cast("string").alias("sample"), F.when(k % 7 == 0, "missing").otherwise("exists").alias("image_status"), F.when(k % 11 != 0, "exists").alias("label_status"), F.lit("exists").alias("prediction_image_status"), F.lit("exists").alias("prediction_label_status"), F.when(k % 13 == 0, "two").otherwise("ok_single_title_block").alias("label_quality_status"))
+    required = read(spark, sf_dir, "supplier", F.col("s_suppkey").cast("string").alias("sample")).unionByName(spark.createDataFrame([("none",)], "sample string"))
+    return records.manifest_gate(rows, required)

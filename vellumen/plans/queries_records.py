@@ -192,6 +192,15 @@ def retests(spark, sf_dir):
     return records.retest_summary(decided(spark, sf_dir), {"click": 0.25})
 
 
+@query(f"""
+SELECT count(*) AS record_count, coalesce(string_agg(DISTINCT source, ';' ORDER BY source) FILTER (WHERE NOT ok), '') AS quality_error_samples, coalesce(string_agg(DISTINCT source, ';' ORDER BY source) FILTER (WHERE toxic = 1), '') AS clean_error_samples FROM ({ANSWERED})
+""")
+def evaluation_samples(spark, sf_dir):
+    """The samples that fail each test of an evaluation."""
+    s = metrics.evaluation_summary(answered(spark, sf_dir), "source", {"quality": F.col("ok"), "clean": F.col("toxic") == 0})
+    return s.select("record_count", joined("quality_error_samples").alias("quality_error_samples"), joined("clean_error_samples").alias("clean_error_samples"))
+
+
 # ---- calibration memory
 
 NUMBERS = ("JS-1", "JS-2", "", None)

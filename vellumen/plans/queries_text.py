@@ -350,3 +350,41 @@ SELECT * FROM (VALUES ('good_errors', '0'), ('error', 'qwen.base_url must be a s
 """)
 def settings(spark, sf_dir):
     return _settings(spark)
+
+
+# ---- the branches that plain names don't reach
+
+NAMES = ("ＪＳ１－２", "a_b—c–d", "\u3000x\u3000y ", "无", " NULL ", "é Ⅷ", "COM1", "lpt9", "y" * 181, "tail.", 'q"*?', None)
+NORMAL = {
+    "plain": ("ＪＳ１－２", "a_b—c–d", "xy", "", "", "éⅧ", "COM1", "lpt9", "y" * 181, "tail.", 'q"*?', ""),
+    "folded": ("ｊｓ１－２", "a_b—c–d", "xy", "无", "null", "éⅷ", "com1", "lpt9", "y" * 181, "tail.", 'q"*?', ""),
+    "dashed": ("ＪＳ１－２", "a-b—c–d", "xy", "无", "NULL", "éⅧ", "COM1", "lpt9", "y" * 181, "tail.", 'q"*?', ""),
+    "compatible": ("JS1-2", "A-B-C-D", "XY", "无", "NULL", "ÉVIII", "COM1", "LPT9", "Y" * 181, "TAIL.", 'Q"*?', ""),
+    "blockers": ("", "", "", "missing_drawing_number", "missing_drawing_number", "", "drawing_number_is_windows_reserved_name", "drawing_number_is_windows_reserved_name", "drawing_number_too_long", "drawing_number_has_invalid_trailing_char", "drawing_number_has_illegal_filename_chars", "missing_drawing_number"),
+    "safe": ("ＪＳ１－２", "a_b—c–d", "x_y", "无", "NULL", "é_Ⅷ", "COM1", "lpt9", "y" * 120, "tail", "q", None),
+    "risks": ("", "", "filename_changed_by_sanitization", "", "", "filename_changed_by_sanitization", "", "", "filename_truncated", "filename_changed_by_sanitization", "filename_changed_by_sanitization", "drawing_number_missing"),
+}
+
+
+@query(f"SELECT event_id, {', '.join(f'{picked_sql("event_id", *v)} AS {k}' for k, v in NORMAL.items())} FROM events")
+def names_of_all_scripts(spark, sf_dir):
+    """Names in other scripts and forms, reserved and too long ones, and the branches of each normalisation."""
+    c = picked(F.col("event_id"), *NAMES)
+    s = text.sanitized(c)
+    return read(spark, sf_dir, "events", "event_id").select("event_id", text.number_plain(c).alias("plain"), text.number_folded(c).alias("folded"), text.number_dashed(c).alias("dashed"), text.number_compatible(c).alias("compatible"), joined(text.filename_blockers(c)).alias("blockers"), s["name"].alias("safe"), joined(s["risks"]).alias("risks"))
+
+
+@query("""
+SELECT event_id::VARCHAR AS task_id, 'v' || event_id % 3 AS model_variant, 0 AS temperature, event_id % 4 <> 2 AS unknown, event_id % 4 = 2 AS fine FROM events
+""")
+def decisions_of_variants(spark, sf_dir):
+    """Decisions that carry a model's variant and settings, and ask for a review where the drawing number isn't known."""
+    def body(number: object) -> str:
+        return json.dumps(json.loads(NESTED[0]) | {"drawing_number": {"selected": number}}, ensure_ascii=False)
+
+    k = F.col("task_id").cast("long")
+    raw = responses(spark, sf_dir).withColumn("ok", F.lit(True)).withColumn("http_status", F.lit("200"))
+    raw = raw.withColumn("response_json", F.to_json(F.struct(F.array(F.struct(F.struct(picked(k, body(" N/A "), body("看 不清"), body("JS-1"), "no json").alias("content")).alias("message"))).alias("choices"))))
+    raw = raw.select("*", F.concat(F.lit("v"), (k % 3).cast("string")).alias("model_variant"), F.lit(0).alias("temperature"))
+    d = answers.orientation_decisions(raw, ("model_variant", "temperature"), number=True)
+    return d.select("task_id", "model_variant", "temperature", F.array_contains("review_reasons", "drawing_number_missing_or_unknown").alias("unknown"), (~F.col("needs_review")).alias("fine"))

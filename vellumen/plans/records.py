@@ -306,6 +306,24 @@ def retest_summary(compared: DataFrame, before: Mapping[str, float] | None = Non
     return out.withColumn("exact_change", F.bround(F.col("exact_accuracy") - old, 4)).orderBy("model")
 
 
+# ---- a manifest of hard cases
+
+
+def manifest_issues(records: DataFrame, required: DataFrame, fields: Sequence[str] = ("image_status", "label_status", "prediction_image_status", "prediction_label_status")) -> DataFrame:
+    """(severity, code, item) of what a manifest lacks: required samples, files (as sample:field), and labels of just one title block."""
+    gone = F.filter(F.array(*(F.when(~F.coalesce(F.col(f) == "exists", F.lit(False)), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    files = records.select("sample", F.explode(gone).alias("f")).select(F.concat_ws(":", "sample", "f").alias("item"))
+    odd = records.where(~F.coalesce(F.col("label_quality_status") == "ok_single_title_block", F.lit(False))).select("sample")
+    return metrics.issues(error__missing_required_sample=relate.difference(required, records, ["sample"]), error__missing_file=files, error__invalid_label=odd)
+
+
+def manifest_gate(records: DataFrame, required: DataFrame) -> DataFrame:
+    """One row: how many records, how many issues of each kind, and whether there is none."""
+    found = manifest_issues(records, required).agg(*_counted(**{c: F.col("code") == c for c in ("missing_required_sample", "missing_file", "invalid_label")}))
+    out = records.agg(F.count("*").alias("total")).crossJoin(F.broadcast(found))  # one row each
+    return out.withColumn("quality_gate_passed", F.col("missing_required_sample") + F.col("missing_file") + F.col("invalid_label") == 0)
+
+
 # ---- several candidates of a page
 
 

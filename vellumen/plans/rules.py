@@ -32,6 +32,15 @@ class Weights:
     uniform_table: float = 0.12
 
 
+# The evidence that a teacher's rules go by.
+RULE_EVIDENCE = {
+    "teacher_frame_field_proxy_positive": "frame_contact_and_non_uniform_structure_proxy",
+    "teacher_faint_scan_confidence_proxy": "strong_frame_contact_for_faint_or_ocr_unavailable_case",
+    "teacher_uniform_table_negative": "uniform_grid_like_without_title_block_field_proxy",
+    "teacher_small_angle_tolerated": "candidate_covers_frame_contact_title_block_structure",
+}
+
+
 def zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
@@ -41,7 +50,7 @@ def has(items: Column, name: str) -> Column:
 
 
 def score_candidates(rows: DataFrame, w: Weights = Weights()) -> DataFrame:
-    """Adds candidate_flags, teacher_rule_flags and candidate_score.
+    """Adds candidate_flags, teacher_rule_flags, teacher_rule_evidence, teacher_rule_adjustment and candidate_score.
 
     Reads box, points, area, confidence, contact (of frame_contact), axis_offset, and of the
     diagnostics cell_area_variance, small_large_mix, uniform_grid_penalty and diagnostic_flags,
@@ -74,6 +83,7 @@ def score_candidates(rows: DataFrame, w: Weights = Weights()) -> DataFrame:
         (uniform, "teacher_uniform_table_negative", -w.uniform_table),
         (F.col("diagnostic_flags").isNotNull() & touches & near & ~uniform & (F.col("axis_offset") <= w.small_angle_degrees) & (zero(F.col("small_large_mix")) >= w.small_angle_mix), "teacher_small_angle_tolerated", w.small_angle),
     ]
+    evidence = labels(*((c, RULE_EVIDENCE[n]) for c, n, _ in rules))
     adjustment = F.lit(0.0)
     for condition, _, weight in rules:
         adjustment += F.when(condition, weight).otherwise(0.0)
@@ -89,7 +99,7 @@ def score_candidates(rows: DataFrame, w: Weights = Weights()) -> DataFrame:
         - 0.35 * zero(F.col("uniform_grid_penalty"))
         + adjustment
     )
-    return out.select("*", labels(*((c, n) for c, n, _ in rules)).alias("teacher_rule_flags"), adjustment.alias("teacher_rule_adjustment"), score.alias("candidate_score"))
+    return out.select("*", labels(*((c, n) for c, n, _ in rules)).alias("teacher_rule_flags"), evidence.alias("teacher_rule_evidence"), adjustment.alias("teacher_rule_adjustment"), score.alias("candidate_score"))
 
 
 def weighted_score(terms: dict[str, tuple[Column, float]]) -> Column:
