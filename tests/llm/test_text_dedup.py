@@ -366,3 +366,23 @@ def test_dense_keys_link_the_same(spark, monkeypatch, radius, segments):
     monkeypatch.setattr(simhash, "TILE", 5)
     monkeypatch.setattr(simhash, "ROWS", 3)
     test_near_duplicates.__wrapped__(spark, radius, segments) if hasattr(test_near_duplicates, "__wrapped__") else test_near_duplicates(spark, radius, segments)
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    import os
+
+    from vellumen.llm import common
+
+    def tables():
+        path = common.scratch_dir(spark).removeprefix("file:") + "/tables"
+        return set(os.listdir(path)) if os.path.isdir(path) else set()
+
+    kept = common.materialize(spark.range(3).toDF("x"))
+    gone = common.materialize(spark.range(3).toDF("x"))
+    common.discard(gone, spark.range(1))
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0])
+    before = tables()
+    found = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
+    assert found.count() == 41 and len(tables() - before) == 1

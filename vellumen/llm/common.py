@@ -50,6 +50,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        tables = f"{scratch_dir(spark)}/tables/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/" not in (folder.partition(tables.split(":", 1)[-1])[2] or "/"):  # just a table's own folder
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables and archives that operators wrote to the shared folder. Frames that read them end."""
     for name in ("tables", "warc"):
@@ -104,8 +115,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = dealt_join(both.where("v > u"), least, "u", before[0], ("v",)).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = dealt_join(large, low, "u", before[0], ("v",)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = signature(e)
+        discard(old)
         if now == before:
             break
         before = now
