@@ -158,16 +158,29 @@ def split_by_digit(number: Column, rules: Mapping[int, str], otherwise: str) ->
     return out
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that are worked out once, whoever reads them, and though executors be lost.
+
+    Written below the session's checkpoint folder; a session without one, as in tests, keeps
+    them in Spark's own storage.
+    """
+    from pyspark import StorageLevel
+
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir() and (named := rows.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(named)
+    return rows.checkpoint() if sc.getCheckpointDir() else rows.persist(StorageLevel.DISK_ONLY)
+
+
 def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "sequence_number") -> DataFrame:
     """Adds a number from 1 in the order, without gathering the table in a task.
 
     Rows are dealt into ranges of the order; counts of the ranges before are added to the
     number within the range.
     """
-    from pyspark import StorageLevel
-
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    ranged = kept(ranged)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vellumen.functions.answers import number_decisions, orientation_decisions
 from vellumen.functions.text import file_stem, labels, sorted_unique
 from vellumen.operators.metrics import run_summary
-from vellumen.operators.rank import duplicates
+from vellumen.operators.rank import duplicates, kept
 from vellumen.operators.relate import last_wins, left_default
 from vellumen.plans.rules import all_failed, rotation_blockers
 
@@ -101,7 +101,7 @@ class Calls:
 class Ladder:
     """Providers in turn: each gets the requests that those before it failed; the last answer stays.
 
-    Each provider's answers are kept by Spark, so that no call repeats.
+    Each provider's answers are kept, so that no call repeats.
     """
 
     providers: Sequence[Provider]
@@ -109,7 +109,7 @@ class Ladder:
     def responses(self, requests: DataFrame) -> DataFrame:
         names, rest, out = requests.columns, requests, None
         for i, provider in enumerate(self.providers):
-            got = provider.responses(rest).persist()
+            got = kept(provider.responses(rest))
             last = i == len(self.providers) - 1
             part = got if last else got.where("ok")
             out = part if out is None else out.unionByName(part)
@@ -326,8 +326,8 @@ Store = Callable[[DataFrame, str], DataFrame]
 
 
 def persisted(rows: DataFrame, name: str) -> DataFrame:
-    """Kept by Spark: enough for replayed responses, which cost nothing to make again."""
-    return rows.persist()
+    """Worked out once: see rank.kept()."""
+    return kept(rows)
 
 
 def written(folder: str) -> Store:
