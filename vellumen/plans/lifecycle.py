@@ -121,32 +121,47 @@ class Ladder:
 
 @dataclass(frozen=True)
 class Recogniser:
-    """Recognition of text on page images, with an engine that each worker makes once.
+    """Recognition of text on page images, with engines that each worker makes once.
 
     engine() gives a function from (pixels, width, height, angle) to (text, average confidence).
+    An engine that can't be made, or fails on a page, leaves it to the next of the fallbacks.
     """
 
     engine: Callable[[], Callable[[bytes, int, int, int], tuple[str, float]]]
+    fallbacks: tuple[Callable[[], Callable[[bytes, int, int, int], tuple[str, float]]], ...] = ()
 
     def texts(self, pages: DataFrame) -> DataFrame:
-        """(task_id, angle, text, confidence, status) for pages (task_id, width, height, pixels, angles)."""
-        make = self.engine
+        """(task_id, angle, text, confidence, status, engine) for pages (task_id, width, height, pixels, angles); engine is the number of the one that answered."""
+        makers = (self.engine, *self.fallbacks)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            read = None
+            engines: dict[int, Callable] = {}
+            broken: dict[int, str] = {}  # engines that can't be made here, and why
+
+            def recognised(r, angle: int) -> tuple[str, float, str, int | None]:
+                why = "error:none"
+                for i, make in enumerate(makers):
+                    if i in broken:
+                        why = broken[i]
+                        continue
+                    try:
+                        if i not in engines:
+                            engines[i] = make()
+                    except Exception as e:  # noqa: BLE001  a missing library, say, is the next engine's turn
+                        broken[i] = why = f"error:{type(e).__name__}"
+                        continue
+                    try:
+                        found, sure = engines[i](r.pixels, r.width, r.height, angle)
+                        return found, float(sure), "ok", i
+                    except Exception as e:  # noqa: BLE001  one page's failure is that page's status
+                        why = f"error:{type(e).__name__}"
+                return "", 0.0, why, None
+
             for batch in batches:
-                rows = []
-                for r in batch.itertuples():
-                    for angle in r.angles:
-                        try:
-                            read = read or make()
-                            found, sure = read(r.pixels, r.width, r.height, int(angle))
-                            rows.append((r.task_id, int(angle), found, float(sure), "ok"))
-                        except Exception as e:  # noqa: BLE001  one page's failure is that page's status
-                            rows.append((r.task_id, int(angle), "", 0.0, f"error:{type(e).__name__}"))
-                yield pd.DataFrame(rows, columns=["task_id", "angle", "text", "confidence", "status"])
-
-        return pages.mapInPandas(run, "task_id string, angle int, text string, confidence double, status string")
+                rows = [(r.task_id, int(angle), *recognised(r, int(angle))) for r in batch.itertuples() for angle in r.angles]
+                yield pd.DataFrame(rows, columns=["task_id", "angle", "text", "confidence", "status", "engine"]).astype({"engine": "Int32"})
+
+        return pages.mapInPandas(run, "task_id string, angle int, text string, confidence double, status string, engine int")
 
     def best(self, pages: DataFrame) -> DataFrame:
         """The best angle's text for each page: by fields first, then confidence and length; the first of equals."""
@@ -295,6 +310,18 @@ def summary(pages: DataFrame, decisions: DataFrame, outputs: DataFrame, numbers:
     )
 
 
+def split_and_rendered(pages: DataFrame, log: str, split: Callable[[bytes, int], bytes], render: Callable[[bytes, int], bytes]) -> tuple[DataFrame, DataFrame]:
+    """Splits each file into its pages and renders them; what both did, as written tables below `log`.
+
+    pages: files.page_rows(). split(content, page) gives a page's file, render(content, page)
+    its image, by whatever library the workers have.
+    """
+    from vellumen.sources.sinks import published
+
+    parts = published(pages, f"{log.rstrip('/')}/split", "source_pdf", "split_pdf_path", "page_number", split, "split")
+    return parts, published(pages, f"{log.rstrip('/')}/rendered", "split_pdf_path", "rendered_png_path", "page_number", render, "rendered")
+
+
 def publish(pages: DataFrame, outputs: DataFrame, finals: DataFrame, log: str, turn: Callable[[bytes, int], bytes] | None = None) -> tuple[DataFrame, DataFrame]:
     """Turns or copies each page's file to its output path, and that to its final path; what both did, as written tables below `log`.
 

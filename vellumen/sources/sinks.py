@@ -89,11 +89,11 @@ def append_responses(rows: DataFrame, path: str) -> None:
 PLACED = "task_id string, target string, status string, bytes long"
 
 
-def place_files(rows: DataFrame, source: str, target: str, degrees: str | None = None, turn: Callable[[bytes, int], bytes] | None = None) -> DataFrame:
-    """Copies a file for each row (task_id) to its target; (task_id, target, status, bytes), and status is copied, turned or missing.
+def place_files(rows: DataFrame, source: str, target: str, number: str | None = None, make: Callable[[bytes, int], bytes] | None = None, made: str = "turned") -> DataFrame:
+    """Copies a file for each row (task_id) to its target; (task_id, target, status, bytes), and status is copied, missing or what `made` says.
 
-    With a number of degrees other than 0 the content goes through turn(content, degrees)
-    first. Each file is written beside its target and then put in its place, so that running
+    With a number other than 0, degrees or a page's, the content goes through make(content,
+    number) first. Each file is written beside its target and then put in its place, so that running
     a task again, or two at once, leaves whole files of the same content. Both are paths or
     addresses that pyarrow's file systems reach; the target's folder is made. Something must
     read the result, or nothing is copied: see published().
@@ -102,31 +102,31 @@ def place_files(rows: DataFrame, source: str, target: str, degrees: str | None =
     def located(address: str) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(address if "://" in address else Path(address).absolute().as_uri())
 
-    def one(task: str, here: str, there: str, angle: int) -> tuple[str, str, str, int]:
+    def one(task: str, here: str, there: str, n: int) -> tuple[str, str, str, int]:
         store, path = located(here)
         if store.get_file_info(path).type != fs.FileType.File:
             return task, there, "missing", 0
         with store.open_input_stream(path) as f:
             content = f.read()
-        if angle and turn is not None:
-            content = turn(content, angle)
+        if n and make is not None:
+            content = make(content, n)
         out, place = located(there)
         out.create_dir(place.rsplit("/", 1)[0], recursive=True)
         beside = f"{place}.{uuid.uuid4().hex}"
         with out.open_output_stream(beside) as f:
             f.write(content)
         out.move(beside, place)
-        return task, there, "turned" if angle and turn is not None else "copied", len(content)
+        return task, there, made if n and make is not None else "copied", len(content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([one(t, a, b, int(d or 0)) for t, a, b, d in batch.itertuples(index=False)], columns=["task_id", "target", "status", "bytes"])
 
-    angle = F.coalesce(F.col(degrees), F.lit(0)) if degrees else F.lit(0)
-    return rows.select("task_id", F.col(source).alias("source"), F.col(target).alias("target"), angle.cast("int").alias("degrees")).mapInPandas(run, PLACED)
+    given = F.coalesce(F.col(number), F.lit(0)) if number else F.lit(0)
+    return rows.select("task_id", F.col(source).alias("source"), F.col(target).alias("target"), given.cast("int").alias("number")).mapInPandas(run, PLACED)
 
 
-def published(rows: DataFrame, log: str, source: str, target: str, degrees: str | None = None, turn: Callable[[bytes, int], bytes] | None = None, mode: str = "errorifexists") -> DataFrame:
+def published(rows: DataFrame, log: str, source: str, target: str, number: str | None = None, make: Callable[[bytes, int], bytes] | None = None, made: str = "turned", mode: str = "errorifexists") -> DataFrame:
     """place_files(), once, with what it did written to a table that is read again."""
-    place_files(rows, source, target, degrees, turn).write.mode(mode).parquet(log)
+    place_files(rows, source, target, number, make, made).write.mode(mode).parquet(log)
     return rows.sparkSession.read.schema(PLACED).parquet(log)
