@@ -114,3 +114,14 @@ def split_and_rendered(spark, sf_dir):
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(path / "work")).select(text.file_stem(F.col("path")).alias("task_id"), F.col("path").endswith(".png").alias("image"), F.col("content").cast("string").alias("content"))
     one = there.groupBy("task_id").agg(F.max(F.when(~F.col("image"), F.col("content"))).alias("part"), F.max(F.when(F.col("image"), F.col("content"))).alias("image"))
     return pages.join(one, "task_id").select(F.col("source_stem").alias("stem"), F.col("page_number").cast("int").alias("page"), "part", "image")
+
+
+@query("""
+SELECT n_nationkey AS k, 'ok' AS structure, (n_nationkey % 4 + 2) * 3 AS cells, 1.0::DOUBLE AS uniform, 'no_right_cluster' AS region FROM nation UNION ALL SELECT 100, 'insufficient_grid', 0, 0.0, 'insufficient_column_signal' UNION ALL SELECT 101, 'image_too_small', 0, 0.0, 'insufficient_column_signal'
+""")
+def table_measures(spark, sf_dir):
+    """Cells of drawn tables, of a blank page and of a tiny one, and whether lines fill a region on the right."""
+    blank = spark.createDataFrame([("100", 60, 40, bytearray(b"\xff" * 2400)), ("101", 10, 10, bytearray(b"\xff" * 100))], images.PIXELS)
+    pages = ruled(spark, sf_dir).unionByName(blank)
+    t = images.table_structure(pages).join(images.table_region(pages).select("task_id", "status"), "task_id")
+    return t.select(F.col("task_id").cast("int").alias("k"), F.col("structure_status").alias("structure"), F.col("cell_count_estimate").alias("cells"), F.col("uniform_grid_penalty").alias("uniform"), F.col("status").alias("region"))
