@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumen.llm import cover_tree, embed_dedup, langid, packing, sharding, simhash, suffix_dedup, superkmer, warc, wfst
+from vellumen.llm import cover_tree, embed_dedup, fim, langid, merkle, mixing, packing, sharding, simhash, suffix_dedup, superkmer, warc, wfst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +164,92 @@ FROM embeddings JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
 
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.by_document(mixing.mixed(table(spark, sf_dir, "documents")))
+
+
+def op11_sql() -> str:
+    """The same schedules, integrated and inverted line by line, as CASE expressions."""
+    number = lambda x: f"'{x!r}'::DOUBLE"
+
+    def due(schedule: mixing.Schedule) -> str:
+        parts = mixing.segments(schedule)
+        cases = []
+        for i, (done, start, length, weight, slope) in enumerate(parts):
+            rest = f"greatest(u - {number(done)}, 0::DOUBLE)"
+            root = f"sqrt(greatest({number(weight * weight)} + {number(2.0 * slope)} * {rest}, 0::DOUBLE))"
+            time = f"CASE WHEN {rest} = 0 THEN {number(start)} ELSE least({number(start)} + 2::DOUBLE * {rest} / ({number(weight)} + {root}), {number(start + length)}) END"
+            cases.append(f"WHEN u < {number(parts[i + 1][0])} THEN {time}" if i + 1 < len(parts) else f"ELSE {time}")
+        return "CASE " + " ".join(cases) + " END" if len(cases) > 1 else cases[0].removeprefix("ELSE ")
+
+    dues = " ".join(f"WHEN {j} THEN {due(s)}" for j, s in enumerate(mixing.CURRICULUM))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN '=' ELSE '-' || source END AS source, md5(coalesce(doc_id::VARCHAR, '')) AS draw,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][place % 3 + 1]::DOUBLE AS weight, 2::DOUBLE * source_size AS bound FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(bound) OVER () / 2 - coalesce(sum(bound) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level
+    FROM w WINDOW p AS (ORDER BY bound / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+one AS (SELECT arg_min(level, (bound / weight, source)) AS level FROM l WHERE bound > weight * level),
+t AS (SELECT source, source_size, place, coalesce(least(bound, weight * one.level), bound) AS target FROM l, one),
+o AS (SELECT d.*, source_size, place, target, pass, coalesce(sum(size) OVER (PARTITION BY d.source, pass ORDER BY draw, doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + pass * source_size AS ahead
+    FROM d JOIN t USING (source), range(2) AS q(pass)),
+k AS (SELECT *, greatest(least(size, floor(target)::BIGINT - ahead), 0)::BIGINT AS taken, ahead::DOUBLE / target AS u FROM o),
+g AS (SELECT *, CASE place % {len(mixing.CURRICULUM)} {dues} END AS position FROM k WHERE taken > 0),
+b AS (SELECT r, taken, coalesce(sum(taken) OVER (ORDER BY position, source, draw, doc_id NULLS FIRST, size, pass, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g),
+m AS (SELECT r, sum(taken) AS taken, min(start) AS first_start, max(start) AS last_start FROM b GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_start::BIGINT AS first_start, last_start::BIGINT AS last_start FROM d JOIN t USING (source) LEFT JOIN m USING (r)
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.rearranged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, length(t)::BIGINT AS n, list_transform(range(4), lambda i: ('0x' || substr(s, 8 * i + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1, n - b) AS x FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs are checked against a copy of the table in which a seventh of the rows have one more in n_chars."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    digests = found.select("doc_id", *(merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")), merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.hexed(merkle.folded(F.col("changed_leaf"), F.col("path"))).alias("folded_root"))
+    return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Levels as recursion; a leaf walks up with its siblings. DuckDB has no CRC-32: its bits are worked out.
+OP13_SQL = """
+WITH RECURSIVE crc_list AS (SELECT list(r ORDER BY b) AS l FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) AS t(b))),
+drawn AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(doc_id::VARCHAR)), lambda i: ord(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, l[1 + (xor(c, b) & 255)])), 4294967295) % 7 = 0 AS chosen FROM documents, crc_list),
+parts AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS k, chosen, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text, (n_chars + 1)::VARCHAR],
+    lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END) AS f FROM drawn),
+leaves AS (SELECT doc_id, k, leaf, bad, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, row_number() OVER () AS r FROM (
+    SELECT doc_id, k, sha256(array_to_string(f[1:5], '')) AS leaf, CASE WHEN chosen THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) ELSE sha256(array_to_string(f[1:5], '')) END AS bad FROM parts)),
+nodes AS (SELECT k, 0 AS lv, i, n, leaf AS h FROM leaves UNION ALL
+    SELECT k, lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY k, lv + 1, i // 2, (n + 1) // 2),
+tops AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+crown AS (SELECT 0 AS lv, i, n, h FROM tops UNION ALL SELECT lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY lv + 1, i // 2, (n + 1) // 2),
+walk AS (SELECT r, k, 0 AS lv, i, n, bad AS h, '' AS told FROM leaves UNION ALL
+    SELECT r, w.k, w.lv + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.h || w.h ELSE w.h || coalesce(s.h, '') END), told || coalesce(s.h, '')
+    FROM walk w LEFT JOIN nodes s ON s.k = w.k AND s.lv = w.lv AND s.i = xor(w.i, 1) WHERE w.n > 1),
+climb AS (SELECT r, w.k, 0 AS lv, t.i, t.n, w.h, told, t.h AS subroot FROM walk w JOIN tops t ON t.k = w.k WHERE w.n = 1 UNION ALL
+    SELECT r, w.k, w.lv + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.h || w.h ELSE w.h || coalesce(s.h, '') END), told || coalesce(s.h, ''), subroot
+    FROM climb w LEFT JOIN crown s ON s.lv = w.lv AND s.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, o.h AS root, sha256(told) AS proof_sha256, c.h AS folded_root, c.h = o.h AS verified FROM leaves JOIN climb c USING (r), crown o WHERE c.n = 1 AND o.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k_search": op1_top_k_search,
@@ -176,6 +262,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_curriculum_mix": op11_curriculum_mix,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -187,4 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": op7_sql(),
         "op9_suffix_array_dedup": OP9_SQL,
         "op10_embedding_near_dedup": OP10_SQL,
+        "op11_curriculum_mix": op11_sql(),
+        "op12_fill_in_middle": OP12_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
