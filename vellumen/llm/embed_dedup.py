@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.llm.common import connected_components, flat, joined, materialize
+from vellumen.llm.common import connected_components, dealt_join, flat, joined, materialize
 
 #: Vectors of a tile, about; rows multiplied and pairs recomputed at a time.
 TILE, ROWS, PAIRS = 2048, 512, 20_000
@@ -95,11 +95,11 @@ def wanted(group: pa.Table, least: float, names: list[str]) -> pa.Table:
 
 
 def tile_pair(group: pa.Table, least: float) -> pa.Table:
-    """For each vector with links in a pair of tiles: the smallest it reaches there, and its number of links there.
+    """For each class with links in a pair of tiles: the smallest key it reaches there, and its number of links there.
 
     Pairs that the bounds let through are computed in double precision.
     """
-    ids, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
+    ids, copies = group["key"].to_numpy(), group["copies"].to_numpy()
     vectors = group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     vectors = directions(vectors)
     length = np.linalg.norm(vectors, axis=1)
@@ -127,9 +127,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component_id is the smallest id reachable; kept: whether it is the row's own. Vectors
     that are null, zero, empty or hold null or non-finite numbers, rows with a null group or
     id, and vectors of unequal lengths link with nothing; such rows stay, with no links.
-    Repeated rows count as rows. Other columns are not read.
+    Repeated rows count as rows, and an id that comes with several vectors or groups links
+    through none of them but its own row's. Other columns are not read.
 
-    Equal vectors of a group become one first, and are rounded once. A group is dealt into
+    Equal vectors of a group become one class first, with a key of its own, and are rounded once. A group is dealt into
     tiles of bounded size, and each pair of tiles is one piece of work: a first search over
     rounded vectors, which alone are sent to every pair, finds the vectors that may have
     links; those are then sent whole, and a second search gives sums and a spanning forest
@@ -137,7 +138,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), F.col(vector_col).alias("embedding"))
     good = F.coalesce(F.col("group").isNotNull() & F.col("id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    plain = rows.where(good).groupBy("group", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("width", F.size("embedding"))
+    plain = rows.where(good).groupBy("group", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("width", F.size("embedding")).withColumn("key", F.monotonically_increasing_id())
     schema = T.StructType([*plain.schema, *CODE])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +152,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(plain.mapInArrow(code, schema))
     # Written, as is what follows, so that Spark can split a large group where it is joined.
     sizes = materialize(classes.groupBy("group", "width").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
-    dealt = classes.join(sizes, ["group", "width"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = classes.join(sizes, ["group", "width"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keys = ["group", "width", "left", "right"]
-    paired = dealt.select("group", "width", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "rep", *CODE.names)
-    pair = T.StructType([classes.schema["group"], *(T.StructField(n, T.IntegerType()) for n in ("width", "left", "right", "side")), T.StructField("rep", T.LongType())])
+    paired = dealt.select("group", "width", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "key", *CODE.names)
+    pair = T.StructType([classes.schema["group"], *(T.StructField(n, T.IntegerType()) for n in ("width", "left", "right", "side")), T.StructField("key", T.LongType())])
     need = materialize(paired.groupBy(*keys).applyInArrow(lambda t: wanted(t, least, pair.names), pair))
-    whole = need.join(classes.drop("group", "width"), "rep")
+    whole = need.join(classes.drop("group", "width"), "key")
     found = materialize(whole.groupBy(*keys).applyInArrow(lambda t: tile_pair(t, least), FOUND))
-    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    components = connected_components(found.select("u", "v"))
-    about = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    about = materialize(about.select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    links = found.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
+    components = connected_components(found.select("u", "v")).withColumnRenamed("node", "key")
+    # The least id of a component, from its classes; a large component's are dealt over tasks.
+    reached = materialize(classes.select("key", "rep", "copies", "group", "embedding").join(links, "key", "left").join(components, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    smallest = reached.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    about = dealt_join(reached, smallest, "component", reached.count(), ("key",))
+    about = materialize(about.select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     linked_rows = rows.where(good).join(about, ["group", "embedding"]).select("id", "n_links", "component_id")
     others = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked_rows.unionByName(others).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
