@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,14 @@ def test_embedding_near_duplicates(spark, monkeypatch, tile, least):
     assert Counter(map(tuple, found)) == want
 
 
+def test_an_id_with_several_vectors_and_labels(spark):
+    """Ids tell rows apart no more than nothing does: links are those of the rows' own vectors and labels."""
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "a"), (5, [1.0, 1.0], "a"), (5, [1.0, 1.0], "b"), (6, [1.0, 1.01], "b"), (7, [1.0, 1.01], "a"), (5, [1.0, 1.0], "a")]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 2, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 2, 5, False), (5, 2, 5, True)]
+    assert Counter(map(tuple, found)) == Counter(want)
+
+
 DOCS = "doc_id long, text string, ids string, piece string, offset string, _part int, shard int"
 
 
@@ -506,13 +515,14 @@ def test_declared_language_and_host_weigh_in(spark):
 def fused(model, rows, evidence=60, smoothing=5.0, noise=1e-6):
     """Posteriors worked out row by row: (id, text, declared, host, domain, suffix) to (id, language, confidence, n, accepted)."""
     langs = range(len(model.languages))
+    weights = model.weights
     seen = []
     for _, text, *_ in rows:
         padded = b" " + bytes(langid.FOLD[np.frombuffer((text or "").encode(), np.uint8)]) + b" " if text else b""
         slots = [(padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32 >> 16 for i in range(len(padded) - 2) if padded[i : i + 3] != b"   "]
         n = len(slots)
         scale = min(n, evidence) / max(n, 1)
-        ll = [scale * math.fsum(float(model.weights[s, i]) for s in slots) for i in langs] + [-n * math.log(langid.SLOTS) * scale]
+        ll = [scale * math.fsum(float(weights[s, i]) for s in slots) for i in langs] + [-n * math.log(langid.SLOTS) * scale]
         ll = [x - max(ll) for x in ll]
         p = [math.exp(x) for x in ll[:-1]]
         seen.append((n, ll, [round(1e6 * x / sum(p)) / 1e6 if n else 0.0 for x in p]))
@@ -568,9 +578,30 @@ def test_the_posterior_by_brute_force(spark, monkeypatch, frequent):
         assert got["confidence"] == pytest.approx(confidence, abs=2e-6)
 
 
-def test_only_the_most_frequent_languages_are_learned(spark):
+def test_every_language_is_learned_or_the_table_refused(spark):
     rows = [(f"text number {i} of {lang}", lang) for lang, n in (("a", 5), ("b", 3), ("c", 1)) for i in range(n)]
-    assert langid.train(spark.createDataFrame(rows, "text string, lang string"), languages=2).languages == ("a", "b")
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    assert langid.train(frame, languages=3).languages == ("a", "b", "c")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.train(frame, languages=2)
+
+
+def test_two_hundred_languages(spark):
+    """The work is in proportion to the languages: 2000 texts in 200 of them, within a minute, as by the formula row by row."""
+    r = random.Random(4)
+    words = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8))) for _ in range(30)] for _ in range(200)]
+    rows = [(i, " ".join(r.choices(words[i % 200], k=r.choice([2, 3, 40]))), f"l{i % 200:03}", f"h{i % 37}", 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.monotonic()
+    model = langid.train(docs, per_language=8)
+    found = {x["doc_id"]: x for x in langid.documents(docs, model).collect()}
+    assert time.monotonic() - began < 60
+    assert len(model.languages) == 200 and np.mean([found[i]["language"] == lang for i, _, lang, *_ in rows]) > 0.98
+    few = rows[:60]
+    got = {x["doc_id"]: x for x in langid.documents(docs.where("doc_id < 60"), model).collect()}
+    for i, name, confidence, n, accepted in fused(model, [(i, t, None, s, None, None) for i, t, _, s, _ in few]):
+        assert (got[i]["language"], got[i]["n_trigrams"], got[i]["accepted"]) == (name, n, accepted)
+        assert got[i]["confidence"] == pytest.approx(confidence, abs=2e-6)
 
 
 def test_training_takes_a_copied_text_once(spark):

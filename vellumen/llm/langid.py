@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from vellumen.llm.common import byte_column, dealt_join, materialize, slices
 
 SLICE = 1 << 20
+#: Rows whose evidence is fused at a time.
+FUSED = 512
 #: Slots of the trigram table.
 SLOTS = 1 << 16
 UNKNOWN = "und"
@@ -26,10 +28,26 @@ FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities of trigram slots for each language, in the languages' order."""
+    """Log probabilities of trigram slots for each language, in the languages' order.
+
+    As a language has few of the slots, it has those, their values, and one value for all others.
+    """
 
     languages: tuple[str, ...]
-    weights: np.ndarray  # slots x languages
+    slots: tuple[np.ndarray, ...]
+    values: tuple[np.ndarray, ...]
+    others: tuple[float, ...]
+
+    def of(self, i: int) -> np.ndarray:
+        """The values of all slots for a language."""
+        out = np.full(SLOTS, self.others[i], np.float32)
+        out[self.slots[i]] = self.values[i]
+        return out
+
+    @property
+    def weights(self) -> np.ndarray:
+        """All of it: slots x languages."""
+        return np.stack([self.of(i) for i in range(len(self.languages))], axis=1) if self.languages else np.empty((SLOTS, 0), np.float32)
 
 
 def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,21 +68,24 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((code[good] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), count
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, languages: int = 200) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, languages: int = 1000) -> Model:
     """Trigram probabilities from about `per_language` distinct texts of each language, and no more: by the hash of the text.
 
-    The sample is bounded by that parameter, and by `languages`: those with the most distinct
-    texts. All of a chosen text counts. Rows with a null text or language don't. Counting is
-    distributed; the driver gets at most SLOTS numbers a language.
+    The sample is bounded by that parameter. All of a chosen text counts. Rows with a null text
+    or language don't. Counting is distributed; the driver gets a number for each trigram slot
+    that a language has, and so does each worker: a table with more than `languages` languages
+    is refused with a ValueError, as nothing else bounds the model, and none is left out.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     hashed = F.xxhash64("text")
-    sizes = {r["lang"]: r["n"] for r in rows.select("lang", hashed).distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", hashed).distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
     if not sizes:
-        return Model((), np.empty((SLOTS, 0), np.float32))
+        return Model((), (), (), ())
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages; a model of more needs a higher bound")
     # Hashes that twice as many texts as needed lie below; so few meet in the window's tasks.
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * per_language + 50) / n)))))
-    few = rows.where(F.col("lang").isin(*sizes)).where(F.abs(hashed.cast("double")) <= F.element_at(share, F.col("lang")) * 2.0**63).distinct()
+    share = labelled.sparkSession.createDataFrame([(lang, min(1.0, (2 * per_language + 50) / n)) for lang, n in sizes.items()], "lang string, share double")
+    few = rows.join(F.broadcast(share), "lang").where(F.abs(hashed.cast("double")) <= F.col("share") * 2.0**63).select("text", "lang").distinct()
     sample = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "text"))).where(F.col("_n") <= per_language)
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
 
@@ -80,14 +101,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], names=counted.names)
 
     found = sample.select("text", "lang").mapInArrow(count, counted).groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(found["lang"].unique()))
-    weights = np.empty((SLOTS, len(languages)), np.float32)
-    for i, lang in enumerate(languages):
-        n = np.full(SLOTS, 0.1)
-        mine = found[found["lang"] == lang]
-        n[mine["slot"].to_numpy()] += mine["n"].to_numpy()
-        weights[:, i] = np.log(n / n.sum())
-    return Model(languages, weights)
+    names = tuple(sorted(found["lang"].unique()))
+    by = {lang: part for lang, part in found.groupby("lang")}
+    slots = tuple(by[lang]["slot"].to_numpy(np.int32) for lang in names)
+    counts = [by[lang]["n"].to_numpy() + 0.1 for lang in names]
+    whole = [n.sum() + 0.1 * (SLOTS - len(n)) for n in counts]
+    return Model(names, slots, tuple(np.log(n / t).astype(np.float32) for n, t in zip(counts, whole, strict=True)), tuple(float(np.float32(np.log(0.1 / t))) for t in whole))
 
 
 def text_scores(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +117,7 @@ def text_scores(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     if len(full):
         starts = (np.cumsum(count) - count)[full]
         for i in range(len(model.languages)):
-            out[full, i] = np.add.reduceat(model.weights[:, i][slots], starts, dtype=np.float64)
+            out[full, i] = np.add.reduceat(model.of(i)[slots], starts, dtype=np.float64)
     out[:, -1] = -count * np.log(SLOTS)
     return out, count
 
@@ -142,54 +161,92 @@ def identify(rows: DataFrame, model: Model, id_col: str, text: Column, declared:
     picked = rows.select(F.col(id_col).alias("_id"), text.alias("_text"), *(c.alias(n) if c is not None else none.alias(n) for c, n in zip((declared, host, domain, suffix), names[2:6], strict=True)), *([F.struct(*also).alias("_also")] if also else []))
     kept = ["_also.*"] if also else []
     kinds = [picked.schema[n] for n in names if n != "_text"]
-    schema = T.StructType([*kinds, T.StructField("_n", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))])
+    some = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("p", T.LongType())]))
+    schema = T.StructType([*kinds, T.StructField("_n", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_p", some)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", SLICE):
             found, count = text_scores(model, *byte_column(part.column(1)))
             found *= (np.minimum(count, evidence) / np.maximum(count, 1))[:, None]
             found -= found.max(axis=1, keepdims=True)
+            row, i = np.nonzero(p := millionths(found, count))
+            pairs = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), pa.array(p[row, i])], ["i", "p"])
+            sums = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32)), pairs)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != 1), pa.array(count), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != 1), pa.array(count), lists, sums], names=schema.names)
 
     scored = materialize(picked.mapInArrow(run, schema))
     n_rows = scored.count()
-    langs = range(len(model.languages))
-    if not model.languages:
+    size = len(model.languages)
+    if not size:
         return scored.select(F.col("_id").alias(id_col), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.col("_n").alias("n_trigrams"), F.lit(False).alias("accepted"), *kept)
-    # Posteriors of the text alone, in millionths: whole numbers sum alike in any order.
-    raw = [F.exp(F.col("_ll")[i]) for i in langs]
-    share = lambda i: F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.round(1e6 * raw[i] / sum(raw[1:], raw[0]))).cast("long").alias(f"p{i}")
-    rowed = scored.select("*", *(share(i) for i in langs))
-    sums = lambda tag: [F.sum(f"p{i}").alias(f"{tag}{i}") for i in langs]
-    rowed = rowed.crossJoin(F.broadcast(rowed.agg(*sums("all"))))  # one row
-    base = rowed
-    for column, tag in (("_host", "host"), ("_domain", "domain"), ("_declared", "declared"), ("_suffix", "suffix")):
-        summed = base.where(F.col(column).isNotNull()).groupBy(column).agg(*sums(tag), F.count("*").alias("n"))
-        rowed = dealt_join(rowed, summed, column, n_rows, ("_id", "_n", "_ll"), "left")
-    millions = lambda c: F.coalesce(c, F.lit(0)) / 1e6
-    others = lambda tag, i: F.greatest(millions(F.col(f"{tag}{i}")) - F.col(f"p{i}") / 1e6, F.lit(0.0))
-    whole = lambda values: sum(values[1:], values[0])
-    top = [others("all", i) for i in langs]
-    prior = [(x + 1) / (whole(top) + len(top)) for x in top]
+    # A row's posteriors by its text alone are few; sums are of those, with the number of rows at the end.
+    with_count = F.inline(F.concat("_p", F.array(F.struct(F.lit(size).alias("i"), F.lit(1).cast("long").alias("p")))))
+    everything = np.zeros(size + 1)
+    for r in scored.select(with_count).groupBy("i").agg(F.sum("p").alias("p")).collect():  # a number a language
+        everything[r["i"]] = r["p"]
+    rowed = scored.drop("_p")
+    for tag in ("host", "domain", "declared", "suffix"):
+        column = f"_{tag}"
+        summed = scored.where(F.col(column).isNotNull()).select(column, with_count).groupBy(column, "i").agg(F.sum("p").alias("p"))
+        facts = summed.groupBy(column).agg(F.collect_list(F.struct("i", "p")).alias(f"{tag}_sums"), F.max(F.when(F.col("i") == size, F.col("p"))).alias("n"))
+        rowed = dealt_join(rowed, facts, column, n_rows, ("_id", "_n", "_ll"), "left")
+    ready = rowed.select("_id", *names[6:], "_n", "_ll", *(F.coalesce(f"{t}_sums", F.array().cast(some)).alias(f"{t}_sums") for t in ("host", "domain", "declared", "suffix")), *(F.col(f"_{t}").isNotNull().alias(f"has_{t}") for t in ("declared", "suffix")))
+    shape = T.StructType([ready.schema[n] for n in ("_id", *names[6:])] + [T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("n_trigrams", T.LongType())])
+    labels = np.array([*model.languages, UNKNOWN], object)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, FUSED):
+                part = batch.slice(start, FUSED)
+                column = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                count = column["_n"].to_numpy()
+                scores = fused(column, count, everything[:size], smoothing, noise)
+                best, most = scores.argmax(axis=1), scores.max(axis=1, keepdims=True)
+                chosen = np.where(count == 0, UNKNOWN, labels[best])
+                sure = np.where(count == 0, 0.0, np.round(1 / np.exp(scores - most).sum(axis=1), 9))
+                yield pa.RecordBatch.from_arrays([*(column[n] for n in ("_id", *names[6:])), pa.array(chosen, pa.string()), pa.array(sure), pa.array(count)], names=shape.names)
+
+    return ready.mapInArrow(fuse, shape).select(F.col("_id").alias(id_col), "language", "confidence", "n_trigrams", (F.col("language") != UNKNOWN).alias("accepted"), *kept)
+
+
+def millionths(ll: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Posteriors by text alone, of scores whose last column is noise's, in millionths: whole numbers sum alike in any order."""
+    raw = np.exp(ll[:, :-1])
+    whole = raw.sum(axis=1, keepdims=True)
+    out = np.rint(1e6 * np.divide(raw, whole, out=np.zeros_like(raw), where=whole > 0)).astype(np.int64)
+    out[count == 0] = 0
+    return out
+
+
+def dense(sums: pa.ListArray, size: int) -> np.ndarray:
+    """Lists of (i, p) as rows of a matrix, in whole units."""
+    out = np.zeros((len(sums), size + 1))
+    flat = sums.flatten()
+    row = np.repeat(np.arange(len(sums)), np.diff(sums.offsets.to_numpy()))
+    out[row, flat.field("i").to_numpy()] = flat.field("p").to_numpy()
+    return out[:, :size] / 1e6
+
+
+def fused(column: dict[str, pa.Array], count: np.ndarray, everything: np.ndarray, smoothing: float, noise: float) -> np.ndarray:
+    """Log posteriors, but for a number a row, of each language and of noise."""
+    size = len(everything)
+    ll = column["_ll"].flatten().to_numpy().reshape(len(count), size + 1)
+    own = millionths(ll, count) / 1e6
+    others = lambda sums: np.maximum(sums - own, 0.0)  # noqa: E731  without the row itself
+    top = others(everything / 1e6)
+    prior = (top + 1) / (top.sum(axis=1, keepdims=True) + size)
     for tag in ("domain", "host"):
-        level = [others(tag, i) for i in langs]
-        prior = [(x + smoothing * p) / (whole(level) + smoothing) for x, p in zip(level, prior, strict=True)]
-    told = [F.lit(0.0) for _ in langs]
-    told_noise = F.lit(0.0)
+        level = others(dense(column[f"{tag}_sums"], size))
+        prior = (level + smoothing * prior) / (level.sum(axis=1, keepdims=True) + smoothing)
+    told, told_noise = np.zeros_like(top), np.zeros((len(count), 1))
     for tag in ("declared", "suffix"):
-        level = [others(tag, i) for i in langs]
-        marginal = (whole(level) + 0.5) / (whole(top) + 1)
-        there = F.col(f"_{tag}").isNotNull()
-        told = [t + F.when(there, F.log((x + smoothing * marginal) / (n + smoothing))).otherwise(0.0) for t, x, n in zip(told, level, top, strict=True)]
-        told_noise += F.when(there, F.log(marginal)).otherwise(0.0)
-    scores = [F.col("_ll")[i] + F.log(prior[i]) + told[i] for i in langs] + [F.col("_ll")[len(model.languages)] + float(np.log(noise)) + told_noise]
-    labels = [*model.languages, UNKNOWN]
-    best = F.array_min(F.array(*(F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (s, n) in enumerate(zip(scores, labels, strict=True)))))
-    stage = rowed.select("_id", "_n", *names[6:], best.alias("_best"), F.array(*scores).alias("_scores"))
-    language = F.when(F.col("_n") == 0, UNKNOWN).otherwise(F.col("_best.name"))
-    total = F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(s + F.col("_best.s")))
-    return stage.select(F.col("_id").alias(id_col), language.alias("language"), F.when(F.col("_n") == 0, 0.0).otherwise(F.round(1 / total, 9)).alias("confidence"), F.col("_n").alias("n_trigrams"), (language != UNKNOWN).alias("accepted"), *kept)
+        there = column[f"has_{tag}"].to_numpy(zero_copy_only=False)[:, None]
+        level = others(dense(column[f"{tag}_sums"], size))
+        marginal = (level.sum(axis=1, keepdims=True) + 0.5) / (top.sum(axis=1, keepdims=True) + 1)
+        told += np.where(there, np.log((level + smoothing * marginal) / (top + smoothing)), 0.0)
+        told_noise += np.where(there, np.log(marginal), 0.0)
+    return np.hstack([ll[:, :-1] + np.log(prior) + told, ll[:, -1:] + np.log(noise) + told_noise])
 
 
 def documents(docs: DataFrame, model: Model | None = None, also: tuple[str, ...] = ()) -> DataFrame:
