@@ -57,6 +57,8 @@ def targets(sources: DataFrame, weights: Sequence[int], share: float, most: int)
     weight, the first source whose bound isn't reached tells the level: what those before leave,
     over the weight of the rest. No source is named on the driver, however many there are.
     """
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be above 0")
     placed = numbered(sources.withColumn("all", F.lit("")), "all", ["source"])
     weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("at") % len(weights)).cast("int"))
     capped = placed.select("all", "source", "source_size", F.col("at").alias("place"), weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("bound"))
@@ -105,7 +107,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.
     def one(i: int) -> Column:  # a pass over the source
         offset = F.col("_before") + F.col("_ahead") + i * F.col("source_size")
         taken = F.greatest(F.least(F.col("size"), whole - offset), F.lit(0))
-        share_ = offset.cast("double") / F.col("target")
+        share_ = F.try_divide(offset.cast("double"), F.col("target"))
         due = when_due(share_, curriculum[-1])
         for j, schedule in enumerate(curriculum[:-1]):
             due = F.when(F.col("place") % len(curriculum) == j, when_due(share_, schedule)).otherwise(due)
