@@ -15,7 +15,7 @@ STEP = 6
 #: Columns of a leaf, in their order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-SIBLING = "array<struct<level:int,left:boolean,digest:binary>>"
+SIBLING = "array<struct<left:boolean,digest:binary>>"
 
 
 def hexed(digest: Column) -> Column:
@@ -81,8 +81,8 @@ def roots(tables: list[DataFrame], step: int = STEP) -> DataFrame:
     return reduce(DataFrame.unionByName, tops).select("group", "n", "digest")
 
 
-def proofs(tables: list[DataFrame], above: DataFrame, step: int = STEP) -> DataFrame:
-    """(group, at, path, about) for each leaf: its siblings from the leaf up to the root, and on along `above`.
+def proofs(leaves: DataFrame, tables: list[DataFrame], above: DataFrame, step: int = STEP) -> DataFrame:
+    """Leaves (group, n, at and more) with path, the siblings from the leaf up to the root and on along `above`, and about.
 
     above: (group, n, path, about) for each tree. A path has an entry for each level, null where
     a node has no sibling. Nodes explode the coordinates that index and size of the tree
@@ -93,17 +93,17 @@ def proofs(tables: list[DataFrame], above: DataFrame, step: int = STEP) -> DataF
     paths = None
     for r in reversed(range(len(tables))):
         low, table = r * step, tables[r]
-        base = table.where((F.col("level") == low) & ((height(F.col("n")) > low) | F.lit(r == 0))).select("group", "n", "at")
+        base = table.where((F.col("level") == low) & (height(F.col("n")) > low)).select("group", "n", "at") if r else leaves
         asked = base.where(height(F.col("n")) > low).select("group", "at", F.explode(F.sequence(F.lit(low), F.least(F.lit(low + step), height(F.col("n"))) - 1)).alias("level"))
         asked = asked.withColumn("sibling", F.expr(f"shiftright(at, level - {low}) ^ 1"))
         found = asked.join(table.select("group", "level", F.col("at").alias("sibling"), "digest"), ["group", "level", "sibling"], "left")
         entry = F.struct("level", (F.col("sibling") % 2 == 0).alias("left"), "digest")
-        own = found.groupBy("group", "at").agg(F.sort_array(F.collect_list(entry)).alias("own"))
+        own = found.groupBy("group", "at").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda s: F.struct(s["left"].alias("left"), s["digest"].alias("digest"))).alias("own"))
         ends = above.where((height(F.col("n")) > (low if r else -1)) & (height(F.col("n")) <= low + step)).select("group", F.lit(0).cast("long").alias("up"), F.col("path").alias("higher"), "about")
         if paths is not None:
             ends = ends.unionByName(paths.select("group", F.col("at").alias("up"), F.col("path").alias("higher"), "about"))
         joined = base.withColumn("up", F.shiftright("at", step)).join(own, ["group", "at"], "left").join(ends, ["group", "up"])
-        paths = joined.select("group", "at", F.concat(F.coalesce("own", F.array().cast(SIBLING)), "higher").alias("path"), "about")
+        paths = joined.select(*base.columns, F.concat(F.coalesce("own", F.array().cast(SIBLING)), "higher").alias("path"), "about")
         if r:
             paths = materialize(paths)
     return paths
@@ -137,9 +137,10 @@ def manifest(docs: DataFrame, changed: Column | None = None, step: int = STEP) -
     tables = tree(leaves, step)
     tops = roots(tables, step).select(F.lit("").alias("all"), F.col("group").alias("lang"), F.col("n").alias("leaves"), "digest")
     tops = materialize(numbered(tops, "all", ["lang"]))
-    over = tree(tops.select(F.col("all").alias("group"), "n", "at", "digest"), step)
+    tops = tops.withColumnRenamed("all", "group")
+    over = tree(tops, step)
     whole = roots(over, step).select("group", "n", F.array().cast(SIBLING).alias("path"), F.col("digest").alias("about"))
-    ends = proofs(over, whole, step).select("at", "path", F.col("about").alias("root"))
-    above = materialize(tops.join(ends, "at").select(F.col("lang").alias("group"), F.col("leaves").alias("n"), "path", F.struct(F.col("digest").alias("subroot"), "root").alias("about")))
-    found = leaves.join(proofs(tables, above, step), ["group", "at"])
+    ends = proofs(tops, over, whole, step)
+    above = materialize(ends.select(F.col("lang").alias("group"), F.col("leaves").alias("n"), "path", F.struct(F.col("digest").alias("subroot"), F.col("about").alias("root")).alias("about")))
+    found = proofs(leaves, tables, above, step)
     return found.select("doc_id", F.col("digest").alias("leaf"), "about.subroot", "about.root", "path", "changed_leaf")
