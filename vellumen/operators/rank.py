@@ -172,19 +172,30 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint() if sc.getCheckpointDir() else rows.persist(StorageLevel.DISK_ONLY)
 
 
+#: Rows of a range, about.
+RANGE = 200_000
+
+
+def in_ranges(rows: DataFrame, order: Sequence[str | Column], per_range: int | None = None) -> DataFrame:
+    """The rows, dealt into ranges of the order and kept; adds _range, the number of the range.
+
+    As many ranges as the number of rows needs, and not fewer than shuffle partitions.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (per_range or RANGE)))
+    return kept(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "sequence_number") -> DataFrame:
     """Adds a number from 1 in the order, without gathering the table in a task.
 
     Rows are dealt into ranges of the order; counts of the ranges before are added to the
     number within the range.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
-    ranged = kept(ranged)
+    ranged = in_ranges(rows, order)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_at", within).join(F.broadcast(counts), "_range").select(*rows.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
+    return ranged.withColumn("_at", within).join(counts, "_range").select(*rows.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
 
 
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: float) -> DataFrame:
