@@ -14,13 +14,16 @@ from vellumen.plans import rules
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Queries over files that they make themselves and no given table: for tests alone.
+UNREGISTERED: dict[str, Query] = {}
+UNREGISTERED_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, *, registered: bool = True) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        (QUERIES if registered else UNREGISTERED)[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            (SQL if registered else UNREGISTERED_SQL)[f.__name__] = sql
         return f
 
     return add

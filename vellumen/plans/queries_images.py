@@ -75,7 +75,7 @@ def window_counts(spark, sf_dir):
     return c.where("line_pixels > 0 AND line_pixels < near_area AND crossing_pixels <= line_pixels AND lying_parts > 0").join(features, ["task_id", "side"]).select(F.col("task_id").cast("int").alias("k"), "side", area.alias("pixels"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS task_id, a AS angle, CASE n_nationkey % 3 WHEN 0 THEN 'first ' || a WHEN 1 THEN 'second ' || a ELSE '' END AS text, CASE WHEN n_nationkey % 3 < 2 THEN 'ok' ELSE 'error:ValueError' END AS status, CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS engine FROM nation, (VALUES (0), (90)) AS t(a)")
+@query("SELECT n_nationkey::VARCHAR AS task_id, a AS angle, CASE n_nationkey % 3 WHEN 0 THEN 'first ' || a WHEN 1 THEN 'second ' || a ELSE '' END AS text, CASE WHEN n_nationkey % 3 < 2 THEN 'ok' ELSE 'error:ValueError' END AS status, CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS engine FROM nation, (VALUES (0), (90)) AS t(a)", registered=False)
 def recognition_ladder(spark, sf_dir):
     """Three engines: one that can't be made, one that fails on most pages, and one that fails on a third."""
 
@@ -102,7 +102,7 @@ def recognition_ladder(spark, sf_dir):
     return lifecycle.Recogniser(missing, (first, second)).texts(pages).drop("confidence")
 
 
-@query("SELECT 'doc_' || n AS stem, p AS page, 'split:' || p || ':xx' AS part, 'rendered:' || p || ':split:' || p || ':xx' AS image FROM (SELECT unnest(generate_series(0, 4)) AS n), (VALUES (1), (2)) AS t(p)")
+@query("SELECT 'doc_' || n AS stem, p AS page, 'split:' || p || ':xx' AS part, 'rendered:' || p || ':split:' || p || ':xx' AS image FROM (SELECT unnest(generate_series(0, 4)) AS n), (VALUES (1), (2)) AS t(p)", registered=False)
 def split_and_rendered(spark, sf_dir):
     """Files split into pages and rendered by functions that are given, and what then lies in their places."""
     path = on_driver(folder(spark))

@@ -127,14 +127,14 @@ def accuracy_ids(spark, sf_dir):
 
 
 @query(f"""
-WITH v AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY event_id) AS page FROM (SELECT *, event_id FROM ({VERDICT_SQL.replace(" FROM events", ", event_id FROM events")})) WHERE event_id < 400),
+WITH v AS ({VERDICT_SQL.replace(" FROM events", ", event_id FROM events")}),
 m AS (SELECT model, count(*) AS total, count(*) FILTER (WHERE trim(verdict) <> '') AS reviewed, count(*) FILTER (WHERE trim(verdict) = 'correct') AS correct, coalesce(string_agg(event_id::VARCHAR, ';' ORDER BY event_id) FILTER (WHERE trim(verdict) = 'wrong'), '') AS wrong_pages,
     coalesce(string_agg(event_id::VARCHAR, ';' ORDER BY event_id) FILTER (WHERE coalesce(trim(verdict), '') = ''), '') AS blank_pages FROM v GROUP BY model)
 SELECT model, correct::DOUBLE / total AS accuracy, wrong_pages, blank_pages, row_number() OVER (ORDER BY correct::DOUBLE / total DESC, correct DESC, model DESC) AS rank FROM m
-""".replace("(SELECT *, event_id FROM (", "((").replace("SELECT *, row_number() OVER (PARTITION BY model ORDER BY event_id) AS page FROM ((", "SELECT * FROM (").replace(")) WHERE event_id < 400", ") WHERE event_id < 400"))
+""")
 def model_ranking(spark, sf_dir):
-    """Models by accuracy over the first pages, with the pages that are wrong and blank."""
-    e, k = read(spark, sf_dir, "events", "event_id", "event_type").where("event_id < 400"), F.col("event_id") % 4
+    """Models by accuracy, with the pages that are wrong and blank."""
+    e, k = read(spark, sf_dir, "events", "event_id", "event_type"), F.col("event_id") % 4
     v = e.select(F.col("event_type").alias("model"), "event_id", F.when(k == 0, "correct").when(k == 1, "wrong").when(k == 2, " ").alias("verdict"))
     return metrics.model_ranking(v, "model", "event_id", "verdict").select("model", "accuracy", joined("wrong_pages").alias("wrong_pages"), joined("blank_pages").alias("blank_pages"), "rank")
 
@@ -311,7 +311,7 @@ def prediction_groups(spark, sf_dir):
     o, k = read(spark, sf_dir, "orders", "o_orderkey"), F.col("o_orderkey")
     predictions = o.select(k.alias("sample"), (k % 3).alias("prediction_dir"), (k % 2).alias("prediction_count"))
     groups = spark.createDataFrame([("g0", 0, False), ("g1", 1, True)], "group string, prediction_dir long, members_only boolean")
-    out = records.prediction_groups(predictions.unionByName(predictions.limit(3)), groups, o.where("o_orderkey % 5 = 0").select(k.alias("sample")))
+    out = records.prediction_groups(predictions.unionByName(predictions.where("sample % 97 = 0")), groups, o.where("o_orderkey % 5 = 0").select(k.alias("sample")))
     return out.select("group", "sample", "prediction_dir", "needs_attention")
 
 
@@ -424,7 +424,7 @@ def run_counts(spark, sf_dir):
     return lifecycle.run(pages, "model", lifecycle.Replay(raw), "/end").summary.select("page_count", "orientation_api_ok_count", "orientation_parse_ok_count")
 
 
-@query("SELECT event_id::VARCHAR AS task_id, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS answered_by, 1 AS attempt_count FROM events WHERE event_id < 300 UNION ALL SELECT 'busy', 'second', 2")
+@query("SELECT event_id::VARCHAR AS task_id, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS answered_by, 1 AS attempt_count FROM events WHERE event_id < 300 UNION ALL SELECT 'busy', 'second', 2", registered=False)
 def provider_ladder(spark, sf_dir):
     """Two services in turn: the second gets what the first failed, and one of its answers comes at the second try."""
     e = read(spark, sf_dir, "events", "event_id").where("event_id < 300").select(F.col("event_id").cast("string").alias("task_id"))
@@ -528,7 +528,7 @@ def published_files(spark, sf_dir):
 
 @query("""
 SELECT 'doc ' || n_nationkey AS stem, p AS page_number, 'doc_' || n_nationkey || '_page_' || lpad(p::VARCHAR, 3, '0') AS task_id FROM (SELECT n_nationkey, unnest(generate_series(1, least(n_nationkey % 4, 2))) AS p FROM nation WHERE n_nationkey < 10)
-""")
+""", registered=False)
 def pages_of_files(spark, sf_dir):
     """Files of a folder by suffix, in any case, and a row for each of their pages, at most two."""
     path = on_driver(folder(spark))
@@ -544,7 +544,7 @@ def pages_of_files(spark, sf_dir):
 @query("""
 SELECT n_nationkey::BIGINT AS n, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'format_error:line_1:field_count_3' WHEN 2 THEN 'format_error:line_1:not_numeric' ELSE 'missing_prediction_label' END AS error, CASE WHEN n_nationkey % 4 = 0 THEN 0.25::DOUBLE END AS area, CASE WHEN n_nationkey % 4 < 3 THEN 1 ELSE 0 END::BIGINT AS lines,
     CASE WHEN n_nationkey % 2 = 0 THEN 'train' END AS split FROM nation
-""")
+""", registered=False)
 def label_files(spark, sf_dir):
     """Label files: boxes, errors by line, files that should be there and aren't, lines, and splits."""
     from vellumen.functions import geometry
@@ -565,7 +565,7 @@ def label_files(spark, sf_dir):
     return found.join(counted, "path").join(split.select("path", "split"), "path").select(number.alias("n"), "error", rounded(geometry.polygon_area(F.col("points")), "area"), F.coalesce("n", F.lit(0)).cast("long").alias("lines"), "split")
 
 
-@query("SELECT * FROM (VALUES ('a', 'block', 0.25::DOUBLE), ('b', 'block', 0.25::DOUBLE)) AS t(file, label, area)")
+@query("SELECT * FROM (VALUES ('a', 'block', 0.25::DOUBLE), ('b', 'block', 0.25::DOUBLE)) AS t(file, label, area)", registered=False)
 def annotation_files(spark, sf_dir):
     """Polygons in either common shape, as shares of the image."""
     from vellumen.functions import geometry

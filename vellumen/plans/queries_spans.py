@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumen.operators import quantiles, rank, spans
-from vellumen.plans.queries import query, read
-from vellumen.plans.queries_pages import BOX_SQL, boxes
+from vellumen.operators import quantiles, rank, sketches, spans
+from vellumen.plans.queries import BOX_SQL, boxes, query, read
+from vellumen.plans.queries_records import folder
+from vellumen.sources import files
+from vellumen.streaming import memory, sessions
 
 # Orders span 2400 days and events 30: a day of the one is 1080 seconds of the other.
 PLACED = "epoch(o_orderdate - TIMESTAMP '1995-01-01')::BIGINT // 80 + epoch(TIMESTAMP '2024-01-01')::BIGINT"
@@ -110,3 +112,114 @@ def price_histogram(spark, sf_dir):
 
 
 query()(price_histogram)
+
+
+# ---- summaries kept in parts, and streams
+
+
+SPANS = "(VALUES ('first week', 1, 7), ('middle', 10, 20), ('month', 1, 31)) AS s(span, a, b)"
+
+
+def day_spans(spark, state: DataFrame) -> DataFrame:
+    """State rows of days (from 1) with the span that a day is in, once for each."""
+    spans_ = F.array(*(F.struct(F.lit(n).alias("span"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in (("first week", 1, 7), ("middle", 10, 20), ("month", 1, 31))))
+    return state.withColumn("s", F.explode(F.filter(spans_, lambda s: (F.col("day") >= s["a"]) & (F.col("day") <= s["b"])))).withColumn("span", F.col("s.span")).drop("s")
+
+
+@query(f"SELECT span, event_type, count(DISTINCT user_id) AS n FROM events JOIN {SPANS} ON day(ts) BETWEEN a AND b GROUP BY ALL")
+def distinct_users_of_spans(spark, sf_dir):
+    """Different users for any span of days, from bitmaps of the days."""
+    days = sketches.distinct_state(read(spark, sf_dir, "events", F.dayofmonth("ts").alias("day"), "event_type", "user_id"), ["day", "event_type"], "user_id")
+    return sketches.distinct_of(day_spans(spark, rank.kept(days)), ["span", "event_type"])
+
+
+@query(f"SELECT span, count(DISTINCT user_id) AS n, true AS near FROM events JOIN {SPANS} ON day(ts) BETWEEN a AND b GROUP BY ALL")
+def estimated_users_of_spans(spark, sf_dir):
+    """Estimates from merged sketches of the days are within five standard errors of the exact numbers."""
+    events = read(spark, sf_dir, "events", F.dayofmonth("ts").alias("day"), "user_id")
+    about = sketches.estimate_of(day_spans(spark, rank.kept(sketches.sketch_state(events, ["day"], "user_id"))), ["span"]).withColumnRenamed("n", "about")
+    exact = sketches.distinct_of(day_spans(spark, sketches.distinct_state(events, ["day"], "user_id")), ["span"])
+    return exact.join(about, "span").select("span", "n", (F.abs(F.col("about") - F.col("n")) <= 5 * 1.04 / 64 * F.col("n")).alias("near"))
+
+
+@query(r"""
+WITH w AS (SELECT lang, unnest(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word FROM documents WHERE lang IS NOT NULL),
+n AS (SELECT lang, count(*) AS whole FROM w GROUP BY lang)
+SELECT lang, word, count(*) AS n FROM w JOIN n USING (lang) GROUP BY lang, word, whole HAVING count(*) > 0.005 * whole
+""")
+def frequent_words(spark, sf_dir):
+    """Words that are over half a percent of a language's, from summaries of its sources."""
+    words = read(spark, sf_dir, "documents", "lang", "source", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> '' AND lang IS NOT NULL")
+    state = sketches.frequent_state(words, ["lang", "source"], "word", size=400)
+    return sketches.frequent(words, state, ["lang"], "word", 0.005)
+
+
+STREAM_GAP = 6 * 3600 * 1_000_000
+
+
+def replayed(spark, sf_dir, columns: list[str], parts: int = 4) -> str:
+    """A folder with the events as files that come one after the other, rows within a file in no order; the last ends them."""
+    where = folder(spark)
+    events = read(spark, sf_dir, "events", *columns)
+    first = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    part = F.least(F.lit(parts - 1), F.floor((F.unix_timestamp("ts") - F.unix_timestamp(first)) / (31 * 86_400 / parts)))
+    late = F.greatest(F.lit(0), part - 1)  # a tenth comes a file earlier than its time
+    dealt = events.withColumn("_part", F.when(F.xxhash64("ts", "user_id") % 10 == 0, late).otherwise(part))
+    for i in range(parts):
+        dealt.where(F.col("_part") == i).orderBy(F.xxhash64("user_id", "ts")).drop("_part").coalesce(1).write.mode("append").parquet(where)
+    ended = events.limit(1).select(*(F.lit(-1).cast("long").alias(c) if c in ("user_id", "event_id") else F.lit("2030-01-01 00:00:00").cast("timestamp").alias(c) if c == "ts" else F.col(c) for c in columns))
+    ended.coalesce(1).write.mode("append").parquet(where)
+    return where
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+o AS (SELECT *, CASE WHEN t - max(t) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 21600000000 THEN 0 ELSE 1 END AS b FROM e),
+i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n FROM i GROUP BY user_id, island
+""")
+def streamed_sessions(spark, sf_dir):
+    """Sessions of users with gaps of at most six hours, from a stream whose files are shuffled and overlap in time."""
+    source, out = replayed(spark, sf_dir, ["user_id", "ts"]), folder(spark)
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    sessions.started(sessions.sessions(stream, "user_id", "ts", STREAM_GAP, "16 days"), f"{out}/out", f"{out}/mark").awaitTermination()
+    return spark.read.parquet(f"{out}/out").where("user_id >= 0").select("user_id", F.col("start").alias("first"), F.col("end").alias("last"), "n")
+
+
+@query("""
+SELECT a.event_id, a.user_id, b.event_id AS answer FROM events a LEFT JOIN events b ON b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOUR WHERE a.event_type = 'view'
+""")
+def views_with_purchases(spark, sf_dir):
+    """Views with the purchases of the same user in the twelve hours after, and those without one, as streams of both."""
+    source, out = replayed(spark, sf_dir, ["event_id", "user_id", "event_type", "ts"]), folder(spark)
+    stream = lambda kind: spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").parquet(source).where((F.col("event_type") == kind) | (F.col("user_id") < 0))
+    views = stream("view").select("event_id", "user_id", F.col("ts").alias("seen"))
+    bought = stream("purchase").select("user_id", F.col("event_id").alias("answer"), F.col("ts").alias("bought"))
+    sessions.started(sessions.answered(views, bought, "user_id", "seen", "bought", "12 hours", "16 days"), f"{out}/out", f"{out}/mark").awaitTermination()
+    return spark.read.parquet(f"{out}/out").where("user_id >= 0").select("event_id", "user_id", "answer")
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY ALL")
+def streamed_memory(spark, sf_dir):
+    """The last event of each user and type, from a memory that a stream keeps as a log of changed buckets."""
+    source, out = folder(spark), folder(spark)
+    events = read(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    for i in range(3):
+        events.where(F.floor((F.dayofmonth("ts") - 1) / 11) == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    memory.keep(stream, f"{out}/memory", f"{out}/mark", ["user_id", "event_type"], ["ts", "event_id"], buckets=8, waiting=1).awaitTermination()
+    return memory.current(spark, f"{out}/memory").select("user_id", "event_type", "event_id", "ts")
+
+
+@query("""
+SELECT 'day=' || day(ts) AS file, line, event_id FROM (SELECT ts, event_id, row_number() OVER (PARTITION BY day(ts) ORDER BY event_id) AS line FROM events) WHERE event_id % 97 = 0
+""")
+def bad_lines_of_files(spark, sf_dir):
+    """Events as JSON lines, a file a day, of which some are cut off: their files and line numbers."""
+    where, key = folder(spark), F.col("event_id")
+    cell = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    line = F.when(key % 97 == 0, F.substring(cell, 1, 12 + F.length(key.cast("string")))).otherwise(cell)
+    rows = read(spark, sf_dir, "events").select(F.dayofmonth("ts").alias("day"), "event_id", line.alias("line"))
+    rows.repartition("day").sortWithinPartitions("day", "event_id").drop("event_id").write.partitionBy("day").text(where)
+    bad = files.bad_json_lines(spark, where)
+    return bad.select(F.regexp_extract("path", r"(day=\d+)/", 1).alias("file"), F.col("line_number").cast("long").alias("line"), F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("event_id"))

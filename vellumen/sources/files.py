@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,10 +67,20 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, *, to
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_number from 1, line) of text files, each read whole, as label files are small."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = texts.select("path", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
-    return lines.select("path", (F.col("n") + 1).alias("line_number"), "line")
+    """(path, line_number from 1, line) of text files of any size, read in byte ranges by as many tasks as Spark cuts them into.
+
+    A range's lines come in order, so that a line's place in its range is told without sorting;
+    what ranges before hold is added, from one count a range. Lines end in a line feed, a
+    carriage return or both; the last one needs no end.
+    """
+    from vellumen.operators.rank import kept
+
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    lines = kept(read)  # both readings must see the same ranges
+    ranges = lines.groupBy("path", "_from").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("path", "_from", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return lines.join(starts, ["path", "_from"]).select("path", (F.col("_id") + F.col("_shift")).cast("int").alias("line_number"), "line")
 
 
 def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +94,7 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType | str, *,
 
     A line that is no JSON object, or doesn't fit the schema, fails the job with the file and
     the line's number; with tolerant=True it is a row of nulls with its text in _json_error and
-    its number in _line_number, which are null for good lines. Files are read whole: for
-    records of reviews. json_lines() reads large ones in parts.
+    its number in _line_number, which are null for good lines.
     """
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     lines = numbered_lines(spark, path).where(stripped(F.col("line")) != "")
