@@ -345,8 +345,8 @@ def _settings(spark) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('good_errors', '0'), ('error', 'qwen.base_url must be a string.'), ('error', 'qwen.model is required.'), ('error', '[paths] must be a table.'), ('error', 'Missing [runtime] section.'), ('error', 'qwen.temperature must be numeric when set.'),
-    ('warning', 'Qwen credentials are not set; real model runs will require them.'), ('hidden', '{"a": 1, "Api_Key": "<redacted>", "in": {"token": "<redacted>", "x": 2}}'), ('environment', '{"A": "b c", "B": "d", "C": "e=f"}'), ('names', 'a,b,c'), ('below', '/tmp/b'), ('outside', 'refused')) AS t(part, item)
+SELECT * FROM (VALUES ('good_errors', '0'), ('error', 'section paths: not given, or no section'), ('error', 'section runtime: not given, or no section'), ('error', 'qwen.base_url: a text is expected'), ('error', 'qwen.model: not given'), ('error', 'qwen.temperature: a number is expected'),
+    ('warning', 'qwen.api_key: not given, so that only recorded answers can be used'), ('hidden', '{"a": 1, "Api_Key": "<redacted>", "in": {"token": "<redacted>", "x": 2}}'), ('environment', '{"A": "b c", "B": "d", "C": "e=f"}'), ('names', 'a,b,c'), ('below', '/tmp/b'), ('outside', 'refused')) AS t(part, item)
 """, registered=False)
 def settings(spark, sf_dir):
     return _settings(spark)

@@ -120,8 +120,30 @@ def evidence_score(line_density: Column, intersection_density: Column) -> Column
     return F.bround(weighted_score(parts), 6)
 
 
+# Shares of the weights in the confidence of a candidate, and of a band.
+CANDIDATE = {"evidence": 0.58, "margin": 0.28, "unrivalled": 0.14}
+BAND = {"evidence": 0.62, "margin": 0.23, "unrivalled": 0.15}
+# When a page's side is decided for another than the best band.
+SIDE = {
+    "right_of_top": 0.60,
+    "right_component_density": 0.25,
+    "right_close_to_top": 0.90,
+    "left_evidence": 0.93,
+    "left_band": 0.75,
+    "left_evidence_in_left_band": 0.88,
+    "strong_evidence": 0.43,
+    "rival": 0.88,
+    "good_evidence": 0.45,
+    "good_score": 0.97,
+    "least_confidence_if_good": 0.32,
+    "review_below": 0.30,
+    "score_low": 1.0,
+    "score_high": 7.0,
+}
+
+
 def candidate_confidence(evidence: Column, margin: Column, ambiguity: Column) -> Column:
-    return F.bround(clamp(0.58 * evidence + 0.28 * margin + 0.14 * (1.0 - ambiguity)), 4)
+    return F.bround(clamp(CANDIDATE["evidence"] * evidence + CANDIDATE["margin"] * margin + CANDIDATE["unrivalled"] * (1.0 - ambiguity)), 4)
 
 
 def side_decision(sides: Column, candidates: Column) -> Column:
@@ -146,7 +168,7 @@ def side_decision(sides: Column, candidates: Column) -> Column:
 
     def banded(x: Column) -> Column:
         top, right = x["top"], x["right"]
-        rather_right = (top["side"] == "top") & right.isNotNull() & (((right["score"] >= top["score"] * 0.60) & (right["component_density"] >= 0.25)) | ((right["score"] >= top["score"] * 0.90) & (right["intersection_density"] > top["intersection_density"])))
+        rather_right = (top["side"] == "top") & right.isNotNull() & (((right["score"] >= top["score"] * SIDE["right_of_top"]) & (right["component_density"] >= SIDE["right_component_density"])) | ((right["score"] >= top["score"] * SIDE["right_close_to_top"]) & (right["intersection_density"] > top["intersection_density"])))
         return told({"x": x, "band": F.when(rather_right, "right").otherwise(top["side"]), "first_band": of(x["sides"], x["first"]["side"])}, sided)
 
     def sided(y: Column) -> Column:
@@ -154,10 +176,10 @@ def side_decision(sides: Column, candidates: Column) -> Column:
         first, left = x["first"], x["left"]
         keeps_right = (band == "right") & first["side"].isin("top", "left")
         to_left = left.isNotNull() & (
-            (first["side"].isin("bottom", "right") & (band != "right") & (left["evidence_score"] >= first["evidence_score"] * 0.93) & (x["left_band"]["score"] >= y["first_band"]["score"] * 0.75))
-            | ((band == "left") & (first["side"] != "left") & (left["evidence_score"] >= first["evidence_score"] * 0.88))
+            (first["side"].isin("bottom", "right") & (band != "right") & (left["evidence_score"] >= first["evidence_score"] * SIDE["left_evidence"]) & (x["left_band"]["score"] >= y["first_band"]["score"] * SIDE["left_band"]))
+            | ((band == "left") & (first["side"] != "left") & (left["evidence_score"] >= first["evidence_score"] * SIDE["left_evidence_in_left_band"]))
         )
-        rule = F.when(first.isNull(), "band").when(yes(keeps_right), "right").when(yes(to_left), "left").when(yes(first["evidence_score"] >= 0.43), "first").otherwise("weak")
+        rule = F.when(first.isNull(), "band").when(yes(keeps_right), "right").when(yes(to_left), "left").when(yes(first["evidence_score"] >= SIDE["strong_evidence"]), "first").otherwise("weak")
         return told({"x": x, "band": band, "rule": rule}, chosen)
 
     def chosen(y: Column) -> Column:
@@ -172,17 +194,17 @@ def side_decision(sides: Column, candidates: Column) -> Column:
 
     def sure(z: Column) -> Column:
         y, own, rival = z["y"], z["own"], z["rival"]
-        evidence = F.greatest(scaled(own, 1.0, 7.0), y["taken"]["evidence_score"])
+        evidence = F.greatest(scaled(own, SIDE["score_low"], SIDE["score_high"]), y["taken"]["evidence_score"])
         margin = F.when(rival.isNull(), 1.0).otherwise(clamp((own - rival) / F.nullif(own, F.lit(0.0))))
-        rivalled = F.when(rival >= own * 0.88, 1.0).otherwise(0.0)
-        plain = F.bround(clamp(0.62 * evidence + 0.23 * F.coalesce(margin, F.lit(0.0)) + 0.15 * (1.0 - rivalled)), 4)
+        rivalled = F.when(rival >= own * SIDE["rival"], 1.0).otherwise(0.0)
+        plain = F.bround(clamp(BAND["evidence"] * evidence + BAND["margin"] * F.coalesce(margin, F.lit(0.0)) + BAND["unrivalled"] * (1.0 - rivalled)), 4)
         first, taken = y["x"]["first"], y["taken"]
-        good = yes((taken["evidence_score"] >= 0.45) & (first["score"] > 0) & (taken["score"] >= first["score"] * 0.97))
+        good = yes((taken["evidence_score"] >= SIDE["good_evidence"]) & (first["score"] > 0) & (taken["score"] >= first["score"] * SIDE["good_score"]))
         return told({"side": y["side"], "own": own, "evidence": evidence, "plain": plain, "good": good}, ended)
 
     def ended(r: Column) -> Column:
-        confidence = F.when(r["good"] & (r["plain"] < 0.32), 0.32).otherwise(r["plain"])
-        return F.struct(r["side"].alias("side"), r["own"].alias("score"), r["evidence"].alias("evidence"), confidence.alias("confidence"), (confidence < 0.30).alias("needs_review"))
+        confidence = F.when(r["good"] & (r["plain"] < SIDE["least_confidence_if_good"]), SIDE["least_confidence_if_good"]).otherwise(r["plain"])
+        return F.struct(r["side"].alias("side"), r["own"].alias("score"), r["evidence"].alias("evidence"), confidence.alias("confidence"), (confidence < SIDE["review_below"]).alias("needs_review"))
 
     return told({"sides": sides, "candidates": candidates, "top": best(sides), "right": of(sides, "right"), "left_band": of(sides, "left"), "first": best(candidates), "left": of(candidates, "left")}, banded)
 
