@@ -341,6 +341,47 @@ def test_a_common_pair_of_words_makes_no_large_bucket(spark, tmp_path):
         assert max(load.values()) < hot * sum(load.values())
 
 
+def test_texts_of_ten_words_and_a_common_passage(spark, tmp_path, monkeypatch):
+    """Every short gram is hot: windows go by long grams, so that no bucket gets more than a few hundredths of them."""
+    from vellumen.llm import routed
+    from vellumen.llm.common import Words, byte_column
+
+    monkeypatch.setattr(routed, "HOT", 20)
+    monkeypatch.setattr(routed, "HOT_MEANS", 0)
+    r = random.Random(15)
+    ten = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
+    passage = " ".join(f"passage{k % 7} of{k % 3}" for k in range(30))
+    rows = [(i, " ".join([*r.choices(ten, k=r.randint(20, 120)), *([passage] if i % 3 == 0 else []), *r.choices(ten, k=20)])) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    monkeypatch.setattr(superkmer, "BUCKET", 4000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 4000)
+    assert Counter(map(tuple, superkmer.drop_repeated_windows(docs, window=13).collect())) == Counter(brute_windows(rows, 13))
+    found = suffix_dedup.drop_repeated_bytes(docs, length=90)
+    assert Counter((*x[:4], bytes(x[4])) for x in found.collect()) == Counter(brute_bytes(rows, 90))
+
+    raw, at = byte_column(pa.array([t for _, t in rows]))
+    words = Words(raw, at)
+
+    def largest(hot):
+        """The share of the distinct strings' windows that the largest bucket gets, for words and for bytes."""
+        monkeypatch.setattr(routed, "HOT", 20 if hot else 1 << 40)
+        out = []
+        for slots, cut in ((routed.ranks(docs, "text", 1, 1 << 20, lambda b, a: superkmer.gram_hashes(Words(b, a), 3)), lambda c: superkmer.super_kmers(words, 13, c)), (routed.ranks(docs, "text", 1, 1 << 20, lambda b, a: suffix_dedup.gram_hashes(b, 16)), lambda c: [x for i, x in enumerate(suffix_dedup.anchored_strings(raw, at, 90, c)) if i != 2])):
+            first, count, name = cut(slots)
+            load, seen = Counter(), set()
+            for f, n, m in zip(first.tolist(), count.tolist(), name.tolist(), strict=True):
+                key = (m, n, raw[f : f + n + 89].tobytes() if len(out) else words.buf[words.start[f] : words.end[f + n + 11]].tobytes())
+                if key not in seen:  # a string goes to its bucket once a batch
+                    seen.add(key)
+                    load[m] += n
+            out.append(max(load.values()) / sum(load.values()))
+        return out
+
+    for split, whole in zip(largest(True), largest(False), strict=True):
+        assert split < 0.03 and split <= whole
+
+
 def test_dense_groups_give_a_forest(spark):
     """Thousands of fingerprints around one: linked, with far fewer rows than links."""
     r = random.Random(19)

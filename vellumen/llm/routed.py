@@ -26,6 +26,8 @@ from vellumen.llm.common import byte_column, dump, load, materialize, slices
 ROWS = T.StructType([T.StructField("key", T.LongType()), T.StructField("batch", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 ARROW = pa.schema([("key", pa.int64()), ("batch", pa.binary()), ("kind", pa.int32()), ("payload", pa.binary())])
 STRINGS, HOME, ANSWER = 0, 1, 2
+#: A gram is hot beyond so many places, and so many times the mean of the slots that have any; class of those.
+HOT, HOT_MEANS, HOTTEST = 1 << 16, 16, 255
 #: Plans that give the same rows in the same order whenever they run.
 REPEATABLE = ("Project", "Filter", "LogicalRelation")
 
@@ -51,7 +53,8 @@ def ranks(docs: DataFrame, text_col: str, size: int, slice_bytes: int, grams: Ca
 
     grams(bytes, offsets) gives the hash of each occurrence; its low bits are the slot. A
     gram that goes by these classes first and by its hash second is hardly ever a common one
-    where a window has any other, so no bucket grows with the frequency of a word. size: bytes
+    where a window has any other, so no bucket grows with the frequency of a word. Hot grams are
+    of class HOTTEST: a window that has no other kind is told by longer grams. size: bytes
     of all texts, by which there are 2^16 to 2^20 slots; the driver gets one number for each.
     """
     slots = 1 << min(20, max(16, (size >> 20).bit_length()))
@@ -66,7 +69,9 @@ def ranks(docs: DataFrame, text_col: str, size: int, slice_bytes: int, grams: Ca
 
     found = docs.select(text_col).mapInArrow(count, schema).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(slots, np.uint8)
-    out[found["slot"].to_numpy(np.int64)] = (4 * np.log2(found["n"].to_numpy(np.float64) + 1)).astype(np.uint8)
+    n = found["n"].to_numpy(np.float64)
+    hot = n > max(HOT, HOT_MEANS * n.mean()) if len(n) else np.zeros(0, bool)
+    out[found["slot"].to_numpy(np.int64)] = np.where(hot, HOTTEST, 4 * np.log2(n + 1)).astype(np.uint8)
     return out
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumen.llm.common import byte_column, deltas, mixed, sliding_min, spread, stretches, summed, text_bytes
-from vellumen.llm.routed import ranks, repeatable, through_buckets
+from vellumen.llm.routed import HOTTEST, ranks, repeatable, through_buckets
 from vellumen.llm.superkmer import rolled
 
 #: Bytes of text in a batch, and of strings that a bucket should get.
 SLICE, BUCKET = 2 << 20, 4 << 20
-#: Bytes of an anchor.
-GRAM = 16
+#: Bytes of an anchor, and of one of windows whose short grams are all hot.
+GRAM, LONG = 16, 64
 #: A scrambled number for each byte, and the odd base of the prefix hashes.
 NOISE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0xD1342543DE82EF95
@@ -170,7 +170,8 @@ def anchored_strings(raw: np.ndarray, at: np.ndarray, length: int, classes: np.n
     """(first window, windows, anchor's place, anchor's hash) of runs of windows with one anchor.
 
     A window's anchor is, of its grams of the rarest class, the leftmost with the least hash,
-    which depends on the window's bytes and the classes alone.
+    which depends on the window's bytes and the classes alone. Where all of them are hot, it is
+    the leftmost of the longer grams with the least hash.
     """
     gram = min(GRAM, length)
     count = np.maximum(np.diff(at) - length + 1, 0)
@@ -180,12 +181,21 @@ def anchored_strings(raw: np.ndarray, at: np.ndarray, length: int, classes: np.n
     ranked = classes[(hashes & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
     ranked |= (hashes >> np.uint64(40)) << np.uint64(32)
     ranked |= np.arange(len(hashes), dtype=np.uint64)
-    place = (sliding_min(ranked, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    best = sliding_min(ranked, length - gram + 1)
     del ranked
+    place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     windows = spread(at[:-1], count)
-    own = place[windows]
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return windows[first], np.diff(np.append(first, len(own))), own[first], hashes[own[first]]
+    hot = (best >> np.uint64(56) == HOTTEST)[windows] if gram < length else np.zeros(len(windows), bool)
+    own, named = place[windows], hashes
+    if hot.any():
+        long = min(LONG, length)
+        named = gram_hashes(raw, long)
+        ranked = named >> np.uint64(32) << np.uint64(32) | np.arange(len(named), dtype=np.uint64)
+        own = np.where(hot, (sliding_min(ranked, length - long + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)[windows], own)
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (hot[1:] != hot[:-1])))
+    name = hashes[own[first]]
+    name[hot[first]] = named[own[first][hot[first]]]
+    return windows[first], np.diff(np.append(first, len(own))), own[first], name
 
 
 def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:

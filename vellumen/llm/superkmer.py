@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumen.llm.common import Words, byte_column, deltas, dictionary, mixed, sliding_min, spread, stretches, summed, text_bytes
-from vellumen.llm.routed import ranks, repeatable, through_buckets
+from vellumen.llm.routed import HOTTEST, ranks, repeatable, through_buckets
 
 #: Bytes of text in a batch, and of packed strings that a bucket should get.
 SLICE, BUCKET = 8 << 20, 16 << 20
 #: Windows in a super-k-mer at most; longer runs go as several.
 RUN = 64
-#: Words of a minimiser.
-GRAM = 3
+#: Words of a minimiser, and of one of windows whose short grams are all hot.
+GRAM, LONG = 3, 9
 #: Ranks rows without an id behind all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -51,6 +51,8 @@ def super_kmers(words: Words, window: int, classes: np.ndarray) -> tuple[np.ndar
     """(first window, windows, minimiser) of each run of windows that share a minimiser.
 
     A window's minimiser is its gram of the rarest class, of those the one with the least hash.
+    Where all of its grams are hot it is the longer gram with the least hash: texts of a few
+    common words spread over as many buckets as they have long grams.
     """
     count = np.maximum(np.diff(words.first) - window + 1, 0)
     if not count.sum():
@@ -60,6 +62,10 @@ def super_kmers(words: Words, window: int, classes: np.ndarray) -> tuple[np.ndar
     ranked = hashes >> np.uint64(8)
     ranked |= classes[(hashes & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
     least = sliding_min(ranked, window - gram + 1)
+    hot = least >> np.uint64(56) == HOTTEST
+    if hot.any() and gram < window:
+        long = min(LONG, window)
+        least = np.where(hot, sliding_min(gram_hashes(words, long) >> np.uint64(8), window - long + 1) | np.uint64(HOTTEST << 56), least)
     begin = np.zeros(len(least) + 1, bool)
     valid = np.zeros(len(least), bool)
     valid[spread(words.first[:-1], count)] = True
