@@ -128,3 +128,39 @@ def test_brute_force_cuts():
         spread = lambda x: sum((v - sum(x) / len(x)) ** 2 for v in x)
         least = min(spread(counts[:i]) + spread(counts[i:j]) + spread(counts[j:]) for i in range(1, 6) for j in range(i + 1, 7))
         assert sum(e for *_, e in found) == pytest.approx(least)
+
+
+def test_islands_and_numbers_of_hot_keys(spark, monkeypatch):
+    """A key over many ranges: how far it has come is carried on, also past ranges that don't reach as far."""
+    few_rows_a_range(monkeypatch)
+    r = random.Random(8)
+    rows = [(r.choice(["hot"] * 9 + ["a", None]), s := r.randint(0, 3000), s + r.choice([0, 1, 5, 400 if r.random() < 0.1 else 2])) for _ in range(250)]
+    frame = spark.createDataFrame(rows, "k string, s int, e int")
+    want = Counter()
+    for k in {x[0] for x in rows}:
+        found, last = [], None
+        for s, e in sorted(x[1:] for x in rows if x[0] == k):
+            if last is None or s - last > 7:
+                found.append([s, e, 0])
+            found[-1][1:] = [max(found[-1][1], e), found[-1][2] + 1]
+            last = e if last is None else max(last, e)
+        want.update((k, i + 1, *x) for i, x in enumerate(found))
+    assert Counter(map(tuple, rank.islands(frame, ["k"], "s", "e", 7).collect())) == want
+    numbers = rank.numbered_within(frame, ["k"], ["s", "e"]).collect()
+    for k in {x[0] for x in rows}:
+        mine = sorted((x["sequence_number"], x["s"], x["e"]) for x in numbers if x["k"] == k)
+        assert [x[0] for x in mine] == list(range(1, len(mine) + 1)) and [x[1:] for x in mine] == sorted(x[1:] for x in rows if x[0] == k)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 8])
+def test_smoothed_in_blocks(spark, monkeypatch, width):
+    few_rows_a_range(monkeypatch)
+    monkeypatch.setattr(rank, "BLOCK", 7)
+    rows = [("hot" if i % 5 else None, i, float(i * i % 13)) for i in range(90)]
+    found = {x["i"]: x["m"] for x in rank.smoothed(spark.createDataFrame(rows, "k string, i int, v double"), "v", ["k"], ["i"], width, "m").collect()}
+    before = (width - 1) // 2
+    for k in ("hot", None):
+        own = [(i, v) for kk, i, v in rows if kk == k]
+        for n, (i, _) in enumerate(own):
+            lo = n - (width - 1 - before)
+            assert found[i] == pytest.approx(sum(v for _, v in own[max(lo, 0) : n + before + 1]) / width)

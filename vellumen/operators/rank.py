@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,12 +198,40 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "sequen
     return ranged.withColumn("_at", within).join(counts, "_range").select(*rows.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
 
 
+def carried(ranged: DataFrame, keys: Sequence[str], value: Column, merge: Callable[[Column], Column], name: str) -> DataFrame:
+    """Adds what the ranges before a row's range have for its keys: value, an aggregate a range, merged along the ranges; null if none do.
+
+    A key has as many rows in between as it has ranges. Null keys are keys.
+    """
+    parts = ranged.groupBy(*keys, "_range").agg(value.alias("_part"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.select(*(F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)), F.col("_range").alias("_of"), merge(F.col("_part")).over(earlier).alias(name))
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_c{i}"))
+    return ranged.join(sums, same).drop("_of", *(f"_c{i}" for i in range(len(keys))))
+
+
+def numbered_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "sequence_number") -> DataFrame:
+    """Adds a number from 1 along the order among the rows of the same keys, whatever share of the rows they are."""
+    ranged = carried(in_ranges(rows, [*keys, *order]), keys, F.count("*"), F.sum, "_before")
+    at = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return ranged.withColumn("_at", at).select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.col("_at")).cast("long").alias(name))
+
+
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: float) -> DataFrame:
-    """Intervals of a key, joined where the next begins at most `gap` after all before have ended."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0))
-    numbered_ = opened.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Intervals of a key, joined where the next begins at most `gap` after all before have ended.
+
+    Rows are dealt into ranges by key and start. How far a key has come, and its number of
+    islands, are carried on from the ranges before, so a key may have any share of the rows.
+    """
+    ranged = carried(in_ranges(rows, [*keys, start, end]), keys, F.max(end), F.max, "_reached")
+    w = Window.partitionBy(*keys, "_range").orderBy(start, end)
+    before = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reached"))
+    opened = ranged.withColumn("_last", before).withColumn("_new", F.when(F.col("_last").isNull() | (F.col(start) - F.col("_last") > gap), 1).otherwise(0)).drop("_reached", "_last")
+    counted = carried(kept(opened), keys, F.sum("_new"), F.sum, "_islands")
+    own = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered_ = counted.withColumn("island", own + F.coalesce("_islands", F.lit(0)))
     return numbered_.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_rows"))
 
 
@@ -228,6 +256,27 @@ def moving_average(value: str, keys: Sequence[str], order: Sequence[str], width:
     return F.sum(value).over(w) / width
 
 
+#: Rows of a key that are smoothed in one task, about.
+BLOCK = 50_000
+
+
+def smoothed(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str | Column], width: int, name: str) -> DataFrame:
+    """Adds moving_average() along the order, for keys of any size.
+
+    A key's rows are numbered and cut into blocks; rows near an end go to the block beside it too,
+    where they are neighbours only. The order must tell rows of a key apart.
+    """
+    before = (width - 1) // 2
+    after = width - 1 - before
+    block = max(BLOCK, width)
+    at = F.col("_at")
+    placed = numbered_within(rows, keys, order, "_at").withColumn("_home", F.floor(at / block))
+    blocks = F.array_distinct(F.array(F.col("_home"), F.floor((at - before) / block), F.floor((at + after) / block)))
+    near = placed.withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(-after, before)
+    return near.withColumn(name, F.sum(value).over(w) / width).where("_block = _home").select(*rows.columns, name)
+
+
 def by_priority(rows: DataFrame, tiers: Sequence[Column], then: Sequence[str | Column]) -> DataFrame:
     """Rows by the first tier they meet, then by the given order; adds priority from 1."""
     priority = F.lit(len(tiers) + 1)

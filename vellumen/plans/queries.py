@@ -468,7 +468,7 @@ def merge_gaps(spark, sf_dir):
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM events")
 def moving_average(spark, sf_dir):
     e = read(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
-    return e.select("event_id", F.round(rank.moving_average("value", ["user_id"], ["ts", "event_id"], 5), 6).alias("smooth"))
+    return rank.smoothed(e, "value", ["user_id"], ["ts", "event_id"], 5, "smooth").select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1 WHEN o_totalprice > 200000 THEN 2 ELSE 3 END AS priority FROM orders")
