@@ -229,12 +229,18 @@ def calibration_events(spark, sf_dir):
     return calibrated(spark, sf_dir).select("event_id", "calibration_outcome", "final_drawing_number", "manual_confirmed", "machine_fine", "machine_coarse", "machine_fine_score", "machine_coarse_score", joined("roi_note_tags").alias("tags"))
 
 
+#: All numbers are JS- and a character, so that a confusion is of that one; what is confirmed or open has none.
+CONFUSED_SQL = f"SELECT machine[4:4] || '->' || number[4:4] AS value, count(*) AS n FROM ({OUTCOME_SQL}) WHERE outcome LIKE 'manual_%' AND machine IS NOT NULL AND number <> '' AND machine <> number GROUP BY 1"
+
+
 @query(f"""
-SELECT 'calibration_outcome' AS dimension, outcome AS value, count(*) AS n FROM ({OUTCOME_SQL}) GROUP BY outcome UNION ALL SELECT 'fine_roi_judgment_code', CASE WHEN event_id % 2 = 0 THEN 'too_large' ELSE 'correct' END, count(*) FROM events GROUP BY 2
+SELECT 'confusion' AS dimension, value, n FROM ({CONFUSED_SQL}) UNION ALL
+SELECT 'drawing_number_judgment_code', CASE said WHEN '正确' THEN 'correct' WHEN '错误' THEN 'incorrect' WHEN '未识别' THEN 'missing' WHEN '看不清' THEN 'uncertain' ELSE 'other' END, count(*) FROM ({OUTCOME_SQL}) GROUP BY said UNION ALL
+SELECT 'calibration_outcome', outcome, count(*) FROM ({OUTCOME_SQL}) GROUP BY outcome UNION ALL SELECT 'fine_roi_judgment_code', CASE WHEN event_id % 2 = 0 THEN 'too_large' ELSE 'correct' END, count(*) FROM events GROUP BY 2
 UNION ALL SELECT 'roi_note_tags', 'roi_too_large', count(*) FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'roi_note_tags', 'trim_top', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'roi_adjustment_suggestions', '上侧适度收窄', count(*) FROM events WHERE event_id % 3 = 0
 """)
 def memory_patterns(spark, sf_dir):
-    return records.memory_patterns(calibrated(spark, sf_dir)).where("dimension NOT IN ('confusion', 'drawing_number_judgment_code')")
+    return records.memory_patterns(calibrated(spark, sf_dir))
 
 
 @query(f"""
@@ -247,10 +253,11 @@ def confirmed_rates(spark, sf_dir):
 
 @query(f"""
 WITH g AS (SELECT 'roi-too-large-quality-gate' AS rule_id, 'roi_feedback' AS type, 'roi_too_large' AS value, count(*) FILTER (WHERE event_id % 2 = 0) AS support FROM events HAVING count(*) FILTER (WHERE event_id % 2 = 0) >= 0.5 * count(*))
-SELECT * FROM g UNION ALL SELECT 'roi-adjustment-' || (1 + (SELECT count(*) FROM g)), 'roi_adjustment', '上侧适度收窄', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'manual-fallback-required', 'fallback', '', count(*) FROM ({OUTCOME_SQL}) WHERE outcome = 'unresolved_requires_manual_identification'
+SELECT * FROM g UNION ALL SELECT 'roi-adjustment-' || (1 + (SELECT count(*) FROM g)), 'roi_adjustment', '上侧适度收窄', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL
+SELECT 'ocr-confusion-' || (1 + (SELECT count(*) FROM g) + row_number() OVER (ORDER BY n DESC, value)), 'ocr_candidate_diff', value, n FROM ({CONFUSED_SQL}) UNION ALL SELECT 'manual-fallback-required', 'fallback', '', count(*) FROM ({OUTCOME_SQL}) WHERE outcome = 'unresolved_requires_manual_identification'
 """)
 def transplantable_rules(spark, sf_dir):
-    return records.transplantable_rules(calibrated(spark, sf_dir)).where("type <> 'ocr_candidate_diff'")
+    return records.transplantable_rules(calibrated(spark, sf_dir))
 
 
 @query(f"SELECT id AS event_id, event_id::VARCHAR AS sample_id, outcome AS calibration_outcome FROM ({OUTCOME_SQL}) WHERE event_id % 2 = 0")
