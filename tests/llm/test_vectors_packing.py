@@ -403,6 +403,36 @@ def test_compiled_models_encode_and_decode_as_the_library(tmp_path, name, model)
         assert decoded[n].decode() == tool.decode(want), (name, text)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_one_path_of_a_bpe_model_is_finite(seed):
+    """Of all paths through each text and each of its beginnings one is finite: what merging leaves. Ties among scores included."""
+    r = random.Random(30 + seed)
+    pieces = merges(r, list("abc"), 40)
+    if seed % 2:
+        pieces = [(p, float(round(s / 7)), t) for p, s, t in pieces]
+    fst = wfst.Transducer(a_model(pieces, 2))
+    names = {s: i for i, s in enumerate(fst.symbols) if s and (len(s) == 1 or s in fst.merges.whole)}
+
+    def paths(text):
+        """Sequences of symbols with finite arcs that spell the text."""
+        out, todo = [], [((), 0)]
+        while todo:
+            path, at = todo.pop()
+            if at == len(text):
+                out.append(path)
+            for stop in range(at + 1, len(text) + 1):
+                symbol = names.get(text[at:stop])
+                if symbol is not None and (not path or fst.merges.arc(path[-1], symbol) == 0.0):
+                    todo.append(((*path, symbol), stop))
+        return out
+
+    for _ in range(150):
+        text = "".join(r.choice("abc") for _ in range(r.randint(1, 11)))
+        found = paths(text)
+        assert len(found) == 1 and [fst.symbols[i] for i in found[0]] == fst.merges.merged(text), text
+        assert fst.shortest(text) == [i for s in found[0] for i in fst.emits[s]]
+
+
 def test_decoding_any_ids_as_the_library(tmp_path):
     r = random.Random(18)
     for name, model in model_cases():

@@ -327,8 +327,10 @@ class Transducer:
         """Relaxes the arcs of the composed machine from place to place, as it has no cycles.
 
         One state a place is kept: a unigram model has no contexts, and of a BPE model's
-        contexts of a place just one is finite, as just one path is. So an arc to a place
-        that is reached already needs no weighing.
+        contexts of a place just one is finite. For a path to a place is finite where no two
+        neighbours on it would have merged, which makes it what merging leaves of the text up
+        to there, and that is one sequence. It weighs 0, which nothing undercuts, so an arc
+        to a place that is reached already needs no weighing. Tests go through all paths.
         """
         n, arcs, accepts, bpe = len(text), self.lexicon.arcs, self.lexicon.accepts, self.bpe
         known, arc, weights = (self.merges.arcs.get, self.merges.arc, None) if bpe else (None, None, self.weights)
