@@ -172,16 +172,30 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint() if sc.getCheckpointDir() else rows.persist(StorageLevel.DISK_ONLY)
 
 
-#: Rows of a range, about.
-RANGE = 200_000
+#: Rows of a range, about, and at least where there are fewer ranges than shuffle partitions.
+RANGE, FEW = 200_000, 1000
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows that may be read several times: as they are if that is a reading of files, else kept."""
+    todo = [rows._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in ("Project", "Filter", "LogicalRelation", "Relation", "LocalRelation"):
+            return kept(rows)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
 
 
 def in_ranges(rows: DataFrame, order: Sequence[str | Column], per_range: int | None = None) -> DataFrame:
     """The rows, dealt into ranges of the order and kept; adds _range, the number of the range.
 
-    As many ranges as the number of rows needs, and not fewer than shuffle partitions.
+    As many ranges as the number of rows needs; up to the number of shuffle partitions if none gets too few.
     """
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (per_range or RANGE)))
+    rows = settled(rows)
+    n = rows.count()
+    parts = max(1, -(-n // (per_range or RANGE)), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // FEW)))
     return kept(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
 
 
