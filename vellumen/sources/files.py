@@ -93,7 +93,7 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType | str, *,
     """Rows of JSON lines that know their places; empty lines don't count.
 
     A line that is no JSON object, or doesn't fit the schema, fails the job with the file and
-    the line's number; with tolerant=True it is a row of nulls with its text in _json_error and
+    the number of the first such line; with tolerant=True it is a row of nulls with its text in _json_error and
     its number in _line_number, which are null for good lines.
     """
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -105,8 +105,10 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType | str, *,
     if tolerant:
         cells = [F.when(good, F.col("r")[n]).alias(n) for n in kind.names]
         return rows.select(*cells, F.when(~good, F.col("line")).alias("_json_error"), F.when(~good, F.col("line_number")).alias("_line_number"))
-    told = F.concat(F.col("path"), F.lit(":"), F.col("line_number").cast("string"), F.lit(": not the JSON that is expected"))
-    return rows.where(F.when(good, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).select("r.*").drop("_bad")
+    first = rows.where(~good).agg(F.min(F.struct("path", "line_number")).alias("_first"))  # one row: whichever task fails, it names the first
+    told = F.concat(F.col("_first.path"), F.lit(":"), F.col("_first.line_number").cast("string"), F.lit(": not the JSON that is expected"))
+    checked = rows.crossJoin(F.broadcast(first))
+    return checked.where(F.when(good, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).select("r.*").drop("_bad")
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
