@@ -143,3 +143,13 @@ def test_candidates(spark):
     assert [(p["machine"], p["manual"]) for p in pairs] == [("a", "c"), ("b", "d")]
     hits = values(spark, lambda c: numbers.field_hits(c, numbers.ROLES), "设计 审核", "x")
     assert hits == [["设计", "审核"], []]
+
+
+def test_nested_answers_stay_with_their_rows(spark, tmp_path):
+    from vellumen.plans.queries_text import nested_answers
+
+    events = spark.createDataFrame([(i, i, 1.0) for i in (0, 1, 1, 2, 3, 4)], "event_id long, user_id long, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    df = nested_answers(spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()  # nothing for the driver to broadcast
+    assert sorted((r["event_id"], r["position"], r["fine"]) for r in df.collect()) == [(0, "bottom_edge", True), (1, "nowhere", False), (1, "nowhere", False), (2, "top_edge", True), (3, None, False), (4, None, False)]
