@@ -427,3 +427,31 @@ def test_tables_that_nothing_reads_are_deleted(spark):
     before = tables()
     found = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
     assert found.count() == 41 and len(tables() - before) == 1
+
+
+def test_near_copies_are_candidates_by_simhash():
+    import numpy as np
+
+    from vellumen.llm import near_copies
+
+    r = np.random.default_rng(5)
+    assert not hasattr(near_copies, "bands")  # min-hash took the place of the method that the stage is named for
+    # Against a count bit by bit, also of sets of more than 255 hashes.
+    sets_ = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 7, 255, 256, 700)]
+    at = np.append(0, np.cumsum([len(x) for x in sets_]))
+    found = simhash.long_fingerprints(np.concatenate(sets_), at, 3)
+    for x, row in zip(sets_, found, strict=True):
+        each = np.array([simhash.long_fingerprints(h[None], np.array([0, 1]), 3)[0] for h in x])
+        ones = np.array([[(int(w) >> b) & 1 for w in e for b in range(64)] for e in each]).sum(0)
+        assert [2 * n > len(x) for n in ones.tolist()] == [bool((int(w) >> b) & 1) for w in row for b in range(64)]
+    # Pairs at a similarity of 0.8, of small and large sets: all agree in a segment, and lie near enough.
+    for common, own, other in ((4, 0, 1), (8, 1, 1), (32, 0, 8), (40, 5, 5), (160, 20, 20)):
+        sides = []
+        for _ in range(40):
+            h = r.integers(0, 1 << 63, common + own + other, dtype=np.uint64)
+            sides += [np.sort(h[: common + own]), np.sort(np.append(h[:common], h[common + own :]))]
+        lists = near_copies.prints(np.concatenate(sides), np.append(0, np.cumsum([len(x) for x in sides])), 18).to_pylist()
+        for a, b in zip(lists[::2], lists[1::2], strict=True):
+            apart = [((x ^ y) & ((1 << 64) - 1)) for x, y in zip(a, b, strict=False)]
+            assert any((x >> (18 * j)) & ((1 << 18) - 1) == 0 for x in apart for j in range(3))
+            assert apart[0].bit_count() <= near_copies.RADIUS and sum(x.bit_count() for x in apart[: near_copies.CHECKED]) <= near_copies.APART

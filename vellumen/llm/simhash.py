@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumen.llm.common import LOWER, Words, byte_column, connected_components, flat, joined, materialize, slices
+from vellumen.llm.common import LOWER, Words, byte_column, connected_components, flat, joined, materialize, mixed, slices, spread
 
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 19
@@ -45,6 +45,28 @@ def simhash(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int) -> np.ndar
     return out
 
 
+def long_fingerprints(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of `words` 64-bit words for the sets of hashes h[at[i]:at[i+1]], none empty: each word is voted on by the hashes as mixed for it."""
+    count = np.diff(at)
+    pieces = -(-count // 255)  # a byte counts to 255
+    first = np.cumsum(pieces) - pieces
+    begin = np.repeat(at[:-1], pieces) + 255 * spread(np.zeros(len(count), np.int64), pieces)
+    seeds, lanes = mixed(np.arange(1, 2 * words + 1, dtype=np.uint64)), np.uint64(0x0101010101010101)
+    out, bits = np.zeros((len(count), words), np.uint64), np.zeros((len(count), 8, 8), np.uint8)
+    for w in range(words):
+        x = (h ^ seeds[2 * w]) * (seeds[2 * w + 1] | np.uint64(1))
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        for b in range(8):
+            ones = np.add.reduceat((x >> np.uint64(b)) & lanes, begin).view(np.uint8).reshape(-1, 8)
+            if len(begin) > len(count):
+                ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+            bits[:, :, b] = 2 * ones.astype(np.int64) > count[:, None]
+        out[:, w] = np.packbits(bits, axis=2, bitorder="little").reshape(len(count), 8).view(np.uint64).ravel()
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, fingerprint as a long, columns in `keep`) for each row.
 
@@ -98,6 +120,11 @@ def links(classes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
 
     table = classes.select(keys(0), F.col("fingerprint").alias("there"))
     probe = classes.select(keys(radius // segments), F.col("fingerprint").alias("here"))
+    return met(table, probe, radius)
+
+
+def met(table: DataFrame, probe: DataFrame, radius: int) -> DataFrame:
+    """links() of the fingerprints `here` of the lookups (key, here) with those `there` of the entries (key, there)."""
     dense = materialize(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE))
     near = F.bit_count(F.col("here").bitwiseXOR(F.col("there"))) <= radius
     ends = [f("here", "there").alias(n) for f, n in ((F.least, "u"), (F.greatest, "v"))]
