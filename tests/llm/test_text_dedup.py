@@ -455,3 +455,45 @@ def test_near_copies_are_candidates_by_simhash():
             apart = [((x ^ y) & ((1 << 64) - 1)) for x, y in zip(a, b, strict=False)]
             assert any((x >> (18 * j)) & ((1 << 18) - 1) == 0 for x in apart for j in range(3))
             assert apart[0].bit_count() <= near_copies.RADIUS and sum(x.bit_count() for x in apart[: near_copies.CHECKED]) <= near_copies.APART
+
+
+@pytest.mark.parametrize("most", [1 << 16, 64])
+def test_candidates_of_a_large_group_are_a_forest(spark, monkeypatch, most):
+    import numpy as np
+
+    from vellumen.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "MOST", most)  # 64: groups are dealt into tiles
+    r = np.random.default_rng(8)
+    base, rows, family = r.integers(0, 1 << 63, 120, dtype=np.uint64), [], {}
+    for i in range(400):  # copies of one set, each with other hashes of its own, and sets that are like nothing
+        h = np.append(base[: 120 - i % 7], r.integers(0, 1 << 63, i % 7 + 1, dtype=np.uint64)) if i < 300 else r.integers(0, 1 << 63, 100, dtype=np.uint64)
+        words = near_copies.prints(np.sort(h), np.array([0, len(h)]), 8)[0].as_py()
+        rows.append((i, words))
+        family[words[0]] = i < 300
+    sets_ = spark.createDataFrame(rows, "node long, print array<long>")
+    found = [tuple(x) for x in near_copies.candidates(sets_, 8).collect()]
+    assert len(found) < (300 * 30 if most > 64 else 44850)  # all pairs of the family; a pair of tiles has a forest of its own
+    want = brute_components(found, family)
+    assert len({want[x] for x in family if family[x]}) == 1
+    assert all(want[x] == x for x in family if not family[x])
+
+
+def test_near_fingerprints_join_what_all_pairs_join():
+    import numpy as np
+
+    from vellumen.llm import near_copies
+
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 63, (3, near_copies.CHECKED), dtype=np.uint64)
+    words = r.integers(0, 1 << 63, (700, near_copies.CHECKED), dtype=np.uint64)
+    for i in range(600):  # two loose families, of which just some pairs are near
+        words[i] = base[i % 2] ^ (r.integers(0, 1 << 63, near_copies.CHECKED, dtype=np.uint64) & r.integers(0, 1 << 63, near_copies.CHECKED, dtype=np.uint64))
+    apart = np.bitwise_count(words[:, None] ^ words[None]).astype(int)
+    good = (apart[:, :, 0] <= near_copies.RADIUS) & (apart.sum(2) <= near_copies.APART)
+    pairs = [(a, b) for a, b in np.argwhere(good).tolist() if a < b]
+    found = [(a, b) for i, j in near_copies.near(words) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert pairs and all(good[a, b] for a, b in found)
+    assert brute_components(found, range(700)) == brute_components(pairs, range(700))
+    close = np.repeat(base[:1], 2000, 0)
+    assert sum(len(i) for i, _ in near_copies.near(close)) == 2000
