@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from vellumen.plans import queries_spans
 from vellumen.sources import files
 from vellumen.streaming import memory, sessions
 
@@ -47,6 +48,55 @@ def test_sessions_with_late_rows(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
 
 
+def micros(t):
+    return int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+
+
+def streamed(spark, path, files_, gap, late):
+    """Sessions of a stream that reads a file at a time, without those of the key -1."""
+    for part in files_:
+        spark.createDataFrame(part, "k long, t timestamp").coalesce(1).write.mode("append").parquet(str(path / "in"))
+    stream = spark.readStream.schema("k long, t timestamp").option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+    sessions.started(sessions.sessions(stream, "k", "t", gap, late), str(path / "out"), str(path / "mark")).awaitTermination()
+    return Counter(map(tuple, spark.read.parquet(str(path / "out")).where("k <> -1").select("k", "start", "end", "n").collect()))
+
+
+def test_sessions_need_no_python(spark, tmp_path):
+    """A call of Python for each key and each timer took nearly all the time."""
+    spark.createDataFrame([(1, START)], "k long, t timestamp").write.parquet(str(tmp_path / "in"))
+    found = sessions.sessions(spark.readStream.schema("k long, t timestamp").parquet(str(tmp_path / "in")), "k", "t", 1000, "1 hour")
+    plan = found._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "session_window" in plan
+
+
+def test_a_row_exactly_as_late_as_allowed_joins_its_session(spark, tmp_path):
+    last, gap = START + timedelta(hours=5), timedelta(seconds=10)
+    edge = last - timedelta(hours=1)
+    files_ = [[(1, edge - gap), (-1, last)], [(-1, last)], [(1, edge)], [(-1, START + timedelta(days=30))]]
+    assert streamed(spark, tmp_path, files_, 10_000_000, "1 hour") == Counter({(1, micros(edge - gap), micros(edge), 2): 1})
+
+
+def test_sessions_without_a_gap_are_equal_times(spark, tmp_path):
+    files_ = [[(1, START), (1, START + timedelta(seconds=1))], [(1, START), (2, START)], [(-1, START + timedelta(days=30))]]
+    assert streamed(spark, tmp_path, files_, 0, "1 hour") == Counter({(1, micros(START), micros(START), 2): 1, (1, micros(START) + 1_000_000, micros(START) + 1_000_000, 1): 1, (2, micros(START), micros(START), 1): 1})
+
+
+def test_replayed_parts_are_written_by_many_tasks(spark, tmp_path):
+    """All rows once, the end last, and the files of a part after those of the part before."""
+    rows = [(i, i % 7, START + timedelta(minutes=11 * i)) for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    where = queries_spans.replayed(spark, str(tmp_path), ["event_id", "user_id", "ts"])
+    found = spark.read.parquet(where).select("event_id", "user_id", "ts", F.input_file_name().alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+    got = found.collect()
+    assert sorted((r["event_id"], r["user_id"], r["ts"]) for r in got) == [(-1, -1, datetime(2030, 1, 1)), *rows]
+    assert len({r["file"] for r in got}) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    since = {}
+    for r in got:
+        since[r["at"], r["file"]] = min(since.get((r["at"], r["file"]), r["ts"]), r["ts"])
+    quarters = [min(4, (since[k] - START) // timedelta(days=31 / 4)) for k in sorted(since)]
+    assert quarters == [0] * 4 + [1] * 4 + [2] * 4 + [3] * 4 + [4]
+
+
 def test_answered_requests(spark, tmp_path):
     asked = [(i, START + timedelta(minutes=i)) for i in range(20)] + [(99, START + timedelta(days=9))]
     came = [(i, START + timedelta(minutes=i + d), d) for i in range(0, 20, 2) for d in (5, 30, 90)] + [(99, START + timedelta(days=9), 0)]

@@ -157,16 +157,23 @@ def frequent_words(spark, sf_dir):
 STREAM_GAP = 6 * 3600 * 1_000_000
 
 
+def files_of_part(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def replayed(spark, sf_dir, columns: list[str], parts: int = 4) -> str:
-    """A folder with the events as files that come one after the other, rows within a file in no order; the last ends them."""
-    where = folder(spark)
+    """A folder with the events as parts that come one after the other, rows within a part in no order; the last ends them.
+
+    A part is as many files as there are shuffle partitions, or fewer where rows are few.
+    """
+    where, mixed = folder(spark), F.xxhash64("user_id", "ts")
     events = read(spark, sf_dir, "events", *columns)
     first = F.lit("2024-01-01 00:00:00").cast("timestamp")
     part = F.least(F.lit(parts - 1), F.floor((F.unix_timestamp("ts") - F.unix_timestamp(first)) / (31 * 86_400 / parts)))
     late = F.greatest(F.lit(0), part - 1)  # a tenth comes a file earlier than its time
     dealt = events.withColumn("_part", F.when(F.xxhash64("ts", "user_id") % 10 == 0, late).otherwise(part))
     for i in range(parts):
-        dealt.where(F.col("_part") == i).orderBy(F.xxhash64("user_id", "ts")).drop("_part").coalesce(1).write.mode("append").parquet(where)
+        dealt.where(F.col("_part") == i).drop("_part").repartition(files_of_part(spark), mixed).sortWithinPartitions(mixed).write.mode("append").parquet(where)
     ended = events.limit(1).select(*(F.lit(-1).cast("long").alias(c) if c in ("user_id", "event_id") else F.lit("2030-01-01 00:00:00").cast("timestamp").alias(c) if c == "ts" else F.col(c) for c in columns))
     ended.coalesce(1).write.mode("append").parquet(where)
     return where
@@ -181,7 +188,7 @@ SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n FROM i GROUP BY u
 def streamed_sessions(spark, sf_dir):
     """Sessions of users with gaps of at most six hours, from a stream whose files are shuffled and overlap in time."""
     source, out = replayed(spark, sf_dir, ["user_id", "ts"]), folder(spark)
-    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", files_of_part(spark)).parquet(source)
     sessions.started(sessions.sessions(stream, "user_id", "ts", STREAM_GAP, "16 days"), f"{out}/out", f"{out}/mark").awaitTermination()
     return spark.read.parquet(f"{out}/out").where("user_id >= 0").select("user_id", F.col("start").alias("first"), F.col("end").alias("last"), "n")
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-OPEN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "n")])
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def merged(sessions: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
@@ -26,64 +25,19 @@ def merged(sessions: list[tuple[int, int, int]], gap: int) -> list[tuple[int, in
     return out
 
 
-class Sessions(StatefulProcessor):
-    """Open sessions of a key as a list in its state, each with a timer for the moment from which no row can join it.
-
-    A late row may join a session, make one, or join two to one. Times are microseconds.
-    """
-
-    def __init__(self, key: str, gap: int):
-        self.key, self.gap = key, gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", OPEN)
-
-    def due(self, end: int) -> int:
-        """The millisecond of the watermark at which a session is over: later rows lie beyond its gap."""
-        return (end + self.gap) // 1000 + 1
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(map(int, s)) for s in self.open.get()] if self.open.exists() else []
-        now = before
-        for part in rows:  # a part at a time: memory holds sessions, not rows
-            now = merged(now + [(int(t), int(t), 1) for t in part.iloc[:, 2]], self.gap)
-        old, new = {self.due(s[1]) for s in before}, {self.due(s[1]) for s in now}
-        for t in old - new:
-            self.handle.deleteTimer(t)
-        for t in new - old:
-            self.handle.registerTimer(t)
-        self.open.put(now)
-        yield self.rows(key, [])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        sessions = [tuple(map(int, s)) for s in self.open.get()]
-        rest = [s for s in sessions if self.due(s[1]) > until]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        yield self.rows(key, [s for s in sessions if self.due(s[1]) <= until])
-
-    def rows(self, key: tuple, sessions: list[tuple[int, int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]] * len(sessions), "start": [s[0] for s in sessions], "end": [s[1] for s in sessions], "n": [s[2] for s in sessions]})
-
-    def close(self) -> None:
-        pass
-
-
 def sessions(events: DataFrame, key: str, time: str, gap: int, late: str) -> DataFrame:
     """(key, start, end, n) of a stream's sessions, in microseconds, each once: when the watermark has passed its end and the gap.
 
     Rows of a key at most `gap` microseconds apart are one session, in whatever order they
-    come, as long as none is over `late` behind the latest time seen; what is later is
+    come, as long as none is over `late` behind the latest time seen; what is later may be
     dropped. Null keys are a key; null times don't count. State is a few numbers for each open
-    session. Start it with started(), which picks the state store that timers need.
+    session. Start it with started(), so that state lies on disk and a task's rows of a
+    session are one row before they are shuffled.
     """
-    rows = events.where(F.col(time).isNotNull()).withWatermark(time, late).select(key, time, F.unix_micros(time).alias("micros"))
-    schema = T.StructType([T.StructField(key, events.schema[key].dataType), *OPEN.fields])
-    return rows.groupBy(key).transformWithStateInPandas(Sessions(key, gap), schema, "append", "eventTime")
+    rows = events.where(F.col(time).isNotNull()).withWatermark(time, f"{late} 1 millisecond")  # at the watermark itself a session would be over
+    own = F.session_window(time, f"{gap} microseconds") if gap else F.col(time)
+    found = rows.groupBy(key, own.alias("_own")).agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.count(F.lit(1)).alias("n"))
+    return found.select(key, F.unix_micros("_first").alias("start"), F.unix_micros("_last").alias("end"), "n")
 
 
 def answered(requests: DataFrame, responses: DataFrame, key: str, asked: str, came: str, deadline: str, late: str) -> DataFrame:
@@ -100,10 +54,12 @@ def answered(requests: DataFrame, responses: DataFrame, key: str, asked: str, ca
 
 def started(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Runs a stream over what is there, and appends what comes out to Parquet files; the session's settings stay as they are."""
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, ROCKS)
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name, None) for name in SETTINGS}
     try:
+        for name, value in SETTINGS.items():
+            conf.set(name, value)
         return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:
-        conf.unset(name) if before is None else conf.set(name, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
